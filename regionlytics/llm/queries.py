@@ -24,6 +24,24 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_join import range_join
+
+    return range_join(table(spark, sf_dir, "embeddings"))
+
+
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import scan
 
@@ -65,6 +83,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_ngram_join": op2_ngram_join,
+        "op3_embedding_dedup": op3_embedding_dedup,
+        "op4_html_extract": op4_html_extract,
         "op5_secret_scan": op5_secret_scan,
         "op8_mixing": op8_mixing,
         "op9_sentencepiece": op9_sentencepiece,
@@ -73,6 +94,26 @@ def queries() -> dict[str, Query]:
 
 
 SQL = {
+    "op2_ngram_join": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+n as (select doc_id, count(*) as n from g group by doc_id),
+r as (select s from g group by s having count(*) > 1),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as i from g a join g b on a.s = b.s and a.doc_id < b.doc_id where a.s in (select s from r) group by 1, 2),
+e as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where 100 * i >= 85 * (p.n + q.n - i)),
+d as (select x, y from e union select y, x from e),
+reach(id, k) as (select doc_id, doc_id from documents union select reach.id, d.y from reach join d on d.x = reach.k)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.k as component_id
+from documents left join n using (doc_id) join (select id, min(k) as k from reach group by id) m on m.id = doc_id
+""",
+    "op3_embedding_dedup": """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as x, b.vec_id as y from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(id, k) as (select vec_id, vec_id from embeddings union select reach.id, l.y from reach join l on l.x = reach.k),
+c as (select id, min(k) as k from reach group by id), n as (select x, count(*) as n from l group by x)
+select vec_id, coalesce(n.n, 0)::bigint as n_links, c.k as component_id, vec_id = c.k as kept
+from embeddings join c on c.id = vec_id left join n on n.x = vec_id
+""",
     "op8_mixing": r"""
 with s as (select doc_id, source, case when text is null then 0 else len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) end as size from documents),
 per as (select source, sum(size)::bigint as source_size from s group by source),
