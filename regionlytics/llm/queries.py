@@ -55,6 +55,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -87,6 +93,7 @@ def queries() -> dict[str, Query]:
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_html_extract": op4_html_extract,
         "op5_secret_scan": op5_secret_scan,
+        "op7_quality": op7_quality,
         "op8_mixing": op8_mixing,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_exact_dedup": op10_exact_dedup,
