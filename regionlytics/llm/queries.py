@@ -55,6 +55,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import near_duplicate_lines
+
+    out = near_duplicate_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_kept", F.concat_ws(",", F.col("dropped_lines").cast("array<string>")).alias("dropped_lines"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
@@ -93,6 +100,7 @@ def queries() -> dict[str, Query]:
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_html_extract": op4_html_extract,
         "op5_secret_scan": op5_secret_scan,
+        "op6_line_dedup": op6_line_dedup,
         "op7_quality": op7_quality,
         "op8_mixing": op8_mixing,
         "op9_sentencepiece": op9_sentencepiece,
@@ -120,6 +128,22 @@ reach(id, k) as (select vec_id, vec_id from embeddings union select reach.id, l.
 c as (select id, min(k) as k from reach group by id), n as (select x, count(*) as n from l group by x)
 select vec_id, coalesce(n.n, 0)::bigint as n_links, c.k as component_id, vec_id = c.k as kept
 from embeddings join c on c.id = vec_id left join n on n.x = vec_id
+""",
+    "op6_line_dedup": """
+with recursive t as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as line_no from documents),
+l as (select line, min(doc_id) as d from t where line <> '' group by line),
+u as (select line, length(line) as n, row_number() over (order by line) as i from l),
+p as (select a.i as x, b.i as y from u a join u b on a.n >= 20 and b.n >= a.n and b.n <= a.n + 2 and a.i <> b.i
+  where (a.n > b.n or a.i < b.i or a.n < b.n) and abs(a.n - b.n) <= 2
+  and (substr(a.line, 1, a.n // 3) = substr(b.line, 1, a.n // 3) or right(a.line, a.n // 3) = right(b.line, a.n // 3)
+    or instr(b.line, substr(a.line, a.n // 3 + 1, a.n // 3)) > 0) and levenshtein(a.line, b.line) <= 2),
+e as (select x, y from p union select y, x from p),
+reach(i, k) as (select i, i from u union select reach.i, e.y from reach join e on e.x = reach.k),
+c as (select i, min(k) as c from reach group by i),
+o as (select t.doc_id, t.line_no, c.c, row_number() over (partition by c.c order by t.doc_id, t.line_no) as r from t join u on u.line = t.line join c on c.i = u.i),
+g as (select doc_id, string_agg(line_no::varchar, ',' order by line_no) as s, count(*) as k from o where r > 1 group by doc_id)
+select doc_id, len(string_split(coalesce(text, ''), chr(10)))::bigint as n_lines, (len(string_split(coalesce(text, ''), chr(10))) - coalesce(g.k, 0))::bigint as n_kept, coalesce(g.s, '') as dropped_lines
+from documents left join g using (doc_id)
 """,
     "op8_mixing": r"""
 with s as (select doc_id, source, case when text is null then 0 else len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) end as size from documents),
