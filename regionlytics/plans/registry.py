@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import interval_queries, model_queries, table_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (interval_queries, table_queries, model_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(interval_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(interval_queries.SQL)
