@@ -14,8 +14,38 @@ def best(trials: DataFrame, number: int | None = None) -> DataFrame:
     return trials.where("state = 'complete' AND value IS NOT NULL").orderBy("value", "trial").limit(1)
 
 
-def stalled(history: DataFrame, order: str, value: str, patience: int = 5) -> DataFrame:
-    """(order, stop): whether the last ``patience`` values brought nothing below all before. A history is one run's, so it is small."""
-    early = F.min(value).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -patience))
-    late = F.min(value).over(W.orderBy(order).rowsBetween(-(patience - 1), 0))
-    return history.select(order, F.coalesce(late >= early, F.lit(False)).alias("stop"))
+def stalled(history: DataFrame, order: str, value: str, patience: int = 5, keys: list[str] | None = None) -> DataFrame:
+    """(keys, order, stop): whether the last ``patience`` values of a run brought nothing below all before."""
+    w = W.partitionBy(*(keys or [])).orderBy(order)
+    early = F.min(value).over(w.rowsBetween(W.unboundedPreceding, -patience))
+    late = F.min(value).over(w.rowsBetween(-(patience - 1), 0))
+    return history.select(*(keys or []), order, F.coalesce(late >= early, F.lit(False)).alias("stop"))
+
+
+def search(corpus, transform, study: str, trials: int, k_range: tuple[int, int], base, share: float = 0.7, seed: int = 0, patience: int = 5) -> DataFrame:
+    """Random search: each trial trains on a share of the loci and is scored on the others; its row joins the study's table.
+
+    study is a folder of Parquet files; processes that search at once append to it. Returns the table.
+    """
+    import json
+    import random
+    from dataclasses import replace
+
+    from ..operators.corpora import split
+    from .trainer import score, train
+
+    spark = corpus.mutations.sparkSession
+    for t in range(trials):
+        rng = random.Random(f"{seed}:{t}")
+        o = replace(base, k=rng.randint(*k_range), seed=rng.randrange(1 << 30))
+        if o.model_type == "gbt":
+            o.rate_options = {"depth": rng.randint(2, 5), "learning_rate": 10 ** rng.uniform(-2, -0.5), "l2": 10 ** rng.uniform(-2, 1)} | base.rate_options
+        state, value = "complete", None
+        try:
+            first, second = split(corpus, share, by_locus=True, seed=seed)
+            value = score(train(first, replace(transform), o), second)["perplexity"]
+        except (ValueError, ArithmeticError) as x:
+            state, o.fixed = f"failed: {x}"[:200], {}
+        row = [(t, state, float(value) if value is not None else None, json.dumps({k: v for k, v in vars(o).items() if k != "fixed"}))]
+        spark.createDataFrame(row, "trial long, state string, value double, params string").coalesce(1).write.mode("append").parquet(study)
+    return spark.read.parquet(study)

@@ -40,9 +40,9 @@ def snv_window_histogram(spark, sf):
     return hit.groupBy("locus", "context").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
-@query("snv_filter_project", fx.sql("select sample, 'x' || chrom as chrom, pos + 1 as pos1, weight from snvs where filter = 'PASS' and sample % 3 = 1 and weight > 10", "snvs"))
+@query("snv_filter_project", fx.sql("select sample, 'x' || chrom as chrom, pos + 1 as pos1, weight from snvs where filter = 'PASS' and info = 'F' and weight > 10", "snvs"))
 def snv_filter_project(spark, sf):
-    return points(spark, sf).where(F.expr("sample % 3 = 1 AND weight > 10")).select("sample", F.concat(F.lit("x"), "chrom").alias("chrom"), (F.col("pos") + 1).alias("pos1"), "weight")
+    return points(spark, sf).where(F.expr("info = 'F' AND weight > 10")).select("sample", F.concat(F.lit("x"), "chrom").alias("chrom"), (F.col("pos") + 1).alias("pos1"), "weight")
 
 
 @query("chrom_semi_join", fx.sql("select sample, chrom, pos from snvs where chrom in (select 'chr' || (r_regionkey + 1) from region where r_regionkey < 2)", "snvs"))
@@ -154,14 +154,14 @@ def nearest_self_ties(spark, sf):
     return nr.nearest_self(fx.snvs(spark, sf), ["sample", "chrom"], ties="all").groupBy("sample", "chrom", "pos").agg(F.count("*").alias("n"))
 
 
-OVERLAY = """, x as (select 'e:' || label as name, chrom, s, e from tracks where event_id % 4 = 0 union all select 'l:' || (p_size % 3), chrom, s, e from loci where locus % 3 <> 0),
+OVERLAY = """, x as (select 'e:' || label as name, chrom, s, e from tracks union all select 'l:' || (p_size % 3), chrom, s, e from loci),
 p as (select chrom, s as pos from x union select chrom, e from x), g as (select chrom, pos as s, lead(pos) over (partition by chrom order by pos) as e from p),
 o as (select g.chrom, g.s, g.e, string_agg(distinct x.name, '|' order by x.name) as labels from g join x on x.chrom = g.chrom and x.s < g.e and g.s < x.e where g.e - g.s > 5 group by 1, 2, 3)"""
 
 
 def overlay_tracks(spark, sf):
-    t = fx.tracks(spark, sf).where("event_id % 4 = 0").selectExpr("'e' AS track", "chrom", "start", "end", "label")
-    return t.unionByName(fx.loci(spark, sf).where("locus % 3 <> 0").selectExpr("'l' AS track", "chrom", "start", "end", "CAST(p_size % 3 AS STRING) AS label"))
+    t = fx.tracks(spark, sf).selectExpr("'e' AS track", "chrom", "start", "end", "label")
+    return t.unionByName(fx.loci(spark, sf).selectExpr("'l' AS track", "chrom", "start", "end", "CAST(p_size % 3 AS STRING) AS label"))
 
 
 @query("interval_overlay", fx.sql(OVERLAY + " select chrom, s as \"start\", e as \"end\", labels from o", "loci", "tracks"))
@@ -176,11 +176,11 @@ def overlay_depth(spark, sf):
     return nr.depth_segments(fx.tracks(spark, sf), stretch=1 << 14).select("chrom", "start", "end", "depth")
 
 
-@query("region_assembly", fx.sql(OVERLAY + """, k as (select o.* from o where not exists (select 1 from tracks t where t.event_id % 9 = 1 and t.chrom = o.chrom and t.s < o.e and o.s < t.e)),
+@query("region_assembly", fx.sql(OVERLAY + """, k as (select o.* from o where not exists (select 1 from tracks t where t.label = 'click' and t.chrom = o.chrom and t.s < o.e and o.s < t.e)),
 c as (select labels, min(struct_pack(chrom := chrom, s := s)) as f from k group by labels), i as (select labels, row_number() over (order by f.chrom, f.s) - 1 as locus from c)
 select i.locus, min(k.chrom) as chrom, min(k.s) as "start", max(k.e) as "end", count(*)::int as n_blocks, string_agg((k.e - k.s)::varchar, ',' order by k.s, k.e) as sizes from k join i using (labels) group by i.locus""", "loci", "tracks"))
 def region_assembly(spark, sf):
-    black = fx.tracks(spark, sf).where("event_id % 9 = 1").select("chrom", "start", "end")
+    black = fx.tracks(spark, sf).where("label = 'click'").select("chrom", "start", "end")
     r = nr.make_regions(overlay_tracks(spark, sf), black)
     return r.select("locus", "chrom", "start", "end", "n_blocks", F.concat_ws(",", F.col("block_sizes").cast("array<string>")).alias("sizes"))
 
@@ -263,14 +263,14 @@ def moving_average(spark, sf):
     return cl.moving_average(fx.loci(spark, sf), "p_size", ["locus"], 7, ["chrom"]).select("locus", "smoothed")
 
 
-@query("annotate_variants", fx.sql(", a as (select chrom, pos, max(weight) as top from snvs where filter = 'PASS' and sample % 5 = 0 group by 1, 2) select v.sample, v.chrom, v.pos, v.weight, a.top from snvs v left join a on a.chrom = v.chrom and a.pos = v.pos", "snvs"))
+@query("annotate_variants", fx.sql(", a as (select chrom, pos, max(weight) as top from snvs where filter = 'PASS' group by 1, 2) select v.sample, v.chrom, v.pos, v.weight, a.top from snvs v left join a on a.chrom = v.chrom and a.pos = v.pos", "snvs"))
 def annotate_variants(spark, sf):
-    a = points(spark, sf).where("sample % 5 = 0").groupBy("chrom", "pos").agg(F.max("weight").alias("top"))
+    a = points(spark, sf).groupBy("chrom", "pos").agg(F.max("weight").alias("top"))
     return cl.annotate(fx.snvs(spark, sf).select("sample", "chrom", "pos", "weight"), a).select("sample", "chrom", "pos", "weight", "top")
 
 
-@query("same_place_join", fx.sql("select a.sample as a, b.sample as b, a.chrom, a.pos, count(*) as n from snvs a join snvs b on a.chrom = b.chrom and a.pos = b.pos where a.sample % 20 = 3 and b.sample % 20 = 7 group by 1, 2, 3, 4", "snvs"))
+@query("same_place_join", fx.sql("select a.sample as a, b.sample as b, a.chrom, a.pos, count(*) as n from snvs a join snvs b on a.chrom = b.chrom and a.pos = b.pos where a.filter = 'PASS' and b.filter = 'LOWQ' group by 1, 2, 3, 4", "snvs"))
 def same_place_join(spark, sf):
-    s = fx.snvs(spark, sf).select("sample", "chrom", "pos")
-    a, b = s.where("sample % 20 = 3").withColumnRenamed("sample", "a"), s.where("sample % 20 = 7").withColumnRenamed("sample", "b")
+    s = fx.snvs(spark, sf).select("sample", "chrom", "pos", "filter")
+    a, b = s.where("filter = 'PASS'").select(F.col("sample").alias("a"), "chrom", "pos"), s.where("filter = 'LOWQ'").select(F.col("sample").alias("b"), "chrom", "pos")
     return a.join(b, ["chrom", "pos"]).groupBy("a", "b", "chrom", "pos").agg(F.count("*").alias("n"))

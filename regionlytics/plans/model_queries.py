@@ -1 +1,87 @@
-"""Queries that train, apply and simulate models."""
+"""Queries that train, apply and simulate models. Their results depend on sums in any order, so they have no SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..model import posterior, simulate, trainer
+from ..operators.corpora import Corpus, union
+from ..operators.scaling import FeatureTransform
+from . import fixture as fx
+from .interval_queries import query
+from .table_queries import corpus
+
+
+def both(spark, sf) -> Corpus:
+    return union([corpus(spark, sf, "c0"), corpus(spark, sf, "c1")])
+
+
+def features() -> FeatureTransform:
+    return FeatureTransform({"p_size": "standardize", "p_retailprice": "standardize"})
+
+
+def fitted(spark, sf, **options) -> tuple[trainer.Model, Corpus]:
+    c = both(spark, sf)
+    c.mutations, c.trinucs = c.mutations.select("corpus", "sample", "chrom", "pos", "locus", "context", "mutation", "weight"), c.trinucs
+    o = trainer.Options(k=3, epochs=2, eval_every=2, rounds=50, **options)
+    return trainer.train(c, features(), o), c
+
+
+@query("em_train")
+def em_train(spark, sf):
+    model, _ = fitted(spark, sf)
+    return trainer.signatures(model, spark)
+
+
+@query("em_train_gbt")
+def em_train_gbt(spark, sf):
+    model, _ = fitted(spark, sf, model_type="gbt", rate_options={"rounds": 2, "depth": 2})
+    return trainer.signatures(model, spark)
+
+
+@query("predict_gamma")
+def predict_gamma(spark, sf):
+    model, c = fitted(spark, sf)
+    return trainer.predict(model, c)
+
+
+@query("model_r2")
+def model_r2(spark, sf):
+    model, c = fitted(spark, sf)
+    return trainer.mutation_rate_r2(model, c)
+
+
+@query("gibbs_posterior")
+def gibbs_posterior(spark, sf):
+    model, c = fitted(spark, sf)
+    return posterior.assign(model, c, warm_up=20, sweeps=50)
+
+
+@query("explain_component")
+def explain_component(spark, sf):
+    model, c = fitted(spark, sf)
+    return posterior.explain(model, c, 0)
+
+
+@query("poisson_irls")
+def poisson_irls(spark, sf):
+    """Coefficients of the loci's mutation counts on size and price, one regression per corpus."""
+    from ..model.linear import LinearRate
+
+    m = fx.mutations(spark, sf).groupBy("locus").pivot("corpus", ["c0", "c1"]).agg(F.sum("weight")).na.fill(0.0)
+    x = F.array((F.col("p_size") / 50).cast("double"), (F.col("p_retailprice") / 2000).cast("double"), F.lit(1.0))
+    t = fx.loci(spark, sf).join(m, "locus", "left").na.fill(0.0, ["c0", "c1"]).select(x.alias("x"), F.array("c0", "c1").alias("target"), F.array("exposure", "exposure").alias("eta"))
+    beta = LinearRate(2, 3).fit(t).beta
+    return spark.createDataFrame([(f"c{k}", j, float(beta[k, j])) for k in range(2) for j in range(3)], "corpus string, feature int, beta double")
+
+
+@query("simulate_corpus")
+def simulate_corpus(spark, sf):
+    c, _ = simulate.simulate(spark, simulate.SimulationConfig(n_cells=20, n_loci=200, log_mean_mutations=4.0))
+    return c.mutations.groupBy("sample", "component").agg(F.count("*").alias("n"))
+
+
+@query("resample_corpus")
+def resample_corpus(spark, sf):
+    model, c = fitted(spark, sf)
+    return simulate.resample(model, c).mutations.groupBy("corpus", "sample").agg(F.count("*").alias("n"))

@@ -68,13 +68,13 @@ def context_roundtrip(spark, sf):
     return n.groupBy(sq.context_index(F.col("ctx")).cast("int").alias("context_id"), sq.alt_index(F.col("ctx"), F.col("alt")).cast("int").alias("mutation")).agg(F.count("*").alias("n"))
 
 
-@query("ref_base_check", "with s as (select doc_id as chrom, upper(regexp_replace(text, '[^ACGTacgt]', 'N', 'g')) as seq from documents where length(text) > 2), p as (select chrom, i.i as pos, substr(seq, i.i + 1, 1) as ref, seq from s, lateral (select unnest(range(1, length(seq) - 1, 97)) as i) i) select chrom, pos, ref, substr(seq, pos, 3) as context from p")
+@query("ref_base_check", "with s as (select doc_id as chrom, upper(regexp_replace(text, '[^ACGTacgt]', 'N', 'g')) as seq from documents where length(text) > 2), p as (select chrom, 1 + chrom % (length(seq) - 2) as pos, substr(seq, (2 + chrom % (length(seq) - 2))::int, 1) as ref, seq from s) select chrom, pos, ref, substr(seq, pos::int, 3) as context from p")
 def ref_base_check(spark, sf):
     from ..operators.clusters import reference_check, sequence_chunks
 
     s = fx.sequences(spark, sf).where("length(seq) > 2")
-    m = s.select("chrom", F.explode(F.sequence(F.lit(1), F.length("seq") - 2, F.lit(97))).alias("pos"), "seq")
-    m = m.select("chrom", F.col("pos").cast("long").alias("pos"), F.substring(F.col("seq"), (F.col("pos") + 1).cast("int"), F.lit(1)).alias("ref"))
+    m = s.select("chrom", (1 + F.col("chrom") % (F.length("seq") - 2)).alias("pos"), "seq")
+    m = m.select("chrom", "pos", F.substring(F.col("seq"), (F.col("pos") + 1).cast("int"), F.lit(1)).alias("ref"))
     return reference_check(m, sequence_chunks(s, 4096), 4096).select("chrom", "pos", "ref", "context")
 
 
@@ -263,9 +263,9 @@ def glm_targets(spark, sf):
     return rt.glm_targets(s).select("component", "locus", F.round("y", 6).alias("y"), F.round("w", 6).alias("w"))
 
 
-@query("sufficient_stats_grouping_sets", fx.sql(", p as (select sample % 3 as component, context, mutation, corpus, locus, weight as value from snvs where locus % 10 = 0) select component, context, mutation, corpus, locus, grouping(component, context, mutation, corpus, locus)::bigint as level, sum(value) as value from p group by grouping sets ((component, context, mutation), (component, context), (component, corpus, locus))", "snvs"))
+@query("sufficient_stats_grouping_sets", fx.sql(", p as (select sample % 3 as component, context, mutation, corpus, locus, weight as value from snvs) select component, context, mutation, corpus, locus, grouping(component, context, mutation, corpus, locus)::bigint as level, sum(value) as value from p group by grouping sets ((component, context, mutation), (component, context), (component, corpus, locus))", "snvs"))
 def sufficient_stats_grouping_sets(spark, sf):
-    phi = fx.mutations(spark, sf).where("locus % 10 = 0").select((F.col("sample") % 3).alias("component"), "context", "mutation", "corpus", "locus", F.col("weight").alias("value"))
+    phi = fx.mutations(spark, sf).select((F.col("sample") % 3).alias("component"), "context", "mutation", "corpus", "locus", F.col("weight").alias("value"))
     return rt.sufficient_stats(phi)
 
 
@@ -319,19 +319,25 @@ def top_component(spark, sf):
     return co.top_component(shares(spark, sf)).select("corpus", "sample", "component", F.round("share", 6).alias("share"))
 
 
+CENTRES = "with u as (select label, vec_id % 2 as half, unnest(embedding::double[]) as v, generate_subscripts(embedding, 1) as i from embeddings), m as (select label, half, i, avg(v) as v from u group by 1, 2, 3), c as (select label, half, list(v order by i) as vector from m group by 1, 2)"
+
+
 def vectors(spark, sf):
-    e = fx.read(spark, sf, "embeddings")
-    return e.where("vec_id % 50 = 0").selectExpr("vec_id AS truth_id", "embedding AS vector"), e.where("vec_id % 50 = 7").selectExpr("vec_id AS found_id", "embedding AS vector")
+    """The labels' mean vectors over even ids, and over odd ones."""
+    e = fx.read(spark, sf, "embeddings").select("label", (F.col("vec_id") % 2).alias("half"), F.posexplode("embedding").alias("i", "v"))
+    m = e.groupBy("label", "half", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    c = m.groupBy("label", "half").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vector"))
+    return c.where("half = 0").selectExpr("label AS truth_id", "vector"), c.where("half = 1").selectExpr("label AS found_id", "vector")
 
 
-@query("cosine_best_match", "select t.vec_id as truth_id, round(max(list_cosine_similarity(t.embedding::double[], f.embedding::double[])), 6) as best from embeddings t, embeddings f where t.vec_id % 50 = 0 and f.vec_id % 50 = 7 group by t.vec_id")
+@query("cosine_best_match", CENTRES + " select t.label as truth_id, round(max(list_cosine_similarity(t.vector, f.vector)), 6) as best from c t, c f where t.half = 0 and f.half = 1 group by t.label")
 def cosine_best_match(spark, sf):
     return rt.best_matches(*vectors(spark, sf)).withColumn("best", F.round("best", 6))
 
 
-@query("l1_best_match", "select t.vec_id as truth_id, round(min(list_sum(list_transform(list_zip(t.embedding::double[], f.embedding::double[]), lambda x: abs(x[1] - x[2])))), 5) as best from embeddings t, embeddings f where t.vec_id % 50 = 0 and f.vec_id % 50 = 7 group by t.vec_id")
+@query("l1_best_match", CENTRES + " select t.label as truth_id, round(min(list_sum(list_transform(list_zip(t.vector, f.vector), lambda x: abs(x[1] - x[2])))), 6) as best from c t, c f where t.half = 0 and f.half = 1 group by t.label")
 def l1_best_match(spark, sf):
-    return rt.best_matches(*vectors(spark, sf), measure="l1").withColumn("best", F.round("best", 5))
+    return rt.best_matches(*vectors(spark, sf), measure="l1").withColumn("best", F.round("best", 6))
 
 
 TRIALS = "trials as (select p_partkey as trial, case when p_size % 9 = 0 then 'failed' else 'complete' end as state, p_retailprice as value from part)"
@@ -348,8 +354,9 @@ def best_trial(spark, sf):
     return best(trials(spark, sf)).select("trial", "value")
 
 
-@query("no_improvement_stop", f"with {TRIALS}, b as (select trial, min(value) over (order by trial rows between unbounded preceding and 5 preceding) as early, min(value) over (order by trial rows between 4 preceding and current row) as late from trials where trial < 100) select trial, coalesce(late >= early, false) as stop from b")
+@query("no_improvement_stop", f"with {TRIALS.replace('p_retailprice as value', 'p_retailprice as value, p_brand as study')}, b as (select study, trial, min(value) over (partition by study order by trial rows between unbounded preceding and 5 preceding) as early, min(value) over (partition by study order by trial rows between 4 preceding and current row) as late from trials) select study, trial, coalesce(late >= early, false) as stop from b")
 def no_improvement_stop(spark, sf):
     from ..model.tuning import stalled
 
-    return stalled(trials(spark, sf).where("trial < 100"), "trial", "value", 5)
+    history = fx.read(spark, sf, "part").selectExpr("p_brand AS study", "p_partkey AS trial", "p_retailprice AS value")
+    return stalled(history, "trial", "value", 5, ["study"])
