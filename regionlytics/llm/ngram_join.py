@@ -15,46 +15,120 @@ copies costs thousands of pairs, not their square, and no link between component
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, small_or_shuffled
 
-SKETCH_BITS = 18
-#: Words whose hashes a worker remembers.
-REMEMBER = 400_000
-ROWS = 512
-
-
-class WordHash(dict):
-    """Word to 64-bit hash, remembered."""
+#: Counters of the frequency sketch: 16 MB at any input.
+SKETCH_BITS = 22
+ROWS = 256
+#: Bytes that are hashed at once; longer texts go in pieces cut at blanks.
+PIECE = 1 << 20
+
+# A word's hash is a sum of a random number per byte times powers of an odd base, modulo 2**64. Sums
+# over all prefixes of a buffer give any word's by a difference and a multiplication.
+_BASE = 0x9E3779B97F4A7C15
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+_VALUE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+_VALUE[65:91] = _VALUE[97:123]  # A-Z count as a-z
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base, and of its inverse, up to n."""
+    if not _powers or len(_powers[0]) <= n:
+        size = max(n, PIECE) + 2
+        tables = []
+        for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+            t = np.full(size, x, np.uint64)
+            t[0] = 1
+            tables.append(np.cumprod(t, dtype=np.uint64))
+        if size > 4 * PIECE:  # one huge word: not kept
+            return tables[0], tables[1]
+        _powers[:] = tables
+    return _powers[0], _powers[1]
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of data and where they start."""
+    codes = np.frombuffer(data, np.uint8)
+    blank = np.r_[True, _BLANK[codes], True]
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    power, inverse = _power_tables(len(codes))
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_VALUE[codes] * power[: len(codes)], dtype=np.uint64, out=total[1:])
+    h = (total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
+    return h ^ (h >> np.uint64(32)), starts
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """text in parts of about PIECE bytes that end at blanks."""
+    at = 0
+    while len(text) - at > PIECE:
+        end = at + PIECE
+        while end < len(text) and not _BLANK[text[end]]:
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def _shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words with hashes h."""
+    n = len(h) - k + 1
+    acc = np.full(n, k, np.uint64)
+    for j in range(k):
+        acc *= np.uint64(0xD6E8FEB86659FD93)
+        acc += h[j : n + j]
+        acc ^= acc >> np.uint64(29)
+    acc *= np.uint64(0xBF58476D1CE4E5B9)
+    return acc ^ (acc >> np.uint64(32))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBER:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
 
+def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its shingles of width words; of all its words if they are fewer.
 
-def shingle_set(text: bytes | None, width: int, words: WordHash) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of text's shingles of width words; of all its words if they are fewer."""
-    split = (text or b"").lower().split()  # on bytes, this lowers A-Z and splits on 0x20 and 0x09-0x0D
-    n = len(split)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, split), np.uint64, n)
-    k = min(n, width)
-    acc = np.full(n - k + 1, k, np.uint64)
-    for j in range(k):
-        acc = acc * np.uint64(0x9E3779B97F4A7C15) + h[j : n - k + 1 + j]
-        acc ^= acc >> np.uint64(29)
-    acc = acc * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(acc ^ (acc >> np.uint64(32)))
+    Words are what 0x20 and 0x09-0x0D separate, with A-Z lowered.
+    """
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+
+    def flush() -> None:
+        h, starts = _word_hashes(b" ".join(held))
+        ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in held])).tolist()
+        acc = _shingles(h, width) if len(h) >= width else h[:0]
+        at = 0
+        for end in ends:
+            n = end - at
+            out.append(np.unique(acc[at : end - width + 1] if n >= width else _shingles(h[at:end], n) if n else h[:0]))
+            at = end
+        held.clear()
+
+    size = 0
+    for t in texts:
+        t = t or b""
+        if len(t) > PIECE:
+            if held:
+                flush()
+            h = np.concatenate([_word_hashes(x)[0] for x in _pieces(t)])
+            out.append(np.unique(_shingles(h, min(width, len(h))) if len(h) else h))
+            size = 0
+            continue
+        if size + len(t) > PIECE and held:
+            flush()
+            size = 0
+        held.append(t)
+        size += len(t) + 1
+    if held:
+        flush()
+    return out
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes | None]]]:
@@ -65,35 +139,58 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes
 
 
 def frequency_sketch(texts: DataFrame, width: int) -> np.ndarray:
-    """Shingle counts of all texts (id, text binary) by the leading bits of the shingle's hash."""
+    """Shingle counts of all texts (id, text binary) by the leading bits of the shingle's hash.
+
+    A task sends its counters once, in compressed chunks; chunks are added up as they stream in.
+    """
+    size, chunk = 1 << SKETCH_BITS, 1 << (SKETCH_BITS - 6)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n = WordHash(), np.zeros(1 << SKETCH_BITS, np.int64)
+        n, held, waiting = np.zeros(size, np.uint32), [], 0
+
+        def add() -> None:
+            buckets = (np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+            np.add(n, np.bincount(buckets, minlength=size).astype(np.uint32), out=n)
+            held.clear()
+
         for _, part in _texts(batches):
-            sets = [shingle_set(t, width, words) for t in part]
-            if sets:
-                n += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(n))
-        at = np.flatnonzero(n)
-        for i in range(0, len(at), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 65536]), pa.array(n[at[i : i + 65536]])], names=["bucket", "n"])
-
-    rows = texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return out
+            held += shingle_sets(part, width)
+            waiting += sum(map(len, held[-len(part) :]))
+            if waiting > size // 2:
+                add()
+                waiting = 0
+        if held:
+            add()
+        parts = [(i, n[i * chunk : (i + 1) * chunk]) for i in range(64)]
+        parts = [(i, zlib.compress(x.tobytes(), 1)) for i, x in parts if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["chunk", "counts"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(zlib.decompress(data), np.uint32).astype(np.int64)
+        keys = sorted(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([zlib.compress(sums[i].tobytes(), 1) for i in keys], pa.binary())], names=["chunk", "counts"])
+
+    schema = "chunk int, counts binary"
+    out = np.zeros(size, np.int64)
+    for r in texts.mapInArrow(count, schema).repartition(16, "chunk").mapInArrow(merge, schema).collect():
+        out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    # only the order matters: counts beyond four bytes are alike
+    return np.minimum(out, 2**32 - 1).astype(np.uint32)
 
 
 def _prefixes(texts: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
     sketch = texts.sparkSession.sparkContext.broadcast(frequency_sketch(texts, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, frequency = WordHash(), sketch.value
+        frequency = sketch.value
         digest = lambda a: hashlib.blake2b(a.tobytes(), digest_size=16).digest()
         for ids, part in _texts(batches):
             n, sets, groups, prefixes = [], [], [], []
-            for t in part:
-                s = shingle_set(t, width, words)
-                order = np.lexsort((s, frequency[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
+            for s in shingle_sets(part, width):
+                order = np.argsort(frequency[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                 first = s[order[: len(s) - (percent * len(s) + 99) // 100 + 1]] if len(s) else s
                 n.append(len(s))
                 sets.append(digest(s))
@@ -110,9 +207,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, kind
     """The pairs (a, b) whose whole shingle sets are similar enough. Only texts of those pairs are shingled again."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
         for ids, part in _texts(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([shingle_set(t, width, words).tobytes() for t in part], pa.binary())], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in shingle_sets(part, width)], pa.binary())], names=["id", "shingles"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +220,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, kind
     needed = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     # a repeated id has the sets of all its texts
     known = texts.join(small_or_shuffled(needed), "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles binary").groupBy("id").agg(F.collect_set("shingles").alias("sets"))
-    known = cut(known)
     both = pairs.join(known.select(F.col("id").alias("b"), F.col("sets").alias("sets_b")), "b").join(known.select(F.col("id").alias("a"), F.col("sets").alias("sets_a")), "a")
     return both.select("a", "b", "sets_a", "sets_b").mapInArrow(similar, f"a {kind}, b {kind}")
 
@@ -152,16 +247,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = classes.groupBy("gkey").agg(F.min("node").alias("g"))
     members = cut(classes.join(groups, "gkey").select("g", "node", "n"))
     leads = full.join(groups, (full["id"] == groups["g"]) & (full["gkey"] == groups["gkey"])).select("g", "n", "prefix").dropDuplicates(["g", "n"])
-    postings = cut(leads).select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("c"), F.min("g").alias("lead")).where("c > 1").drop("c")
-    postings = cut(postings.join(shared, "token"))
+    postings = leads.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = cut(postings.groupBy("token").agg(F.min("g").alias("lead"), F.max("g").alias("top")).where("lead <> top").select("token"))
+    postings = cut(postings.join(small_or_shuffled(shared), "token"))
     similar_size = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
+    def can_reach(n_x, pos_x, n_y, pos_y):
+        """Whether enough is left behind a common shingle at these places of both orders for the sets to be similar."""
+        return F.least(n_x - pos_x, n_y - pos_y) >= F.ceil(F.lit(percent) * (n_x + n_y) / (100 + percent))
+
     # 1. stars
-    sizes = members.where("g = node").select(F.col("g").alias("a"), F.col("n").alias("n_a"))
-    stars = postings.where("g <> lead").select(F.col("lead").alias("a"), F.col("g").alias("b"), "n").distinct()
-    stars = stars.join(sizes, "a").where(similar_size(F.col("n"), F.col("n_a"))).select("a", "b")
-    stars = cut(stars.unionByName(members.where("g <> node").select(F.col("g").alias("a"), F.col("node").alias("b"))).distinct())
+    lead = postings.groupBy("token").agg(F.min("g").alias("a"), F.min_by("n", "g").alias("n_a"), F.min_by("pos", "g").alias("pos_a"))
+    stars = postings.join(lead, "token").where("g <> a").where(similar_size(F.col("n"), F.col("n_a")) & can_reach(F.col("n"), F.col("pos"), F.col("n_a"), F.col("pos_a")))
+    stars = stars.select("a", F.col("g").alias("b")).unionByName(members.where("g <> node").select(F.col("g").alias("a"), F.col("node").alias("b")))
+    stars = cut(stars.distinct())
     links = cut(_verified(stars, texts, width, percent, kind))
     found = connected_components(links)
 
@@ -173,14 +272,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_token = tokens.select("token", "g", "pos").join(open_tokens, "token").join(placed, "g").select(F.lit(0).alias("k"), "token", "node", "n", "pos", "comp")
     by_group = placed.join(spread.where("lo <> hi").select("g"), "g").select(F.lit(1).alias("k"), F.xxhash64("g").alias("token"), "node", "n", F.lit(0).alias("pos"), "comp")
     rest = cut(by_token.unionByName(by_group))
-    parts = cut(rest.groupBy("k", "token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
-    left, right = parts.toDF("k", "token", "comp_a", "lo_a", "hi_a"), parts.toDF("k", "token", "comp_b", "lo_b", "hi_b")
-    meet = left.join(right, ["k", "token"]).where((F.col("comp_a") < F.col("comp_b")) & (100 * F.col("hi_a") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo_a")))
+    parts = cut(rest.groupBy("k", "token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("left")))
+    left, right = parts.toDF("k", "token", "comp_a", "lo_a", "hi_a", "left_a"), parts.toDF("k", "token", "comp_b", "lo_b", "hi_b", "left_b")
+    may_link = (100 * F.col("hi_a") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo_a"))
+    may_link = may_link & (F.least("left_a", "left_b") >= F.ceil(F.lit(percent) * (F.col("lo_a") + F.col("lo_b")) / (100 + percent)))
+    meet = left.join(right, ["k", "token"]).where((F.col("comp_a") < F.col("comp_b")) & may_link)
     one, two = rest.toDF("k", "token", "x", "n_x", "pos_x", "comp_a"), rest.toDF("k", "token", "y", "n_y", "pos_y", "comp_b")
-    need = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / (100 + percent))
-    reach = 1 + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) - 1
-    cross = meet.select("k", "token", "comp_a", "comp_b").join(one, ["k", "token", "comp_a"]).join(two, ["k", "token", "comp_b"])
-    cross = cross.where(similar_size(F.col("n_x"), F.col("n_y")) & (reach >= need)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # members of a large component meet only the components that their own size and place allow
+    fits = (100 * F.col("n_x") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("n_x"))
+    fits = fits & (F.least(F.col("n_x") - F.col("pos_x"), "left_b") >= F.ceil(F.lit(percent) * (F.col("n_x") + F.col("lo_b")) / (100 + percent)))
+    cross = meet.select("k", "token", "comp_a", "comp_b", "lo_b", "hi_b", "left_b").join(one, ["k", "token", "comp_a"]).where(fits).join(two, ["k", "token", "comp_b"])
+    cross = cross.where(similar_size(F.col("n_x"), F.col("n_y")) & can_reach(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     cross = cut(cross.join(stars, ["a", "b"], "left_anti"))
     if not cross.isEmpty():
         more = cut(_verified(cross, texts, width, percent, kind))
