@@ -19,6 +19,8 @@ from .common import connected_components, cut, small_or_shuffled
 
 #: The fixed number of lines, entries or documents whose keys are broadcast; beyond, keys are shuffled.
 FEW = 1_000_000
+#: Characters whose counts tell lines apart before their texts are compared.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def _let(value: Column, body) -> Column:
@@ -88,23 +90,48 @@ def within(a: Column, b: Column, most: int) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= most) & ((a == b) | apart)
 
 
-def entries(line: Column, n: Column, most: int) -> Column:
-    """array<struct<token, own>>: a line's index entries (own 1) and probes (own 0)."""
+def windows(most: int) -> Column:
+    """array<struct<delta, i, shift>>: where probes look, as a constant.
+
+    For the segments of lines shorter by delta, segment i may have moved by shift: at most i edits lie
+    to its left and most - i to its right. With delta and shift zero it is the line's own segment.
+    """
     out = []
     for delta in range(most + 1):
-        size = n - delta
-        base = F.floor(size / (most + 1)).cast("int")
-        longer = (size - base * (most + 1)).cast("int")  # this many of the last segments have one character more
         for i in range(most + 1):
-            start = base * i + F.greatest(F.lit(i - (most + 1)) + longer, F.lit(0))
-            length = base + (F.lit(i) >= F.lit(most + 1) - longer).cast("int")
-            lo, hi = max(-i, delta - (most - i)), min(i, delta + (most - i))
-            for shift in range(lo, hi + 1):
-                at = start + shift
-                fits = (at >= 0) & (at + length <= n) & (length > 0)
-                token = F.when(fits, F.xxhash64(size, F.lit(i), F.substring(line, at + 1, length)))
-                out.append(F.struct(token.alias("token"), F.lit(int(delta == 0 and shift == 0)).alias("own")))
-    return F.filter(F.array(*out), lambda x: x["token"].isNotNull())
+            for shift in range(max(-i, delta - (most - i)), min(i, delta + (most - i)) + 1):
+                out.append(F.struct(F.lit(delta).alias("delta"), F.lit(i).alias("i"), F.lit(shift).alias("shift")))
+    return F.array(*out)
+
+
+def entries(lines: DataFrame, most: int) -> DataFrame:
+    """(h1, token, own) from (h1, line, n): index entries (own 1) and probes (own 0).
+
+    The windows are exploded first and each row computes one token, which keeps the generated code
+    small enough to be compiled.
+    """
+    e = lines.select("h1", "line", "n", F.explode(windows(most)).alias("w")).select("h1", "line", "n", "w.*")
+    e = e.withColumn("size", F.col("n") - F.col("delta"))
+    e = e.withColumns({"base": F.expr(f"CAST(size DIV {most + 1} AS INT)"), "longer": F.expr(f"CAST(size % {most + 1} AS INT)")})
+    # the last ``longer`` segments have one character more
+    plus = F.col("i") - (most + 1) + F.col("longer")
+    e = e.withColumns({"at": F.col("base") * F.col("i") + F.greatest(plus, F.lit(0)) + F.col("shift"), "length": F.col("base") + (plus >= 0).cast("int")})
+    e = e.where("at >= 0 AND length > 0 AND at + length <= n")
+    token = F.xxhash64("size", "i", F.substring(F.col("line"), F.col("at") + 1, F.col("length")))
+    return e.select("h1", token.alias("token"), ((F.col("delta") == 0) & (F.col("shift") == 0)).cast("int").alias("own"))
+
+
+def letter_counts(line: Column) -> list[Column]:
+    """How often each of LETTERS occurs: an edit changes two of these counts by one at most."""
+    return [(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).alias(f"c_{c}") for c in LETTERS]
+
+
+def counts_allow(x: str, y: str, most: int, lo: str = "", hi: str = "") -> Column:
+    """Whether the letter counts of lines x and y, or of some lines between lo and hi of both, allow ``most`` edits."""
+    gap = F.lit(0)
+    for c in LETTERS:
+        gap = gap + F.greatest(F.col(f"{lo}c_{c}{x}") - F.col(f"{hi}c_{c}{y}"), F.col(f"{lo}c_{c}{y}") - F.col(f"{hi}c_{c}{x}"), F.lit(0))
+    return gap <= 2 * most
 
 
 def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2, min_chars: int = 20) -> DataFrame:
@@ -127,7 +154,7 @@ def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     # entries that different lines share, of which one is in the index
     long = raw.where(F.col("n") >= min_chars)
-    entry = long.select("h1", F.explode(entries(F.col("line"), F.col("n"), max_edits)).alias("e")).select("h1", "e.token", "e.own")
+    entry = entries(long, max_edits)
     shared = entry.groupBy("token").agg(F.min("h1").alias("lead"), F.max("h1").alias("top"), F.max("own").alias("own")).where("lead <> top AND own = 1")
     shared = cut(shared.select("token", "lead"))
     postings = cut(entry.select("h1", "token").join(small_or_shuffled(shared, FEW), "token").select("token", "lead", F.col("h1").alias("node")).distinct())
@@ -136,7 +163,9 @@ def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # 64-bit keys find candidates; a key of several lines stands for all of them until their texts are compared
     wanted = long.select("h1", second.alias("h2"), "line", "n").join(small_or_shuffled(needed, FEW), "h1", "left_semi")
     wanted = cut(wanted.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min("n").alias("n")))
-    sizes = wanted.select("h1", "n").distinct()
+    counts = [f"c_{c}" for c in LETTERS]
+    traits = cut(wanted.select("h1", "n", *letter_counts(F.col("line"))))
+    suffixed = lambda df, x: df.toDF(*[f"{c}{x}" for c in df.columns])
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links (a, b) between lines, as strings of both hashes, from pairs (a, b) of keys; lines of one key are compared too."""
@@ -148,9 +177,10 @@ def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return met.where(close).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
 
     def near(pairs: DataFrame) -> DataFrame:
-        """Only pairs of keys whose lines' lengths allow a link."""
-        s = sizes.toDF("a", "n_a"), sizes.toDF("b", "n_b")
-        return pairs.join(s[0], "a").join(s[1], "b").where(F.abs(F.col("n_a") - F.col("n_b")) <= max_edits).select("a", "b").distinct()
+        """Only pairs of keys whose lines' lengths and letters allow a link."""
+        x, y = suffixed(traits, "_a").withColumnRenamed("h1_a", "a"), suffixed(traits, "_b").withColumnRenamed("h1_b", "b")
+        close = (F.abs(F.col("n_a") - F.col("n_b")) <= max_edits) & counts_allow("_a", "_b", max_edits)
+        return pairs.join(x, "a").join(y, "b").where(close).select("a", "b").distinct()
 
     several_lines = cut(wanted.groupBy("h1").count().where("count > 1").select("h1"))
     same_key = several_lines.select(F.col("h1").alias("a"), F.col("h1").alias("b"))
@@ -162,12 +192,16 @@ def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     comp = found.select(F.split("node", ":")[0].cast("long").alias("node"), F.col("component").alias("comp")).join(several_lines.withColumnRenamed("h1", "node"), "node", "left_anti")
     placed = postings.join(comp, "node", "left").select("token", "node", F.coalesce("comp", F.col("node").cast("string")).alias("comp"))
     open_tokens = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    rest = cut(placed.join(open_tokens, "token").join(sizes.withColumnRenamed("h1", "node"), "node").select("token", "node", "comp", "n"))
-    parts = cut(rest.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
-    left, right = parts.toDF("token", "comp_a", "lo_a", "hi_a"), parts.toDF("token", "comp_b", "lo_b", "hi_b")
-    meet = left.join(right, "token").where((F.col("comp_a") < F.col("comp_b")) & (F.col("lo_a") - F.col("hi_b") <= max_edits) & (F.col("lo_b") - F.col("hi_a") <= max_edits)).select("token", "comp_a", "comp_b")
-    one, two = rest.toDF("token", "x", "comp_a", "n_x"), rest.toDF("token", "y", "comp_b", "n_y")
-    cross = meet.join(one, ["token", "comp_a"]).join(two, ["token", "comp_b"]).where((F.abs(F.col("n_x") - F.col("n_y")) <= max_edits) & (F.col("x") != F.col("y")))
+    rest = cut(placed.join(open_tokens, "token").join(traits.withColumnRenamed("h1", "node"), "node").select("token", "node", "comp", "n", *counts))
+    spans = [f(c).alias(f"{name}{c}") for c in ["n", *counts] for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    parts = cut(rest.groupBy("token", "comp").agg(*spans))
+    left, right = suffixed(parts, "_a").withColumnRenamed("token_a", "token"), suffixed(parts, "_b").withColumnRenamed("token_b", "token")
+    may_link = (F.col("lon_a") - F.col("hin_b") <= max_edits) & (F.col("lon_b") - F.col("hin_a") <= max_edits) & counts_allow("_a", "_b", max_edits, "lo", "hi")
+    meet = left.join(right, "token").where((F.col("comp_a") < F.col("comp_b")) & may_link).select("token", "comp_a", "comp_b")
+    one = suffixed(rest, "_a").withColumnsRenamed({"token_a": "token", "node_a": "x"})
+    two = suffixed(rest, "_b").withColumnsRenamed({"token_b": "token", "node_b": "y"})
+    cross = meet.join(one, ["token", "comp_a"]).join(two, ["token", "comp_b"])
+    cross = cross.where((F.abs(F.col("n_a") - F.col("n_b")) <= max_edits) & counts_allow("_a", "_b", max_edits) & (F.col("x") != F.col("y")))
     cross = cut(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
     if not cross.isEmpty():
         more = cut(verified(cross))
