@@ -2,7 +2,7 @@
 
 The patterns give the base spans. What they don't cover is cut into long runs of key characters;
 a run whose log-likelihood ratio per character - random string over ordinary identifier, two Markov
-models of order two - reaches a calibrated threshold is a span of kind ``random``. The models are
+models of order two - exceeds a calibrated threshold is a span of kind ``random``. The models are
 trained from labelled samples: a bounded sample of documents gives identifiers (its ordinary words)
 and secrets (values that the patterns found), a seeded generator gives random strings.
 """
@@ -54,14 +54,18 @@ def _free(spans: list[Span], start: int, end: int) -> bool:
 
 
 class Markov:
-    """Order-two character model with add-one-half smoothing over the key alphabet."""
-
-    def __init__(self, strings: list[str]):
-        n = np.full((SYMBOLS,) * 3, 0.5)
-        for s in strings:
-            c = encoded(s)
-            np.add.at(n, (c[:-2], c[1:-1], c[2:]), 1)
-        self.log = np.log(n / n.sum(axis=2, keepdims=True))
+    """Character model of contexts of two, one and no characters, each estimate resting on the next shorter one's."""
+
+    def __init__(self, strings: list[str], strength: float = 4.0):
+        n = np.zeros((SYMBOLS,) * 3)
+        codes = [encoded(s) for s in strings]
+        for at in range(0, len(codes), 4096):
+            part = codes[at : at + 4096]
+            np.add.at(n, tuple(np.concatenate([c[i : len(c) - 2 + i] for c in part]) for i in range(3)), 1)
+        p = np.full(SYMBOLS, 1 / SYMBOLS)
+        for counts in (n.sum(axis=(0, 1)), n.sum(axis=0), n):
+            p = (counts + strength * p) / (counts.sum(axis=-1, keepdims=True) + strength)
+        self.log = np.log(p)
 
     def loglik(self, c: np.ndarray) -> float:
         return float(self.log[c[:-2], c[1:-1], c[2:]].sum())
@@ -79,6 +83,17 @@ def random_strings(n: int, seed: int = 7) -> list[str]:
     return ["".join(r.choices(kinds[i % len(kinds)], k=r.randint(20, 64))) for i in range(n)]
 
 
+def identifiers(words: list[str], n: int, seed: int = 17) -> list[str]:
+    """Seeded identifiers of two to four of words, joined as programs do, some with a number."""
+    r = random.Random(seed)
+    out = []
+    for _ in range(n if words else 0):
+        parts, sep = r.choices(words, k=r.randint(2, 4)), r.choice(("_", "-", "/", ""))
+        parts = [p.capitalize() for p in parts] if not sep else parts
+        out.append(sep.join(parts + [str(r.randint(0, 999))] * (r.random() < 0.2)))
+    return out
+
+
 class Detector:
     """Both models and the threshold between them, from labelled strings."""
 
@@ -124,6 +139,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> Dete
 
     got = rows.mapInPandas(pick, "s string, secret boolean").distinct().collect() if ids else []
     ordinary = sorted(r["s"] for r in got if not r["secret"])
+    ordinary += identifiers(ordinary, 2000)
     random.Random(11).shuffle(ordinary)
     secrets = sorted(r["s"] for r in got if r["secret"]) + random_strings(2000)
     random.Random(13).shuffle(secrets)
