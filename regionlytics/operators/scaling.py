@@ -158,3 +158,9 @@ def quantile_rank(x: Column, grid: list[float]) -> Column:
 def corpus_dummies(df: DataFrame, corpora: list[str]) -> list[Column]:
     """One indicator per corpus, none dropped."""
     return [(F.col("corpus") == c).cast("double").alias(f"corpus={c}") for c in corpora]
+
+
+def second_degree(df: DataFrame, features: list[str], *keep: str) -> DataFrame:
+    """keep, the features, and all their squares and products."""
+    products = [(F.col(f"`{a}`") * F.col(f"`{b}`")).alias(f"{a}*{b}") for i, a in enumerate(features) for b in features[i:]]
+    return df.select(*keep, *[F.col(f"`{f}`") for f in features], *products)

@@ -274,3 +274,10 @@ def same_place_join(spark, sf):
     s = fx.snvs(spark, sf).select("sample", "chrom", "pos", "filter")
     a, b = s.where("filter = 'PASS'").select(F.col("sample").alias("a"), "chrom", "pos"), s.where("filter = 'LOWQ'").select(F.col("sample").alias("b"), "chrom", "pos")
     return a.join(b, ["chrom", "pos"]).groupBy("a", "b", "chrom", "pos").agg(F.count("*").alias("n"))
+
+
+@query("event_sessions", "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hour then 0 else 1 end as f from events), i as (select user_id, ts, sum(f) over (partition by user_id order by ts rows unbounded preceding) as i from g) select user_id, min(ts) as \"start\", count(*) as n from i group by user_id, i.i")
+def event_sessions(spark, sf):
+    from ..streaming.online import sessions
+
+    return sessions(fx.read(spark, sf, "events").select("user_id", "ts"), ["user_id"], "ts", gap="6 hours").select("user_id", "start", "n")
