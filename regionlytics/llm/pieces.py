@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +21,15 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NEVER = np.iinfo(np.int32).max
-#: Words that a worker remembers; about 150 MB.
-REMEMBER = 600_000
+#: Words that a worker remembers; about 60 MB.
+REMEMBER = 300_000
 ROWS = 128
 
 
 class PieceModel:
-    """The tables of a BPE model file: pieces, byte pieces, pair ranks."""
+    """The tables of a BPE model file: pieces and byte pieces, and with ``pairs`` the ranks of pairs, which encoding needs."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pairs: bool = True):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -44,10 +43,16 @@ class PieceModel:
             self.byte_id[b] = i
         if sp.normalize("Ａ ² ") != f"{SPACE}Ａ{SPACE}²{SPACE}" or (sp.encode("͸") and not self.byte_of):
             raise ValueError("only models with identity normalisation, a dummy prefix and byte fallback are handled")
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if sp.is_control(i) else " ⁇ ".encode() if i == self.unknown else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        if pairs:
+            self._rank_pairs(special, np.array([sp.get_score(i) for i in range(n)]))
+
+    def _rank_pairs(self, special: set[int], score: np.ndarray) -> None:
+        n = len(self.pieces)
+        self.kind = np.dtype("<u2" if n < 1 << 16 else "<u4")
         normal = {p: i for i, p in enumerate(self.pieces) if i not in special and i not in self.byte_of}
         if any(SPACE in p.lstrip(SPACE) for p in normal):
             raise ValueError("pieces that span words are not handled")
-        score = np.array([sp.get_score(i) for i in range(n)])
         levels = {s: r for r, s in enumerate(sorted({score[i] for i in normal.values()}, reverse=True))}
         self.rank = np.full(n, NEVER, np.int32)
         for i in normal.values():
@@ -57,7 +62,7 @@ class PieceModel:
         for p in normal:
             for c in p:
                 symbols.setdefault(c, n + len(symbols))
-        self.char = np.full(0x110000, -1, np.int64)
+        self.char = np.full(0x110000, -1, np.int32)
         for s, i in symbols.items():
             if len(s) == 1:
                 self.char[ord(s)] = i
@@ -74,10 +79,10 @@ class PieceModel:
                 pairs[a * self.width + b] = i
                 # merging on with a or b could come before their other occurrences
                 tied.update(x for x in (a, b) if x < n and self.rank[i] <= self.rank[x])
-        # Open addressing with linear probing: key and merged piece by slot, at most an eighth full.
+        # Open addressing with linear probing: key and merged piece by slot, at most a quarter full.
         keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
-        self.bits = max(8, int(len(keys) * 8).bit_length())
-        self.keys, self.merged = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        self.bits = max(8, int(len(keys) * 4).bit_length())
+        self.keys, self.merged = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
         value, at = np.fromiter(pairs.values(), np.int64, len(pairs)), self._slot(keys)
         while len(keys):
             free = self.keys[at] < 0
@@ -87,7 +92,6 @@ class PieceModel:
             keys, value, at = keys[~placed], value[~placed], (at[~placed] + 1) & ((1 << self.bits) - 1)
         self.single = np.zeros(n, bool)  # of these, one occurrence is merged at a time
         self.single[list(tied)] = True
-        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if sp.is_control(i) else " ⁇ ".encode() if i == self.unknown else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -106,12 +110,12 @@ class PieceModel:
             todo, key, at = todo[on], key[on], (at[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each escaped word."""
-        out: list[tuple[int, ...]] = [()] * len(words)
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each escaped word, as the bytes of whole numbers of ``kind``."""
+        out = [b""] * len(words)
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        sym = self.char[code]
+        sym = self.char[code].astype(np.int64)
         sym = np.where(sym < 0, -1 - code, sym)
         pair = np.full(len(sym), -1, np.int64)  # the piece that a symbol makes with the next one of its word
         inner = np.flatnonzero(word[1:] == word[:-1])
@@ -157,16 +161,22 @@ class PieceModel:
             pair[look[same]] = self._pairs(sym[look[same]], sym[after[same]])
         return out
 
-    def _emit(self, out: list[tuple[int, ...]], sym: np.ndarray, words: list[int], ends: np.ndarray) -> None:
+    def _emit(self, out: list[bytes], sym: np.ndarray, words: list[int], ends: np.ndarray) -> None:
         """Puts finished words' ids into out; characters without a piece become bytes here."""
-        flat = sym.tolist()
         plain = (sym >= 0) & (sym < len(self.pieces))
-        odd = np.add.reduceat(~plain, ends[:-1]).tolist()
-        for w, a, z, bytes_in in zip(words, ends[:-1].tolist(), ends[1:].tolist(), odd, strict=True):
-            ids = flat[a:z]
-            if bytes_in:
-                ids = list(chain.from_iterable([i] if 0 <= i < len(self.pieces) else self._bytes(i) for i in ids))
-            out[w] = tuple(ids)
+        if not plain.all():
+            size = np.ones(len(sym), np.int64)
+            odd = [self._bytes(i) for i in sym[~plain].tolist()]
+            size[~plain] = [len(x) for x in odd]
+            place = np.r_[0, np.cumsum(size)]
+            flat = np.zeros(place[-1], np.int64)
+            flat[place[:-1][plain]] = sym[plain]
+            for at, ids in zip(place[:-1][~plain].tolist(), odd, strict=True):
+                flat[at : at + len(ids)] = ids
+            sym, ends = flat, place[ends]
+        data, at = sym.astype(self.kind).tobytes(), (ends * self.kind.itemsize).tolist()
+        for w, a, z in zip(words, at[:-1], at[1:], strict=True):
+            out[w] = data[a:z]
 
     def _bytes(self, i: int) -> list[int]:
         c = chr(-1 - i if i < 0 else self.extra[i])
@@ -211,7 +221,7 @@ class Encoder:
         self.model, self.known = model, {}
         self.breaks = bool(model.char[10] < 0)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         split: list[list[str]] = []
         for t in texts:
             t = t.replace(SPACE, " ")
@@ -231,7 +241,7 @@ class Encoder:
         if new:
             self.known.update(zip(new, self.model.encode_words([self._escaped(w) for w in new]), strict=True))
         get = self.known.__getitem__
-        return [list(chain.from_iterable(map(get, words))) for words in split]
+        return [np.frombuffer(b"".join(map(get, words)), self.model.kind) for words in split]
 
     @staticmethod
     def _escaped(w: str) -> str:
@@ -239,14 +249,14 @@ class Encoder:
         return w.replace(" ", SPACE) if w[:1] == " " or w[:1] == "\n" else SPACE + w
 
 
-@lru_cache(2)
-def model(path: str) -> PieceModel:
-    return PieceModel(path)
+@lru_cache(1)
+def decoder(path: str) -> PieceModel:
+    return PieceModel(path, pairs=False)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def encoder(path: str) -> Encoder:
-    return Encoder(model(path))
+    return Encoder(PieceModel(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,7 +274,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 part = batch.slice(at, ROWS)
                 ids = enc.encode([t or "" for t in part.column(1).to_pylist()])
                 ends = np.cumsum([0, *map(len, ids)])
-                flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1])))
+                flat = pa.array(np.concatenate(ids).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=[id_col, "ids"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
@@ -275,7 +285,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = decoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
