@@ -17,7 +17,7 @@ from regionlytics.llm.common import ensure_checkpoint_dir, small_or_shuffled
 from regionlytics.llm.exact_dedup import exact_dedup
 from regionlytics.llm.mixing import mix
 from regionlytics.llm.ngram_join import near_duplicates
-from regionlytics.llm.pieces import decode, encode, ids_digest
+from regionlytics.llm.pieces import ids_digest, round_trip
 from regionlytics.llm.quality import classify
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -69,7 +69,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(TOKENIZER)
-    out = decode(encode(docs, path), path)
+    out = round_trip(docs, path)
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), ids_digest().alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 

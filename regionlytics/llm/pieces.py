@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NEVER = np.iinfo(np.int32).max
-#: Words that a worker remembers; about 60 MB.
-REMEMBER = 300_000
+#: Words that a worker remembers; about 40 MB.
+REMEMBER = 200_000
 ROWS = 128
 
 
@@ -295,6 +295,24 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     return encoded.select(F.col(id_col), F.col("ids")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, ids, text): decode(encode(docs)) in one pass of the Python workers."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = enc.encode([t or "" for t in part.column(1).to_pylist()])
+                texts = pa.array([enc.model.decode(x.tolist()) for x in ids], pa.string())
+                ends = np.cumsum([0, *map(len, ids)])
+                flat = pa.array(np.concatenate(ids).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), texts], names=[id_col, "ids", "text"])
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, text string")
+
+
 def ids_digest(ids: str = "ids") -> Column:
     """SHA-256 of the decimal ids joined by commas."""
     return F.sha2(F.concat_ws(",", F.col(ids).cast("array<string>")).cast("binary"), 256)

@@ -80,10 +80,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_name: str = "piece_bpe_32k.model") -> DataFrame:
     import public_tokenizers
 
-    from .pieces import decode, encode, ids_digest
+    from .pieces import ids_digest, round_trip
 
     path = public_tokenizers.path(model_name)
-    out = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    out = round_trip(table(spark, sf_dir, "documents"), path)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest().alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -199,7 +199,8 @@ def test_token_tables(spark, sp):
     e = pc.encode(docs(spark, rows), path)
     assert sorted((str(r["doc_id"]), r["ids"]) for r in e.collect()) == sorted((str(i), sp.encode(t or "")) for i, t in rows)
     assert sorted(r["text"] for r in pc.decode(e, path).collect()) == sorted((t or "") for _, t in rows)
-    assert pc.encode(docs(spark, []), path).count() == 0
+    assert sorted(pc.round_trip(docs(spark, rows), path).collect(), key=str) == sorted(pc.decode(e, path).collect(), key=str)
+    assert pc.encode(docs(spark, []), path).count() == 0 and pc.round_trip(docs(spark, []), path).count() == 0
 
 
 def test_queries_have_the_columns_asked_for(spark):
