@@ -71,8 +71,8 @@ def schedule(blocks: DataFrame) -> DataFrame:
 def streams(sizes: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFrame:
     """Each document's place [start, start + size) in its source's shuffled stream of words.
 
-    Running sums go over hash buckets of a source first and within a bucket then; buckets are as
-    many as 4,096-document parts of the table need, so a source of any share is spread.
+    Running sums go over the 4,096 hash buckets of each source first and within a bucket then, so a
+    source of any share is spread.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string")))
     s = sizes.withColumn("key", key).join(targets.select(F.col("source").alias("t_source"), "r", "source_size", "target"), F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
