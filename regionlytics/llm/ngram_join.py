@@ -156,7 +156,7 @@ def frequency_sketch(texts: DataFrame, width: int) -> np.ndarray:
         for _, part in _texts(batches):
             held += shingle_sets(part, width)
             waiting += sum(map(len, held[-len(part) :]))
-            if waiting > size // 2:
+            if waiting > size // 8:
                 add()
                 waiting = 0
         if held:
@@ -181,8 +181,8 @@ def frequency_sketch(texts: DataFrame, width: int) -> np.ndarray:
     return np.minimum(out, 2**32 - 1).astype(np.uint32)
 
 
-def _prefixes(texts: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
-    sketch = texts.sparkSession.sparkContext.broadcast(frequency_sketch(texts, width))
+def _prefixes(texts: DataFrame, sketch, width: int, percent: int, kind: str, whole: bool) -> DataFrame:
+    """(id, n, class, gkey) of each text: set size, digest of the set, digest of prefix and size; with whole, (id, n, prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = sketch.value
@@ -193,14 +193,19 @@ def _prefixes(texts: DataFrame, width: int, percent: int, kind: str) -> DataFram
                 order = np.argsort(frequency[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                 first = s[order[: len(s) - (percent * len(s) + 99) // 100 + 1]] if len(s) else s
                 n.append(len(s))
-                sets.append(digest(s))
-                groups.append(digest(np.r_[np.uint64(len(s)), first]))
-                prefixes.append(first.view(np.int64))
-            ends = np.cumsum([0, *map(len, prefixes)])
-            flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sets), pa.array(groups), flat], names=["id", "n", "class", "gkey", "prefix"])
+                if whole:
+                    prefixes.append(first.view(np.int64))
+                else:
+                    sets.append(digest(s))
+                    groups.append(digest(np.r_[np.uint64(len(s)), first]))
+            if whole:
+                ends = np.cumsum([0, *map(len, prefixes)])
+                flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), flat], names=["id", "n", "prefix"])
+            else:
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sets), pa.array(groups)], names=["id", "n", "class", "gkey"])
 
-    return texts.mapInArrow(run, f"id {kind}, n long, class binary, gkey binary, prefix array<long>")
+    return texts.mapInArrow(run, f"id {kind}, n long, " + ("prefix array<long>" if whole else "class binary, gkey binary"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
@@ -241,24 +246,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    sized = cut(_prefixes(texts, width, percent, kind))
+    sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(texts, width))
+    sized = cut(_prefixes(texts, sketch, width, percent, kind, whole=False))
     full = sized.where("n > 0 AND id IS NOT NULL")
     classes = cut(full.groupBy("class").agg(F.min("id").alias("node"), F.min("gkey").alias("gkey"), F.min("n").alias("n")))
     groups = classes.groupBy("gkey").agg(F.min("node").alias("g"))
     members = cut(classes.join(groups, "gkey").select("g", "node", "n"))
-    leads = full.join(groups, (full["id"] == groups["g"]) & (full["gkey"] == groups["gkey"])).select("g", "n", "prefix").dropDuplicates(["g", "n"])
-    postings = leads.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = cut(postings.groupBy("token").agg(F.min("g").alias("lead"), F.max("g").alias("top")).where("lead <> top").select("token"))
-    postings = cut(postings.join(small_or_shuffled(shared), "token"))
+    # Texts that lead a group are shingled once more, which costs less than keeping and shuffling all prefixes.
+    leads = cut(members.select(F.col("g").alias("id")).distinct())
+    prefixes = _prefixes(texts.join(small_or_shuffled(leads), "id", "left_semi"), sketch, width, percent, kind, whole=True)
+    postings = prefixes.select(F.col("id").alias("g"), "n", "prefix", F.posexplode("prefix").alias("pos", "token"))
+    postings = postings.select("token", "g", "n", "pos", F.get("prefix", F.col("pos") - 1).alias("prev")).repartition("token")
+    # One exchange by token serves both the leaders and the join with them.
+    of_lead = [F.min_by(c, "g").alias(f"{c}_a") for c in ("n", "pos", "prev")]
+    shared = postings.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("top"), *of_lead).where("a <> top").drop("top")
+    postings = cut(postings.join(shared, "token"))
     similar_size = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
     def can_reach(n_x, pos_x, n_y, pos_y):
         """Whether enough is left behind a common shingle at these places of both orders for the sets to be similar."""
         return F.least(n_x - pos_x, n_y - pos_y) >= F.ceil(F.lit(percent) * (n_x + n_y) / (100 + percent))
 
+    def run_starts(prev_x, prev_y):
+        """Whether the shingles before a common one differ. If not, the pair has met at that shingle, so the first one they share always starts a run."""
+        return prev_x.isNull() | prev_y.isNull() | (prev_x != prev_y)
+
     # 1. stars
-    lead = postings.groupBy("token").agg(F.min("g").alias("a"), F.min_by("n", "g").alias("n_a"), F.min_by("pos", "g").alias("pos_a"))
-    stars = postings.join(lead, "token").where("g <> a").where(similar_size(F.col("n"), F.col("n_a")) & can_reach(F.col("n"), F.col("pos"), F.col("n_a"), F.col("pos_a")))
+    stars = postings.where("g <> a").where(similar_size(F.col("n"), F.col("n_a")) & can_reach(F.col("n"), F.col("pos"), F.col("n_a"), F.col("pos_a")))
+    stars = stars.where(run_starts(F.col("prev"), F.col("prev_a")))
     stars = stars.select("a", F.col("g").alias("b")).unionByName(members.where("g <> node").select(F.col("g").alias("a"), F.col("node").alias("b")))
     stars = cut(stars.distinct())
     links = cut(_verified(stars, texts, width, percent, kind))
@@ -267,21 +282,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # 2. pairs of different components, by shingle and by group
     placed = cut(members.join(found, "node", "left").select("g", "node", "n", F.coalesce("component", "node").alias("comp")))
     spread = placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    tokens = postings.select("token", "g", "n", "pos").join(spread, "g")
+    tokens = postings.select("token", "g", "n", "pos", "prev").join(spread, "g")
     open_tokens = tokens.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
-    by_token = tokens.select("token", "g", "pos").join(open_tokens, "token").join(placed, "g").select(F.lit(0).alias("k"), "token", "node", "n", "pos", "comp")
-    by_group = placed.join(spread.where("lo <> hi").select("g"), "g").select(F.lit(1).alias("k"), F.xxhash64("g").alias("token"), "node", "n", F.lit(0).alias("pos"), "comp")
+    by_token = tokens.select("token", "g", "pos", "prev").join(open_tokens, "token").join(placed, "g").select(F.lit(0).alias("k"), "token", "node", "n", "pos", "comp", "prev")
+    by_group = placed.join(spread.where("lo <> hi").select("g"), "g").select(F.lit(1).alias("k"), F.xxhash64("g").alias("token"), "node", "n", F.lit(0).alias("pos"), "comp", F.lit(None).cast("long").alias("prev"))
     rest = cut(by_token.unionByName(by_group))
-    parts = cut(rest.groupBy("k", "token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("left")))
-    left, right = parts.toDF("k", "token", "comp_a", "lo_a", "hi_a", "left_a"), parts.toDF("k", "token", "comp_b", "lo_b", "hi_b", "left_b")
+    parts = cut(rest.groupBy("k", "token", "comp", "prev").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("left")))
+    left, right = parts.toDF("k", "token", "comp_a", "prev_a", "lo_a", "hi_a", "left_a"), parts.toDF("k", "token", "comp_b", "prev_b", "lo_b", "hi_b", "left_b")
     may_link = (100 * F.col("hi_a") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo_a"))
     may_link = may_link & (F.least("left_a", "left_b") >= F.ceil(F.lit(percent) * (F.col("lo_a") + F.col("lo_b")) / (100 + percent)))
-    meet = left.join(right, ["k", "token"]).where((F.col("comp_a") < F.col("comp_b")) & may_link)
-    one, two = rest.toDF("k", "token", "x", "n_x", "pos_x", "comp_a"), rest.toDF("k", "token", "y", "n_y", "pos_y", "comp_b")
+    meet = left.join(right, ["k", "token"]).where((F.col("comp_a") < F.col("comp_b")) & run_starts(F.col("prev_a"), F.col("prev_b")) & may_link)
+    one, two = rest.toDF("k", "token", "x", "n_x", "pos_x", "comp_a", "own_a"), rest.toDF("k", "token", "y", "n_y", "pos_y", "comp_b", "own_b")
     # members of a large component meet only the components that their own size and place allow
     fits = (100 * F.col("n_x") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("n_x"))
     fits = fits & (F.least(F.col("n_x") - F.col("pos_x"), "left_b") >= F.ceil(F.lit(percent) * (F.col("n_x") + F.col("lo_b")) / (100 + percent)))
-    cross = meet.select("k", "token", "comp_a", "comp_b", "lo_b", "hi_b", "left_b").join(one, ["k", "token", "comp_a"]).where(fits).join(two, ["k", "token", "comp_b"])
+    cross = meet.select("k", "token", "comp_a", "comp_b", "prev_a", "prev_b", "lo_b", "hi_b", "left_b").join(one, ["k", "token", "comp_a"]).where(F.col("own_a").eqNullSafe(F.col("prev_a")) & fits)
+    cross = cross.join(two, ["k", "token", "comp_b"]).where(F.col("own_b").eqNullSafe(F.col("prev_b")))
     cross = cross.where(similar_size(F.col("n_x"), F.col("n_y")) & can_reach(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     cross = cut(cross.join(stars, ["a", "b"], "left_anti"))
     if not cross.isEmpty():
