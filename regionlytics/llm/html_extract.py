@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_or_shuffled
+from .common import cut, small_or_shuffled
 from .url_filter import host_of
 
 TEMPLATE_PAGES, TEMPLATE_SHARE = 20, 0.5
@@ -240,7 +240,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     counted = counted.groupBy("host").agg(F.max(F.when(F.col("h").isNull(), F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("h").isNotNull(), F.struct("h", "n"))).alias("subtrees"))
     # at most twice the mean number of blocks of a host's page recur on half of its pages
     template = F.transform(F.filter("subtrees", lambda x: x["n"] >= TEMPLATE_SHARE * F.col("pages")), lambda x: x["h"])
-    templates = counted.select("host", template.alias("template")).where(F.size("template") > 0)
+    templates = cut(counted.select("host", template.alias("template")).where(F.size("template") > 0))
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
