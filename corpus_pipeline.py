@@ -44,8 +44,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated.withColumnRenamed("doc_id", "r"), kept["doc_id"].eqNullSafe(F.col("r")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return _without(kept.where("doc_id IS NOT NULL"), repeated).unionByName(again)
+    repeated = small_or_shuffled(repeated.withColumnRenamed("doc_id", "r"))
+    same = kept["doc_id"].eqNullSafe(F.col("r"))
+    again = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, same, "left_anti").unionByName(again)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
