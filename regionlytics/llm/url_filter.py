@@ -4,7 +4,8 @@ URLs that a rule judges are the labelled sample. For the accepted and for the re
 smoothed variable-order Markov model counts the characters behind contexts of zero to four bytes;
 an order's estimate is interpolated with the order below. Other URLs are judged by the difference
 of the two log-likelihoods per byte against a threshold calibrated on labelled URLs held out.
-Counters lie in hashed slots of fixed number, so the models have a fixed size at any input.
+Grams are counted by key, none shares a counter, so the models grow with the labelled URLs. URLs
+meet them in passes over parts of the models of bounded size, one pass if all grams fit.
 """
 
 from __future__ import annotations
@@ -16,12 +17,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 ORDERS = 5
-SLOT_BITS = 16
-SLOTS = 1 << SLOT_BITS
+#: Slots of a plain array of counters, which exact counts don't have.
+SLOTS = 1 << 16
+#: A gram's order stands above its five bytes.
+TAG = 40
+#: Grams of one pass: 24 bytes each and as much again at most for their contexts.
+PASS_GRAMS = 2_000_000
 #: Weight of the order below, in observations.
 STRENGTH = 4.0
 
@@ -44,64 +50,86 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> C
     return out
 
 
-def _slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all bytes of all texts: slots of the grams and of their contexts by order, and where each text ends."""
+Counts = np.ndarray | tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For all bytes of all texts: the byte (lowest) and the four before it in one number, and the sizes of the texts."""
     data = [t.encode("utf-8", "replace") for t in texts]
     sizes = np.array([len(d) for d in data], np.int64)
-    flat = np.frombuffer(b"".join(b"\0" * (ORDERS - 1) + d for d in data), np.uint8).astype(np.uint64)
+    flat = np.frombuffer(b"".join(b"\0" * (ORDERS - 1) + d for d in data), np.uint8).astype(np.int64)
     own = np.ones(len(flat), bool)
     starts = np.cumsum(sizes + ORDERS - 1) - sizes - (ORDERS - 1)
     for j in range(ORDERS - 1):
         own[starts + j] = False
     at = np.flatnonzero(own)
-    grams, contexts = np.zeros((ORDERS, len(at)), np.int64), np.zeros((ORDERS, len(at)), np.int64)
-    key = np.zeros(len(at), np.uint64)
+    key = np.zeros(len(at), np.int64)
     for o in range(ORDERS):
-        context = key.copy()
-        key = key | (flat[at - o] << np.uint64(8 * o))
-        gram = key
-        if o:
-            context = gram >> np.uint64(8)
-            # the key's low byte is the last character; the context is what stands before it
-        for into, k in ((grams, gram), (contexts, context)):
-            mixed = (k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(o + 1)) * np.uint64(0xD6E8FEB86659FD93)
-            into[o] = (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-    return grams, contexts, sizes
+        key |= flat[at - o] << (8 * o)
+    return key, sizes
+
+
+def _gram(windows: np.ndarray, order: int) -> np.ndarray:
+    """The last order + 1 bytes."""
+    return windows & ((1 << (8 * (order + 1))) - 1)
+
+
+def _part(windows: np.ndarray, parts: int) -> np.ndarray:
+    """The pass of windows, by the two bytes before the last: grams and contexts of two bytes or more share it."""
+    return ((windows >> 8) & 0xFFFF) % parts
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = np.zeros((2, ORDERS, 2, SLOTS), np.int64)
     for pdf in batches:
         for cls in (0, 1):
             texts = pdf.loc[pdf["cls"] == cls, "text"].tolist()
             if not texts:
                 continue
-            grams, contexts, _ = _slots(texts)
+            windows, n = np.unique(_windows(texts)[0], return_counts=True)
             for o in range(ORDERS):
-                counts[cls, o, 0] += np.bincount(grams[o], minlength=SLOTS)
-                counts[cls, o, 1] += np.bincount(contexts[o], minlength=SLOTS)
-    flat = counts.reshape(-1)
-    at = np.flatnonzero(flat)
-    yield pd.DataFrame({"slot": at, "n": flat[at]})
-
-
-def train(labelled: DataFrame) -> np.ndarray:
-    """Counters [class, order, gram or context, slot] from labelled (text, cls 0 rejected or 1 accepted)."""
-    rows = labelled.mapInPandas(_count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(2 * ORDERS * 2 * SLOTS, np.float32)
-    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    return counts.reshape(2, ORDERS, 2, SLOTS)
-
-
-def scores(texts: list[str], counts: np.ndarray) -> np.ndarray:
-    """Mean log-likelihood ratio per byte of accepted over rejected; zero for an empty text."""
-    grams, contexts, sizes = _slots(texts)
-    ratio = np.zeros(grams.shape[1])
-    for cls, sign in ((1, 1.0), (0, -1.0)):
-        p = np.full(grams.shape[1], 1 / 256)
-        for o in range(ORDERS):
-            p = (counts[cls, o, 0][grams[o]] + STRENGTH * p) / (counts[cls, o, 1][contexts[o]] + STRENGTH)
-        ratio += sign * np.log(p)
+                gram, at = np.unique(_gram(windows, o), return_inverse=True)
+                yield pd.DataFrame({"gram": gram | (o << TAG), "cls": cls, "n": np.bincount(at, weights=n, minlength=len(gram)).astype(np.int64)})
+
+
+def train(labelled: DataFrame) -> DataFrame:
+    """(gram, rejected, accepted): counts by order and gram from labelled (text, cls 0 rejected or 1 accepted)."""
+    rows = labelled.mapInPandas(_count, "gram long, cls int, n long")
+    of = lambda cls: F.sum(F.when(F.col("cls") == cls, F.col("n")).otherwise(0))
+    return cut(rows.groupBy("gram").agg(of(0).alias("rejected"), of(1).alias("accepted")))
+
+
+def counts_of(grams: DataFrame, part: int = 0, parts: int = 1) -> Counts:
+    """Sorted keys and counts [class, key] of grams and of their contexts, in one part: orders 0 and 1, and the part's longer ones."""
+    mine = (F.col("gram") < 2 << TAG) | (F.shiftright("gram", 8).bitwiseAND(0xFFFF) % parts == part)
+    rows = grams.where(mine).toArrow()
+    keys, n = rows["gram"].to_numpy(), np.stack([rows["rejected"].to_numpy(), rows["accepted"].to_numpy()])
+    order = np.argsort(keys)
+    keys, n = keys[order], n[:, order]
+    context, first = np.unique((keys >> TAG << TAG) | ((keys & ((1 << TAG) - 1)) >> 8), return_index=True)
+    return (keys, n), (context, np.add.reduceat(n, first, axis=1) if len(keys) else n)
+
+
+def _found(counts: Counts, order: int, kind: int, keys: np.ndarray) -> np.ndarray:
+    """Counts [class, key] of grams (kind 0) or contexts (1); of an array [class, order, kind, slot] those of the keys' slots."""
+    if isinstance(counts, np.ndarray):
+        return counts[:, order, kind][:, keys % counts.shape[-1]]
+    known, n = counts[kind]
+    if not len(known):
+        return np.zeros((2, len(keys)))
+    tagged = keys | (order << TAG)
+    at = np.minimum(np.searchsorted(known, tagged), len(known) - 1)
+    return np.where(known[at] == tagged, n[:, at], 0)
+
+
+def scores(texts: list[str], counts: Counts, part: int = 0, parts: int = 1) -> np.ndarray:
+    """Mean log-likelihood ratio per byte of accepted over rejected; zero for an empty text. With parts, the share of part."""
+    windows, sizes = _windows(texts)
+    distinct, at = np.unique(windows, return_inverse=True)
+    p = np.full((2, len(distinct)), 1 / 256)
+    for o in range(ORDERS):
+        gram = _gram(distinct, o)
+        p = (_found(counts, o, 0, gram) + STRENGTH * p) / (_found(counts, o, 1, gram >> 8) + STRENGTH)
+    ratio = np.where(_part(distinct, parts) == part, np.log(p[1]) - np.log(p[0]), 0.0)[at]
     total = np.r_[0.0, np.cumsum(ratio)]
     ends = np.cumsum(sizes)
     return (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
@@ -123,21 +151,28 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "p
     allowed = [r for r, v in verdict_of.items() if v == "allow"]
     labelled = base.where("rule IS NOT NULL AND text <> ''").select("text", F.col("rule").isin(allowed).cast("int").alias("cls"))
     held = F.pmod(F.xxhash64("text"), F.lit(10)) == 0
-    counts = train(labelled.where(~held))
-    usable = bool(counts[0].any() and counts[1].any())
-    shared = spark.sparkContext.broadcast(counts)
+    grams = train(labelled.where(~held))
+    size, *seen = grams.agg(F.count("*"), F.sum("rejected"), F.sum("accepted")).first()
+    usable = all(seen)
+    parts = max(1, -(-size // PASS_GRAMS))
+    kind = pages.schema[id_col].dataType.simpleString()
+    out = base.select("id", "host", "path", "rule", "text", F.lit(0.0).alias("score"))
+    for part in range(parts):
+        shared = spark.sparkContext.broadcast(counts_of(grams, part, parts))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            s = scores(pdf["text"].tolist(), shared.value) if len(pdf) else np.zeros(0)
-            yield pdf.drop(columns=["text"]).assign(score=s)
+        def score(batches: Iterator[pd.DataFrame], part: int = part, shared=shared) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                s = scores(pdf["text"].tolist(), shared.value, part, parts) if len(pdf) else np.zeros(0)
+                yield pdf.assign(score=pdf["score"] + s)
+
+        out = cut(out.mapInPandas(score, f"id {kind}, host string, path string, rule string, text string, score double"))
+        shared.unpersist()
 
     threshold = 0.0
     if usable:
-        bins = labelled.where(held).mapInPandas(score, "cls int, score double").groupBy("cls", F.round(F.col("score") * 500).alias("bin")).count().toArrow()
+        judged = out.where(F.col("rule").isNotNull() & (F.col("text") != "") & held)
+        bins = judged.groupBy(F.col("rule").isin(allowed).cast("int").alias("cls"), F.round(F.col("score") * 500).alias("bin")).count().toArrow()
         threshold = calibrated(bins["cls"].to_numpy(), bins["bin"].to_numpy() / 500, bins["count"].to_numpy())
-    kind = pages.schema[id_col].dataType.simpleString()
-    out = base.select("id", "host", "path", "rule", "text").mapInPandas(score, f"id {kind}, host string, path string, rule string, score double")
     by_model = F.when(F.lit(not usable) | (F.col("score") >= threshold), "allow").otherwise("block")
     by_rule = F.when(F.col("rule").isin(allowed), "allow").otherwise("block")
     verdict = F.when(F.col("rule").isNotNull(), by_rule).otherwise(by_model)

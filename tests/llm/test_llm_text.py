@@ -63,6 +63,39 @@ def test_url_score_is_the_sum_over_contexts():
         assert s == pytest.approx(uf.scores([t], counts)[0])
 
 
+def test_url_grams_are_counted_without_collisions(spark, monkeypatch):
+    from collections import Counter
+
+    r = random.Random(6)
+    texts = [("".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789/é", k=40)), i % 2) for i in range(3000)]
+    grams = uf.train(spark.createDataFrame(texts, "text string, cls int"))
+    want = [Counter(), Counter()]
+    for t, c in texts:
+        b = b"\0" * 4 + t.encode()
+        want[c].update((o, b[i - o : i + 1]) for o in range(uf.ORDERS) for i in range(4, len(b)))
+    got = {(x["gram"] >> uf.TAG, (x["gram"] & ((1 << uf.TAG) - 1)).to_bytes((x["gram"] >> uf.TAG) + 1, "big")): (x["rejected"], x["accepted"]) for x in grams.collect()}
+    assert len(got) > uf.SLOTS and got == {k: (want[0][k], want[1][k]) for k in want[0] | want[1]}
+    context = [Counter(), Counter()]
+    for c in (0, 1):
+        for (o, g), n in want[c].items():
+            context[c][o, g[:-1]] += n
+    fresh = [t[:9] for t, _ in texts[:20]] + ["".join(r.choices("abcxyz09/é~", k=12)) for _ in range(20)] + [""]
+    for t, s in zip(fresh, uf.scores(fresh, uf.counts_of(grams)), strict=True):
+        b, total = b"\0" * 4 + t.encode(), 0.0
+        for i in range(4, len(b)):
+            p = [1 / 256, 1 / 256]
+            for o in range(uf.ORDERS):
+                p = [(want[c][o, b[i - o : i + 1]] + uf.STRENGTH * p[c]) / (context[c][o, b[i - o : i]] + uf.STRENGTH) for c in (0, 1)]
+            total += np.log(p[1]) - np.log(p[0])
+        assert s == pytest.approx(total / max(1, len(b) - 4), abs=1e-9)
+    rows = [(i, f"http://{t}.{'com/' if c else 'net/es/'}{t}") for i, (t, c) in enumerate(texts[:400])] + [(1000 + i, f"http://q.org/{t}") for i, t in enumerate(fresh)] + [(2000, None)]
+    d = spark.createDataFrame(rows, "page_id long, url string")
+    result = lambda: {x["page_id"]: (x["verdict"], round(x["score"], 9)) for x in uf.filter_urls(d, URL_RULES).collect()}
+    whole = result()
+    monkeypatch.setattr(uf, "PASS_GRAMS", 8000)
+    assert result() == whole and len(whole) == len(rows)
+
+
 def test_url_empty_table(spark):
     assert uf.filter_urls(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
 
