@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionlytics.llm.common import ensure_checkpoint_dir, small_or_shuffled
+from regionlytics.llm.common import cut, ensure_checkpoint_dir, small_or_shuffled
 from regionlytics.llm.exact_dedup import exact_dedup
 from regionlytics.llm.mixing import mix
 from regionlytics.llm.ngram_join import near_duplicates
@@ -57,12 +57,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: its words taken over its words, rounded, so up to twice."""
-    placed, pieces = mix(docs)
+    """Each row as often as the mix takes it: its words taken over its words, rounded, so up to twice; also with a null or repeated id."""
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    placed, pieces = mix(rows, row_col="_row")
     taken = pieces.groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    times = placed.join(taken, "row").select(F.col("id").alias("doc_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
-    times = times.where("times > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("times").alias("times"))
-    copies = docs.join(small_or_shuffled(times), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    times = placed.join(taken, "row").select(F.col("row").alias("_row"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
+    copies = rows.join(small_or_shuffled(times.where("times > 0")), "_row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return copies.select(docs.columns)
 
 

@@ -84,7 +84,7 @@ def streams(sizes: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFram
     return s.withColumn("start", F.col("base") + F.col("inner")).drop("b_r", "b_bucket", "base", "inner", "key", "bucket")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: str = "mix", row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(placed, pieces). placed: one row per input row (row, id, size, source_size, target, start, r).
 
     pieces: what the mix takes, in the order of slot: (slot, pick, row, from_word, to_word), words
@@ -92,9 +92,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     words, its last block being cut there; no document is taken more than twice because no target
     exceeds twice its source. Documents without words (null, empty) are placed and never taken.
     A null source is a source of its own, ordered last. Rows that repeat an id are separate rows.
+    row_col names a column of docs that numbers its rows (long); without it they are numbered here.
     """
-    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sizes = cut(sizes.withColumn("row", F.monotonically_increasing_id()))
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    sizes = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sizes = cut(sizes)
     targets = cut(source_targets(sizes))
     placed = cut(streams(sizes, targets, seed))
     take = F.least(F.round("target"), 2 * F.col("source_size")).cast("long")

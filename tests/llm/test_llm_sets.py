@@ -301,3 +301,24 @@ def test_pipeline_stages(spark, tmp_path):
             assert sorted(b.doc_id) == sorted(a.doc_id) and (b.n_tokens == b.ids.map(len)).all()
         before = out
     assert cp.exact(spark, docs(spark, [(1, "a"), (1, "a"), (None, "b"), (2, "a"), (2, "a")]), sf).count() == 2
+
+
+def test_pipeline_mixture_takes_each_row_by_its_own_words(spark, monkeypatch):
+    from collections import Counter
+
+    import corpus_pipeline as cp
+
+    r = random.Random(8)
+    rows = [(None if i % 3 == 0 else i // 5 if i % 3 == 1 else i, f"t{i} " + "w " * r.randint(0, 3000), r.choice("abcd")) for i in range(120)] + [(None, None, "a"), (None, "", "b"), (7, None, "c")]
+    d, made = docs(spark, rows), []
+    monkeypatch.setattr(cp, "mix", lambda *a, **k: made.append(mx.mix(*a, **k)) or made[-1])
+    out = cp.mixture(spark, d, SF)
+    assert out.columns == d.columns
+    got = Counter((x["doc_id"], x["text"], x["source"]) for x in out.collect())
+    taken = {x["row"]: x["n"] for x in made[0][1].groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("n")).collect()}
+    want = Counter()
+    for x in d.withColumn("row", F.monotonically_increasing_id()).collect():
+        if x["text"]:
+            want[x["doc_id"], x["text"], x["source"]] += int(taken.get(x["row"], 0) / len(x["text"].split()) + 0.5)
+    assert got == +want
+    assert sum(n for (i, _, _), n in got.items() if i is None) > 20 and max(got.values()) == 2
