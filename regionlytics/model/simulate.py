@@ -113,39 +113,98 @@ def _mutations(rng: np.random.Generator, pi: np.ndarray, n: int, psi: np.ndarray
     return pd.DataFrame({"component": k, "locus": locus, "context": context, "mutation": mutation})
 
 
+#: Loci whose masses one task of resampling holds, and draws that it makes, about.
+BLOCK_LOCI, TASK_DRAWS = 4096, 500_000
+
+
+def _masses(part: pd.DataFrame, delta: np.ndarray) -> np.ndarray:
+    """Loci x K: the mass of each locus under each component, all contexts together."""
+    n, lm = np.stack(part["n"].to_list()), np.stack(part["logmu"].to_list())
+    return (n @ delta.T) * np.exp(lm) * part["exposure"].to_numpy()[:, None]
+
+
+def _pick(cum: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """For each u in [0, 1) the index of cum, running sums, that it falls on; never one without mass."""
+    i = np.searchsorted(cum, u * cum[-1], side="right")
+    return np.minimum(i, np.searchsorted(cum, cum[-1]))
+
+
 def resample(model, corpus: Corpus, seed: int = 0, components: list[str] | None = None) -> Corpus:
-    """A corpus as large as corpus, drawn sample by sample from the fitted model with each sample's composition."""
+    """A corpus as large as corpus, drawn sample by sample from the fitted model with each sample's composition.
+
+    A mutation's component and block of loci are drawn where its sample is, from masses summed by
+    block; its locus, context and mutation where the block's loci are. So the driver holds
+    K sums per block, and a task one block.
+    """
     from .trainer import predict, rates_for
 
+    spark = corpus.mutations.sparkSession
     rated, _ = rates_for(model, corpus)
-    names = model.state.names
-    keep = [n for n in names if components is None or n in components]
+    names, k = model.state.names, model.state.k
+    keep = np.array([components is None or n in components for n in names])
     gamma = predict(model, corpus)
     total = corpus.mutations.groupBy("corpus", "sample").agg(F.sum("weight").alias("_n"))
-    rows = rated.select("corpus", "locus", "exposure", "n", "logmu").collect() if rated.count() <= 1_000_000 else None
-    if rows is None:
-        raise ValueError("resampling holds each locus' rates in memory: at most a million loci")
-    tables = {}
-    for c in sorted({r["corpus"] for r in rows}):
-        own = sorted((r for r in rows if r["corpus"] == c), key=lambda r: r["locus"])
-        n, e, lm = np.array([r["n"] for r in own]), np.array([r["exposure"] for r in own]), np.array([r["logmu"] for r in own])
-        psi = np.exp(lm.T)[:, None, :] * e * (model.state.delta[:, :, None] * n.T)
-        tables[c] = (psi / psi.sum(axis=(1, 2), keepdims=True), np.array([r["locus"] for r in own]))
-    shared = corpus.mutations.sparkSession.sparkContext.broadcast((tables, model.state.rho()))
+    delta, rho = model.state.delta, model.state.rho()
+    blocks = max(1, -(-rated.count() // BLOCK_LOCI))
+    rated = rated.select("corpus", "locus", "exposure", "n", "logmu", F.pmod(F.xxhash64("locus"), F.lit(blocks)).cast("int").alias("block"))
+
+    def weigh(batches):
+        for pdf in batches:
+            if len(pdf):
+                m = pd.DataFrame(_masses(pdf, delta), columns=[f"m{i}" for i in range(k)])
+                yield pd.concat([pdf[["corpus", "block"]].reset_index(drop=True), m], axis=1)
+
+    masses = rated.mapInPandas(weigh, "corpus string, block int, " + ", ".join(f"m{i} double" for i in range(k)))
+    masses = masses.groupBy("corpus", "block").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(k)]).toPandas()  # a row per block
+    sizes = {r["corpus"]: r["n"] for r in total.groupBy("corpus").agg(F.sum("_n").alias("n")).collect()}
+    table, split = {}, []
+    for c, own in masses.sort_values("block").groupby("corpus"):
+        m = own[[f"m{i}" for i in range(k)]].to_numpy()
+        # a block with more draws than a task makes is held by several tasks, so hot loci are spread
+        most = (m / np.maximum(m.sum(axis=0), core.TINY)).max(axis=1) * float(sizes.get(c, 0))
+        tasks = np.maximum(1, np.ceil(most / TASK_DRAWS)).astype(int)
+        table[c] = (own["block"].to_numpy(), np.cumsum(m, axis=0), tasks)
+        split += [(c, int(x), int(t)) for x, t in zip(own["block"], tasks, strict=True) if t > 1]
+    shared = spark.sparkContext.broadcast(table)
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, rho = shared.value
         out = []
         for r in pdf.itertuples(index=False):
-            g = np.array([getattr(r, f"g{i}") for i in range(len(names))]) * np.array([x in keep for x in names])
-            psi, ids = t[r.corpus]
-            d = _mutations(np.random.default_rng([seed, *str(r.sample).encode()]), g / g.sum(), int(round(r.n)), psi, rho)
-            out.append(d.assign(corpus=r.corpus, sample=r.sample, locus=ids[d["locus"]]))
+            g = np.array([getattr(r, f"g{i}") for i in range(k)]) * keep
+            ids, cum, tasks = shared.value[r.corpus]
+            rng, n = np.random.default_rng([seed, *str(r.sample).encode()]), int(round(r.n))
+            comp, block = rng.choice(k, n, p=g / g.sum()), np.zeros(n, int)
+            for j in np.unique(comp):
+                i = np.flatnonzero(comp == j)
+                block[i] = _pick(cum[:, j], rng.random(len(i)))
+            u = rng.random((4, n))
+            d = pd.DataFrame({"component": comp, "block": ids[block], "task": (u[0] * tasks[block]).astype(int), "u": u[1], "v": u[2], "w": u[3]})
+            out.append(d.assign(corpus=r.corpus, sample=r.sample))
         return pd.concat(out)
 
+    def place(draws: pd.DataFrame, loci: pd.DataFrame) -> pd.DataFrame:
+        if not len(draws):
+            return pd.DataFrame(columns=["corpus", "sample", "component", "locus", "context", "mutation"])
+        loci = loci.sort_values("locus")
+        ids, n, mass = loci["locus"].to_numpy(), np.stack(loci["n"].to_list()), np.cumsum(_masses(loci, delta), axis=0)
+        draws = draws.reset_index(drop=True)
+        at, context, mutation = (np.zeros(len(draws), int) for _ in range(3))
+        for j, part in draws.groupby("component"):
+            i = part.index.to_numpy()
+            at[i] = _pick(mass[:, j], part["u"].to_numpy())
+            for some in np.array_split(i, -(-len(i) // 65_536)):
+                for into, p, x in ((context, lambda s, j=j: n[at[s]] * delta[j], "v"), (mutation, lambda s, j=j: rho[j][context[s]], "w")):
+                    cum = np.cumsum(p(some), axis=1)
+                    into[some] = (cum <= draws[x].to_numpy()[some][:, None] * cum[:, -1:]).sum(axis=1).clip(max=cum.shape[1] - 1)
+        return draws[["corpus", "sample", "component"]].assign(locus=ids[at], context=context, mutation=mutation)
+
     kind = corpus.mutations.schema["sample"].dataType.simpleString()
     cohort = gamma.join(total, ["corpus", "sample"]).select("corpus", "sample", F.col("_n").alias("n"), *[F.col(f"`{n}`").alias(f"g{i}") for i, n in enumerate(names)])
-    m = cohort.groupBy("corpus", "sample").applyInPandas(draw, f"corpus string, sample {kind}, component int, locus long, context int, mutation int")
+    drawn = cohort.groupBy("corpus", "sample").applyInPandas(draw, f"corpus string, sample {kind}, component int, block int, task int, u double, v double, w double")
+    tasks = spark.createDataFrame(split, "corpus string, block int, tasks int")
+    held = rated.join(F.broadcast(tasks), ["corpus", "block"], "left").withColumn("task", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
+    key = ("corpus", "block", "task")
+    m = drawn.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(place, f"corpus string, sample {kind}, component int, locus long, context int, mutation int")
     m = m.select("corpus", "sample", F.lit("chr1").alias("chrom"), (F.col("locus") * 10_000).alias("pos"), "locus", "context", "mutation", F.lit(0).alias("attribute"), F.lit(1.0).alias("weight"), "component")
     return Corpus(m, corpus.loci, corpus.trinucs, corpus.features)
 

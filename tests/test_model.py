@@ -74,6 +74,29 @@ def test_subsampling_and_resampling(simulated):
     assert r.mutations.count() == c.mutations.count()
 
 
+def test_resampling_holds_no_table_of_loci(spark, model, simulated, monkeypatch):
+    c = simulated[0]
+    frame = type(c.mutations)
+    rated = trainer.rates_for(model, c)[0].orderBy("locus").toPandas()
+    n, mu = np.stack(rated["n"].to_list()), np.exp(np.stack(rated["logmu"].to_list())) * rated["exposure"].to_numpy()[:, None]
+    count, sizes = frame.count, []
+    # as many loci as the driver's table had no room for, in about nine blocks, and hot blocks cut into tasks
+    monkeypatch.setattr(frame, "count", lambda d: sizes.append(1) or (1_000_001 if "logmu" in d.columns else count(d)))
+    monkeypatch.setattr(simulate, "BLOCK_LOCI", 1_000_001 // 9, raising=False)
+    monkeypatch.setattr(simulate, "TASK_DRAWS", 500, raising=False)
+    got = simulate.resample(model, c, seed=1).mutations.toPandas()
+    monkeypatch.undo()
+    assert sizes and got.groupby("sample").size().to_dict() == c.mutations.groupBy("sample").count().toPandas().set_index("sample")["count"].to_dict()
+    for k in range(2):
+        psi = mu[:, [k]] * n * model.state.delta[k]
+        own = got[got["component"] == k]
+        for column, want in (("locus", psi.sum(axis=1)), ("context", psi.sum(axis=0)), ("mutation", (psi.sum(axis=0)[:, None] * model.state.rho()[k]).sum(axis=0))):
+            want = want / want.sum() * len(own)
+            seen = np.bincount(own[column], minlength=len(want))
+            # chi-square within five standard deviations of its mean
+            assert len(own) > 1000 and ((seen - want) ** 2 / np.maximum(want, 1e-9)).sum() < len(want) + 5 * np.sqrt(2 * len(want))
+
+
 def test_poisson_regression_has_zero_gradient(spark):
     rng = np.random.default_rng(0)
     x = np.c_[rng.normal(size=(500, 2)), np.ones(500)]
