@@ -1,8 +1,8 @@
 """Secret scan: patterns of known kinds, then character Markov models of random strings and identifiers.
 
-The patterns give the base spans. What they don't cover is cut into long runs of key characters;
-a run whose log-likelihood ratio per character - random string over ordinary identifier, two Markov
-models of order two - exceeds a calibrated threshold is a span of kind ``random``. The models are
+The patterns give the base spans. What they don't cover is cut into runs of key characters; a run
+whose log-likelihood ratio per character - random string over ordinary identifier, two Markov models
+of order two - exceeds the threshold calibrated for its length is a span of kind ``random``. The models are
 trained from labelled samples: a bounded sample of documents gives identifiers (its ordinary words)
 and secrets (values that the patterns found), a seeded generator gives random strings.
 """
@@ -26,8 +26,11 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "random")
 
-#: Runs that the models judge.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Runs that the models judge, and the lengths from which on they have a threshold of their own.
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+LENGTHS = (12, 16, 20)
+#: What joins a run to a base span beside it.
+JOINERS = "/_=-"
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CODE = np.full(128, 0, np.int64)
@@ -53,6 +56,18 @@ def _free(spans: list[Span], start: int, end: int) -> bool:
     return all(e <= start or s >= end for s, _, e in spans)
 
 
+def uncovered(spans: list[Span], start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The stretches of [start, end) outside spans, which are sorted."""
+    for s, _, e in spans:
+        if s >= end:
+            break
+        if s > start:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 class Markov:
     """Character model of contexts of two, one and no characters, each estimate resting on the next shorter one's."""
 
@@ -107,6 +122,18 @@ class Detector:
         b = sorted(self.score(s) for s in joined if len(s) >= 20)
         # halfway between the highest scores of ordinary strings and the lowest of secrets, never below zero
         self.threshold = max(0.0, (a[len(a) // 100] + b[-1 - len(b) // 100]) / 2) if a and b else 0.0
+        self.limits = []
+        for least, most in zip(LENGTHS[:-1], LENGTHS[1:], strict=True):
+            cut = [least + i % (most - least) for i in range(most - least)]
+            a = sorted(self.score(s[:n]) for i, s in enumerate(secrets[1::2]) if len(s) >= (n := cut[i % len(cut)]))
+            b = [s for s in held if least <= len(s) < most] + [s[:n] for i, s in enumerate(joined) if len(s) >= (n := cut[i % len(cut)])]
+            b = sorted(self.score(s) for s in b)
+            self.limits.append(max(0.0, (a[len(a) // 100] + b[-1 - len(b) // 100]) / 2) if a and b else self.threshold)
+        self.limits.append(self.threshold)
+
+    def limit(self, n: int) -> float:
+        """The threshold of a run of n characters."""
+        return self.limits[max(0, sum(n >= x for x in LENGTHS) - 1)]
 
     def score(self, s: str) -> float:
         c = encoded(s)
@@ -117,9 +144,15 @@ class Detector:
         out = base_spans(text)
         more = []
         for m in RUN.finditer(text):
-            s = m[0]
-            if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and _free(out, m.start(), m.end()) and self.score(s) > self.threshold:
-                more.append((m.start(), 3, m.end()))
+            for start, end in uncovered(out, m.start(), m.end()):
+                # a joiner beside a base span belongs to neither
+                while start > m.start() and start < end and text[start] in JOINERS:
+                    start += 1
+                while end < m.end() and start < end and text[end - 1] in JOINERS:
+                    end -= 1
+                s = text[start:end]
+                if len(s) >= LENGTHS[0] and any(c.isalpha() for c in s) and self.score(s) > self.limit(len(s)):
+                    more.append((start, 3, end))
         return sorted(out + more)
 
 

@@ -168,6 +168,29 @@ def test_detector_separates_held_out_strings():
     assert sum(d.score(s) > d.threshold for s in ("connectionmanagerfactory", "requestsessionhandler", "accountservicereading")) == 0
 
 
+def test_scan_judges_short_strings_letters_and_what_base_spans_leave(spark):
+    r = random.Random(12)
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+    key = lambda n, over=letters + digits: "".join(r.choices(over, k=n))
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source", "lang").where("doc_id IS NOT NULL")
+    d = ss.train(docs_, "doc_id", "text", 1000)
+    random_spans = lambda t: [(s, e) for s, k, e in d.spans(t) if k == 3]
+    for _ in range(20):
+        k = "z" + key(39)
+        assert random_spans(f"see AKIA{key(16, letters[:26])}/{k} end") == [(25, 25 + len(k))]
+        for join in "_-":
+            assert random_spans(f"id {key(16, digits)}{join}{k}") == [(20, 60)]
+    share = lambda n, over: sum(random_spans(f"a {key(n, over)} b") == [(2, 2 + n)] for _ in range(200)) / 200
+    assert share(40, letters) > 0.95 and share(24, letters) > 0.9
+    assert share(19, letters + digits) > 0.9 and share(16, letters + digits) > 0.9 and share(12, letters + digits) > 0.8
+    for t in ("internationalisation", "responsibilities", "connectionmanager", "2024-01-02-1200", "555-123-4567"):
+        assert not random_spans(f"the {t} of"), t
+    words = sorted({w for x in docs_.limit(300).collect() for w in re.findall("[A-Za-z]{4,}", x["text"] or "")})
+    joined = [t for t in ss.identifiers(words, 2000, seed=5) if len(t) >= 12]
+    assert sum(bool(random_spans(f"the {t} of")) for t in joined) < 0.03 * len(joined)
+    assert not any(random_spans(f"the {t} of") for t in words)
+
+
 # quality
 
 
