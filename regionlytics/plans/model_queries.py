@@ -23,7 +23,7 @@ def features() -> FeatureTransform:
 def fitted(spark, sf, **options) -> tuple[trainer.Model, Corpus]:
     c = both(spark, sf)
     c.mutations, c.trinucs = c.mutations.select("corpus", "sample", "chrom", "pos", "locus", "context", "mutation", "weight"), c.trinucs
-    o = trainer.Options(k=3, epochs=2, eval_every=2, rounds=50, **options)
+    o = trainer.Options(k=3, **options)
     return trainer.train(c, features(), o), c
 
 
@@ -35,7 +35,7 @@ def em_train(spark, sf):
 
 @query("em_train_gbt")
 def em_train_gbt(spark, sf):
-    model, _ = fitted(spark, sf, model_type="gbt", rate_options={"rounds": 2, "depth": 2})
+    model, _ = fitted(spark, sf, model_type="gbt")
     return trainer.signatures(model, spark)
 
 
@@ -54,7 +54,7 @@ def model_r2(spark, sf):
 @query("gibbs_posterior")
 def gibbs_posterior(spark, sf):
     model, c = fitted(spark, sf)
-    return posterior.assign(model, c, warm_up=20, sweeps=50)
+    return posterior.assign(model, c)
 
 
 @query("explain_component")
@@ -77,7 +77,7 @@ def poisson_irls(spark, sf):
 
 @query("simulate_corpus")
 def simulate_corpus(spark, sf):
-    c, _ = simulate.simulate(spark, simulate.SimulationConfig(n_cells=20, n_loci=200, log_mean_mutations=4.0))
+    c, _ = simulate.simulate(spark, simulate.SimulationConfig())
     return c.mutations.groupBy("sample", "component").agg(F.count("*").alias("n"))
 
 

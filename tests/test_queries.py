@@ -47,3 +47,17 @@ def test_interval_joins_are_equi_joins(spark):
     for name in ("snv_window_histogram", "interval_overlap_join", "interval_anti_join", "interval_coverage_count"):
         plan = registry.queries()[name](spark, SF)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_model_queries_run_with_the_operators_defaults(spark, monkeypatch):
+    from regionlytics.model import trainer
+    from regionlytics.plans import model_queries as mq
+
+    seen = []
+    monkeypatch.setattr(trainer, "train", lambda c, transform, o: seen.append(o))
+    monkeypatch.setattr(trainer, "signatures", lambda *a: None)
+    monkeypatch.setattr(mq.posterior, "assign", lambda *a, **k: seen.append((len(a), k)))
+    for name in ("em_train", "em_train_gbt", "gibbs_posterior"):
+        registry.queries()[name](spark, SF)
+    assert seen == [trainer.Options(k=3), trainer.Options(k=3, model_type="gbt"), trainer.Options(k=3), (2, {})]
+    assert registry.queries()["simulate_corpus"](spark, SF).select("sample").distinct().count() == 50
