@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.special import blend, learning_rate, np_dirichlet_expectation, np_digamma, np_trigamma
+from ..functions.special import blend, dirichlet_expectation, learning_rate, np_dirichlet_expectation, np_digamma, np_trigamma
 from ..operators import corpora as co
 from ..operators.durable import cut
 from ..operators.scaling import FeatureTransform
@@ -50,9 +50,21 @@ class Model:
     history: list[dict] = field(default_factory=list)
 
 
+def log_shares(gamma: DataFrame, k: int) -> dict[str, tuple[int, np.ndarray]]:
+    """By corpus, the number of samples of gamma (corpus, sample, gamma array of k) and their mean expected log shares."""
+    total = F.aggregate("gamma", F.lit(0.0), lambda s, v: s + v)
+    means = [F.avg(dirichlet_expectation(F.get("gamma", F.lit(i)), total)).alias(f"e{i}") for i in range(k)]
+    rows = gamma.groupBy("corpus").agg(F.count("*").alias("n"), *means).collect()  # a row per corpus
+    return {r["corpus"]: (r["n"], np.array([r[f"e{i}"] for i in range(k)])) for r in rows}
+
+
 def update_alpha(alpha: np.ndarray, gamma: np.ndarray, floor: float = 0.01, rounds: int = 100) -> np.ndarray:
-    """The Dirichlet prior that fits the rows of gamma best: Newton steps with a line search; the old one if none improves."""
-    n, logp = len(gamma), np_dirichlet_expectation(gamma).mean(axis=0)
+    """fit_alpha() to the rows of gamma."""
+    return fit_alpha(alpha, len(gamma), np_dirichlet_expectation(gamma).mean(axis=0), floor, rounds)
+
+
+def fit_alpha(alpha: np.ndarray, n: int, logp: np.ndarray, floor: float = 0.01, rounds: int = 100) -> np.ndarray:
+    """The Dirichlet prior that fits n samples of mean expected log shares logp best: Newton steps with a line search; the old one if none improves."""
 
     def value(a):
         from ..functions.special import np_lgamma
@@ -195,10 +207,8 @@ def train(corpus: co.Corpus, transform: FeatureTransform, o: Options) -> Model:
         state.delta = blend(state.delta, update_delta(state, rerated, per_context), rate)
         state.omega = blend(state.omega, omega + 1e-9, rate)
         if o.empirical_bayes and epoch >= o.begin_prior_updates:
-            for c in corpora:
-                rows = gamma.where(F.col("corpus") == c).orderBy(F.xxhash64("sample")).limit(20_000).collect()  # a bounded sample
-                if rows:
-                    state.alpha[c] = blend(state.alpha[c], update_alpha(state.alpha[c], np.array([r["gamma"] for r in rows])), rate)
+            for c, (n, logp) in log_shares(gamma, state.k).items():
+                state.alpha[c] = blend(state.alpha[c], fit_alpha(state.alpha[c], n, logp), rate)
         state.trained_epochs = epoch + 1
         if epoch % o.eval_every == o.eval_every - 1 or epoch == o.epochs - 1:
             p = perplexity(stats) if full else score(model, corpus)["perplexity"]

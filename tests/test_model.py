@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from regionlytics.functions.special import np_dirichlet_expectation
 from regionlytics.model import core, posterior, simulate, trainer, tuning
 from regionlytics.model.linear import LinearRate
 from regionlytics.operators.scaling import FeatureTransform
@@ -118,6 +119,17 @@ def test_fixed_point_and_prior():
     assert np.allclose(trainer.update_alpha(np.ones(3), samples), [2.0, 0.5, 1.0], rtol=0.15)
 
 
+def test_prior_counts_every_sample(spark):
+    rng = np.random.default_rng(2)
+    g = {"a": rng.gamma(2.0, 3.0, (25_000, 3)) + 0.01, "b": rng.gamma(1.0, 40.0, (10, 3)) + 0.01}
+    rows = [(c, i, x.tolist()) for c, v in g.items() for i, x in enumerate(v)]
+    got = trainer.log_shares(spark.createDataFrame(rows, "corpus string, sample long, gamma array<double>"), 3)
+    assert {c: n for c, (n, _) in got.items()} == {"a": 25_000, "b": 10}
+    for c, v in g.items():
+        assert np.allclose(got[c][1], np_dirichlet_expectation(v).mean(axis=0), atol=1e-6)
+        assert np.allclose(trainer.fit_alpha(np.ones(3), *got[c]), trainer.update_alpha(np.ones(3), v), rtol=1e-4)
+
+
 def test_search_keeps_trials(spark, simulated, tmp_path):
     t = tuning.search(simulated[0], transform(), str(tmp_path / "study"), 2, (1, 2), trainer.Options(epochs=2, eval_every=2))
     assert t.count() == 2 and tuning.best(t).count() == 1
