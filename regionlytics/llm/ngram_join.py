@@ -5,8 +5,9 @@ shingles; any fixed order gives exact results, this one keeps common passages ou
 Documents with equal sets are one class; classes with equal prefix and size are one group. Groups
 that share a prefix shingle are candidates. Two passes find all links that matter to components:
 
-1. stars: within each group and each prefix shingle, all members against one leader;
-2. the rest: pairs of one prefix shingle (or group) that the stars have not already connected.
+1. stars: within each group and each prefix shingle, all members against the one nearest to all;
+2. the rest: pairs of one prefix shingle (or group) whose components still differ and whose sizes,
+   places and signatures allow a link. Where many would meet, stars are made again before.
 
 Candidate pairs are expanded to classes and verified on the whole sets. A set of thousands of near
 copies costs thousands of pairs, not their square, and no link between components is lost.
@@ -17,16 +18,21 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, small_or_shuffled
 
 #: Counters of the frequency sketch: 16 MB at any input.
 SKETCH_BITS = 22
+#: Longs of a set's signature: a bit says whether an odd number of the set's shingles hash to it.
+SIGNATURE = 8
+#: Stars are made again, up to so often, while more than this many pairs a posting would have to be looked at.
+PAIRS_PER_POSTING, STAR_ROUNDS = 4, 5
 ROWS = 256
 #: Bytes that are hashed at once; longer texts go in pieces cut at blanks.
 PIECE = 1 << 20
@@ -138,6 +144,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes
             yield part.column(0), part.column(1).to_pylist()
 
 
+def _signature(s: np.ndarray) -> np.ndarray:
+    """SIGNATURE longs of a set's hashes. Two sets differ in at least as many shingles as their signatures in bits."""
+    odd = np.bincount((s & np.uint64(64 * SIGNATURE - 1)).astype(np.int64), minlength=64 * SIGNATURE).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def frequency_sketch(texts: DataFrame, width: int) -> np.ndarray:
     """Shingle counts of all texts (id, text binary) by the leading bits of the shingle's hash.
 
@@ -182,13 +194,13 @@ def frequency_sketch(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, sketch, width: int, percent: int, kind: str, whole: bool) -> DataFrame:
-    """(id, n, class, gkey) of each text: set size, digest of the set, digest of prefix and size; with whole, (id, n, prefix)."""
+    """(id, n, class, gkey, s0..) of each text: set size, digest of the set, digest of prefix and size, signature; with whole, (id, n, prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = sketch.value
         digest = lambda a: hashlib.blake2b(a.tobytes(), digest_size=16).digest()
         for ids, part in _texts(batches):
-            n, sets, groups, prefixes = [], [], [], []
+            n, sets, groups, prefixes, signs = [], [], [], [], []
             for s in shingle_sets(part, width):
                 order = np.argsort(frequency[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                 first = s[order[: len(s) - (percent * len(s) + 99) // 100 + 1]] if len(s) else s
@@ -198,14 +210,17 @@ def _prefixes(texts: DataFrame, sketch, width: int, percent: int, kind: str, who
                 else:
                     sets.append(digest(s))
                     groups.append(digest(np.r_[np.uint64(len(s)), first]))
+                    signs.append(_signature(s))
             if whole:
                 ends = np.cumsum([0, *map(len, prefixes)])
                 flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), flat], names=["id", "n", "prefix"])
             else:
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sets), pa.array(groups)], names=["id", "n", "class", "gkey"])
+                bits = np.stack(signs).T
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sets), pa.array(groups), *map(pa.array, bits)], names=["id", "n", "class", "gkey", *names])
 
-    return texts.mapInArrow(run, f"id {kind}, n long, " + ("prefix array<long>" if whole else "class binary, gkey binary"))
+    names = [f"s{i}" for i in range(SIGNATURE)]
+    return texts.mapInArrow(run, f"id {kind}, n long, " + ("prefix array<long>" if whole else "class binary, gkey binary, " + ", ".join(f"{x} long" for x in names)))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
@@ -234,6 +249,45 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _bands(n: Column) -> Column:
+    """Sizes in bands, in order: each size up to 255 its own, then 128 bands to a doubling."""
+    shift = F.greatest(F.floor(F.log2(n.cast("double"))) - 7, F.lit(0))
+    return F.floor(n / F.pow(F.lit(2.0), shift)).cast("long") + shift * 256
+
+
+def _differ(x: str, y: str) -> Column:
+    """At least so many shingles are in one set only: the bits in which the signatures <x>0.. and <y>0.. differ."""
+    return reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))) for i in range(SIGNATURE)))
+
+
+def _wanting(postings: DataFrame, percent: int) -> DataFrame:
+    """The postings that may still link with one of another component, once for each band of sizes where there is such a one.
+
+    postings: (k, token, g, comp, n, top, ...); top is the largest set that a posting's place still
+    allows. A band of a token keeps the largest top and that of any other component, so that what
+    only its own component could meet leaves without a pair being made.
+    """
+    at = ["k", "token", "band"]
+    banded = postings.withColumn("band", _bands(F.col("n")))
+    by_comp = cut(banded.groupBy(*at, "comp").agg(F.max("top").alias("top"), F.min("n").alias("lo"), F.max("n").alias("hi")))
+    best = by_comp.groupBy(*at).agg(F.max_by("comp", "top").alias("c1"), F.max("top").alias("t1"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    other = by_comp.join(best.select(*at, "c1"), at).where("comp <> c1").groupBy(*at).agg(F.max("top").alias("t2"))
+    sizes = best.join(other, at, "left").withColumnRenamed("band", "with")
+    meets = (F.col("lo") <= F.col("top")) & (100 * F.col("hi") >= percent * F.col("n"))
+    meets = meets & (F.when(F.col("comp") == F.col("c1"), F.col("t2")).otherwise(F.col("t1")) >= F.col("n"))
+    return banded.join(sizes, ["k", "token"]).where(meets).drop("lo", "hi", "c1", "t1", "t2")
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (node, component) with the links (a, b) added: only their ends' components go through the search."""
+    of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    more = connected_components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).distinct())
+    moved = more.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    new = more.join(found, "node", "left_anti").select("node", "component")
+    return cut(found.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(new))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles long, component_id) of every row of docs.
 
@@ -249,17 +303,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(texts, width))
     sized = cut(_prefixes(texts, sketch, width, percent, kind, whole=False))
     full = sized.where("n > 0 AND id IS NOT NULL")
-    classes = cut(full.groupBy("class").agg(F.min("id").alias("node"), F.min("gkey").alias("gkey"), F.min("n").alias("n")))
+    signature = [f"s{i}" for i in range(SIGNATURE)]
+    classes = cut(full.groupBy("class").agg(F.min("id").alias("node"), F.min("gkey").alias("gkey"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in signature]))
     groups = classes.groupBy("gkey").agg(F.min("node").alias("g"))
-    members = cut(classes.join(groups, "gkey").select("g", "node", "n"))
+    members = cut(classes.join(groups, "gkey").select("g", "node", "n", *signature))
     # Texts that lead a group are shingled once more, which costs less than keeping and shuffling all prefixes.
     leads = cut(members.select(F.col("g").alias("id")).distinct())
     prefixes = _prefixes(texts.join(small_or_shuffled(leads), "id", "left_semi"), sketch, width, percent, kind, whole=True)
     postings = prefixes.select(F.col("id").alias("g"), "n", "prefix", F.posexplode("prefix").alias("pos", "token"))
     postings = postings.select("token", "g", "n", "pos", F.get("prefix", F.col("pos") - 1).alias("prev")).repartition("token")
-    # One exchange by token serves both the leaders and the join with them.
-    of_lead = [F.min_by(c, "g").alias(f"{c}_a") for c in ("n", "pos", "prev")]
-    shared = postings.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("top"), *of_lead).where("a <> top").drop("top")
+    # One exchange by token serves both the leaders and the join with them. What stands first in its own
+    # order has the fewest rare shingles: of near copies, the one nearest to the others.
+    first = F.shiftleft(F.col("pos").cast("long"), 32) + F.shiftrightunsigned(F.xxhash64("g"), 32)
+    of_lead = [F.min_by(c, "first").alias(f"{c}_a") for c in ("g", "n", "pos", "prev")]
+    shared = postings.withColumn("first", first).groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high"), *of_lead).where("low <> high").drop("low", "high")
     postings = cut(postings.join(shared, "token"))
     similar_size = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
@@ -272,38 +329,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return prev_x.isNull() | prev_y.isNull() | (prev_x != prev_y)
 
     # 1. stars
-    stars = postings.where("g <> a").where(similar_size(F.col("n"), F.col("n_a")) & can_reach(F.col("n"), F.col("pos"), F.col("n_a"), F.col("pos_a")))
+    stars = postings.where("g <> g_a").where(similar_size(F.col("n"), F.col("n_a")) & can_reach(F.col("n"), F.col("pos"), F.col("n_a"), F.col("pos_a")))
     stars = stars.where(run_starts(F.col("prev"), F.col("prev_a")))
-    stars = stars.select("a", F.col("g").alias("b")).unionByName(members.where("g <> node").select(F.col("g").alias("a"), F.col("node").alias("b")))
-    stars = cut(stars.distinct())
-    links = cut(_verified(stars, texts, width, percent, kind))
-    found = connected_components(links)
+    stars = stars.select(F.least("g", "g_a").alias("a"), F.greatest("g", "g_a").alias("b")).unionByName(members.where("g <> node").select(F.col("g").alias("a"), F.col("node").alias("b")))
+    met = cut(stars.distinct())
+    found = cut(connected_components(_verified(met, texts, width, percent, kind)))
 
     # 2. pairs of different components, by shingle and by group
-    placed = cut(members.join(found, "node", "left").select("g", "node", "n", F.coalesce("component", "node").alias("comp")))
-    spread = placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    tokens = postings.select("token", "g", "n", "pos", "prev").join(spread, "g")
-    open_tokens = tokens.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
-    by_token = tokens.select("token", "g", "pos", "prev").join(open_tokens, "token").join(placed, "g").select(F.lit(0).alias("k"), "token", "node", "n", "pos", "comp", "prev")
-    by_group = placed.join(spread.where("lo <> hi").select("g"), "g").select(F.lit(1).alias("k"), F.xxhash64("g").alias("token"), "node", "n", F.lit(0).alias("pos"), "comp", F.lit(None).cast("long").alias("prev"))
-    rest = cut(by_token.unionByName(by_group))
-    parts = cut(rest.groupBy("k", "token", "comp", "prev").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("left")))
-    left, right = parts.toDF("k", "token", "comp_a", "prev_a", "lo_a", "hi_a", "left_a"), parts.toDF("k", "token", "comp_b", "prev_b", "lo_b", "hi_b", "left_b")
-    may_link = (100 * F.col("hi_a") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo_a"))
-    may_link = may_link & (F.least("left_a", "left_b") >= F.ceil(F.lit(percent) * (F.col("lo_a") + F.col("lo_b")) / (100 + percent)))
-    meet = left.join(right, ["k", "token"]).where((F.col("comp_a") < F.col("comp_b")) & run_starts(F.col("prev_a"), F.col("prev_b")) & may_link)
-    one, two = rest.toDF("k", "token", "x", "n_x", "pos_x", "comp_a", "own_a"), rest.toDF("k", "token", "y", "n_y", "pos_y", "comp_b", "own_b")
-    # members of a large component meet only the components that their own size and place allow
-    fits = (100 * F.col("n_x") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("n_x"))
-    fits = fits & (F.least(F.col("n_x") - F.col("pos_x"), "left_b") >= F.ceil(F.lit(percent) * (F.col("n_x") + F.col("lo_b")) / (100 + percent)))
-    cross = meet.select("k", "token", "comp_a", "comp_b", "prev_a", "prev_b", "lo_b", "hi_b", "left_b").join(one, ["k", "token", "comp_a"]).where(F.col("own_a").eqNullSafe(F.col("prev_a")) & fits)
-    cross = cross.join(two, ["k", "token", "comp_b"]).where(F.col("own_b").eqNullSafe(F.col("prev_b")))
-    cross = cross.where(similar_size(F.col("n_x"), F.col("n_y")) & can_reach(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    cross = cut(cross.join(stars, ["a", "b"], "left_anti"))
-    if not cross.isEmpty():
-        more = cut(_verified(cross, texts, width, percent, kind))
-        if not more.isEmpty():
-            found = connected_components(links.unionByName(more))
+    top = (F.floor((100 + percent) * (F.col("n") - F.col("pos")) / percent) - F.col("n")).alias("top")
+    # what differs in more bits of the signatures than two similar sets can is no pair
+    alike = _differ("s", "r") <= F.col("n") + F.col("m") - 2 * F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / (100 + percent))
+    few, attempt, waiting = PAIRS_PER_POSTING * postings.count(), 0, True
+    while waiting:
+        placed = cut(members.join(found, "node", "left").select("g", "node", F.coalesce("component", "node").alias("comp"), *signature))
+        spread = placed.groupBy("g").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
+        tokens = postings.select("token", "g", "n", "pos", "prev").join(spread, "g")
+        open_tokens = tokens.groupBy("token").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("token")
+        own = placed.select("g", "comp").distinct()
+        by_token = tokens.join(open_tokens, "token").join(own, "g").select(F.lit(0).alias("k"), "token", "g", "comp", "n", "pos", "prev")
+        several = members.select("g", "n").distinct().join(spread.where("least <> most").select("g"), "g").join(own, "g")
+        by_group = several.select(F.lit(1).alias("k"), F.xxhash64("g").alias("token"), "g", "comp", "n", F.lit(0).alias("pos"), F.lit(None).cast("long").alias("prev"))
+        rest = cut(by_token.unionByName(by_group).select("k", "token", "g", "comp", "n", "prev", "pos", top))
+        want = cut(_wanting(rest, percent).join(placed, ["g", "comp"]))
+        key = [F.least("band", "with").alias("small"), F.greatest("band", "with").alias("large")]
+        one = want.where("band <= with").select("k", "token", *key, F.col("node").alias("a"), F.col("comp").alias("c"), "n", "prev", "top", *signature)
+        two = want.where("band >= with").select("k", "token", *key, F.col("node").alias("b"), F.col("comp").alias("d"), F.col("n").alias("m"), F.col("prev").alias("before"), F.col("top").alias("up_to"), *[F.col(c).alias(c.replace("s", "r")) for c in signature])
+        at = ["k", "token", "small", "large"]
+        work = one.groupBy(at).count().join(two.groupBy(at).agg(F.count("*").alias("with")), at).agg(F.sum(F.col("count") * F.col("with").cast("double"))).first()[0] or 0
+        fits = (F.col("c") != F.col("d")) & (F.col("n") <= F.col("up_to")) & (F.col("m") <= F.col("top")) & run_starts(F.col("prev"), F.col("before")) & alike
+        waiting = work > few and attempt < STAR_ROUNDS
+        if waiting:
+            # many pairs for few documents: first all that wait at a shingle against one of them
+            attempt += 1
+            lead = lambda side, x: side.groupBy(at).agg(*[F.min_by(c, F.xxhash64(x, F.lit(attempt))).alias(c) for c in side.columns if c not in at])
+            pairs = one.join(lead(two, "b"), at).unionByName(lead(one, "a").join(two, at))
+        else:
+            pairs = one.join(two, at)
+        pairs = pairs.where(fits & ((F.col("small") < F.col("large")) | F.lit(waiting) | (F.col("a") < F.col("b"))))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        pairs = cut(pairs.join(met, ["a", "b"], "left_anti"))
+        more = None if pairs.isEmpty() else cut(_verified(pairs, texts, width, percent, kind))
+        if more is None or more.isEmpty():
+            # no link: the stars have done what they can
+            attempt = STAR_ROUNDS
+        else:
+            found = _joined(found, more)
+            if waiting:
+                met = cut(met.unionByName(pairs))
 
     component = classes.select("class", "node").join(found, "node", "left").select("class", F.coalesce("component", "node").alias("comp"))
     # a class's smallest id stands for it; ids of several classes join their components by the links above

@@ -117,6 +117,36 @@ def test_near_duplicates_against_all_pairs(spark, width, percent, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 5])
+def test_near_duplicates_with_more_stars(spark, monkeypatch, rounds):
+    monkeypatch.setattr(nj, "PAIRS_PER_POSTING", 0)
+    monkeypatch.setattr(nj, "STAR_ROUNDS", rounds)
+    test_near_duplicates_against_all_pairs(spark, 2, 50, 9)
+
+
+def test_pairs_grow_with_a_group_of_near_copies_not_with_its_square(spark, monkeypatch):
+    counted = []
+    verified = nj._verified
+    monkeypatch.setattr(nj, "_verified", lambda pairs, *a: counted.append(pairs.count()) or verified(pairs, *a))
+
+    def made(copies):
+        r = random.Random(copies)
+        base = [f"b{r.randrange(10**9)}" for _ in range(250)]
+        texts = [" ".join(base)]
+        for i in range(copies):
+            w = list(base)
+            for at in r.sample(range(250), 1 + i % 10):
+                w[at] = f"c{r.randrange(10**9)}"
+            texts.append(" ".join(w))
+        counted.clear()
+        sizes = nj.near_duplicates(docs(spark, list(enumerate(texts))), width=5, percent=80).groupBy("component_id").count()
+        assert sizes.where("component_id = 0").first()["count"] > copies * 0.4
+        return sum(counted)
+
+    few, many = made(300), made(600)
+    assert few < 2 * 300 and many < 2.5 * few
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     t = " ".join(f"w{i}" for i in range(30))
     rows = [(5, t), (5, t), (9, t + " x"), (None, t), (7, "else " + t.replace("w", "q"))]
