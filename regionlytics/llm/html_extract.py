@@ -1,8 +1,9 @@
 """HTML main text: markup rules, and removal of site templates found by counting subtrees per host.
 
 Pages are parsed into elements. A hash of each block element's subtree (tags and text) is counted
-over the pages of its host in Spark; a subtree that recurs on at least TEMPLATE_PAGES pages and
-TEMPLATE_SHARE of the host's pages belongs to the site's template and is deleted from every page.
+over the pages of its host in Spark; a subtree that recurs beside at least TEMPLATE_PAGES different
+remainders of pages, and TEMPLATE_SHARE of the host's different pages, belongs to the site's template
+and is deleted from every page. Copies of a page, or of an article, have one remainder: they count once.
 What the markup itself declares not to be the article - navigation, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, comments - goes by tag, role and class.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,19 +20,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_or_shuffled
+from .common import cut
 from .url_filter import host_of
 
 TEMPLATE_PAGES, TEMPLATE_SHARE = 20, 0.5
+#: The longest blocks that hold this share of a page's text tell it from others.
+MASS = 0.9
+#: Most hashes of templates that are broadcast: 8 MB.
+BROADCAST_HASHES = 1_000_000
 
 TOKEN = re.compile(
     r"<!--(?:-?>|.*?--!?>|.*\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">]+)*+)>"
+    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+|(?=>)))*+)>"
     r"|<[!?/][^>]*>"
     r"|<[A-Za-z/!?].*\Z",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+ATTRIBUTE = re.compile(r"([^\s>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORDS = re.compile(r"[a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
@@ -47,10 +53,14 @@ CLASSES = frozenset(
     "disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion "
     "related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+#: What may stand beside those in a class of several words without changing its meaning.
+BESIDE = frozenset(
+    "area bar block bottom box button buttons center col column container content desktop fixed float form global group header holder icon icons inner item items left "
+    "link links list main mobile module page panel post posts primary region right row secondary section site slot sticky text title top unit wrap wrapper".split()
+)
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: An article or main element goes only by these.
 READERS = frozenset("ad ads advert advertisement comment comments disqus promo related reply sponsored".split())
-CONTENT = frozenset("article content entry main post story".split())
 #: An opening tag ends an open element of these, up to the element named.
 ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
 P_SCOPE = frozenset("table td th caption button object html".split())
@@ -62,6 +72,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tags, self.parents, self.attrs, self.hashes, self.wordy = ["#root"], [0], [""], [0], [False]
+        self.last = [0]  # the last element within each
         self.items: list[tuple[int, str]] = []  # (element, text); (BREAK, "") where a block starts or ends
         self._parts: list[list[bytes]] = [[]]
         self._stack = [0]
@@ -73,11 +84,13 @@ class Page:
         self.attrs.append(attrs)
         self.hashes.append(0)
         self.wordy.append(False)
+        self.last.append(0)
         self._parts.append([])
         self._stack.append(len(self.tags) - 1)
 
     def _close(self) -> None:
         i = self._stack.pop()
+        self.last[i] = len(self.tags) - 1
         h = xxhash.xxh64(self.tags[i].encode() + b"\1" + b"\2".join(self._parts[i]))
         self._parts[i] = []
         self.hashes[i] = h.intdigest() - (1 << 63)
@@ -163,8 +176,6 @@ class Page:
             dropped[i] = dropped[self.parents[i]] or self._goes(self.tags[i], named[i], holds[i])
         articles = [i for i in range(1, n) if self.tags[i] == "article" and not dropped[i] and self.wordy[i]]
         mains = articles or [i for i in range(1, n) if (self.tags[i] == "main" or "role:main" in named[i]) and not dropped[i] and self.wordy[i]]
-        if not mains:
-            mains = [i for i in range(1, n) if named[i] & CONTENT and self.tags[i] in ("div", "section", "td") and not dropped[i] and self.wordy[i]]
         inside = [not mains] + [False] * (n - 1)
         chosen = set(mains)
         for i in range(1, n):
@@ -177,7 +188,7 @@ class Page:
         for m in ATTRIBUTE.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                out.update(WORDS.findall(CAMEL.sub(" ", value).lower()))
+                out.update(" ".join(WORDS.findall(CAMEL.sub(" ", x).lower())) for x in entities.unescape(value).split())
             elif key == "role":
                 out.add("role:" + value.strip().lower())
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -189,17 +200,55 @@ class Page:
         if tag in ("html", "body"):
             return False
         if tag in ("article", "main"):
-            return bool(names & READERS) or "#hidden" in names
+            return "#hidden" in names or _means(names, READERS)
         if tag in DROPPED:
             return not (holds and tag in ("form", "header"))
         if holds:
             return False
-        return bool(names & CLASSES) or "#hidden" in names or any(x[5:] in ROLES for x in names if x.startswith("role:"))
+        return "#hidden" in names or _means(names, CLASSES) or any(x[5:] in ROLES for x in names if x.startswith("role:"))
+
+    def blocks(self, dropped: list[bool], inside: list[bool]) -> list[tuple[int, str]]:
+        """The kept blocks: the element where each starts, and its text with single spaces."""
+        out: list[tuple[int, str]] = []
+        run: list[str] = []
+        at = 0
+        for i, text in [*self.items, (BREAK, "")]:
+            if i == BREAK:
+                if run and (block := " ".join("".join(run).split())):
+                    out.append((at, block))
+                run = []
+            elif inside[i] and not dropped[i]:
+                if not run:
+                    at = i
+                run.append(text)
+        return out
+
+    def subtrees(self) -> tuple[int, list[tuple[int, int]]]:
+        """The page's own digest; and each hash of the block elements with text that the markup keeps, with a digest of what stands beside it.
 
-    def subtrees(self) -> list[int]:
-        """Distinct hashes of the block elements with text that the markup keeps."""
+        A digest is a sum of the hashes of blocks: of the longest ones, that hold MASS of the page's
+        text, so that pages which differ in a date or a counter are alike; of all where those all
+        stand in the subtree.
+        """
         dropped, inside = self.scope()
-        return sorted({self.hashes[i] for i in range(1, len(self.tags)) if inside[i] and not dropped[i] and self.wordy[i] and self.tags[i] in BLOCK and self.tags[i] not in ("html", "body", "article", "main")})
+        blocks = sorted((at, len(b), xxhash.xxh64_intdigest(b.encode("utf-8", "replace"))) for at, b in self.blocks(dropped, inside))
+        least, held, whole = 0, 0, sum(n for _, n, _ in blocks)
+        for n in sorted((n for _, n, _ in blocks), reverse=True):
+            if held >= MASS * whole:
+                break
+            least, held = n, held + n
+        places, long, every = [at for at, _, _ in blocks], [0], [0]
+        for _, n, h in blocks:
+            long.append(long[-1] + (h if n >= least else 0))
+            every.append(every[-1] + h)
+        signed = lambda x: (x & (1 << 64) - 1) - (1 << 63)
+        out: dict[int, int] = {}
+        for i in range(1, len(self.tags)):
+            if inside[i] and not dropped[i] and self.wordy[i] and self.tags[i] in BLOCK and self.tags[i] not in ("html", "body", "article", "main"):
+                a, z = bisect_left(places, i), bisect_right(places, self.last[i])
+                beside = long[-1] - long[z] + long[a] or every[-1] - every[z] + every[a]
+                out.setdefault(self.hashes[i], signed(beside))
+        return signed(long[-1]), sorted(out.items())
 
     def text(self, template: frozenset[int] = frozenset()) -> str:
         """The kept blocks, each with single spaces, joined by line ends."""
@@ -207,16 +256,12 @@ class Page:
         if template:
             for i in range(1, len(self.tags)):
                 dropped[i] = dropped[i] or dropped[self.parents[i]] or self.tags[i] in BLOCK and self.hashes[i] in template
-        blocks: list[str] = []
-        run: list[str] = []
-        for i, text in [*self.items, (BREAK, "")]:
-            if i == BREAK:
-                if run and (block := " ".join("".join(run).split())):
-                    blocks.append(block)
-                run = []
-            elif inside[i] and not dropped[i]:
-                run.append(text)
-        return "\n".join(blocks)
+        return "\n".join(b for _, b in self.blocks(dropped, inside))
+
+
+def _means(names: frozenset[str], words: frozenset[str]) -> bool:
+    """Whether a class is one of words, or a compound of them with nothing that gives it another meaning."""
+    return any(x in words or " " in x and (parts := x.split()) and words.intersection(parts) and all(p in words or p in BESIDE or p.isdigit() for p in parts) for x in names)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -224,28 +269,33 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty pages, and pages without main text, have the empty text. Pages without a host
     (null URL) count as pages of the empty host. Broken markup is read as browsers do for open
-    elements, unfinished tags and character references. Rows that repeat count as pages of their
-    own and are extracted alike. Other columns are ignored.
+    elements, unfinished tags, quotes and character references. Rows that repeat are extracted
+    alike and count once for templates, as do pages whose long blocks are equal. Very long pages
+    are read whole; other columns are ignored.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"host": pdf["host"], "subtrees": [Page(h).subtrees() for h in pdf["html"]]})
+            found = [Page(h).subtrees() for h in pdf["html"]]
+            yield pd.DataFrame({"host": pdf["host"], "page": [p for p, _ in found], "subtrees": [[{"h": h, "beside": b} for h, b in x] for _, x in found]})
 
-    found = base.select("host", "html").mapInPandas(hashes, "host string, subtrees array<long>")
-    # the host's number of pages is counted along, as one more subtree of each page
-    counted = found.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "subtrees")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE_PAGES)
-    counted = counted.groupBy("host").agg(F.max(F.when(F.col("h").isNull(), F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("h").isNotNull(), F.struct("h", "n"))).alias("subtrees"))
+    found = base.select("host", "html").mapInPandas(hashes, "host string, page long, subtrees array<struct<h:long,beside:long>>")
+    # the host's different pages are counted along, as one more subtree of each page
+    own = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.col("page").alias("beside")))
+    beside = found.select("host", F.explode(F.concat(own, "subtrees")).alias("x")).select("host", "x.h", "x.beside")
+    counted = cut(beside.distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE_PAGES))
+    of_host = counted.where("h IS NULL").select("host", F.col("n").alias("pages"))
+    recurring = counted.where("h IS NOT NULL").join(of_host, "host").where(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
     # at most twice the mean number of blocks of a host's page recur on half of its pages
-    template = F.transform(F.filter("subtrees", lambda x: x["n"] >= TEMPLATE_SHARE * F.col("pages")), lambda x: x["h"])
-    templates = cut(counted.select("host", template.alias("template")).where(F.size("template") > 0))
+    templates = cut(recurring.groupBy("host").agg(F.collect_list("h").alias("template")))
+    total = templates.agg(F.sum(F.size("template"))).first()[0] or 0
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = [Page(h).text(frozenset(() if t is None else map(int, t))) for h, t in zip(pdf["html"], pdf["template"], strict=True)]
             yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": out})
 
-    joined = base.join(small_or_shuffled(templates, 50_000), "host", "left").select("id", "url", "html", "template")
+    joined = base.join(F.broadcast(templates) if total <= BROADCAST_HASHES else templates, "host", "left").select("id", "url", "html", "template")
     return joined.mapInPandas(texts, f"id {kind}, url string, text string").toDF(id_col, url_col, "text")
