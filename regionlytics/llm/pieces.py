@@ -5,7 +5,9 @@ words, since no piece holds U+2581 behind another character. The words that a ba
 yet are laid out as one flat array of symbols. A round looks up the rank of each neighbouring pair,
 takes the smallest rank of each word by a segmented minimum, merges its leftmost occurrence - or
 all of its occurrences from the left, where that can be proven to be the same - in all words at
-once, and compacts the array; words without a pair leave. Characters without a piece become bytes.
+once, and compacts the array; words without a pair leave. In a long word the minimum is taken over
+the stretch that could still reach a pair before its turn, so that its parts merge side by side.
+Characters without a piece become bytes.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ SPACE = "▁"
 NEVER = np.iinfo(np.int32).max
 #: Words that a worker remembers; about 40 MB.
 REMEMBER = 200_000
+#: From so many characters on a word is long; long words are not remembered.
+LONG = 64
 ROWS = 128
 
 
@@ -84,6 +88,7 @@ class PieceModel:
         self.bits = max(8, int(len(keys) * 4).bit_length())
         self.keys, self.merged = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
         value, at = np.fromiter(pairs.values(), np.int64, len(pairs)), self._slot(keys)
+        keys_of, value_of = keys, value
         while len(keys):
             free = self.keys[at] < 0
             self.keys[at[free]] = keys[free]  # of several keys for a slot the last one gets it
@@ -92,6 +97,23 @@ class PieceModel:
             keys, value, at = keys[~placed], value[~placed], (at[~placed] + 1) & ((1 << self.bits) - 1)
         self.single = np.zeros(n, bool)  # of these, one occurrence is merged at a time
         self.single[list(tied)] = True
+        self.tie = np.zeros(n, bool)  # several pieces share the score
+        self.tie[[i for i in normal.values() if sizes[self.rank[i]] > 1]] = True
+        self._reaches(keys_of, value_of, normal)
+
+    def _reaches(self, keys: np.ndarray, value: np.ndarray, normal: dict[str, int]) -> None:
+        """For each symbol and bound on ranks: the most characters of a piece that takes the symbol from its left, or right, in a pair below the bound."""
+        self.longest = max(map(len, normal))
+        size = np.ones(self.width, np.int64)  # symbols that are no pieces are characters
+        for p, i in normal.items():
+            size[i] = len(p)
+        rank, left, right = self.rank[value], keys // self.width, keys % self.width
+        self.bounds = np.r_[[1 << b for b in range(4, 31, 2) if 1 << b <= rank.max()], NEVER]
+        self.reach = np.zeros((2, len(self.bounds), self.width + 1), np.int64)
+        for b, bound in enumerate(self.bounds.tolist()):
+            low = rank < bound
+            np.maximum.at(self.reach[0, b], right[low], size[left[low]])
+            np.maximum.at(self.reach[1, b], left[low], size[right[low]])
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -110,13 +132,112 @@ class PieceModel:
             todo, key, at = todo[on], key[on], (at[on] + 1) & ((1 << self.bits) - 1)
         return out
 
+    def _symbols(self, text: str) -> np.ndarray:
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sym = self.char[code].astype(np.int64)
+        return np.where(sym < 0, -1 - code, sym)
+
+    def _wakes(self, sym: np.ndarray, part: np.ndarray, piece: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the piece that the pair at ``at`` makes has, with a neighbour or with itself, a pair of no higher rank."""
+        if not len(at):
+            return np.zeros(0, bool)
+        last, own = len(sym) - 1, self.rank[piece]
+        low = lambda p: np.where(p >= 0, self.rank[p], NEVER) <= own
+        out = self.tie[piece] | low(self._pairs(piece, piece))
+        before, after = np.maximum(at - 1, 0), np.minimum(at + 2, last)
+        out |= low(self._pairs(sym[before], piece)) & (part[before] == part[at])
+        return out | low(self._pairs(piece, sym[after])) & (part[after] == part[at])
+
+    def _merge_long(self, sym: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of long words, in one array by part, after all merges, and the places where they start.
+
+        A pair may merge before its turn if nothing can take its left symbol from the left, or its
+        right one from the right, any earlier. A symbol that does so grows within its reach, by pairs
+        that are there now; so it is enough that no pair within reach has a smaller rank. Parts in
+        which nothing is left to merge leave the array.
+        """
+        place, inner = np.arange(len(sym)), np.flatnonzero(part[1:] == part[:-1])
+        pair = np.full(len(sym), -1, np.int64)
+        pair[inner] = self._pairs(sym[inner], sym[inner + 1])
+        final: list[tuple[np.ndarray, np.ndarray]] = []
+        turn = 0
+        while True:
+            rank = np.where(pair >= 0, self.rank[pair], NEVER)
+            live = np.flatnonzero(rank < NEVER)
+            if not len(live):
+                break
+            turn += 1
+            if turn % 4 == 0:
+                edge = np.zeros(len(sym) + 1, np.int64)
+                np.add.at(edge, np.maximum(live - self.longest, 0), 1)
+                np.add.at(edge, np.minimum(live + 2 + self.longest, len(sym)), -1)
+                near = np.cumsum(edge[:-1]) > 0
+                if 2 * np.count_nonzero(near) < len(sym):
+                    final.append((place[~near], sym[~near]))
+                    part = np.cumsum(near & ~np.r_[False, near[:-1] & (part[1:] == part[:-1])])
+                    sym, pair, place, part = sym[near], pair[near], place[near], part[near]
+                    pair[np.flatnonzero(part[1:] != part[:-1])] = -1
+                    continue
+            own = rank[live]
+            bound = np.searchsorted(self.bounds, own, "right")
+            # of equal pairs the left one is first; that matters to the others only if its piece makes a smaller rank
+            order_of = 2 * rank.astype(np.int64)
+            odd = live[self.single[pair[live]]]
+            order_of[odd[self._wakes(sym, part, pair[odd], odd)]] -= 1
+            pad = np.full(self.longest, 2 * NEVER, np.int64)
+            table = [np.r_[pad, order_of, pad]]
+            while 2 << (len(table) - 1) <= self.longest:
+                table.append(np.minimum(table[-1][: -(1 << len(table) - 1)], table[-1][1 << len(table) - 1 :]))
+
+            def least(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+                """The least order of count pairs from first on."""
+                out, level = np.full(len(first), 2 * NEVER, np.int64), np.frexp(count)[1] - 1
+                for j, t in enumerate(table):
+                    q = np.flatnonzero(level == j)
+                    at = first[q] + len(pad)
+                    out[q] = np.minimum(t[at], t[at + count[q] - (1 << j)])
+                return out
+
+            symbol = np.where(sym < 0, self.width, sym)
+            k = self.reach[0, bound, symbol[live]]
+            before = least(live - k, k)
+            after = least(live + 1, self.reach[1, bound, symbol[live + 1]])
+            free = (own <= (after + 1) // 2) & (2 * own.astype(np.int64) <= before)
+            # of a chain of overlapping occurrences, what stands before the first that must wait
+            start = np.r_[True, (live[1:] != live[:-1] + 1) | (own[1:] != own[:-1])]
+            link = np.cumsum(start) - 1
+            begin = np.flatnonzero(start)
+            stuck = np.minimum.reduceat(np.where(free, len(live), np.arange(len(live))), begin)
+            order = np.arange(len(live))
+            free &= (order < stuck[link]) & ((order - begin[link]) % 2 == 0)
+            at = live[free]
+            sym[at] = pair[at]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            pair[at] = -2
+            at = np.cumsum(keep)[at] - 1
+            sym, part, place, pair = sym[keep], part[keep], place[keep], pair[keep]
+            pair[at[at > 0] - 1] = -2
+            look = np.flatnonzero(pair == -2)
+            after = np.minimum(look + 1, len(sym) - 1)
+            same = (part[look] == part[after]) & (after > look)
+            pair[look] = -1
+            pair[look[same]] = self._pairs(sym[look[same]], sym[after[same]])
+        final.append((place, sym))
+        place, sym = (np.concatenate(x) for x in zip(*final, strict=True))
+        order = np.argsort(place)
+        return sym[order], place[order]
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each escaped word, as the bytes of whole numbers of ``kind``."""
         out = [b""] * len(words)
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        sym = self.char[code].astype(np.int64)
-        sym = np.where(sym < 0, -1 - code, sym)
+        if many := [i for i, w in enumerate(words) if len(w) >= LONG]:
+            ends = np.cumsum([0, *(len(words[i]) for i in many)])
+            sym, place = self._merge_long(self._symbols("".join(words[i] for i in many)), np.repeat(many, np.diff(ends)))
+            self._emit(out, sym, many, np.searchsorted(place, ends))
+        rest = [i for i, w in enumerate(words) if len(w) < LONG]
+        sym = self._symbols("".join(words[i] for i in rest))
+        word = np.repeat(np.array(rest, np.int64), [len(words[i]) for i in rest])
         pair = np.full(len(sym), -1, np.int64)  # the piece that a symbol makes with the next one of its word
         inner = np.flatnonzero(word[1:] == word[:-1])
         pair[inner] = self._pairs(sym[inner], sym[inner + 1])
@@ -241,7 +362,11 @@ class Encoder:
         if new:
             self.known.update(zip(new, self.model.encode_words([self._escaped(w) for w in new]), strict=True))
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), self.model.kind) for words in split]
+        out = [np.frombuffer(b"".join(map(get, words)), self.model.kind) for words in split]
+        for w in new:
+            if len(w) >= LONG:
+                del self.known[w]
+        return out
 
     @staticmethod
     def _escaped(w: str) -> str:
