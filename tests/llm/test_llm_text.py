@@ -112,6 +112,9 @@ def test_url_empty_table(spark):
         ("<article>a<!-- <p>no</p> -->b</article><article class='comment'>c</article>", "ab"), ("<article><p>x &lt;i&gt; &#233;&copy", "x <i> é©"),
         ("<article><p>end <a href='x", "end"), ("<body class='has-sidebar'><div id='cookie-notice'>c</div><p>t</p>", "t"), ("<article><table><tr><td>1<td>2</table></article>", "1\n2"),
         ("<article><p>1 < 2 <b title='a>b'>x</b></p></article>", "1 < 2 x"), ("<div role='navigation'>n</div><p hidden>h</p><p>k</p>", "k"),
+        ("<p title=it's>text</p><p>more</p>", "text\nmore"), ('<article><p data-x=5">a</p><p>b</p></article>', "a\nb"),
+        ("<p class=share-price-report>a</p><p class='comment-free x'>b</p><div id=related-work>c</div>", "a\nb\nc"), ("<p class='share-buttons'>a</p><p class=relatedPosts>b</p><p class='cookie-notice-2'>c</p>d", "d"),
+        ("<p>before</p><div class='content'><p>in</p></div><p>after</p>", "before\nin\nafter"), ("<p a='x>y' b=\"it's\" c = 'z'>t", "t"), ("<p a='x>never closed", ""),
     ],
 )
 def test_page_text(html, text):
@@ -122,7 +125,7 @@ def test_page_text(html, text):
 @given(st.text(alphabet="<>/!-=\"' abpdivscript&;#x1\n", max_size=200))
 def test_any_markup_parses(s):
     p = he.Page(s)
-    p.text(frozenset(p.subtrees()))
+    p.text(frozenset(h for h, _ in p.subtrees()[1]))
     assert len(p._stack) == 1
 
 
@@ -138,6 +141,49 @@ def test_templates_are_removed_per_host(spark):
     assert he.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_are_no_template(spark):
+    url = lambda i: f"http://c.com/{i}"
+    body = "<p>The article itself, with more words than the rest.</p><p>Its second part.</p>"
+    rows = [(i, url(i), f"<body>{body}<p>{i}</p></body>") for i in range(25)] + [(25, url(25), f"<body>{body}</body>")] * 25
+    rows += [(100 + i, url(i), f"<body><p>Long words of the house on every page of it.</p><p>Story {i} {i} {i}</p><p>Also of the house.</p></body>") for i in range(60)]
+    d = spark.createDataFrame([(*r, "c.com", [1], 5) for r in rows], "page_id long, url string, html string, host string, template array<int>, text int")
+    got = he.extract(d).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["text"] == (f"Story {r['page_id'] - 100} {r['page_id'] - 100} {r['page_id'] - 100}" if r["page_id"] >= 100 else "The article itself, with more words than the rest.\nIts second part." + f"\n{r['page_id']}" * (r["page_id"] < 25))
+
+
+def test_templates_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(he, "TEMPLATE_PAGES", 3)
+    monkeypatch.setattr(he, "TEMPLATE_SHARE", 0.3)
+    r = random.Random(11)
+    block = lambda n, k: "".join(f"<p>{r.choice('abcdefgh') * n}</p>" for _ in range(k))
+    made = [(i, f"http://h{i % 3}.com/", f"<div>{block(2, 1)}<div>{block(3, 2)}</div></div>{block(5, 1)}") for i in range(120)]
+    given_ = [tuple(x) for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    for rows in (made, given_):
+        d = spark.createDataFrame(rows, "page_id long, url string, html string")
+        hosts = {x["page_id"]: x["h"] for x in d.select("page_id", uf.host_of(F.col("url")).alias("h")).collect()}
+        pages, beside = {}, {}
+        for i, _, html in rows:
+            own, found = he.Page(html or "").subtrees()
+            pages.setdefault(hosts[i], set()).add(own)
+            for h, b in found:
+                beside.setdefault((hosts[i], h), set()).add(b)
+        template = {k for k, v in beside.items() if len(v) >= 3 and len(v) >= 0.3 * len(pages[k[0]]) and len(pages[k[0]]) >= 3}
+        want = {i: he.Page(html or "").text(frozenset(h for host, h in template if host == hosts[i])) for i, _, html in rows}
+        assert {x["page_id"]: x["text"] for x in he.extract(d).collect()} == want
+        assert rows is given_ or template and any(want[i] != he.Page(html).text() for i, _, html in rows)
+
+
+def test_digests_leave_the_subtree_out():
+    p = he.Page("<div><p>one two three four five</p><p>six seven eight nine</p></div><p>ten eleven twelve</p><p>x</p>")
+    q = he.Page("<div><p>one two three four five</p><p>six seven eight nine</p></div><p>ten eleven twelve</p><p>y</p>")
+    other = he.Page("<div><p>one two three four five</p><p>six seven eight nine</p></div><p>ten eleven thirteen</p><p>x</p>")
+    assert p.subtrees()[0] == q.subtrees()[0] != other.subtrees()[0]
+    div = p.hashes[1]
+    assert dict(p.subtrees()[1])[div] == dict(q.subtrees()[1])[div] != dict(other.subtrees()[1])[div]
+
+
 # secrets
 
 
@@ -249,6 +295,29 @@ def test_pieces_in_any_order(sp, enc):
     assert [enc.model.decode(x) for x in ids] == [sp.decode(x) for x in ids]
 
 
+def test_long_words_as_the_library(sp, enc, monkeypatch):
+    import time
+
+    r = random.Random(14)
+    letters, some = "abcdefghijklmnopqrstuvwxyz", [p for p in enc.model.pieces[259:] if "▁" not in p]
+    woken = [enc.model.pieces[i] for i in np.flatnonzero(enc.model.single)]
+    made = lambda n: [
+        "".join(r.choices(letters, k=n)), "".join(r.choices("ab", k=n)), "x" * n, "th" * (n // 2), "ry" * (n // 2), "".join(r.choices(some, k=n // 3)), "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(n)),
+        "".join(r.choices(woken, k=n // 3)).replace("▁", ""), (r.choice(woken) * n)[:n].replace("▁", ""), "".join(r.choices(["the", "internation", "al", "ing", "é", "😀"], k=n // 4)), "".join(r.choices(letters + letters.upper() + "0123456789+/", k=n)),
+    ]
+    for least in (2, 64):  # also short words by the way of the long ones
+        monkeypatch.setattr(pc, "LONG", least)
+        texts = [t for n in (5, 60, 64, 200, 3000) for _ in range(12) for t in made(n)]
+        for at in range(0, len(texts), 50):
+            part = texts[at : at + 50] + [" ".join(texts[at : at + 50])]
+            assert [x.tolist() for x in enc.encode(part)] == sp.encode(part)
+    assert not any(len(w) >= pc.LONG for w in enc.known)
+    for t in made(1_000_000):
+        began = time.process_time()
+        assert enc.encode([t])[0].tolist() == sp.encode(t)
+        assert time.process_time() - began < 30
+
+
 def test_token_tables(spark, sp):
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = [(1, None), (2, ""), (3, "a  b\n c "), (3, "a  b\n c "), (None, "x" * 50_000)]
