@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: Runs that the models judge, and the lengths from which on they have a threshold of their own.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 LENGTHS = (12, 16, 20)
+#: Longer texts give no samples, so that these are bounded.
+SAMPLE_CHARS = 100_000
 #: What joins a run to a base span beside it.
 JOINERS = "/_=-"
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
@@ -52,20 +54,19 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def _free(spans: list[Span], start: int, end: int) -> bool:
-    return all(e <= start or s >= end for s, _, e in spans)
-
-
-def uncovered(spans: list[Span], start: int, end: int) -> Iterator[tuple[int, int]]:
-    """The stretches of [start, end) outside spans, which are sorted."""
-    for s, _, e in spans:
-        if s >= end:
-            break
-        if s > start:
-            yield start, s
-        start = max(start, e)
-    if start < end:
-        yield start, end
+def uncovered(spans: list[Span], runs: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """Each stretch of the runs outside spans, and its run. Both are sorted, and read once."""
+    at, covered = 0, 0  # the next span, and the end of those before
+    for begin, end in runs:
+        start = max(begin, covered)
+        while at < len(spans) and spans[at][0] < end:
+            if spans[at][0] > start:
+                yield start, spans[at][0], begin, end
+            covered = max(covered, spans[at][2])
+            start = max(start, covered)
+            at += 1
+        if start < end:
+            yield start, end, begin, end
 
 
 class Markov:
@@ -143,23 +144,27 @@ class Detector:
         """All spans of text, those of the models included."""
         out = base_spans(text)
         more = []
-        for m in RUN.finditer(text):
-            for start, end in uncovered(out, m.start(), m.end()):
-                # a joiner beside a base span belongs to neither
-                while start > m.start() and start < end and text[start] in JOINERS:
-                    start += 1
-                while end < m.end() and start < end and text[end - 1] in JOINERS:
-                    end -= 1
-                s = text[start:end]
-                if len(s) >= LENGTHS[0] and any(c.isalpha() for c in s) and self.score(s) > self.limit(len(s)):
-                    more.append((start, 3, end))
+        for start, end, first, last in uncovered(out, (m.span() for m in RUN.finditer(text))):
+            # a joiner beside a base span belongs to neither
+            while start > first and start < end and text[start] in JOINERS:
+                start += 1
+            while end < last and start < end and text[end - 1] in JOINERS:
+                end -= 1
+            s = text[start:end]
+            if len(s) >= LENGTHS[0] and any(c.isalpha() for c in s) and self.score(s) > self.limit(len(s)):
+                more.append((start, 3, end))
         return sorted(out + more)
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> Detector:
-    """From the sample_docs documents whose ids hash lowest: a bounded sample, the same on every run."""
-    ids = [r[0] for r in docs.select(id_col).where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample_docs).collect()]
-    rows = docs.where(F.col(id_col).isin(ids)).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """From the sample_docs different documents that hash lowest by id and text: a bounded sample, the same on every run.
+
+    Rows with a null id and texts of more than SAMPLE_CHARS characters are not sampled; rows that repeat count once.
+    """
+    key = F.xxhash64(id_col, text_col)
+    asked = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
+    keys = [r[0] for r in asked.select(key.alias("key")).distinct().orderBy("key").limit(sample_docs).collect()]
+    rows = asked.where(key.isin(keys)).select(F.col(text_col).alias("text"))
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -167,10 +172,11 @@ def train(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> Dete
             for text in pdf["text"]:
                 spans = base_spans(text)
                 got += [(re.split(r"[:=]", text[s:e])[-1].strip(" \"'") if k == 0 else text[s:e], True) for s, k, e in spans]
-                got += [(m[0], False) for m in WORD.finditer(text) if not any(c.isdigit() for c in m[0]) and _free(spans, m.start(), m.end())]
+                words = [m.span() for m in WORD.finditer(text) if not any(c.isdigit() for c in m[0])]
+                got += [(text[a:z], False) for a, z, *run in uncovered(spans, words) if [a, z] == run]
             yield pd.DataFrame(sorted(set(got)), columns=["s", "secret"]).astype({"s": str, "secret": bool})
 
-    got = rows.mapInPandas(pick, "s string, secret boolean").distinct().collect() if ids else []
+    got = rows.mapInPandas(pick, "s string, secret boolean").distinct().collect() if keys else []
     ordinary = sorted(r["s"] for r in got if not r["secret"])
     ordinary += identifiers(ordinary, 2000)
     random.Random(11).shuffle(ordinary)
@@ -184,7 +190,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
 
     start and end are code points, end exclusive; spans are sorted by start, then in the order of
     KINDS. Null and empty texts have no spans; rows that repeat are scanned alike; other columns are
-    ignored. sample_docs bounds the documents that the models learn from, not those scanned.
+    ignored. A text of any length is scanned once, in time that grows with it. sample_docs bounds the
+    different documents that the models learn from, not those scanned.
     """
     detector = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, sample_docs))
     kind = docs.schema[id_col].dataType.simpleString()

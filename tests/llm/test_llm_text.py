@@ -237,6 +237,44 @@ def test_scan_judges_short_strings_letters_and_what_base_spans_leave(spark):
     assert not any(random_spans(f"the {t} of") for t in words)
 
 
+def test_stretches_outside_spans_against_brute_force():
+    r = random.Random(15)
+    for _ in range(500):
+        cuts = sorted(r.sample(range(60), 2 * r.randint(0, 6)))
+        runs = list(zip(cuts[::2], cuts[1::2], strict=True))
+        spans = sorted((a, 0, a + r.randint(1, 12)) for a in r.sample(range(60), r.randint(0, 6)))
+        covered = {i for a, _, z in spans for i in range(a, z)}
+        want = []
+        for a, z in runs:
+            free = [i for i in range(a, z) if i not in covered]
+            starts = [i for i in free if i - 1 not in free or i == a]
+            want += [(i, next(j for j in range(i, z + 1) if j == z or j in covered), a, z) for i in starts]
+        assert list(ss.uncovered(spans, runs)) == want
+
+
+def test_scan_of_a_long_text_takes_time_in_proportion():
+    import time
+
+    r = random.Random(16)
+    d = ss.Detector(ss.random_strings(200), ["connecting", "requesting", "responsible"] * 50)
+    text = "\n".join(f"{r.getrandbits(96):024x} word {'abc_def_ghi_jkl'}" for _ in range(100_000))
+    began = time.process_time()
+    spans = d.spans(text)
+    assert time.process_time() - began < 60 and sum(k == 2 for _, k, _ in spans) >= 99_000
+
+
+def test_scan_learns_from_a_bounded_sample_whatever_repeats(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ss, "Detector", lambda secrets, ordinary: seen.append(ordinary))
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(1, f"word{letters(i)}") for i in range(500)] + [(2, "same")] * 500 + [(3, "x" * (ss.SAMPLE_CHARS + 1)), (4, None), (None, "null")]
+    ss.train(docs(spark, rows), "doc_id", "text", 10)
+    words = set(re.findall("word[a-j]+|same|null", " ".join(seen[0])))
+    assert 1 <= len({w for w in seen[0] if re.fullmatch("word[a-j]+|same", w)}) <= 10 and "null" not in words
+    ss.train(docs(spark, rows[500:]), "doc_id", "text", 10)
+    assert [w for w in seen[1] if w == "same"] == ["same"]
+
+
 # quality
 
 
