@@ -15,10 +15,12 @@ BROADCAST_ROWS = 1_000_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; where none is set (tests), a folder of this machine."""
+    """The shared folder in spark.checkpoint.dir; where none is set, a folder of this machine, but only for a local master."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)

@@ -3,8 +3,9 @@
 A logistic model over byte and word statistics, fitted on a bounded sample of labelled rows, gives
 each document's evidence. Hosts and paths of hosts have a rate of good documents of their own: its
 prior is a Beta around the rate of the level above, whose strength is estimated from the spread of
-the groups beyond chance (empirical Bayes), so sparse sites shrink towards the global rate. The
-posterior of a document moves its evidence by what the other documents of its path and host say.
+the groups beyond chance (empirical Bayes), so sparse sites shrink towards the global rate. A
+labelled document counts in them by its label, any other by its probability. The posterior of a
+document moves its evidence by what the other documents of its path and host say.
 """
 
 from __future__ import annotations
@@ -80,17 +81,22 @@ class Logistic:
 def train(texts: DataFrame, labels: DataFrame, id_col: str, label_col: str, rows: int = TRAIN_ROWS) -> Logistic | None:
     """From at most rows labelled documents, those whose ids hash lowest; None unless both classes occur.
 
-    texts has (id, text binary). Labels that are null are left out; repeated labels count once each.
+    texts has (id, text binary). Labels that are null are left out. An id counts once for each label
+    that it has, however often either repeats; of its texts the one that hashes lowest is taken.
     """
     labelled = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y"))
-    sample = cut(labelled.orderBy(F.xxhash64("id"), "id", "y").limit(rows))
+    sample = cut(labelled.distinct().orderBy(F.xxhash64("id"), "id", "y").limit(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t).tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], names=["x", "y"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                x = [features(t).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.binary()), part.column(2), part.column(3)], names=["id", "x", "y", "key"])
 
-    got = texts.join(F.broadcast(sample), "id").select("text", "y").mapInArrow(run, "x binary, y int").toArrow()
+    asked = texts.join(F.broadcast(sample), "id").select("id", "text", "y", F.xxhash64("text").alias("key"))
+    found = asked.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, x binary, y int, key long")
+    got = found.groupBy("id", "y").agg(F.min_by("x", "key").alias("x")).select("x", "y").toArrow()
     y = got["y"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return None
@@ -112,17 +118,19 @@ def _strength(groups: DataFrame, prior: Column) -> float:
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang",
-    label_col: str = "quality", threshold: float = 0.5, train_rows: int = TRAIN_ROWS,
+    label_col: str = "quality", threshold: float = 0.5, train_rows: int = TRAIN_ROWS, row_col: str | None = None,
 ) -> DataFrame:
-    """(id_col, evidence, site, posterior, kept) of every row of docs.
+    """(id_col, evidence, site, posterior, kept) of every row of docs; with row_col (long) also that column.
 
     evidence is the document's logit, site the rate of good documents among the others of its path
     and host after shrinkage, posterior the combined probability; kept says posterior >= threshold.
     Null hosts and paths are groups of their own. Null and empty texts have no features and get the
     evidence that the model gives to none. Without labels of both classes all is kept. Rows that
-    repeat are judged alike and count each. Other columns of docs and labels are ignored.
+    repeat are judged alike and count each; several labels of an id count by their mean. Very long
+    texts are read whole. Other columns of docs and labels are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    extra = [] if row_col is None else [row_col]
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(train(texts, labels, id_col, label_col, train_rows))
 
@@ -134,10 +142,14 @@ def classify(
                     logit = np.full(part.num_rows, 30.0)
                 else:
                     logit = np.clip(model.value.logit(np.stack([features(t) for t in part.column(3).to_pylist()]).astype(np.float64)), -30, 30)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(logit)], names=["id", "host", "path", "evidence"])
-
-    asked = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("binary").alias("text"))
-    scored = cut(asked.mapInArrow(run, f"id {kind}, host string, path string, evidence double")).withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 1, 2)), pa.array(logit), *(part.column(4 + i) for i in range(len(extra)))], names=["id", "host", "path", "evidence", *(["row"] * len(extra))])
+
+    asked = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("binary").alias("text"), *[F.col(c).cast("long").alias("row") for c in extra])
+    scored = cut(asked.mapInArrow(run, f"id {kind}, host string, path string, evidence double" + ", row long" * len(extra)))
+    told = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg((F.col(label_col) > 0).cast("double")).alias("told"))
+    scored = scored.join(small_or_shuffled(told.where("told IS NOT NULL")), "id", "left")
+    # what the document says of its site: its label, or else its probability
+    scored = scored.withColumn("p", F.coalesce("told", 1 / (1 + F.exp(-F.col("evidence"))))).drop("told")
     paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n"), F.sum("s")).first()
@@ -154,4 +166,4 @@ def classify(
     site = F.least(F.greatest(at_path, F.lit(1e-6)), F.lit(1 - 1e-6))
     moved = F.col("evidence") + F.log(F.col("site") / (1 - F.col("site"))) - float(np.log(rate / (1 - rate)))
     out = out.withColumn("site", site).withColumn("posterior", 1 / (1 + F.exp(-moved)))
-    return out.select(F.col("id").alias(id_col), "evidence", "site", "posterior", (F.col("posterior") >= threshold).alias("kept"))
+    return out.select(F.col("id").alias(id_col), *[F.col("row").alias(c) for c in extra], "evidence", "site", "posterior", (F.col("posterior") >= threshold).alias("kept"))

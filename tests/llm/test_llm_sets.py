@@ -333,6 +333,59 @@ def test_pipeline_stages(spark, tmp_path):
     assert cp.exact(spark, docs(spark, [(1, "a"), (1, "a"), (None, "b"), (2, "a"), (2, "a")]), sf).count() == 2
 
 
+def odd_documents(spark):
+    """Good and bad texts, some under one id or none, with near copies among them; the columns of documents and one that clashes."""
+    r = random.Random(21)
+    rows = []
+    for i in range(160):
+        good = i % 4 != 0
+        text = " ".join(r.choice(["the", "reading", "of", "several", "letters", "makes", "sense"]) + str(i) * (k % 5 == 0) for k in range(60)) if good else "!! $$ " * 40 + str(i)
+        doc = None if i % 8 < 2 else i // 8 if i % 8 == 2 else i
+        rows.append((doc, text, "en", "abc"[i % 3], len(text), i))
+        if i % 10 == 1:
+            rows.append((None if i % 20 == 1 else 1000 + i, text + " more", "en", "b", 1, 500 + i))
+    rows += [(7, None, "en", "a", 0, 900), (None, "", None, None, 0, 901)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row int")
+
+
+def test_pipeline_keeps_to_rows_whatever_their_ids(spark, tmp_path):
+    import public_tokenizers
+    import sentencepiece
+
+    import corpus_pipeline as cp
+    from regionlytics.llm import quality as ql
+
+    d = odd_documents(spark)
+    labels = d.where("doc_id IS NOT NULL").select("doc_id", F.when(F.col("text").startswith("!!"), 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    judged = {x["_row"]: x["kept"] for x in ql.classify(d, labels, row_col="_row").collect()}
+    out = cp.quality(spark, d, str(tmp_path))
+    assert out.columns == d.columns
+    kept = {x["_row"]: (x["doc_id"], x["text"]) for x in out.collect()}
+    assert set(kept) == {i for i, k in judged.items() if k} and not any((t or "").startswith("!!") for _, t in kept.values())
+    assert {x["_row"] for x in d.collect() if x["text"] and not x["text"].startswith("!!")} <= set(kept)
+
+    left = cp.near(spark, out, "")
+    assert left.columns == d.columns
+    order = sorted(kept, key=lambda i: (kept[i][0] is None, kept[i][0] or 0))
+    sets = [shingles(kept[i][1], 5) for i in order]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    comp = groups(len(sets), links)
+    got = sorted(x["_row"] for x in left.collect())
+    classes = {}
+    for k, i in enumerate(order):
+        classes.setdefault(comp[k], []).append(i)
+    # which one stays is set by the ids; of equal or null ids any
+    for members in classes.values():
+        stays = [i for i in members if i in got]
+        assert len(stays) == 1 and kept[stays[0]][0] == kept[members[0]][0]
+    assert len(got) == len(classes) and len(links) > 10
+
+    made = cp.tokens(spark, left, "")
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(cp.TOKENIZER))
+    assert sorted((str(x["doc_id"]), x["ids"]) for x in made.collect()) == sorted((str(kept[i][0]), sp.encode(kept[i][1] or "")) for i in got)
+
+
 def test_pipeline_mixture_takes_each_row_by_its_own_words(spark, monkeypatch):
     from collections import Counter
 
@@ -347,8 +400,9 @@ def test_pipeline_mixture_takes_each_row_by_its_own_words(spark, monkeypatch):
     got = Counter((x["doc_id"], x["text"], x["source"]) for x in out.collect())
     taken = {x["row"]: x["n"] for x in made[0][1].groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("n")).collect()}
     want = Counter()
-    for x in d.withColumn("row", F.monotonically_increasing_id()).collect():
-        if x["text"]:
-            want[x["doc_id"], x["text"], x["source"]] += int(taken.get(x["row"], 0) / len(x["text"].split()) + 0.5)
+    for x in made[0][0].select("row", "id", "source", "size").join(cp._numbered(d)[0].withColumnRenamed("_row", "row").select("row", "text"), "row").collect():
+        if x["size"]:
+            assert x["size"] == len(x["text"].split())
+            want[x["id"], x["text"], x["source"]] += int(taken.get(x["row"], 0) / x["size"] + 0.5)
     assert got == +want
     assert sum(n for (i, _, _), n in got.items() if i is None) > 20 and max(got.values()) == 2

@@ -296,6 +296,60 @@ def test_quality_edge_cases(spark):
     assert ql.classify(d.limit(0), both).count() == 0
 
 
+def test_quality_rates_and_posteriors_against_plain_loops(spark):
+    sf = "/root/testdata/sf0.01"
+    cols = ["doc_id", "text", "source", "lang"]
+    rows = [tuple(x) for x in spark.read.parquet(f"{sf}/documents.parquet").select(cols).collect()]
+    rows += [rows[0], rows[0], (None, rows[1][1], None, "en"), (None, "", "a", None), (rows[2][0], "another text of a known id", "a", "en")]
+    said = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect()]
+    said += [(said[0][0], 1 - said[0][1]), said[1], (None, 1), (said[2][0], None)]
+    got = ql.classify(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("n", F.monotonically_increasing_id()), spark.createDataFrame(said, "doc_id long, quality int"), row_col="n").orderBy("n").collect()
+    assert len(got) == len(rows)
+    pairs = sorted({(i, y) for i, y in said if i is not None and y is not None})
+    hashed = {(x["doc_id"], x["text"]): x["h"] for x in spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").select("doc_id", "text", F.xxhash64(F.col("text").cast("binary")).alias("h")).collect()}
+    text_of = {i: min((hashed[i, t], t) for j, t, *_ in rows if j == i)[1] for i, _ in pairs if any(j == i for j, *_ in rows)}
+    used = [(i, y) for i, y in pairs if i in text_of]
+    model = ql.Logistic(np.stack([ql.features((text_of[i] or "").encode()) for i, _ in used]).astype(float), np.array([y for _, y in used], float))
+    evidence = [float(np.clip(model.logit(ql.features((t or "").encode()).astype(float)[None])[0], -30, 30)) for _, t, _, _ in rows]
+    told = {i: np.mean([y for j, y in said if j == i and y is not None]) for i, _ in pairs}
+    p = [told.get(r[0], 1 / (1 + np.exp(-e))) for r, e in zip(rows, evidence, strict=True)]
+
+    def sums(key):
+        out = {}
+        for r, x in zip(rows, p, strict=True):
+            n, s = out.get(key(r), (0, 0.0))
+            out[key(r)] = n + 1, s + x
+        return out
+
+    def strength(groups):
+        n, nn = sum(n for n, _, _ in groups), sum(n * n for n, _, _ in groups)
+        between, chance = sum(n * (s / n - q) ** 2 for n, s, q in groups), sum(n * q * (1 - q) for n, _, q in groups) / n
+        extra = (between - (len(groups) - 1) * chance) / max(1e-9, n - nn / n)
+        return float(np.clip(chance / extra - 1, 1, 1e6)) if extra > 1e-12 else 1e6
+
+    hosts, paths, rate = sums(lambda r: r[2]), sums(lambda r: r[2:]), sum(p) / len(p)
+    k_host = strength([(n, s, rate) for n, s in hosts.values()])
+    k_path = strength([(n, s, (hosts[k[0]][1] + k_host * rate) / (hosts[k[0]][0] + k_host)) for k, (n, s) in paths.items()])
+    for r, e, x, out in zip(rows, evidence, p, got, strict=True):
+        (n_h, s_h), (n, s) = hosts[r[2]], paths[r[2:]]
+        site = (s - x + k_path * (s_h - x + k_host * rate) / (n_h - 1 + k_host)) / (n - 1 + k_path)
+        posterior = 1 / (1 + np.exp(-(e + np.log(site / (1 - site)) - np.log(rate / (1 - rate)))))
+        assert out["doc_id"] == r[0] and out["evidence"] == pytest.approx(e, abs=1e-6) and out["site"] == pytest.approx(site, abs=1e-6)
+        assert out["posterior"] == pytest.approx(posterior, abs=1e-6) and out["kept"] == (out["posterior"] >= 0.5)
+
+
+def test_quality_fits_a_bounded_sample_whatever_repeats(spark, monkeypatch):
+    fitted = []
+    logistic = ql.Logistic
+    monkeypatch.setattr(ql, "Logistic", lambda x, y: fitted.append(len(x)) or logistic(x, y))
+    d = docs(spark, [(1, f"text {i}") for i in range(500)] + [(2, "!!"), (3, "a b c")] + [(3, "a b c")] * 500)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)] * 50, "doc_id long, quality int")
+    texts = d.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    assert ql.train(texts, labels, "doc_id", "quality") is not None and fitted == [3]
+    ql.train(texts, labels, "doc_id", "quality", rows=2)
+    assert fitted[1:] in ([], [2])
+
+
 def test_sparse_sites_shrink(spark):
     rows = [(i, "good " * 20 if i % 10 < 8 else "!! " * 20) for i in range(400)]
     d = spark.createDataFrame([(i, t, "big" if i < 396 else f"s{i}", "en") for i, t in rows], "doc_id long, text string, source string, lang string")
