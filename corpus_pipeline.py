@@ -23,15 +23,31 @@ from regionlytics.llm.quality import classify
 TOKENIZER = "piece_bpe_32k.model"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids (doc_id); null ids stay."""
-    return docs.join(small_or_shuffled(ids.where("doc_id IS NOT NULL").distinct()), "doc_id", "left_anti").select(docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of each row, and that column's name. Numbers follow doc_id, null ids come last.
+
+    The number is doc_id where that tells all rows apart; else rows are numbered and written once.
+    """
+    name = "_row"
+    while any(c.startswith(name) for c in docs.columns):
+        name += "_"
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and docs.where("doc_id IS NULL").isEmpty() and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long")), name
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    return cut(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())), name
+
+
+def _without(rows: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """rows without those whose number is in gone, and without the number."""
+    return rows.join(small_or_shuffled(gone.select(row)), row, "left_anti").drop(row)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier, trained on labels, accepts."""
-    judged = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, judged.where("NOT kept").select("doc_id"))
+    """The documents that the classifier, trained on labels, accepts; each row by its own text, also with a null or repeated id."""
+    rows, row = _numbered(docs)
+    judged = classify(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=row)
+    return _without(rows, judged.where("NOT kept"), row).select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,19 +67,23 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates: five-word shingles, similarity 0.8."""
-    groups = near_duplicates(docs, width=5, percent=80)
-    return _without(docs, groups.where("doc_id <> component_id").select("doc_id"))
+    """The document with the smallest doc_id of each group of near duplicates: five-word shingles, similarity 0.8.
+
+    Rows are documents, whatever their ids; null ids count as the largest.
+    """
+    rows, row = _numbered(docs)
+    groups = near_duplicates(rows, id_col=row, width=5, percent=80)
+    return _without(rows, groups.where(F.col(row) != F.col("component_id")), row).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it: its words taken over its words, rounded, so up to twice; also with a null or repeated id."""
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    placed, pieces = mix(rows, row_col="_row")
+    rows, row = _numbered(docs)
+    placed, pieces = mix(rows, row_col=row)
     taken = pieces.groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    times = placed.join(taken, "row").select(F.col("row").alias("_row"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
-    copies = rows.join(small_or_shuffled(times.where("times > 0")), "_row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return copies.select(docs.columns)
+    times = placed.join(taken, "row").select(F.col("row").alias(row), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
+    copies = rows.join(small_or_shuffled(times.where("times > 0").withColumnRenamed("times", f"{row}times")), row)
+    return copies.withColumn(f"{row}copy", F.explode(F.sequence(F.lit(1), F.col(f"{row}times")))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
