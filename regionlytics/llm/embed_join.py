@@ -3,9 +3,10 @@
 Unit vectors with cosine c are sqrt(2 - 2c) apart, so the join is a range join in a metric space.
 A bounded sample of vectors are the pivots; a vector's home is the cell of its nearest pivot. By the
 triangle inequality a vector within the radius r of another cell's vectors lies within r of the
-bisector between both pivots, and within r of that cell's ball; only there it is copied. Each cell
-joins its own vectors with all that it holds, independently of the others and in blocks of bounded
-size; large cells are cut into tasks of bounded size, each pair being met in exactly one.
+bisector between both pivots, and within r of that cell's ball; only there it is copied, and for two
+cells only from the one to the other. Each cell joins its own vectors with all that it holds,
+independently of the others and in blocks of bounded size; large cells are cut into tasks of bounded
+size, each pair of cells being met in exactly one of them.
 """
 
 from __future__ import annotations
@@ -76,14 +77,22 @@ def _geometry(pivots: np.ndarray, radius: float):
     return cells
 
 
-def join_cell(home: np.ndarray, held: np.ndarray, weight: np.ndarray, home_at: np.ndarray, held_at: np.ndarray, n: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Weights linked to each home vector, itself included, and the labels of n nodes joined by links.
+def _crosses(home: np.ndarray, cell: int | np.ndarray) -> np.ndarray:
+    """Whether vectors of other cells are copied to this one, and not the other way round: about half of the cells either way."""
+    return (home != cell) & (((home + cell) % 2 == 0) == (cell < home))
 
+
+def join_cell(x: np.ndarray, weight: np.ndarray, home_at: np.ndarray, held_at: np.ndarray, foreign: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights linked to each vector, and the labels of all vectors joined by links.
+
+    Those at home_at meet those at held_at; a link counts for the first, and for the second where
+    that is foreign (by place in x), since it is met here only. A vector that is both meets itself.
     Products are single precision first; those near the threshold are taken again in double.
     """
+    home, held = x[home_at], x[held_at]
     h32, a32 = home.astype(np.float32), held.astype(np.float32)
     margin = max(1e-5, home.shape[1] * 2.4e-7) if home.size else 0
-    total, label = np.zeros(len(home), np.int64), np.arange(n)
+    total, label = np.zeros(len(x), np.int64), np.arange(len(x))
     step = max(1, BLOCK_CELLS // max(1, len(held)))
     for at in range(0, len(home), step):
         dots = h32[at : at + step] @ a32.T
@@ -93,9 +102,11 @@ def join_cell(home: np.ndarray, held: np.ndarray, weight: np.ndarray, home_at: n
         for c in range(0, len(close), 65536):
             k = close[c : c + 65536]
             keep[k] = np.einsum("ij,ij->i", home[at + i[k]], held[j[k]]) >= cosine
-        i, j = i[keep] + at, j[keep]
-        total += np.bincount(i, weights=weight[j], minlength=len(home)).astype(np.int64)
-        label = union(label, home_at[i], held_at[j])
+        i, j = home_at[i[keep] + at], held_at[j[keep]]
+        np.add.at(total, i, weight[j])
+        other = foreign[j]
+        np.add.at(total, j[other], weight[i[other]])
+        label = union(label, i, j)
     return total, label
 
 
@@ -141,7 +152,8 @@ def range_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 k = near.shape[1]
                 reach = np.zeros(k)
                 np.maximum.at(reach, home, far[np.arange(len(home)), home])
-                yield pd.DataFrame({"cell": cell + np.arange(k), "home": np.bincount(home, minlength=k), "held": near.sum(axis=0), "reach": reach})
+                held = near & (_crosses(home[:, None], np.arange(k)) | (home[:, None] == np.arange(k)))
+                yield pd.DataFrame({"cell": cell + np.arange(k), "home": np.bincount(home, minlength=k), "held": held.sum(axis=0), "reach": reach})
 
     rows = classes.select("size", "data").mapInPandas(survey, "cell long, home long, held long, reach double")
     seen = {r["cell"]: (r["home"], r["held"], r["reach"]) for r in rows.groupBy("cell").agg(F.sum("home").alias("home"), F.sum("held").alias("held"), F.max("reach").alias("reach")).collect()}
@@ -158,24 +170,24 @@ def range_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                         if offset + q not in cells:
                             continue
                         a, b, reach = cells[offset + q]
-                        own = home == q
-                        held = near[:, q] & (far[:, q] <= reach + radius + 1e-9) | own
-                        for i in range(a):
-                            for j in range(b):
-                                is_home, is_held = own & (number % a == i), held & (number // a % b == j)
-                                at_ = np.flatnonzero(is_home | is_held)
-                                if len(at_):
-                                    out = part[["id", "m", "data", "class"]].iloc[at_]
-                                    yield out.assign(cell=offset + q, i=i, j=j, role=is_home[at_] * 1 + is_held[at_] * 2)
+                        own, copied = np.flatnonzero(home == q), np.flatnonzero(near[:, q] & (far[:, q] <= reach + radius + 1e-9) & _crosses(home, q))
+                        i, j = number % a, number // a % b
+                        # a home vector goes to all tasks of its row, a held one to all of its column
+                        as_home = np.repeat(own, b), np.repeat(i[own], b), np.tile(np.arange(b), len(own))
+                        as_held = np.repeat(own, a), np.tile(np.arange(a), len(own)), np.repeat(j[own], a)
+                        away = as_held[1] != i[as_held[0]]  # where it is not at home as well
+                        as_foreign = np.repeat(copied, a), np.tile(np.arange(a), len(copied)), np.repeat(j[copied], a)
+                        at_, row, column = (np.concatenate([x, y[away], w]) for x, y, w in zip(as_home, as_held, as_foreign, strict=True))
+                        role = np.r_[1 + 2 * (as_home[2] == j[as_home[0]]), np.full(away.sum(), 2), np.full(len(as_foreign[0]), 6)]
+                        if len(at_):
+                            yield part[["id", "m", "data", "class"]].iloc[at_].assign(cell=offset + q, i=row, j=column, role=role)
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         x, role = unit(pdf["data"], dtype), pdf["role"].to_numpy()
         at_home, at_held = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
         ids = pdf["id"].to_numpy()
-        total, label = join_cell(x[at_home], x[at_held], pdf["m"].to_numpy()[at_held], at_home, at_held, len(ids), cosine)
-        links = np.zeros(len(ids), np.int64)
-        links[at_home] = total
+        links, label = join_cell(x, pdf["m"].to_numpy(), at_home, at_held, (role & 4) > 0, cosine)
         tell = (links > 0) | (label != np.arange(len(ids)))
         return pd.DataFrame({"class": pdf["class"].to_numpy()[tell], "id": ids[tell], "links": links[tell], "root": ids[label][tell]})
 
