@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 #: Arguments below this are shifted up by the recurrence before the asymptotic series is used.
 SHIFT = 8
+STEPS = np.arange(SHIFT)
 HALF_LOG_2PI = 0.9189385332046727
 
 
@@ -65,9 +66,7 @@ def logsumexp(df: DataFrame, value: str, *keys: str, alias: str = "logsumexp") -
 
 def np_digamma(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, float)
-    out = np.zeros_like(x)
-    for i in range(SHIFT):
-        out -= 1 / (x + i)
+    out = -(1 / (x[..., None] + STEPS)).sum(axis=-1)
     y = x + SHIFT
     r = 1 / (y * y)
     return out + np.log(y) - 0.5 / y - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
@@ -108,7 +107,8 @@ def dirichlet_expectation(gamma: Column, total: Column) -> Column:
 
 
 def np_dirichlet_expectation(g: np.ndarray) -> np.ndarray:
-    return np_digamma(g) - np_digamma(g.sum(axis=-1, keepdims=True))
+    d = np_digamma(np.concatenate([g, g.sum(axis=-1, keepdims=True)], axis=-1))
+    return d[..., :-1] - d[..., -1:]
 
 
 def dirichlet_bound(alpha: np.ndarray, gamma: np.ndarray) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 A tree grows level by level: every partition sums gradients and curvatures by node, feature and bin,
 the driver picks the splits. Feature groups are interaction constraints: a path uses features of
-one group only. A share of loci, chosen by hash, is held out to stop early.
+one group only. A share of loci, chosen by hash, is held out to stop early. Targets carry the log rate
+of all earlier trees (logmu), so a fit evaluates its own new trees only.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .linear import added
+
 
 class Tree:
     """Arrays of nodes: feature (-1 in a leaf), bin that goes left, children, value."""
@@ -53,6 +56,8 @@ class BoostedRate:
         self.edges: list[np.ndarray] | None = None
         self.trees: list[list[tuple[float, Tree]]] = [[] for _ in range(k)]
         self.bias = np.zeros((k, n_corpora))
+        #: The number of trees and the bias before the last fit.
+        self.first, self.old_bias = [0] * k, self.bias
 
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1) if self.edges else np.zeros((len(x), 0), int)
@@ -66,27 +71,40 @@ class BoostedRate:
                     out[:, k] += r * t.predict(b)
         return out
 
+    def grown(self, x: np.ndarray, logmu: np.ndarray) -> np.ndarray:
+        """The log rate from logmu, the one before the last fit: only trees since then are evaluated."""
+        out = logmu + x[:, self.n_features :] @ (self.bias - self.old_bias).T
+        if self.edges is not None and self.n_features and any(len(t) > n for t, n in zip(self.trees, self.first, strict=True)):
+            b = self.binned(x)
+            for k, trees in enumerate(self.trees):
+                for r, t in trees[self.first[k] :]:
+                    out[:, k] += r * t.predict(b)
+        return out
+
     def fit(self, targets: DataFrame, rate: float = 1.0, **_) -> BoostedRate:
-        """More trees on targets (corpus, locus, x, target, eta), each shrunk by rate; earlier trees stay (warm start)."""
+        """More trees on targets (corpus, locus, x, target, eta, logmu), each shrunk by rate; earlier trees stay (warm start).
+
+        targets is read some 100 times, so it should be cut; logmu is this model's own log rate.
+        """
         new = BoostedRate(len(self.trees), self.n_features + self.n_corpora, self.n_corpora, self.bins, self.depth, self.learning_rate, self.rounds, self.patience, self.least, self.l2, self.groups, self.held_out)
         new.edges, new.trees, new.bias = self.edges, [list(t) for t in self.trees], self.bias.copy()
+        first = new.first = [len(t) for t in new.trees]
+        new.old_bias = self.bias
         if new.edges is None and self.n_features:
             q = [i / self.bins for i in range(1, self.bins)]
             row = targets.agg(*[F.percentile_approx(F.get("x", F.lit(j)), q, 1000).alias(f"q{j}") for j in range(self.n_features)]).first()
             new.edges = [np.unique(np.array(row[f"q{j}"] or [0.0], float)) for j in range(self.n_features)]
         held = F.pmod(F.xxhash64("corpus", "locus"), F.lit(1000)) < int(1000 * self.held_out)
-        data = targets.select("x", "target", "eta", held.alias("held"))
-        new.bias = new._biases(data)
-        first = [len(t) for t in new.trees]
-        best, stale = new._loss(data), np.zeros(len(new.trees), int)
+        data = targets.select("x", "target", "eta", "logmu", held.alias("held"))
+        new.bias, best = new._settle(data)
+        stale = np.zeros(len(new.trees), int)
         keep = [len(t) for t in new.trees]
         for _ in range(self.rounds if self.n_features else 0):
             active = stale < self.patience
             if not active.any():
                 break
             new._grow(data, active)
-            new.bias = new._biases(data)
-            loss = new._loss(data)
+            new.bias, loss = new._settle(data)
             for k in np.flatnonzero(active):
                 if loss[k] < best[k] - 1e-9:
                     best[k], stale[k], keep[k] = loss[k], 0, len(new.trees[k])
@@ -94,41 +112,40 @@ class BoostedRate:
                     stale[k] += 1
         for k in range(len(new.trees)):
             new.trees[k] = new.trees[k][: first[k]] + [(r * rate, t) for r, t in new.trees[k][first[k] : keep[k]]]
-        new.bias = (1 - rate) * self.bias + rate * new._biases(data)
+        new.bias = (1 - rate) * self.bias + rate * new._settle(data)[0]
         return new
 
-    def _sums(self, data: DataFrame, f, size: int, where: str) -> np.ndarray:
+    def _sums(self, data: DataFrame, f, size: int, where: str = "true") -> np.ndarray:
         shared = data.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out, model = np.zeros(size), shared.value
             for pdf in batches:
                 if len(pdf):
-                    out += f(model, *(np.stack(pdf[c].to_list()) for c in ("x", "target", "eta"))).ravel()
+                    x, t, e, before = (np.stack(pdf[c].to_list()) for c in ("x", "target", "eta", "logmu"))
+                    out += f(model, x, t, e, np.clip(model.grown(x, before), -30, 30), pdf["held"].to_numpy(bool)).ravel()
             yield pd.DataFrame({"s": [out]})
 
-        rows = data.where(where).mapInPandas(run, "s array<double>").collect()
+        (s,) = added(data.where(where).mapInPandas(run, "s array<double>"), "s")
         shared.unpersist()
-        return sum((np.array(r["s"]) for r in rows), np.zeros(size))
+        return s if len(s) else np.zeros(size)
 
-    def _biases(self, data: DataFrame) -> np.ndarray:
-        """Per corpus the log of the weighted targets over the weighted predictions without bias."""
+    def _settle(self, data: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Per corpus the log of the weighted targets over the weighted predictions without bias; and the loss of the loci held out under that bias."""
 
-        def f(model, x, t, e):
+        def f(model, x, t, e, lr, held):
             who = x[:, model.n_features :]
-            plain = np.exp(np.clip(model.log_rate(x) - who @ model.bias.T, -30, 30))
-            return np.stack([who.T @ t, who.T @ (e * plain)])
+            plain = np.clip(lr - who @ model.bias.T, -30, 30)
+            mass, out = e * np.exp(plain), []
+            for rows in (~held, held):
+                out += [who[rows].T @ t[rows], who[rows].T @ mass[rows], who[rows].T @ (t * plain)[rows]]
+            return np.stack(out)
 
         k = len(self.trees)
-        s = self._sums(data, f, 2 * self.n_corpora * k, "NOT held").reshape(2, self.n_corpora, k)
-        return np.log((s[0] + 1e-9) / (s[1] + 1e-9)).T
-
-    def _loss(self, data: DataFrame) -> np.ndarray:
-        def f(model, x, t, e):
-            lr = np.clip(model.log_rate(x), -30, 30)
-            return (e * np.exp(lr) - t * lr).sum(axis=0)
-
-        return self._sums(data, f, len(self.trees), "held")
+        s = self._sums(data, f, 6 * self.n_corpora * k).reshape(6, self.n_corpora, k)
+        bias = np.log((s[0] + 1e-9) / (s[1] + 1e-9))
+        loss = (np.exp(bias) * s[4] - s[5] - bias * s[3]).sum(axis=0)
+        return bias.T, loss
 
     def _grow(self, data: DataFrame, active: np.ndarray) -> None:
         """One more tree for each active component."""
@@ -136,13 +153,12 @@ class BoostedRate:
         grown = [Tree() for _ in range(k)]
         open_nodes = [[0] if a else [] for a in active]
         paths: list[dict[int, set[int]]] = [{0: set()} for _ in range(k)]
-        for level in range(self.depth + 1):
+        for level in range(max(1, self.depth)):
             slots = {(c, n): i for i, (c, n) in enumerate((c, n) for c in range(k) for n in open_nodes[c])}
             if not slots:
                 break
 
-            def f(model, x, t, e, slots=slots, trees=grown):
-                lr = np.clip(model.log_rate(x), -30, 30)
+            def f(model, x, t, e, lr, held, slots=slots, trees=grown):
                 mu, b = e * np.exp(lr), model.binned(x)
                 out = np.zeros((len(slots), p, nb, 2))
                 for c in {c for c, _ in slots}:
@@ -158,11 +174,13 @@ class BoostedRate:
             upcoming: list[list[int]] = [[] for _ in range(k)]
             for (c, n), i in slots.items():
                 g, w = h[i, 0, :, 0].sum(), h[i, 0, :, 1].sum()
-                grown[c].value[n] = self.learning_rate * g / (w + self.l2)
-                split = self._best(h[i], g, w, paths[c][n]) if level < self.depth else None
+                if not level:
+                    grown[c].value[n] = self.learning_rate * g / (w + self.l2)
+                split = self._best(h[i], g, w, paths[c][n]) if self.depth else None
                 if split:
-                    left, right = grown[c].split(n, *split)
-                    for child in (left, right):
+                    gl, wl = h[i, split[0], : split[1] + 1].sum(axis=0)
+                    for child, (gc, wc) in zip(grown[c].split(n, *split), ((gl, wl), (g - gl, w - wl)), strict=True):
+                        grown[c].value[child] = self.learning_rate * gc / (wc + self.l2)
                         paths[c][child] = paths[c][n] | {split[0]}
                         upcoming[c].append(child)
             open_nodes = upcoming

@@ -76,30 +76,51 @@ def cells(mutations: DataFrame) -> DataFrame:
     return mutations.groupBy("corpus", "sample", "locus", "context", "mutation").agg(F.sum("weight").alias("weight"))
 
 
-def with_log_rates(loci: DataFrame, state: State) -> tuple[DataFrame, dict[str, np.ndarray]]:
-    """loci with logmu (array of K), and the log of each component's total mass by corpus."""
-    shared = loci.sparkSession.sparkContext.broadcast((state.rate_model, state.delta))
+def log_rates(loci: DataFrame, state: State) -> DataFrame:
+    """loci with logmu (array of K) under the rate model, cut. Where loci have one, it is that before the rate model's last fit."""
+    shared = loci.sparkSession.sparkContext.broadcast(state.rate_model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, _ = shared.value
         for pdf in batches:
-            yield pdf.assign(logmu=list(model.log_rate(np.stack(pdf["x"].to_list())))) if len(pdf) else pdf.assign(logmu=[])
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["x"].to_list())
+            logmu = shared.value.grown(x, np.stack(pdf["logmu"].to_list())) if "logmu" in pdf else shared.value.log_rate(x)
+            yield pdf.assign(logmu=list(logmu))
 
-    kinds = {f.name: f.dataType.simpleString() for f in loci.schema}
+    kinds = {f.name: f.dataType.simpleString() for f in loci.schema if f.name != "logmu"}
     rated = cut(loci.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", logmu array<double>"))
+    shared.unpersist()
+    return rated
+
+
+def context_exposure(rated: DataFrame, k: int) -> dict[str, np.ndarray]:
+    """By corpus, K x 64: contexts x exposure x rate summed over its loci. Corpora x K rows come to the driver."""
 
-    def mass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, delta = shared.value
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for corpus, part in pdf.groupby("corpus"):
-                m = (np.stack(part["n"].to_list()) @ delta.T) * np.exp(np.stack(part["logmu"].to_list())) * part["exposure"].to_numpy()[:, None]
-                yield pd.DataFrame({"corpus": corpus, "component": np.arange(m.shape[1]), "mass": m.sum(axis=0)})
+                n, mu = np.stack(part["n"].to_list()), np.exp(np.stack(part["logmu"].to_list())) * part["exposure"].to_numpy()[:, None]
+                eta = mu.T @ n
+                yield pd.DataFrame({"corpus": corpus, "component": np.arange(len(eta)), "eta": list(eta)})
+
+    rows = rated.select("corpus", "n", "exposure", "logmu").mapInPandas(run, "corpus string, component int, eta array<double>")
+    rows = rows.groupBy("corpus", "component").agg(F.array(*[F.sum(F.get("eta", F.lit(c))) for c in range(CONTEXTS)]).alias("eta"))
+    out: dict[str, np.ndarray] = {}
+    for r in rows.collect():
+        out.setdefault(r["corpus"], np.zeros((k, CONTEXTS)))[r["component"]] = r["eta"]
+    return out
+
 
-    sums = rated.mapInPandas(mass, "corpus string, component int, mass double").groupBy("corpus", "component").agg(F.sum("mass").alias("mass")).collect()
-    log_z = {c: np.zeros(state.k) for c in {r["corpus"] for r in sums}}
-    for r in sums:
-        log_z[r["corpus"]][r["component"]] = np.log(r["mass"] + TINY)
-    return rated, log_z
+def log_masses(eta: dict[str, np.ndarray], delta: np.ndarray) -> dict[str, np.ndarray]:
+    """The log of each component's total mass by corpus, from context_exposure() and the context rates."""
+    return {c: np.log((e * delta).sum(axis=1) + TINY) for c, e in eta.items()}
+
+
+def with_log_rates(loci: DataFrame, state: State) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """loci with logmu, and the log of each component's total mass by corpus."""
+    rated = log_rates(loci, state)
+    return rated, log_masses(context_exposure(rated, state.k), state.delta)
 
 
 def likelihood(part: pd.DataFrame, rho: np.ndarray, delta: np.ndarray, log_z: np.ndarray) -> np.ndarray:
@@ -138,6 +159,11 @@ def gathered(sample_cells: DataFrame, rated: DataFrame) -> DataFrame:
     return j.withColumn("n_context", F.get("n", F.col("context"))).drop("n")
 
 
+def by_sample(df: DataFrame) -> DataFrame:
+    """df dealt out by sample. Small tables aren't gathered in fewer tasks: a sample's work is long, its rows are few."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "corpus", "sample")
+
+
 def infer(sample_cells: DataFrame, rated: DataFrame, log_z: dict[str, np.ndarray], state: State, old: DataFrame | None = None, rate: float = 1.0, locus_rate: float = 1.0, tolerance: float = 1e-3, rounds: int = 1000, seed: int = 0) -> DataFrame:
     """The E-step, a sample per group: rows (corpus, sample, kind, key, value array of K, bound, weight).
 
@@ -174,7 +200,7 @@ def infer(sample_cells: DataFrame, rated: DataFrame, log_z: dict[str, np.ndarray
 
     kind = sample_cells.schema["sample"].dataType.simpleString()
     schema = f"corpus string, sample {kind}, kind string, key long, value array<double>, bound double, weight double"
-    return j.groupBy("corpus", "sample").applyInPandas(one, schema)
+    return by_sample(j).groupBy("corpus", "sample").applyInPandas(one, schema)
 
 
 def summed(stats: DataFrame, kind: str, *keys: str, k: int) -> DataFrame:

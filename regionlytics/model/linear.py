@@ -7,6 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+#: Largest change of a coefficient in one step.
+LONGEST = 20.0
 
 
 class LinearRate:
@@ -20,6 +25,10 @@ class LinearRate:
     def log_rate(self, x: np.ndarray) -> np.ndarray:
         return x @ self.beta.T
 
+    def grown(self, x: np.ndarray, logmu: np.ndarray) -> np.ndarray:
+        """The log rate after a fit; logmu, the one before, is of no use here."""
+        return self.log_rate(x)
+
     def fit(self, targets: DataFrame, rate: float = 1.0, steps: int = 8, tolerance: float = 1e-6, ridge: float = 1e-8) -> LinearRate:
         """Newton's method on targets (x, target array of K, eta array of K), blended in by rate.
 
@@ -40,7 +49,9 @@ class LinearRate:
                 else:
                     best[k], kept[k] = like[k], new.beta[k]
                     h = hess[k] + np.eye(len(grad[k])) * (ridge * max(1.0, np.trace(hess[k])))
-                    step[k] = np.clip(np.linalg.lstsq(h, grad[k], rcond=None)[0], -5, 5)
+                    step[k] = np.linalg.lstsq(h, grad[k], rcond=None)[0]
+                    # shortened as a whole: it stays an ascent
+                    step[k] *= min(1.0, LONGEST / max(np.abs(step[k]).max(), 1e-300))
             if np.abs(step).max() < tolerance:
                 break
             new.beta = kept + step
@@ -50,6 +61,21 @@ class LinearRate:
         return new
 
 
+def added(rows: DataFrame, *columns: str) -> list[np.ndarray]:
+    """The sums over rows (one a task) of columns that are arrays of equal length, entry by entry.
+
+    Spark adds them up, so the driver gets as many numbers as the arrays have entries, whatever the number of tasks.
+    """
+    sizes = [F.size(c).alias(c) for c in columns]
+    entries = rows.select(F.posexplode(F.concat(F.transform(F.array(*sizes), lambda n: n.cast("double")), *columns)).alias("at", "v"))
+    got = entries.groupBy("at").agg(F.sum("v").alias("v"), F.count("*").alias("n")).collect()
+    flat = np.array([r["v"] for r in sorted(got, key=lambda r: r["at"])])
+    if not len(flat):
+        return [np.zeros(0) for _ in columns]
+    ends = np.cumsum([0, *np.rint(flat[: len(columns)] / max(r["n"] for r in got)).astype(int)]) + len(columns)
+    return [flat[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _means(targets: DataFrame, k: int) -> np.ndarray:
     """Mean of target / eta per component over loci with exposure."""
 
@@ -61,13 +87,12 @@ def _means(targets: DataFrame, k: int) -> np.ndarray:
             ok = e > 0
             yield pd.DataFrame({"s": [np.where(ok, t / np.where(ok, e, 1), 0).sum(axis=0)], "n": [ok.sum(axis=0).astype(float)]})
 
-    rows = targets.select("target", "eta").mapInPandas(run, "s array<double>, n array<double>").collect()
-    s, n = sum((np.array(r["s"]) for r in rows), np.zeros(k)), sum((np.array(r["n"]) for r in rows), np.zeros(k))
-    return np.maximum(s / np.maximum(n, 1), 1e-12)
+    s, n = added(targets.select("target", "eta").mapInPandas(run, "s array<double>, n array<double>"), "s", "n")
+    return np.maximum(s / np.maximum(n, 1), 1e-12) if len(s) else np.full(k, 1e-12)
 
 
 def _moments(targets: DataFrame, beta: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-likelihood, gradient and information of every component; a partition sends one row of sums per batch."""
+    """Log-likelihood, gradient and information of every component."""
     shared = targets.sparkSession.sparkContext.broadcast((beta, scale))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,9 +110,7 @@ def _moments(targets: DataFrame, beta: np.ndarray, scale: np.ndarray) -> tuple[n
             hess += np.einsum("lk,li,lj->kij", mu, x, x, optimize=True)
         yield pd.DataFrame({"like": [like], "grad": [grad.ravel()], "hess": [hess.ravel()]})
 
-    rows = targets.mapInPandas(run, "like array<double>, grad array<double>, hess array<double>").collect()
     k, p = beta.shape
-    add = lambda c, n: sum((np.array(r[c]) for r in rows), np.zeros(n))
-    out = add("like", k), add("grad", k * p).reshape(k, p), add("hess", k * p * p).reshape(k, p, p)
+    like, grad, hess = added(targets.select("x", "target", "eta").mapInPandas(run, "like array<double>, grad array<double>, hess array<double>"), "like", "grad", "hess")
     shared.unpersist()
-    return out
+    return like, grad.reshape(k, p), hess.reshape(k, p, p)

@@ -18,10 +18,10 @@ def gibbs(phi: np.ndarray, weight: np.ndarray, alpha: np.ndarray, rng: np.random
     with np.errstate(divide="ignore"):
         logs = np.log(phi)
     z = rng.choice(k, n, p=alpha / alpha.sum())
-    tally, total = np.zeros((k, n)), weight.sum()
+    tally = np.zeros((k, n))
     for t in range(1, warm_up + sweeps + 1):
         counts = np.bincount(z, weights=weight, minlength=k)
-        q = logs * min(1.0, t / max(1, warm_up)) + np.log((counts + alpha) / (total - 1 + alpha.sum()))[:, None]
+        q = logs * min(1.0, t / max(1, warm_up)) + np.log((counts + alpha) / np.maximum(n - 1 + alpha, 1e-12))[:, None]
         p = np.exp(q - q.max(axis=0))
         z = (np.cumsum(p, axis=0) > rng.random(n) * p.sum(axis=0)).argmax(axis=0)
         if t > warm_up:
@@ -31,8 +31,6 @@ def gibbs(phi: np.ndarray, weight: np.ndarray, alpha: np.ndarray, rng: np.random
 
 def annealed_importance(phi: np.ndarray, weight: np.ndarray, alpha: np.ndarray, rng: np.random.Generator, steps: int = 100, runs: int = 10) -> float:
     """Log marginal likelihood of a sample's mutations by annealed importance sampling."""
-    from ..functions.special import dirichlet_multinomial_logprob
-
     k, n = phi.shape
     with np.errstate(divide="ignore"):
         logs = np.maximum(np.log(phi), -700)
@@ -46,7 +44,7 @@ def annealed_importance(phi: np.ndarray, weight: np.ndarray, alpha: np.ndarray,
             q = logs * t / steps + np.log(counts + alpha)[:, None]
             p = np.exp(q - q.max(axis=0))
             z = (np.cumsum(p, axis=0) > rng.random(n) * p.sum(axis=0)).argmax(axis=0)
-        out.append(w + 0 * dirichlet_multinomial_logprob(alpha, np.bincount(z, weights=weight, minlength=k)))
+        out.append(w)
     top = max(out)
     return float(top + np.log(np.mean(np.exp(np.array(out) - top))))
 
@@ -71,7 +69,7 @@ def assign(model: Model, corpus: Corpus, warm_up: int = 300, sweeps: int = 5000,
 
     kinds = {c: m.schema[c].dataType.simpleString() for c in ("sample", "chrom", "pos")}
     schema = f"corpus string, sample {kinds['sample']}, chrom {kinds['chrom']}, pos {kinds['pos']}, " + ", ".join(f"`{n}` double" for n in names)
-    return core.gathered(m, rated).groupBy("corpus", "sample").applyInPandas(one, schema)
+    return core.by_sample(core.gathered(m, rated)).groupBy("corpus", "sample").applyInPandas(one, schema)
 
 
 def marginal_likelihood(model: Model, corpus: Corpus, steps: int = 100, runs: int = 10, seed: int = 0) -> DataFrame:
@@ -86,7 +84,7 @@ def marginal_likelihood(model: Model, corpus: Corpus, steps: int = 100, runs: in
         value = annealed_importance(core.likelihood(part, rho, delta, z[key[0]]), part["weight"].to_numpy(float), alpha, np.random.default_rng([seed, *str(key[1]).encode()]), steps, runs)
         return pd.DataFrame({"corpus": [key[0]], "sample": [key[1]], "log_likelihood": [value]})
 
-    return core.gathered(m, rated).groupBy("corpus", "sample").applyInPandas(one, f"corpus string, sample {m.schema['sample'].dataType.simpleString()}, log_likelihood double")
+    return core.by_sample(core.gathered(m, rated)).groupBy("corpus", "sample").applyInPandas(one, f"corpus string, sample {m.schema['sample'].dataType.simpleString()}, log_likelihood double")
 
 
 def explain(model: Model, corpus: Corpus, component: str | int) -> DataFrame:

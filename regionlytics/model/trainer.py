@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.special import blend, dirichlet_expectation, learning_rate, np_dirichlet_expectation, np_digamma, np_trigamma
 from ..operators import corpora as co
 from ..operators.durable import cut
+from ..operators.rates import marginal_signature
 from ..operators.scaling import FeatureTransform
 from . import core
 from .boosting import BoostedRate, Tree
@@ -91,7 +93,14 @@ def fit_alpha(alpha: np.ndarray, n: int, logp: np.ndarray, floor: float = 0.01,
     return best
 
 
-def initial_state(o: Options, corpora: list[str], genome: np.ndarray, width: int) -> core.State:
+def feature_groups(transform: FeatureTransform) -> list[list[int]] | None:
+    """The columns of each group of features, which trees keep apart; None if all are in one."""
+    at = {n: i for i, n in enumerate(transform.names())}
+    groups = transform.group_columns()
+    return [[at[n] for n in names] for names in groups.values()] if len(groups) > 1 else None
+
+
+def initial_state(o: Options, corpora: list[str], genome: np.ndarray, width: int, groups: list[list[int]] | None = None) -> core.State:
     """omega and delta from Gamma(100, 1/100) draws; fixed signatures as strong counts for the first components."""
     from ..functions.sequence import signature_matrix
 
@@ -108,7 +117,7 @@ def initial_state(o: Options, corpora: list[str], genome: np.ndarray, width: int
     if o.model_type == "linear":
         rate = LinearRate(o.k, width)
     elif o.model_type == "gbt":
-        rate = BoostedRate(o.k, width, len(corpora), **o.rate_options)
+        rate = BoostedRate(o.k, width, len(corpora), **{"groups": groups} | o.rate_options)
     else:
         raise ValueError(f"model_type is linear or gbt, not {o.model_type}")
     return core.State(omega, delta, {c: np.full(o.k, float(o.pi_prior)) for c in corpora}, names, rate, corpora)
@@ -122,38 +131,24 @@ def genome_frequencies(trinucs: DataFrame) -> np.ndarray:
 
 
 def rate_targets(rated: DataFrame, stats: DataFrame, state: core.State) -> DataFrame:
-    """(corpus, locus, x, target, eta): responsibilities and exposure x delta . n of each locus, as arrays of K."""
+    """(corpus, locus, x, target, eta, logmu): responsibilities and exposure x delta . n of each locus, as arrays of K, and its log rates."""
     sums = core.summed(stats, "locus", "corpus", "key", k=state.k).select("corpus", F.col("key").alias("locus"), F.col("value").alias("target"))
     delta = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in state.delta])
     dot = F.transform(delta, lambda d: F.col("exposure") * F.aggregate(F.zip_with(d, F.col("n"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
     joined = rated.join(sums, ["corpus", "locus"], "left")
-    return joined.select("corpus", "locus", "x", F.coalesce("target", F.array(*[F.lit(0.0)] * state.k)).alias("target"), dot.alias("eta"))
+    return joined.select("corpus", "locus", "x", F.coalesce("target", F.array(*[F.lit(0.0)] * state.k)).alias("target"), dot.alias("eta"), "logmu")
 
 
-def update_delta(state: core.State, rated: DataFrame, signature: dict[tuple[str, int], np.ndarray], rounds: int = 50) -> np.ndarray:
-    """delta where each corpus' contexts are a Poisson of delta x corpus effect x context exposure.
+def update_delta(state: core.State, eta: dict[str, np.ndarray], signature: dict[tuple[str, int], np.ndarray], rounds: int = 50) -> np.ndarray:
+    """delta where each corpus' contexts are a Poisson of delta x corpus effect x context exposure (eta).
 
     With one corpus that is the ratio of counts to exposure; several corpora alternate both factors.
     """
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            for corpus, part in pdf.groupby("corpus"):
-                n, mu = np.stack(part["n"].to_list()), np.exp(np.stack(part["logmu"].to_list())) * part["exposure"].to_numpy()[:, None]
-                eta = mu.T @ n
-                yield pd.DataFrame({"corpus": corpus, "component": np.arange(len(eta)), "eta": list(eta)})
-
-    eta: dict[tuple[str, int], np.ndarray] = {}
-    rows = rated.select("corpus", "n", "exposure", "logmu").mapInPandas(run, "corpus string, component int, eta array<double>")
-    rows = rows.groupBy("corpus", "component").agg(F.array(*[F.sum(F.get("eta", F.lit(c))) for c in range(core.CONTEXTS)]).alias("eta"))
-    for r in rows.collect():  # corpora x K rows
-        eta[r["corpus"], r["component"]] = np.array(r["eta"])
     out = np.zeros_like(state.delta)
-    corpora = sorted({c for c, _ in eta})
+    corpora = sorted(eta)
     for k in range(state.k):
         t = np.stack([signature.get((c, k), np.zeros(core.CONTEXTS)) for c in corpora])
-        e = np.stack([eta[c, k] for c in corpora])
+        e = np.stack([eta[c][k] for c in corpora])
         effect = np.ones(len(corpora))
         for _ in range(rounds if len(corpora) > 1 else 1):
             d = (t.sum(axis=0) + 1e-9) / ((effect[:, None] * e).sum(axis=0) + 1e-9)
@@ -163,18 +158,24 @@ def update_delta(state: core.State, rated: DataFrame, signature: dict[tuple[str,
     return out
 
 
-def train(corpus: co.Corpus, transform: FeatureTransform, o: Options) -> Model:
-    """A fitted model. Tables are cut once per epoch, so lost executors cost one epoch at most."""
+def train(corpus: co.Corpus, transform: FeatureTransform, o: Options, evaluated: Callable[[Model], bool] | None = None) -> Model:
+    """A fitted model. Tables are cut once per epoch, so lost executors cost one epoch at most.
+
+    An epoch infers all samples, sums what the M-step needs from one cut of its result, and rates the
+    loci once: without subsampling the next epoch goes on with those rates. evaluated is called with
+    the model at each evaluation and ends the training by returning True.
+    """
     corpora = corpus.names()
     transform = transform if transform.constants or not transform.types else transform.fit(corpus.features)
     loci = cut(core.locus_table(corpus, transform, corpora))
     all_cells = cut(core.cells(corpus.mutations))
     genome = genome_frequencies(corpus.trinucs)
-    state = initial_state(o, corpora, genome, len(transform.names()) + len(corpora))
+    state = initial_state(o, corpora, genome, len(transform.names()) + len(corpora), feature_groups(transform))
     model, began = Model(state, transform, genome, o), time.time()
     gamma: DataFrame | None = None
     scores: list[float] = []
     full = o.batch_size is None and o.locus_subsample is None
+    rated, eta = None, {}
     for epoch in range(o.epochs):
         rate = learning_rate(epoch, o.tau, o.kappa, full)
         here, sample_cells = loci, all_cells
@@ -189,22 +190,26 @@ def train(corpus: co.Corpus, transform: FeatureTransform, o: Options) -> Model:
                 batch_rate = o.batch_size / n
                 chosen = co.sample_exactly(everyone, o.batch_size, "corpus", "sample", seed=o.seed + epoch)
                 sample_cells = sample_cells.join(F.broadcast(chosen), ["corpus", "sample"], "left_semi")  # batch_size rows
-        rated, log_z = core.with_log_rates(here, state)
+        if rated is None or o.locus_subsample:
+            rated = core.log_rates(here, state)
+            eta = core.context_exposure(rated, state.k)
+        log_z = core.log_masses(eta, state.delta)
         stats = cut(core.infer(sample_cells, rated, log_z, state, gamma, rate, o.locus_subsample or 1.0, o.tolerance, o.rounds, o.seed))
         new_gamma = stats.where("kind = 'gamma'").select("corpus", "sample", F.col("value").alias("gamma"))
-        gamma = cut(new_gamma if gamma is None else new_gamma.unionByName(gamma.join(new_gamma, ["corpus", "sample"], "left_anti")))
+        # with all samples at hand the new ones are those of stats, which are cut already
+        gamma = new_gamma if gamma is None or full else cut(new_gamma.unionByName(gamma.join(new_gamma, ["corpus", "sample"], "left_anti")))
         # M-step: rates, context rates, mutation signatures
         scaled = stats.withColumn("value", F.transform("value", lambda v: v / batch_rate)) if batch_rate < 1 else stats
-        fitted = state.rate_model.fit(rate_targets(rated, scaled, state), rate)
-        state.rate_model = fitted
+        state.rate_model = state.rate_model.fit(cut(rate_targets(rated, scaled, state)), rate)
         omega, per_context = np.zeros_like(state.omega), {}
         for r in core.summed(scaled, "signature", "corpus", "key", k=state.k).collect():  # corpora x 192 rows
             c, m = divmod(r["key"], core.MUTATIONS)
             omega[:, c, m] += r["value"]
             for k in range(state.k):
                 per_context.setdefault((r["corpus"], k), np.zeros(core.CONTEXTS))[c] += r["value"][k]
-        rerated, _ = core.with_log_rates(here, state)
-        state.delta = blend(state.delta, update_delta(state, rerated, per_context), rate)
+        rated = core.log_rates(rated, state)
+        eta = core.context_exposure(rated, state.k)
+        state.delta = blend(state.delta, update_delta(state, eta, per_context), rate)
         state.omega = blend(state.omega, omega + 1e-9, rate)
         if o.empirical_bayes and epoch >= o.begin_prior_updates:
             for c, (n, logp) in log_shares(gamma, state.k).items():
@@ -214,6 +219,8 @@ def train(corpus: co.Corpus, transform: FeatureTransform, o: Options) -> Model:
             p = perplexity(stats) if full else score(model, corpus)["perplexity"]
             scores.append(p)
             model.history.append({"epoch": epoch, "perplexity": p})
+            if evaluated is not None and evaluated(model):
+                break
             if full and len(scores) > 1 and abs(scores[-2] - scores[-1]) < o.bound_tol * 1e-2 * abs(scores[-2]):
                 break
         if o.time_limit and time.time() - began > o.time_limit:
@@ -250,6 +257,38 @@ def predict(model: Model, corpus: co.Corpus) -> DataFrame:
     return g.select("corpus", "sample", *[F.get("value", F.lit(i)).alias(n) for i, n in enumerate(model.state.names)])
 
 
+def component_rates(model: Model, corpus: co.Corpus) -> DataFrame:
+    """(corpus, locus, one column per component): the mutations of each locus by the components that they are laid to."""
+    sums = core.summed(posterior(model, corpus), "locus", "corpus", "key", k=model.state.k)
+    return sums.select("corpus", F.col("key").alias("locus"), *[F.get("value", F.lit(i)).alias(n) for i, n in enumerate(model.state.names)])
+
+
+def marginal_model(corpus: co.Corpus, transform: FeatureTransform, o: Options | None = None) -> Model:
+    """One component with the corpora's own signature, its rate boosted on the features in a single fit.
+
+    Context rates are mutations over occurrences, mutations within a context their shares; nothing is inferred.
+    """
+    o = o or Options()
+    o = Options(**vars(o) | {"k": 1, "model_type": "gbt"})
+    corpora = corpus.names()
+    transform = transform if transform.constants or not transform.types else transform.fit(corpus.features)
+    genome = genome_frequencies(corpus.trinucs)
+    state = initial_state(o, corpora, genome, len(transform.names()) + len(corpora), feature_groups(transform))
+    state.omega = np.full_like(state.omega, 1e-9)
+    for r in corpus.mutations.groupBy("context", "mutation").agg(F.sum("weight").alias("w")).collect():  # 192 rows
+        state.omega[0, r["context"], r["mutation"]] += r["w"]
+    state.delta = np.full_like(state.delta, 1e-12)
+    for r in marginal_signature(corpus.mutations, corpus.trinucs).collect():  # 64 rows
+        state.delta[0, r["context"]] += r["rate"]
+    state.delta /= state.delta.mean()
+    rated = core.log_rates(cut(core.locus_table(corpus, transform, corpora)), state)
+    sums = corpus.mutations.groupBy("corpus", "locus").agg(F.array(F.sum("weight")).alias("value"))
+    stats = sums.select("corpus", F.lit("locus").alias("kind"), F.col("locus").alias("key"), "value")
+    state.rate_model = state.rate_model.fit(cut(rate_targets(rated, stats, state)))
+    state.trained_epochs = 1
+    return Model(state, transform, genome, o)
+
+
 def rate_tables(model: Model, corpus: co.Corpus) -> tuple[DataFrame, DataFrame]:
     """(corpus, component, locus, logmu) and (component, context, delta), for the plans of operators.rates."""
     rated, _ = rates_for(model, corpus)

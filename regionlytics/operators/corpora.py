@@ -81,8 +81,8 @@ def subset_loci(corpus: Corpus, loci: DataFrame, order: str = "locus") -> Corpus
 
 
 def ranked(df: DataFrame, *keys: str, seed: int = 0) -> DataFrame:
-    """Distinct keys with ordinal, their rank by a seeded hash: the same on every run and in every plan."""
-    k = df.select(*keys).distinct().withColumn("_h", F.xxhash64(F.lit(seed), *keys))
+    """Distinct keys with ordinal, their rank by a seeded MD5: the same on every run, in every plan and engine."""
+    k = df.select(*keys).distinct().withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys])))
     return numbered(k, "_h", *keys).drop("_h")
 
 

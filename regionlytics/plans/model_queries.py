@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..model import posterior, simulate, trainer
 from ..operators.corpora import Corpus, union
+from ..operators.durable import cut
 from ..operators.scaling import FeatureTransform
 from . import fixture as fx
 from .interval_queries import query
@@ -20,10 +21,14 @@ def features() -> FeatureTransform:
     return FeatureTransform({"p_size": "standardize", "p_retailprice": "standardize"})
 
 
+#: When training has settled: perplexity changes by less than half a percent in three epochs.
+SETTLED = {"eval_every": 3, "bound_tol": 0.5}
+
+
 def fitted(spark, sf, **options) -> tuple[trainer.Model, Corpus]:
     c = both(spark, sf)
     c.mutations, c.trinucs = c.mutations.select("corpus", "sample", "chrom", "pos", "locus", "context", "mutation", "weight"), c.trinucs
-    o = trainer.Options(k=3, **options)
+    o = trainer.Options(k=3, **SETTLED | options)
     return trainer.train(c, features(), o), c
 
 
@@ -63,16 +68,21 @@ def explain_component(spark, sf):
     return posterior.explain(model, c, 0)
 
 
-@query("poisson_irls")
-def poisson_irls(spark, sf):
-    """Coefficients of the loci's mutation counts on size and price, one regression per corpus."""
-    from ..model.linear import LinearRate
+def _regression(spark, sf):
+    """The loci with design and targets, the fitted regressions and their scales."""
+    from ..model import linear
 
     m = fx.mutations(spark, sf).groupBy("locus").pivot("corpus", ["c0", "c1"]).agg(F.sum("weight")).na.fill(0.0)
     x = F.array((F.col("p_size") / 50).cast("double"), (F.col("p_retailprice") / 2000).cast("double"), F.lit(1.0))
-    t = fx.loci(spark, sf).join(m, "locus", "left").na.fill(0.0, ["c0", "c1"]).select(x.alias("x"), F.array("c0", "c1").alias("target"), F.array("exposure", "exposure").alias("eta"))
-    beta = LinearRate(2, 3).fit(t).beta
-    return spark.createDataFrame([(f"c{k}", j, float(beta[k, j])) for k in range(2) for j in range(3)], "corpus string, feature int, beta double")
+    t = cut(fx.loci(spark, sf).join(m, "locus", "left").na.fill(0.0, ["c0", "c1"]).select(x.alias("x"), F.array("c0", "c1").alias("target"), F.array("exposure", "exposure").alias("eta")))
+    return t, linear.LinearRate(2, 3).fit(t, steps=20, tolerance=1e-10), linear._means(t, 2)
+
+
+@query("poisson_irls")
+def poisson_irls(spark, sf):
+    """Coefficients of the loci's mutation counts on size and price, one regression per corpus."""
+    _, model, _ = _regression(spark, sf)
+    return spark.createDataFrame([(f"c{k}", j, float(model.beta[k, j])) for k in range(2) for j in range(3)], "corpus string, feature int, beta double")
 
 
 @query("simulate_corpus")
@@ -81,7 +91,23 @@ def simulate_corpus(spark, sf):
     return c.mutations.groupBy("sample", "component").agg(F.count("*").alias("n"))
 
 
-@query("resample_corpus")
+@query("poisson_score", fx.sql(""", m as (select locus, corpus, sum(weight) as y from snvs group by locus, corpus),
+x as (select c.corpus, j.j::int as feature, case j.j when 0 then l.p_size / 50 when 1 then l.p_retailprice / 2000 else 1.0 end as x, coalesce(m.y, 0) as y
+  from loci l cross join (values ('c0'), ('c1')) c(corpus) cross join (values (0), (1), (2)) j(j) left join m on m.locus = l.locus and m.corpus = c.corpus)
+select corpus, feature, round(sum(x * y), 2) as observed, round(sum(x * y), 2) as fitted from x group by corpus, feature""", "loci", "snvs"))
+def poisson_score(spark, sf):
+    """What the regressions of poisson_irls settle: per feature the counts' sum and that of the fitted rates, equal at the maximum."""
+    t, model, scale = _regression(spark, sf)
+    rows = []
+    for k in range(2):
+        eta = sum((F.get("x", F.lit(j)) * float(model.beta[k, j]) for j in range(3)), F.lit(0.0))
+        mu = F.get("eta", F.lit(k)) * float(scale[k]) * F.exp(eta)
+        sums = [F.struct(F.lit(f"c{k}").alias("corpus"), F.lit(j).alias("feature"), F.round(F.sum(F.get("x", F.lit(j)) * F.get("target", F.lit(k))), 2).alias("observed"), F.round(F.sum(F.get("x", F.lit(j)) * mu), 2).alias("fitted")) for j in range(3)]
+        rows.append(t.agg(F.array(*sums).alias("r")))
+    return rows[0].unionByName(rows[1]).select(F.explode("r").alias("r")).select("r.*")
+
+
+@query("resample_corpus", fx.sql("select corpus, sample, round(sum(weight))::bigint as n from snvs group by corpus, sample", "snvs"))
 def resample_corpus(spark, sf):
     model, c = fitted(spark, sf)
     return simulate.resample(model, c).mutations.groupBy("corpus", "sample").agg(F.count("*").alias("n"))

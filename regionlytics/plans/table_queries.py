@@ -114,7 +114,9 @@ def corpus_shape(spark, sf):
     return spark.createDataFrame([("c0", s["samples"], s["loci"], s["contexts"], s["features"])], "corpus string, samples long, loci long, contexts long, features long")
 
 
-@query("train_test_split")
+@query("train_test_split", fx.sql(""", k as (select corpus, sample, count(*) as n from snvs where corpus = 'c0' group by corpus, sample),
+r as (select sample, n, row_number() over (order by md5('0:' || corpus || ':' || sample::varchar), sample) - 1 as i, count(*) over () as total from k)
+select sample, n, case when i < floor(0.7 * total) then 'train' else 'test' end as side from r""", "snvs"))
 def train_test_split(spark, sf):
     train, test = co.split(corpus(spark, sf, "c0"), 0.7)
     side = lambda c, n: c.mutations.groupBy("sample").agg(F.count("*").alias("n")).withColumn("side", F.lit(n))

@@ -1,11 +1,13 @@
 """Invariants of inference and fitting, and recovery of simulated signatures."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from regionlytics.functions.special import np_dirichlet_expectation
 from regionlytics.model import core, posterior, simulate, trainer, tuning
+from regionlytics.model.boosting import BoostedRate
 from regionlytics.model.linear import LinearRate
 from regionlytics.operators.scaling import FeatureTransform
 
@@ -130,9 +132,107 @@ def test_prior_counts_every_sample(spark):
         assert np.allclose(trainer.fit_alpha(np.ones(3), *got[c]), trainer.update_alpha(np.ones(3), v), rtol=1e-4)
 
 
+def test_trees_add_to_the_rates_before(spark, simulated):
+    """What grown() adds to earlier log rates is what log_rate() gives from scratch, for fits that build on each other."""
+    c = simulated[0]
+    t = transform().fit(c.features)
+    loci = core.locus_table(c, t, c.names())
+    counts = c.mutations.groupBy("corpus", "locus").agg(F.array(F.sum("weight"), F.count("*").cast("double")).alias("target"))
+    data = loci.join(counts, ["corpus", "locus"], "left").withColumn("target", F.coalesce("target", F.array(F.lit(0.0), F.lit(0.0))))
+    data = data.withColumn("eta", F.array("exposure", "exposure"))
+    model = BoostedRate(2, 3, 1, rounds=3, depth=2, least=0.5)
+    x = np.stack([r["x"] for r in loci.select("x").limit(200).collect()])
+    log = model.log_rate(x)
+    for rate in (1.0, 0.5):
+        shared = model
+        before = F.pandas_udf(lambda v, m=shared: pd.Series(list(m.log_rate(np.stack(v.to_list())))), "array<double>")
+        model = model.fit(data.withColumn("logmu", before("x")), rate)
+        log = model.grown(x, log)
+        assert np.allclose(log, model.log_rate(x)) and all(model.trees)
+    assert all(v == pytest.approx(w) for v, w in zip(log.mean(axis=0), model.log_rate(x).mean(axis=0), strict=True))
+
+
+def test_groups_keep_features_apart_in_trees(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 4))
+    y = np.exp(0.5 * np.sign(x[:, 0]) + 0.5 * np.sign(x[:, 1]) + 0.4 * x[:, 2] + 0.4 * x[:, 3])
+    rows = [("c", i, f"l{i}", *map(float, a), float(v)) for i, (a, v) in enumerate(zip(x, y, strict=True))]
+    d = spark.createDataFrame(rows, "corpus string, locus long, name string, a double, b double, p double, q double, y double")
+    t = FeatureTransform({c: "standardize" for c in "abpq"}, {"a": ["one"], "p": ["one"], "b": ["two"], "q": ["two"]}).fit(d)
+    groups = trainer.feature_groups(t)
+    assert sorted(map(sorted, groups)) == [[0, 2], [1, 3]] and trainer.feature_groups(FeatureTransform({"a": "standardize"}).fit(d)) is None
+    state = trainer.initial_state(trainer.Options(k=1, model_type="gbt", rate_options={"depth": 3, "rounds": 4, "least": 0.5}), ["c"], np.full(64, 1 / 64), 5, groups)
+    data = d.select("corpus", "locus", F.array(*t.columns(), F.lit(1.0)).alias("x"), F.array("y").alias("target"), F.array(F.lit(1.0)).alias("eta"), F.array(F.lit(0.0)).alias("logmu"))
+    model = state.rate_model.fit(data)
+    used = set()
+    for _, tree in model.trees[0]:
+        def paths(node, seen, tree=tree):
+            if tree.feature[node] < 0:
+                used.add(frozenset(seen))
+                return
+            for child in (tree.left[node], tree.right[node]):
+                paths(child, seen | {tree.feature[node]})
+        paths(0, set())
+    assert used and all(u <= {0, 2} or u <= {1, 3} for u in used)
+
+
+def test_jobs_of_an_epoch(spark, simulated):
+    def jobs(epochs):
+        spark.sparkContext.setJobGroup(f"epochs-{epochs}", "")
+        trainer.train(simulated[0], transform(), trainer.Options(k=2, epochs=epochs, eval_every=100, seed=3))
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"epochs-{epochs}"))
+
+    few, many = jobs(2), jobs(6)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert (many - few) / 4 <= 45
+
+
+def test_component_rates_lay_each_mutation_to_components(model, simulated):
+    c = simulated[0]
+    got = trainer.component_rates(model, c)
+    rows = {(r["corpus"], r["locus"]): sum(r[n] for n in model.state.names) for r in got.collect()}
+    want = {(r["corpus"], r["locus"]): r["w"] for r in c.mutations.groupBy("corpus", "locus").agg(F.sum("weight").alias("w")).collect()}
+    assert rows.keys() == want.keys() and all(rows[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_marginal_model(simulated):
+    c = simulated[0]
+    m = trainer.marginal_model(c, transform(), trainer.Options(rate_options={"rounds": 4, "depth": 2, "least": 0.5}))
+    counts = {(r["context"], r["mutation"]): r["w"] for r in c.mutations.groupBy("context", "mutation").agg(F.sum("weight").alias("w")).collect()}
+    assert m.state.k == 1 and all(m.state.omega[0, k[0], k[1]] == pytest.approx(v) for k, v in counts.items())
+    assert m.state.delta.mean() == pytest.approx(1) and m.state.rate_model.trees[0]
+    assert np.isfinite(trainer.mutation_rate_r2(m, c).first()["r2"])
+
+
+def test_gibbs_shares_of_one_mutation():
+    """A single mutation goes to a component by its likelihood: counts + alpha over n - 1 + alpha is one where alpha is all there is."""
+    phi, alpha = np.array([[0.2], [0.8]]), np.array([3.0, 1.0])
+    got = posterior.gibbs(phi, np.ones(1), alpha, np.random.default_rng(0), 200, 4000)
+    # the label drawn weighs (1 + alpha) / alpha more than the other
+    stay = [0.2 * 4 / 3 / (0.2 * 4 / 3 + 0.8), 0.8 * 2 / (0.8 * 2 + 0.2)]
+    p = (1 - stay[1]) / (2 - stay[0] - stay[1])
+    assert got[:, 0] == pytest.approx([p, 1 - p], abs=0.05)
+
+
 def test_search_keeps_trials(spark, simulated, tmp_path):
-    t = tuning.search(simulated[0], transform(), str(tmp_path / "study"), 2, (1, 2), trainer.Options(epochs=2, eval_every=2))
-    assert t.count() == 2 and tuning.best(t).count() == 1
+    import json
+
+    o, where = trainer.Options(epochs=2, eval_every=1, locus_subsample=0.9), str(tmp_path / "study")
+    assert tuning.search(simulated[0], transform(), where, 1, (1, 2), o).count() == 1
+    t = tuning.search(simulated[0], transform(), where, 1, (1, 2), o)
+    rows = {r["trial"]: r for r in t.collect()}
+    assert set(rows) == {0, 1} and rows[0]["params"] != rows[1]["params"] and tuning.best(t).count() == 1 == tuning.best(t, 1).count()
+    for r in rows.values():
+        assert len(json.loads(r["evaluations"])) == 2 and min(json.loads(r["evaluations"])) == r["value"] and r["r2_train"] <= 1 and r["r2_test"] <= 1
+
+
+def test_a_trial_without_gain_ends(spark, simulated, tmp_path, monkeypatch):
+    import json
+
+    falling = iter([9.0, 5.0, 6.0, 7.0, 5.5, 4.0, 3.0])
+    monkeypatch.setattr(trainer, "score", lambda *a: {"perplexity": next(falling)})
+    t = tuning.search(simulated[0], transform(), str(tmp_path / "study"), 1, (1, 1), trainer.Options(epochs=7, eval_every=1, bound_tol=0.0), patience=3)
+    assert json.loads(t.first()["evaluations"]) == [9.0, 5.0, 6.0, 7.0, 5.5] and t.first()["value"] == 5.0
 
 
 def test_leaf_order():

@@ -49,7 +49,7 @@ def test_interval_joins_are_equi_joins(spark):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_model_queries_run_with_the_operators_defaults(spark, monkeypatch):
+def test_model_queries_run_until_settled_with_the_operators_defaults(spark, monkeypatch):
     from regionlytics.model import trainer
     from regionlytics.plans import model_queries as mq
 
@@ -59,5 +59,5 @@ def test_model_queries_run_with_the_operators_defaults(spark, monkeypatch):
     monkeypatch.setattr(mq.posterior, "assign", lambda *a, **k: seen.append((len(a), k)))
     for name in ("em_train", "em_train_gbt", "gibbs_posterior"):
         registry.queries()[name](spark, SF)
-    assert seen == [trainer.Options(k=3), trainer.Options(k=3, model_type="gbt"), trainer.Options(k=3), (2, {})]
+    assert seen == [trainer.Options(k=3, **mq.SETTLED), trainer.Options(k=3, model_type="gbt", **mq.SETTLED), trainer.Options(k=3, **mq.SETTLED), (2, {})]
     assert registry.queries()["simulate_corpus"](spark, SF).select("sample").distinct().count() == 50
