@@ -33,6 +33,8 @@ SKETCH_BITS = 22
 SIGNATURE = 8
 #: Stars are made again, up to so often, while more than this many pairs a posting would have to be looked at.
 PAIRS_PER_POSTING, STAR_ROUNDS = 4, 5
+#: Pairs of one document that a task verifies, about.
+TASK_PAIRS = 256
 ROWS = 256
 #: Bytes that are hashed at once; longer texts go in pieces cut at blanks.
 PIECE = 1 << 20
@@ -223,6 +225,16 @@ def _prefixes(texts: DataFrame, sketch, width: int, percent: int, kind: str, who
     return texts.mapInArrow(run, f"id {kind}, n long, " + ("prefix array<long>" if whole else "class binary, gkey binary, " + ", ".join(f"{x} long" for x in names)))
 
 
+def _with_sets(pairs: DataFrame, known: DataFrame, x: str, other: str) -> DataFrame:
+    """pairs with the sets of column x as sets_<x>. The sets of an id with many pairs go to several tasks, one for each TASK_PAIRS of them."""
+    hot = pairs.groupBy(F.col(x).alias("id")).count().where(F.col("count") > TASK_PAIRS).select("id", F.ceil(F.col("count") / TASK_PAIRS).cast("int").alias("parts"))
+    hot = small_or_shuffled(cut(hot))
+    many = F.coalesce("parts", F.lit(1))
+    dealt = known.join(hot, "id", "left").select(F.col("id").alias(x), F.col("sets").alias(f"sets_{x}"), F.explode(F.sequence(F.lit(0), many - 1)).alias("part"))
+    spread = pairs.join(hot.withColumnRenamed("id", x), x, "left").withColumn("part", F.pmod(F.xxhash64(other), many).cast("int")).drop("parts")
+    return spread.join(dealt, [x, "part"]).drop("part")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough. Only texts of those pairs are shingled again."""
 
@@ -240,7 +252,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, kind
     needed = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     # a repeated id has the sets of all its texts
     known = texts.join(small_or_shuffled(needed), "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles binary").groupBy("id").agg(F.collect_set("shingles").alias("sets"))
-    both = pairs.join(known.select(F.col("id").alias("b"), F.col("sets").alias("sets_b")), "b").join(known.select(F.col("id").alias("a"), F.col("sets").alias("sets_a")), "a")
+    both = _with_sets(_with_sets(pairs, known, "b", "a"), known, "a", "b")
     return both.select("a", "b", "sets_a", "sets_b").mapInArrow(similar, f"a {kind}, b {kind}")
 
 

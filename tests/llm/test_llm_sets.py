@@ -121,6 +121,7 @@ def test_near_duplicates_against_all_pairs(spark, width, percent, seed):
 def test_near_duplicates_with_more_stars(spark, monkeypatch, rounds):
     monkeypatch.setattr(nj, "PAIRS_PER_POSTING", 0)
     monkeypatch.setattr(nj, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(nj, "TASK_PAIRS", 2)
     test_near_duplicates_against_all_pairs(spark, 2, 50, 9)
 
 
