@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 
 
+BATCH_BYTES, BATCH_CONF = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder in spark.checkpoint.dir; where none is set, a folder of this machine, but only for a local master."""
     sc = spark.sparkContext
@@ -27,6 +31,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the bytes of a batch that goes to Python to BATCH_BYTES for the session, whose default is 64 MB.
+
+    A worker holds several copies of its batch, as text, as hashes and as a result.
+    """
+    now = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(BATCH_CONF).lower())  # -1 is no limit
+    if not now or int(now[1]) << 10 * " kmgtp".index(now[2] or " ") > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its rows kept in the checkpoint folder, so that lost executors don't make it run again."""
     ensure_checkpoint_dir(df.sparkSession)

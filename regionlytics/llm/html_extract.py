@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .url_filter import host_of
 
 TEMPLATE_PAGES, TEMPLATE_SHARE = 20, 0.5
@@ -273,6 +273,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     alike and count once for templates, as do pages whose long blocks are equal. Very long pages
     are read whole; other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, small_or_shuffled
+from .common import connected_components, cut, small_batches, small_or_shuffled
 
 #: Counters of the frequency sketch: 16 MB at any input.
 SKETCH_BITS = 22
@@ -310,6 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id are one document, which links where any of its texts does; each row reports its own size.
     Rows with a null id report their size and a null component. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(texts, width))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_or_shuffled
+from .common import cut, small_batches, small_or_shuffled
 
 #: Most labelled rows that the model is fitted on.
 TRAIN_ROWS = 20_000
@@ -130,6 +130,7 @@ def classify(
     texts are read whole. Other columns of docs and labels are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     extra = [] if row_col is None else [row_col]
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(train(texts, labels, id_col, label_col, train_rows))

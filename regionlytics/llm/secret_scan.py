@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # The three base patterns and the fewest characters of a secret.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -193,6 +195,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     ignored. A text of any length is scanned once, in time that grows with it. sample_docs bounds the
     different documents that the models learn from, not those scanned.
     """
+    small_batches(docs.sparkSession)
     detector = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, sample_docs))
     kind = docs.schema[id_col].dataType.simpleString()
 
