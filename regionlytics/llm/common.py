@@ -36,7 +36,7 @@ def small_batches(spark: SparkSession) -> None:
 
     A worker holds several copies of its batch, as text, as hashes and as a result.
     """
-    now = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(BATCH_CONF).lower())  # -1 is no limit
+    now = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(BATCH_CONF).lower())
     if not now or int(now[1]) << 10 * " kmgtp".index(now[2] or " ") > BATCH_BYTES:
         spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
