@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import factorial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -87,11 +89,12 @@ def marginal_likelihood(model: Model, corpus: Corpus, steps: int = 100, runs: in
     return core.by_sample(core.gathered(m, rated)).groupBy("corpus", "sample").applyInPandas(one, f"corpus string, sample {m.schema['sample'].dataType.simpleString()}, log_likelihood double")
 
 
-def explain(model: Model, corpus: Corpus, component: str | int) -> DataFrame:
-    """(corpus, locus, feature, value): each feature's additive share of a component's log rate at a locus.
+def explain(model: Model, corpus: Corpus, component: str | int, background: int = 500) -> DataFrame:
+    """(corpus, locus, feature, value): each feature's Shapley value in a component's log rate at a locus.
 
-    Linear models have exact Shapley values, beta x (x - mean x). For trees a feature's share is what
-    the splits on it move the expected value by along the locus' path.
+    Values are exact, against the mean of all loci for linear models, and for trees against
+    ``background`` loci, those that hash lowest: absent features take those loci's values. They add up
+    to the log rate less its mean over the background.
     """
     from .core import locus_table
 
@@ -99,11 +102,17 @@ def explain(model: Model, corpus: Corpus, component: str | int) -> DataFrame:
     loci = locus_table(corpus, model.transform, state.corpora)
     names = [*model.transform.names(), *[f"corpus={c}" for c in state.corpora]]
     mean = loci.agg(*[F.avg(F.get("x", F.lit(j))).alias(f"m{j}") for j in range(len(names))]).first()
-    means = np.array([mean[f"m{j}"] or 0.0 for j in range(len(names))])
-    shared = loci.sparkSession.sparkContext.broadcast((state.rate_model, means))
+    means, tables = np.array([mean[f"m{j}"] or 0.0 for j in range(len(names))]), []
+    if state.rate_model.kind != "linear":
+        rows = loci.orderBy(F.xxhash64("corpus", "locus"), "corpus", "locus").limit(background).select("x").collect()
+        if rows:
+            x = np.array([r["x"] for r in rows])
+            means, b = x.mean(axis=0), state.rate_model.binned(x)
+            tables = [(w, shapley_tables(t, b)) for w, t in state.rate_model.trees[k]]
+    shared = loci.sparkSession.sparkContext.broadcast((state.rate_model, means, tables))
 
     def run(batches):
-        rate, m = shared.value
+        rate, m, by_tree = shared.value
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -114,19 +123,49 @@ def explain(model: Model, corpus: Corpus, component: str | int) -> DataFrame:
                 v = np.zeros((len(x), len(m)))
                 v[:, rate.n_features :] = (x - m)[:, rate.n_features :] * rate.bias[k]
                 b = rate.binned(x)
-                for w, t in rate.trees[k]:
-                    _path_shares(t, b, w, v)
+                for w, leaves in by_tree:
+                    for features, low, high, table in leaves:
+                        inside = (b[:, features] > low) & (b[:, features] <= high)
+                        v[:, features] += w * table[inside @ (1 << np.arange(len(features)))]
             yield pd.DataFrame({"corpus": np.repeat(pdf["corpus"].to_numpy(), len(m)), "locus": np.repeat(pdf["locus"].to_numpy(), len(m)), "feature": np.tile(names, len(x)), "value": v.ravel()})
 
     return loci.select("corpus", "locus", "x").mapInPandas(run, f"corpus string, locus {loci.schema['locus'].dataType.simpleString()}, feature string, value double")
 
 
-def _path_shares(tree, b: np.ndarray, weight: float, out: np.ndarray) -> None:
-    """Adds to out how the value of the node that each row is in changes along its path."""
-    node = np.zeros(len(b), int)
-    f, s, left, right, value = map(np.array, (tree.feature, tree.bin, tree.left, tree.right, tree.value))
-    while (inner := f[node] >= 0).any():
-        i = np.flatnonzero(inner)
-        child = np.where(b[i, f[node[i]]] <= s[node[i]], left[node[i]], right[node[i]])
-        np.add.at(out, (i, f[node[i]]), weight * (value[child] - value[node[i]]))
-        node[i] = child
+def shapley_tables(tree, background: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each leaf (features, low, high, table): a row's share of the leaf's value by which of its bins lie in (low, high].
+
+    A row reaches the leaf with a set of features taken from it, the others from a background row, if
+    all bins taken lie inside. Averaging over orders of the features leaves, for u features that only
+    the row has inside and n that only the other has, (u - 1)! n! / (u + n)! for each of the first
+    and -u! (n - 1)! / (u + n)! for each of the second; none if a feature is outside for both. A leaf
+    has at most as many features as the tree is deep, so the table holds all cases.
+    """
+    out = []
+
+    def walk(node: int, ranges: dict[int, tuple[float, float]]) -> None:
+        j = tree.feature[node]
+        if j >= 0:
+            low, high = ranges.get(j, (-np.inf, np.inf))
+            walk(tree.left[node], ranges | {j: (low, min(high, tree.bin[node]))})
+            walk(tree.right[node], ranges | {j: (max(low, tree.bin[node]), high)})
+        elif ranges:
+            features, d = np.array(sorted(ranges)), len(ranges)
+            low, high = (np.array([ranges[f][i] for f in features]) for i in (0, 1))
+            inside = (background[:, features] > low) & (background[:, features] <= high)
+            share = np.bincount(inside @ (1 << np.arange(d)), minlength=1 << d) / max(1, len(background))
+            bits = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1
+            table = np.zeros((1 << d, d))
+            for own in range(1 << d):
+                for other in np.flatnonzero(share):
+                    if (own | other) + 1 == 1 << d:
+                        mine, theirs = bits[own] & ~bits[other], bits[other] & ~bits[own]
+                        u, n = int(mine.sum()), int(theirs.sum())
+                        if u:
+                            table[own] += share[other] * mine * (factorial(u - 1) * factorial(n) / factorial(u + n))
+                        if n:
+                            table[own] -= share[other] * theirs * (factorial(u) * factorial(n - 1) / factorial(u + n))
+            out.append((features, low, high, table * tree.value[node]))
+
+    walk(0, {})
+    return out

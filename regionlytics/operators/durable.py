@@ -12,10 +12,13 @@ BROADCAST_ROWS = 500_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its rows kept in spark.checkpoint.dir; in a temporary folder where that is unset, as in tests."""
+    """df with its rows kept in spark.checkpoint.dir; where that is unset, in a temporary folder, but only for a local master."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 

@@ -77,18 +77,22 @@ def map_distinct(regions: DataFrame, tracks: DataFrame, key: str = "locus", size
 def resolve_priority(labels: DataFrame, priority: list[str] | None = None, key: str = "locus", null_label: str = "None", check: bool = True) -> DataFrame:
     """(key, label) from (key, labels): the null label for none, the only one, or the first in priority.
 
-    Without a priority the order is alphabetical. With check, a priority that isn't exactly the set of
-    labels observed is an error.
+    Without a priority the order is alphabetical, of any number of labels. With check, a priority
+    that isn't exactly the set of labels observed is an error.
     """
-    observed = sorted(r[0] for r in labels.select(F.explode("labels")).distinct().limit(10_001).collect()) if check or priority is None else []
-    if len(observed) > 10_000:
-        raise ValueError("a categorical feature has more than 10,000 labels")
-    order = observed if priority is None else list(priority)
-    if check and set(order) != set(observed):
-        raise ValueError(f"the priority {order} must hold exactly the labels observed, {observed}")
-    rank = F.create_map(*[x for i, p in enumerate(order) for x in (F.lit(p), F.lit(i))]) if order else F.create_map().cast("map<string,int>")
-    ranked = F.array_sort(F.transform("labels", lambda x: F.struct(rank[x].alias("rank"), x.alias("label"))))
-    return labels.select(key, F.when(F.size("labels") == 0, F.lit(null_label)).otherwise(ranked[0]["label"]).alias("label"))
+    if priority is None:
+        first = F.array_min("labels")
+    else:
+        if check:
+            seen = labels.select(F.explode("labels").alias("label")).distinct()
+            strange = [r[0] for r in seen.where(~F.col("label").isin(list(priority))).limit(10).collect()]
+            absent = set(priority) - {r[0] for r in seen.where(F.col("label").isin(list(priority))).collect()}  # as many as the priority names
+            if strange or absent:
+                raise ValueError(f"the priority {list(priority)} must hold exactly the labels observed; not in it: {strange}, not observed: {sorted(absent)}")
+        order = F.array(*[F.lit(p) for p in priority]).cast("array<string>")
+        ranked = F.transform("labels", lambda x: F.struct((F.array_position(order, x) + F.when(F.array_position(order, x) == 0, 1 << 30).otherwise(0)).alias("rank"), x.alias("label")))
+        first = F.array_min(ranked)["label"]
+    return labels.select(key, F.when(F.size("labels") == 0, F.lit(null_label)).otherwise(first).alias("label"))
 
 
 def coverage_count(regions: DataFrame, points: DataFrame, key: str = "locus", size: int = BIN) -> DataFrame:

@@ -7,6 +7,8 @@ Signatures are (component, context, mutation, omega) and (component, context, de
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,9 +76,11 @@ def glm_targets(stats: DataFrame, keys: tuple[str, ...] = ("component",)) -> Dat
     """
     bad = F.when((F.col("eta") == 0) & (F.col("target") != 0), F.raise_error(F.lit("a target where the exposure is zero")).cast("double")).otherwise(F.col("eta"))
     s = stats.withColumn("eta", bad).where("eta <> 0")
-    w = W.partitionBy(*keys)
-    s = s.withColumn("_m", F.avg(F.col("target") / F.col("eta")).over(w))
-    return s.withColumns({"y": F.col("target") / (F.col("eta") * F.col("_m")), "w": F.col("eta") * F.col("_m") / F.avg(F.col("eta") * F.col("_m")).over(w)}).drop("_m")
+    # sums that are joined back, not a window: a component's loci are spread
+    means = s.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.avg(F.col("target") / F.col("eta")).alias("_m"), F.avg("eta").alias("_e"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    s = s.join(F.broadcast(means), same)  # a row a component
+    return s.withColumns({"y": F.col("target") / (F.col("eta") * F.col("_m")), "w": F.col("eta") / F.col("_e")}).drop("_m", "_e", *[f"_{k}" for k in keys])
 
 
 def sufficient_stats(phi: DataFrame) -> DataFrame:

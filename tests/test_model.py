@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from regionlytics.functions.special import np_dirichlet_expectation
 from regionlytics.model import core, posterior, simulate, trainer, tuning
-from regionlytics.model.boosting import BoostedRate
+from regionlytics.model.boosting import BoostedRate, Tree
 from regionlytics.model.linear import LinearRate
 from regionlytics.operators.scaling import FeatureTransform
 
@@ -236,6 +236,55 @@ def test_a_trial_without_gain_ends(spark, simulated, tmp_path, monkeypatch):
 
 
 def test_leaf_order():
+    from itertools import product
+
     v = np.array([[1, 0], [0, 1], [0.9, 0.1], [0.1, 0.9]])
     o = simulate.leaf_order(v)
     assert {frozenset(o[:2]), frozenset(o[2:])} == {frozenset({0, 2}), frozenset({1, 3})}
+    assert simulate.leaf_order(v[:1]) == [0] and simulate.leaf_order(v[:0]) == []
+
+    def flips(tree):
+        if isinstance(tree, int):
+            return [[tree]]
+        return [x + y for a, b in (tree, tree[::-1]) for x, y in product(flips(a), flips(b))]
+
+    rng = np.random.default_rng(8)
+    for n in (2, 3, 5, 7):
+        v = rng.random((n, 4))
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        d = 1 - u @ u.T
+        trees = [(i, [i]) for i in range(n)]
+        while len(trees) > 1:
+            _, i, j = min((d[np.ix_(a[1], b[1])].mean(), i, j) for i, a in enumerate(trees) for j, b in enumerate(trees) if i < j)
+            trees = [t for k, t in enumerate(trees) if k not in (i, j)] + [((trees[i][0], trees[j][0]), trees[i][1] + trees[j][1])]
+        cost = lambda o: sum(d[a, b] for a, b in zip(o[:-1], o[1:], strict=True))  # noqa: B023, E731
+        assert cost(simulate.leaf_order(v)) == pytest.approx(min(map(cost, flips(trees[0][0]))))
+
+
+def test_tree_shapley_values_against_all_orders():
+    from itertools import permutations
+
+    rng = np.random.default_rng(9)
+    tree = Tree()
+    left, right = tree.split(0, 1, 3)
+    a, b = tree.split(left, 0, 2)
+    c, d = tree.split(right, 1, 6)
+    e, f = tree.split(a, 2, 4)
+    for node in (b, c, d, e, f):
+        tree.value[node] = float(rng.normal())
+    rows, background = rng.integers(0, 9, (6, 3)), rng.integers(0, 9, (5, 3))
+    tables = posterior.shapley_tables(tree, background)
+    for x in rows:
+        got, want = np.zeros(3), np.zeros(3)
+        for features, low, high, table in tables:
+            inside = (x[features] > low) & (x[features] <= high)
+            got[features] += table[inside @ (1 << np.arange(len(features)))]
+        for other in background:
+            for p in permutations(range(3)):
+                now = other.copy()
+                for j in p:
+                    was = tree.predict(now[None])[0]
+                    now[j] = x[j]
+                    want[j] += (tree.predict(now[None])[0] - was) / (6 * len(background))
+        assert np.allclose(got, want)
+        assert got.sum() == pytest.approx(tree.predict(x[None])[0] - tree.predict(background).mean())
