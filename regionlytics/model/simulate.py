@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,11 @@ def markov_states(transition: np.ndarray, n: int, rng: np.random.Generator) -> n
 
 
 def simulate(spark: SparkSession, c: SimulationConfig) -> tuple[Corpus, dict]:
-    """A corpus and the parameters behind it. The driver draws what is per locus, executors draw each sample's mutations."""
+    """A corpus and the parameters behind it. The driver draws what is per locus, executors draw each sample's mutations.
+
+    A mutation's locus is drawn from a component's masses, its context from the locus' counts: tables
+    of components by loci, and of loci by 64 contexts, go to the executors, none of all three.
+    """
     rng = np.random.default_rng(c.seed)
     sigs = c.signatures or synthetic_signatures(3, c.seed)
     k = len(sigs)
@@ -67,25 +72,23 @@ def simulate(spark: SparkSession, c: SimulationConfig) -> tuple[Corpus, dict]:
     states = markov_states(transition, c.n_loci, rng)
     signals = np.stack([means[i] * (states == i) + stds[i] * rng.normal(size=c.n_loci) for i in range(s)], axis=1)
     signals = (signals - signals.mean(axis=0)) / np.maximum(signals.std(axis=0), 1e-12)
-    contexts = np.stack([rng.dirichlet(priors[z]) for z in states])
-    counts = rng.poisson(contexts * 1000) + 0.0
+    counts = rng.poisson(np.stack([rng.dirichlet(priors[z]) for z in states]) * 1000).astype(np.uint16)
     exposure = np.ones(c.n_loci) if c.exposures is None else np.asarray(c.exposures, float)
     omega = np.stack([signature_matrix(x) for x in sigs.values()])
-    delta = omega.sum(axis=2) / np.maximum(counts.sum(axis=0), 1)
+    delta = omega.sum(axis=2) / np.maximum(counts.sum(axis=0, dtype=np.int64), 1)
     noise = c.mutation_rate_noise * rng.normal(size=c.n_loci)
     log_rate = c.rate_function(signals) if c.rate_function else beta @ signals.T + noise
-    psi = np.exp(log_rate)[:, None, :] * exposure * (delta[:, :, None] * counts.T)
-    psi /= psi.sum(axis=(1, 2), keepdims=True)
+    mass = np.cumsum(np.exp(log_rate) * exposure * (delta @ counts.T), axis=1)
     prior = np.ones(k) if c.pi_prior is None else np.asarray(c.pi_prior, float)
-    shared = spark.sparkContext.broadcast((psi, omega, prior))
+    shared = spark.sparkContext.broadcast((mass, counts, delta, omega, prior))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, om, a = shared.value
+        *tables, a = shared.value
         out = []
         for sample in pdf["sample"]:
             r = np.random.default_rng([c.seed, int(sample)])
             pi, n = r.dirichlet(a), max(1, int(r.lognormal(c.log_mean_mutations, c.log_std_mutations)))
-            out.append(_mutations(r, pi, n, p, om).assign(sample=sample))
+            out.append(_mutations(r, pi, n, *tables).assign(sample=sample))
         return pd.concat(out)
 
     cohort = spark.range(c.n_cells).withColumnRenamed("id", "sample")
@@ -93,23 +96,25 @@ def simulate(spark: SparkSession, c: SimulationConfig) -> tuple[Corpus, dict]:
     name = F.lit(c.corpus_name)
     m = m.select(name.alias("corpus"), "sample", F.lit("chr1").alias("chrom"), (F.col("locus") * 10_000).alias("pos"), "locus", "context", "mutation", F.lit(0).alias("attribute"), F.lit(1.0).alias("weight"), "component")
     loci = spark.createDataFrame(pd.DataFrame({"corpus": c.corpus_name, "locus": np.arange(c.n_loci), "exposure": exposure}))
-    tri = spark.createDataFrame(pd.DataFrame({"corpus": c.corpus_name, "locus": np.repeat(np.arange(c.n_loci), 64), "context": np.tile(np.arange(64), c.n_loci), "n": counts.ravel()}), "corpus string, locus long, context int, n double")
+    ends = pa.array(np.arange(0, counts.size + 1, 64), pa.int32())
+    tri = spark.createDataFrame(pa.table({"locus": np.arange(c.n_loci), "n": pa.ListArray.from_arrays(ends, pa.array(counts.ravel().astype(np.int32)))}))
+    tri = tri.select(name.alias("corpus"), "locus", F.posexplode("n").alias("context", "n")).withColumn("n", F.col("n").cast("double"))
     feats = spark.createDataFrame(pd.DataFrame({"corpus": c.corpus_name, "locus": np.arange(c.n_loci)} | {f"signal_{i}": signals[:, i] for i in range(s)}))
-    truth = {"omega": omega, "delta": delta, "beta": beta, "states": states, "names": list(sigs), "psi": psi}
+    truth = {"omega": omega, "delta": delta, "beta": beta, "states": states, "names": list(sigs)}
     return Corpus(m, loci, tri, feats), truth
 
 
-def _mutations(rng: np.random.Generator, pi: np.ndarray, n: int, psi: np.ndarray, omega: np.ndarray) -> pd.DataFrame:
-    """n draws of component, then locus and context, then mutation."""
+def _mutations(rng: np.random.Generator, pi: np.ndarray, n: int, mass: np.ndarray, counts: np.ndarray, delta: np.ndarray, omega: np.ndarray) -> pd.DataFrame:
+    """n draws of component, then locus, context and mutation. mass: running sums over loci by component."""
     k = rng.choice(len(pi), n, p=pi / pi.sum())
     locus, context, mutation = np.zeros(n, int), np.zeros(n, int), np.zeros(n, int)
     for j in np.unique(k):
         i = np.flatnonzero(k == j)
-        flat = psi[j].ravel()
-        cell = np.minimum(np.searchsorted(np.cumsum(flat), rng.random(len(i)) * flat.sum()), len(flat) - 1)
-        context[i], locus[i] = np.divmod(cell, psi.shape[2])
-        p = omega[j][context[i]]
-        mutation[i] = np.minimum((np.cumsum(p, axis=1) < rng.random(len(i))[:, None] * p.sum(axis=1, keepdims=True)).sum(axis=1), 2)
+        locus[i] = _pick(mass[j], rng.random(len(i)))
+        for some in np.array_split(i, -(-len(i) // 65_536)):
+            for into, p in ((context, lambda x, j=j: counts[locus[x]] * delta[j]), (mutation, lambda x, j=j: omega[j][context[x]])):
+                cum = np.cumsum(p(some), axis=1)
+                into[some] = (cum <= rng.random(len(some))[:, None] * cum[:, -1:]).sum(axis=1).clip(max=cum.shape[1] - 1)
     return pd.DataFrame({"component": k, "locus": locus, "context": context, "mutation": mutation})
 
 

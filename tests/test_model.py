@@ -77,6 +77,34 @@ def test_subsampling_and_resampling(simulated):
     assert r.mutations.count() == c.mutations.count()
 
 
+def test_simulation_of_a_whole_genome(spark):
+    config = simulate.SimulationConfig(n_cells=3, n_loci=250_000, log_mean_mutations=8.0, log_std_mutations=0.1, signatures=simulate.synthetic_signatures(9, 3, 0.05), seed=5, pi_prior=np.ones(9))
+    c, truth = simulate.simulate(spark, config)
+    held = [v for v in truth.values() if isinstance(v, np.ndarray)]
+    assert max(v.size for v in held) <= 250_000 and c.trinucs.count() == 64 * 250_000
+    assert c.mutations.agg(F.countDistinct("sample")).first()[0] == 3 and c.mutations.agg(F.countDistinct("locus")).first()[0] > 5_000
+    config.n_loci = 500
+    got, again = (simulate.simulate(spark, config)[0].mutations.toPandas() for _ in range(2))
+    key = list(got.columns)
+    assert got.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+
+
+def test_simulated_draws_follow_masses_and_counts():
+    rng = np.random.default_rng(1)
+    counts, delta, omega = rng.integers(1, 9, (5, 64)).astype(np.uint16), rng.random((2, 64)) + 0.1, rng.random((2, 64, 3)) + 0.1
+    rate = rng.random((2, 5)) + 0.1
+    psi = rate[:, :, None] * counts * delta[:, None, :]
+    got = simulate._mutations(rng, np.array([0.3, 0.7]), 60_000, np.cumsum(psi.sum(axis=2), axis=1), counts, delta, omega)
+    assert (got["component"] == 1).mean() == pytest.approx(0.7, abs=0.02)
+    for j in range(2):
+        own = got[got["component"] == j]
+        p = (psi[j] / psi[j].sum())[:, :, None] * (omega[j] / omega[j].sum(axis=1, keepdims=True))
+        for column, axes in (("locus", (1, 2)), ("context", (0, 2)), ("mutation", (0, 1))):
+            want = p.sum(axis=axes) * len(own)
+            seen = np.bincount(own[column], minlength=len(want))
+            assert ((seen - want) ** 2 / want).sum() < len(want) + 5 * np.sqrt(2 * len(want))
+
+
 def test_resampling_holds_no_table_of_loci(spark, model, simulated, monkeypatch):
     c = simulated[0]
     frame = type(c.mutations)
