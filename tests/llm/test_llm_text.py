@@ -100,6 +100,24 @@ def test_url_empty_table(spark):
     assert uf.filter_urls(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
 
 
+def test_url_hosts_paths_and_rules_against_sql(spark):
+    import duckdb
+
+    rules = ", ".join(f"('{r}', '{v}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for r, v in URL_RULES)
+    sql = f"""
+    with u as (select page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+      coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from '/root/testdata/sf0.01/pages.parquet'),
+    r(rule, verdict, own, start) as (values {rules})
+    select page_id, host, path, max_by(rule, length(rule)) filter (rule is not null) as rule, max_by(verdict, length(rule)) filter (rule is not null) as verdict
+    from u left join r on (host = own or host like '%.' || own) and starts_with(path, start) group by all"""
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    got = queries()["op1_url_filter"](spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(want) and sum(v[2] is not None for v in want.values()) > 20
+    for x in got:
+        host, path, rule, verdict = want[x["page_id"]]
+        assert (x["host"], x["path"], x["rule"]) == (host, path, rule) and (verdict is None and x["verdict"] in ("allow", "block") or x["verdict"] == verdict)
+
+
 # pages
 
 
@@ -237,6 +255,18 @@ def test_scan_judges_short_strings_letters_and_what_base_spans_leave(spark):
     assert not any(random_spans(f"the {t} of") for t in words)
 
 
+def test_base_counts_against_sql(spark):
+    import duckdb
+
+    sql = r"""
+    select doc_id, len(list_filter(regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 12)) as n_assign,
+      len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) as n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16)) as n_hex
+    from (select doc_id, coalesce(text, '') as t from '/root/testdata/sf0.01/documents.parquet')"""
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    got = {x["doc_id"]: (x["n_assign"], x["n_access"], x["n_hex"]) for x in queries()["op5_secret_scan"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and sum(sum(v) for v in want.values()) > 10
+
+
 def test_stretches_outside_spans_against_brute_force():
     r = random.Random(15)
     for _ in range(500):
