@@ -251,6 +251,17 @@ def drop_clustered(spark, sf):
     return cl.drop_clustered(cl.clusters(rated_points(spark, sf))).select("sample", "chrom", "pos")
 
 
+@query("unclustered_mutations", fx.sql(RATED + """, scaled as (select sample, chrom, pos, rate / 1000000.0::double as rate from r),
+w as (select *, pos - lag(pos) over (partition by sample, chrom order by pos) as gap, lag(-ln(0.995::double) / rate) over (partition by sample, chrom order by pos) as lim from scaled),
+k as (select *, sum(case when gap is null or gap > least(10000, lim) then 1 else 0 end) over (partition by sample, chrom order by pos) as n from w),
+z as (select *, count(*) over (partition by sample, chrom, n) as cluster_size from k)
+select sample, chrom, pos, round(rate * 1000000, 6) as rate, cluster_size from z where cluster_size < 3""", "snvs", "tracks"))
+def unclustered_mutations(spark, sf):
+    """From points and a rate track to the mutations that stay: local rate, clusters under it, small clusters, in one plan."""
+    r = rated(spark, sf).withColumn("rate", F.col("rate") / 1e6)
+    return cl.drop_clustered(cl.clusters(r)).select("sample", "chrom", "pos", F.round(F.col("rate") * 1e6, 6).alias("rate"), "cluster_size")
+
+
 @query("cluster_scores", fx.sql(""", d as (select distinct sample, chrom, pos, (1 + pos % 5) / 100000.0::double as rate from snvs),
 n as (select *, pos - lag(pos) over w as a, lead(pos) over w - pos as b from d window w as (partition by sample, chrom order by pos))
 select sample, chrom, pos, round(-log10(least(a, b) / (-ln(0.995::double) / rate)), 6) as score from n where a is not null or b is not null""", "snvs"))
