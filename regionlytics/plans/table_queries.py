@@ -178,7 +178,17 @@ def robust_features(spark, sf):
     return features(spark, sf, {"p_retailprice": "robust"})
 
 
-@query("quantile_features")
+#: Ranks among the 1,001 quantiles: the fixture has fewer rows than the quantiles' accuracy, so both engines find the same ones.
+_GRID = "select list_transform(range(1001), lambda i: v[greatest(1, ceil((i / 1000::double) * len(v))::bigint)]) as g from (select list({0}::double order by {0}) as v from loci)"
+_RANK = "case when x <= g[1] then 0 when x >= g[1001] then 1 when upto > below then (below + upto - 1) / 2 / 1000 else (below - 1 + (x - g[below]) / (g[below + 1] - g[below])) / 1000 end"
+
+
+def _quantile_sql(name: str) -> str:
+    counted = f"select locus, {name}::double as x, g, len(list_filter(g, lambda q: q < {name})) as below, len(list_filter(g, lambda q: q <= {name})) as upto from loci, ({_GRID.format(name)})"
+    return f"(select locus, round({_RANK}, 6) as {name} from ({counted}))"
+
+
+@query("quantile_features", fx.sql(f"select a.locus, a.p_retailprice, b.p_size from {_quantile_sql('p_retailprice')} a join {_quantile_sql('p_size')} b using (locus)", "loci"))
 def quantile_features(spark, sf):
     return features(spark, sf, {"p_retailprice": "quantile", "p_size": "quantile"})
 
