@@ -37,7 +37,7 @@ PAIRS_PER_POSTING, STAR_ROUNDS = 4, 5
 TASK_PAIRS = 256
 ROWS = 256
 #: Bytes that are hashed at once; longer texts go in pieces cut at blanks.
-PIECE = 1 << 20
+PIECE = 1 << 17
 
 # A word's hash is a sum of a random number per byte times powers of an odd base, modulo 2**64. Sums
 # over all prefixes of a buffer give any word's by a difference and a multiplication.
