@@ -228,11 +228,15 @@ def _prefixes(texts: DataFrame, sketch, width: int, percent: int, kind: str, who
 def _with_sets(pairs: DataFrame, known: DataFrame, x: str, other: str) -> DataFrame:
     """pairs with the sets of column x as sets_<x>. The sets of an id with many pairs go to several tasks, one for each TASK_PAIRS of them."""
     hot = pairs.groupBy(F.col(x).alias("id")).count().where(F.col("count") > TASK_PAIRS).select("id", F.ceil(F.col("count") / TASK_PAIRS).cast("int").alias("parts"))
-    hot = small_or_shuffled(cut(hot))
-    many = F.coalesce("parts", F.lit(1))
-    dealt = known.join(hot, "id", "left").select(F.col("id").alias(x), F.col("sets").alias(f"sets_{x}"), F.explode(F.sequence(F.lit(0), many - 1)).alias("part"))
-    spread = pairs.join(hot.withColumnRenamed("id", x), x, "left").withColumn("part", F.pmod(F.xxhash64(other), many).cast("int")).drop("parts")
-    return spread.join(dealt, [x, "part"]).drop("part")
+    hot = cut(hot)
+    held = known.select(F.col("id").alias(x), F.col("sets").alias(f"sets_{x}"))
+    if hot.isEmpty():
+        return pairs.join(held, x)
+    # the others meet the sets where their grouping left them, without another exchange of sets
+    hot = small_or_shuffled(hot.withColumnRenamed("id", x))
+    dealt = held.join(hot, x).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    spread = pairs.join(hot, x).withColumn("part", F.pmod(F.xxhash64(other), F.col("parts")).cast("int")).drop("parts")
+    return pairs.join(hot, x, "left_anti").join(held, x).unionByName(spread.join(dealt, [x, "part"]).drop("part"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
