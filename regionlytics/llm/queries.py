@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,6 +94,46 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import lloyd, with_inertia
+
+    return with_inertia(*lloyd(table(spark, sf_dir, "embeddings")))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str, model_name: str = "piece_bpe_32k.model") -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import count_tokens
+
+    out = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(model_name))
+    return out.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def with_planted_run(doc_id: int | None, words: list[str]) -> list[str]:
+    """op13's words of a document: of one in ten, told by its id, the words from some place on repeat the first of them. A null id plants nothing."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import periodic_runs
+
+    out = periodic_runs(table(spark, sf_dir, "documents"), words_of=with_planted_run)
+    # runs come by start, then period, so the first of the greatest stays
+    best = F.expr("aggregate(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>), (b, r) -> if(b is null or r.length * b.period > b.length * r.period, r, b))")
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        sha(listed).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -105,6 +146,9 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_centroids": op11_centroids,
+        "op12_token_counts": op12_token_counts,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
@@ -169,5 +213,53 @@ select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (part
 }
 
 
+def _lloyd_sql(rounds: int = 3) -> str:
+    """Vectors by row and component against centroids, one round after the other."""
+    far = lambda c: f"select v.r, c.k, sum((v.x - c.x) * (v.x - c.x))::bigint as d from u v join {c} c on c.j = v.j group by v.r, c.k"
+    near = lambda c: f"select r, arg_min(k, (d, k)) as k, min(d) as d from ({far(c)}) group by r"
+    out = """
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+u as materialized (select r, unnest(e) as x, generate_subscripts(e, 1) as j from v),
+f as (select r, row_number() over (order by sha256('1:' || vec_id::varchar), e) - 1 as k from v qualify k < 16),
+c0 as materialized (select f.k, u.j, u.x from f join u using (r))"""
+    for i in range(rounds):
+        out += f""",
+a{i} as materialized ({near(f"c{i}")}),
+m{i} as (select a.k, u.j, sum(u.x)::bigint as s, count(*) as n from a{i} a join u using (r) group by all),
+c{i + 1} as materialized (select c.k, c.j, case when m.n is null then c.x else (m.s - ((m.s % m.n) + m.n) % m.n) // m.n end as x from c{i} c left join m{i} m on m.k = c.k and m.j = c.j)"""
+    return (
+        out
+        + f""",
+a as materialized ({near(f"c{rounds}")}),
+h as (select k, sha256(string_agg(x::varchar, ',' order by j)) as s from c{rounds} group by k)
+select v.vec_id, a.k::int as cluster, a.d as distance, (sum(a.d) over (partition by a.k))::bigint as cluster_inertia, (sum(a.d) over ())::bigint as inertia, h.s as centroid_sha256
+from a join v using (r) join h using (k)
+"""
+    )
+
+
+SQL["op11_centroids"] = _lloyd_sql()
+SQL["op13_periodic_runs"] = r"""
+with t as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as o, case when doc_id is null then 1 else xor(4294967295, list_reduce(
+    flatten(list_transform(string_split(doc_id::varchar, ''), lambda d: [ascii(d)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: case when x >= 0 then xor(c, x) when c % 2 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end, 4294967295::bigint)) end as h from documents),
+g as (select *, len(o) as n, h // 10 as g, h % 10 = 0 and len(o) > 0 as planted from t),
+s as (select *, case when planted then g % n else n end as a, case when planted then 1 + (n - g % n) // (3 + g % 8) else 1 end as p from g),
+w as materialized (select s.r, i.i, o.w, s.n from (select r, unnest(range(n)) as i from s) i join s using (r)
+  join (select r, unnest(o) as w, generate_subscripts(o, 1) - 1 as i from s) o on o.r = s.r and o.i = case when i.i >= a then a + (i.i - a) % p else i.i end),
+e as (select x.r, x.i, y.i - x.i as q from w x join w y on x.r = y.r and x.w = y.w and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+b as (select r, q, i, i - row_number() over (partition by r, q order by i) as island from e),
+c as materialized (select r, q, min(i) as s, count(*) + q as l from b group by r, q, island having count(*) + q >= greatest(6, 4 * q)),
+d as materialized (select * from c where not exists (select 1 from c k where k.r = c.r and k.q < c.q and k.s <= c.s and k.s + k.l >= c.s + c.l)),
+z as (select w.r, string_agg(w.w, ' ' order by w.i) as z from w where not exists (select 1 from d where d.r = w.r and w.i >= d.s + d.q and w.i < d.s + d.l) group by w.r),
+k as (select r, count(*) as n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as listed from d group by r),
+m as (select * from d qualify row_number() over (partition by r order by l::double / q desc, s, q) = 1)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, m.s::bigint as start, m.l::bigint as length, m.q::bigint as period, (1000 * m.l // m.q)::bigint as exponent_milli,
+  sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(z.z, '')) as collapsed_sha256
+from t left join k using (r) left join m using (r) left join z using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
