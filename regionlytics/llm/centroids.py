@@ -38,7 +38,7 @@ def _integers(scale: int, width: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf[[v is not None and len(v) == width for v in pdf["vec"]]]
+            pdf = pdf[np.array([v is not None and len(v) == width for v in pdf["vec"]], bool)]
             x = np.array([np.asarray(v, np.float64) for v in pdf["vec"]], np.float64).reshape(len(pdf), width)
             with np.errstate(over="ignore"):
                 x = np.floor(scale * x)
@@ -75,7 +75,8 @@ def _moved(rows: DataFrame, centroids: np.ndarray) -> np.ndarray:
             for c in np.unique(number):
                 total[c] += x[number == c].sum(axis=0)
         used = np.flatnonzero(count)
-        yield pd.DataFrame({"cluster": used, "n": count[used], "total": list(total[used])})
+        if len(used):
+            yield pd.DataFrame({"cluster": used, "n": count[used], "total": list(total[used])})
 
     parts = rows.select("data").mapInPandas(sums, "cluster int, n long, total array<long>")
     exact = lambda c: F.sum(c.cast("decimal(38,0)"))
