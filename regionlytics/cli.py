@@ -16,7 +16,7 @@ from .operators import corpora as co
 from .operators import intervals as iv
 from .operators import nearest as nr
 from .operators.scaling import FeatureTransform
-from .sources import store, text
+from .sources import bigwig, store, text
 from .sources.validate import check_exposures, check_regions
 
 
@@ -81,8 +81,14 @@ def trinucs(spark, a):
 
 
 def ingest_bigwig(spark, a):
-    """The signal comes as bedGraph: Spark has no reader for the binary format."""
-    mean = iv.mean_signal(_segments(spark, a.regions_file), text.read_bedgraph(spark, a.bigwig_file), extend=a.extend)
+    """The mean of a bigWig file's signal over each region; a bedGraph file is taken as well."""
+    segs = _segments(spark, a.regions_file)
+    if bigwig.is_bigwig(a.bigwig_file):
+        chroms = [r[0] for r in segs.select("chrom").distinct().collect()]  # a row per chromosome
+        signal = bigwig.read_bigwig(spark, a.bigwig_file).where(F.col("chrom").isin(chroms))
+    else:
+        signal = text.read_bedgraph(spark, a.bigwig_file)
+    mean = iv.mean_signal(segs, signal, extend=a.extend)
     text.write_feature(mean.withColumnRenamed("mean", a.feature_name), {a.feature_name: (a.normalization, a.group)}, a.output)
 
 

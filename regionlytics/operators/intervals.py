@@ -1,32 +1,83 @@
 """Relational algebra of half-open intervals [start, end) by chromosome.
 
-Range predicates become equi-joins: both sides are dealt to bins of a chromosome, joined on
-(chrom, bin) and filtered; a pair of intervals is kept only in the first bin that both touch. So the
-planner sees an ordinary join that it can shuffle, broadcast or split by skew.
+Range predicates become equi-joins over a hierarchy of bins. The bins of level 0 have ``size`` bases,
+those of each further level FACTOR times as many. An interval is stored at its own level, the first
+whose bins are no shorter than itself, so it lies in one or two bins however long it is; it looks for
+longer ones in the one or two bins that it touches at each of their levels. Only levels that occur
+are looked at. A pair is kept in the first bin that both touch. So rows grow with the input alone, and
+the planner sees an ordinary join that it can shuffle, broadcast or split by skew. The few intervals
+of a sparse level are copied to several parts of their bins, among which what looks for them is dealt,
+as all places of a chromosome may look into one bin.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BIN = 1024
-
-
-def bin_size_for(intervals: DataFrame, start: str = "start", end: str = "end") -> int:
-    """A power of two that nine in ten intervals fit in, from one aggregation."""
-    r = intervals.agg(F.percentile_approx(F.col(end) - F.col(start), 0.9)).first()[0]
-    return 1 << max(6, int(r or 0).bit_length())
+#: How much longer each level's bins are, the number of levels, and the most parts of a bin.
+FACTOR, LEVELS, PARTS = 4, 16, 16
+#: A slot is a bin's number times this, plus its level, role and part.
+STEP = LEVELS * 2 * PARTS
 
 
 def bin_of(pos: Column, size: int) -> Column:
     return F.floor(pos / size).cast("long")
 
 
-def bins(start: Column, end: Column, size: int) -> Column:
-    """All bins that [start, end) touches; none if it is empty."""
-    return F.when(end > start, F.sequence(bin_of(start, size), bin_of(end - 1, size)))
+def level_of(length: Column, size: int = BIN) -> Column:
+    """The level whose bins are the shortest that aren't shorter than length."""
+    return reduce(lambda x, y: x + y, ((length > size * FACTOR**k).cast("int") for k in range(LEVELS - 1)))
+
+
+def level_counts(size: int, *tables: DataFrame) -> list[dict[int, int]]:
+    """For each of the tables (start, end, ...) the number of intervals at each level; empty ones don't count. One job."""
+    length = F.col("end") - F.col("start")
+    parts = [t.where(length > 0).select(F.lit(i).alias("t"), level_of(length, size).alias("level")) for i, t in enumerate(tables)]
+    out: list[dict[int, int]] = [{} for _ in tables]
+    for r in reduce(DataFrame.unionByName, parts).groupBy("t", "level").count().collect():  # at most LEVELS rows a table
+        out[r["t"]][r["level"]] = r["count"]
+    return out
+
+
+def _parts(stored: dict[int, int], rows: int) -> dict[int, int]:
+    """Into how many parts the bins of each level fall: no level has more copies than there are rows."""
+    return {level: max(1, min(PARTS, rows // n)) for level, n in sorted(stored.items())}
+
+
+def _entries(role: int, parts: dict[int, int]) -> list[tuple[int, int, int]]:
+    return [(role, level, n) for level, n in parts.items()]
+
+
+def _placed(df: DataFrame, start: str, end: str, size: int, entries: list[tuple[int, int, int]], stored: int, strict: int | None, name: str) -> DataFrame:
+    """df once for each slot, as the column name, of the entries (role, level, parts).
+
+    In the role ``stored`` an interval lies in the bins of its own level, in each of their parts; in the
+    other one it looks for those of its own level and above, or above only if that role is ``strict``, in one part.
+    """
+    if not entries:
+        return df.where("false").withColumn(name, F.lit(None).cast("long"))
+    s, e = F.col(start), F.col(end)
+    each = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(level).alias("level"), F.lit(n).alias("parts"), F.lit(size * FACTOR**level).cast("long").alias("width")) for r, level, n in entries])
+    out = df.where(e > s).withColumn("_own", level_of(e - s, size)).withColumn("_at", F.explode(each) if len(entries) > 1 else each[0])
+    role, level, parts, width = (F.col(f"_at.{c}") for c in ("role", "level", "parts", "width"))
+    below = F.when(role == strict, F.col("_own") < level).otherwise(F.col("_own") <= level) if strict is not None else F.col("_own") <= level
+    out = out.where(F.when(role == stored, F.col("_own") == level).otherwise(below))
+    out = out.withColumn("_bin", F.explode(F.sequence(F.floor(s / width), F.floor((e - 1) / width))))
+    part = F.lit(0)
+    if any(n > 1 for _, _, n in entries):
+        one = F.pmod(F.xxhash64(s, e), parts).cast("int")
+        out = out.withColumn("_part", F.explode(F.sequence(F.when(role == stored, 0).otherwise(one), F.when(role == stored, parts - 1).otherwise(one))))
+        part = F.col("_part")
+    return out.withColumn(name, _slot(F.col("_bin"), level, role, part)).drop("_own", "_at", "_bin", "_part")
+
+
+def _slot(at: Column, level: Column, role: Column, part: Column) -> Column:
+    return at * STEP + ((level * 2 + role) * PARTS + part).cast("long")
 
 
 def segments(regions: DataFrame) -> DataFrame:
@@ -39,21 +90,41 @@ def segments(regions: DataFrame) -> DataFrame:
 def point_join(points: DataFrame, intervals: DataFrame, size: int = BIN, how: str = "inner") -> DataFrame:
     """points (chrom, pos, ...) with the columns of the intervals (chrom, start, end, ...) that hold them.
 
-    how: inner, left, left_semi or left_anti. Interval columns other than chrom must not clash with those of points.
+    how: inner, left, left_semi or left_anti. Interval columns other than chrom must not clash with
+    those of points. A null place is in no interval.
     """
-    p = points.withColumn("_bin", bin_of(F.col("pos"), size))
-    i = intervals.withColumn("_bin", F.explode(bins(F.col("start"), F.col("end"), size))).withColumnsRenamed({"chrom": "_chrom", "_bin": "_ibin"})
-    on = (F.col("chrom") == F.col("_chrom")) & (F.col("_bin") == F.col("_ibin")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))
-    return p.join(i, on, how).drop("_bin", "_ibin", "_chrom")
+    (stored,) = level_counts(size, intervals)
+    parts = _parts(stored or {0: 1}, sum(stored.values()))
+    held = _placed(intervals, "start", "end", size, _entries(0, parts), 0, None, "_to").withColumnsRenamed({"chrom": "_chrom"})
+    pos = F.col("pos")
+    slots = [_slot(bin_of(pos, size * FACTOR**level), F.lit(level), F.lit(0), F.pmod(F.xxhash64(pos), F.lit(n))) for level, n in parts.items()]
+    inside = (pos >= F.col("start")) & (pos < F.col("end")) & (F.col("chrom") == F.col("_chrom"))
+    join = lambda left, slot, how: left.join(held, inside & (slot == F.col("_to")), how).drop("_chrom", "_to")
+    if len(slots) == 1:
+        return join(points, slots[0], how)
+    if how in ("inner", "left"):
+        found = join(points.withColumn("_slot", F.explode(F.array(*slots))), F.col("_slot"), "inner").drop("_slot")
+        return found if how == "inner" else found.unionByName(reduce(lambda left, x: join(left, x, "left_anti"), slots, points), allowMissingColumns=True)
+    left, out = points, []
+    for x in slots:
+        out.append(join(left, x, "left_semi"))
+        left = join(left, x, "left_anti")
+    return left if how == "left_anti" else reduce(DataFrame.unionByName, out)
 
 
 def overlap_join(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
-    """Pairs of overlapping intervals; a's columns as they are, b's with the prefix ``b_``, both unclipped."""
-    x = a.withColumn("_bin", F.explode(bins(F.col("start"), F.col("end"), size)))
-    y = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).withColumn("_b_bin", F.explode(bins(F.col("b_start"), F.col("b_end"), size)))
-    on = (F.col("chrom") == F.col("b_chrom")) & (F.col("_bin") == F.col("_b_bin")) & (F.col("b_start") < F.col("end")) & (F.col("start") < F.col("b_end"))
-    first = F.col("_bin") == bin_of(F.greatest("start", "b_start"), size)
-    return x.join(y, on & first).drop("_bin", "_b_bin")
+    """Pairs of overlapping intervals; a's columns as they are, b's with the prefix ``b_``, both unclipped. Empty intervals overlap nothing."""
+    in_a, in_b = level_counts(size, a, b)
+    rows = sum(in_a.values()) + sum(in_b.values())
+    # role 0: b is stored and looked for by what is in a at its level or below; role 1: a is stored and looked for from below
+    parts_b = _parts({k: n for k, n in in_b.items() if in_a and min(in_a) <= k}, rows)
+    parts_a = _parts({k: n for k, n in in_a.items() if in_b and min(in_b) < k}, rows)
+    entries = _entries(0, parts_b) + _entries(1, parts_a)
+    x = _placed(a, "start", "end", size, entries, 1, None, "_slot")
+    y = _placed(b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]), "b_start", "b_end", size, entries, 0, 1, "_b_slot")
+    on = (F.col("chrom") == F.col("b_chrom")) & (F.col("_slot") == F.col("_b_slot")) & (F.col("b_start") < F.col("end")) & (F.col("start") < F.col("b_end"))
+    width = F.pow(F.lit(float(FACTOR)), F.floor(F.pmod(F.col("_slot"), F.lit(STEP)) / (2 * PARTS))) * size
+    return x.join(y, on & (F.floor(F.col("_slot") / STEP) == F.floor(F.greatest("start", "b_start") / width))).drop("_slot", "_b_slot")
 
 
 def overlap(pairs: DataFrame) -> Column:

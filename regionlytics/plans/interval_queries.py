@@ -60,6 +60,27 @@ def interval_overlap_join(spark, sf):
     return pairs.select("locus", F.col("b_event_id").alias("event_id"), "start", "b_start", iv.overlap(pairs).cast("long").alias("overlap"))
 
 
+#: Intervals from ten bases to a chromosome's length.
+MIXED = ", m as (select locus, chrom, case when locus < 10 then 0 else s end as s, case when locus < 10 then 250000000 else s + 10 * (4 ** (locus % 5))::bigint end as e from loci)"
+
+
+def mixed(spark, sf):
+    whole = F.col("locus") < 10
+    length = F.lit(10) * F.pow(F.lit(4), F.col("locus") % 5).cast("long")
+    return fx.loci(spark, sf).select("locus", "chrom", F.when(whole, 0).otherwise(F.col("start")).alias("start"), F.when(whole, 250_000_000).otherwise(F.col("start") + length).alias("end"))
+
+
+@query("mixed_length_overlap", fx.sql(MIXED + " select m.locus, count(*) as n, sum(least(m.e, t.e) - greatest(m.s, t.s))::bigint as bases from m join tracks t on t.chrom = m.chrom and t.s < m.e and m.s < t.e group by m.locus", "loci", "tracks"))
+def mixed_length_overlap(spark, sf):
+    pairs = iv.overlap_join(mixed(spark, sf), fx.tracks(spark, sf).select("event_id", "chrom", "start", "end"))
+    return pairs.groupBy("locus").agg(F.count("*").alias("n"), F.sum(iv.overlap(pairs)).cast("long").alias("bases"))
+
+
+@query("mixed_length_coverage", fx.sql(MIXED + " select m.locus, count(p.pos) as n from m left join snvs p on p.chrom = m.chrom and p.pos >= m.s and p.pos < m.e and p.filter = 'PASS' group by m.locus", "loci", "snvs"))
+def mixed_length_coverage(spark, sf):
+    return iv.coverage_count(mixed(spark, sf), points(spark, sf))
+
+
 @query("interval_anti_join", fx.sql(f"select l.locus, l.chrom, l.s as \"start\", l.e as \"end\" from loci l where not exists (select 1 from tracks t where {OVER} and t.label = 'click')", "loci", "tracks"))
 def interval_anti_join(spark, sf):
     return iv.anti_join(spans(spark, sf), fx.tracks(spark, sf).where("label = 'click'"), "locus").select("locus", "chrom", "start", "end")

@@ -3,6 +3,7 @@
 import json
 import random
 
+import bigwig_file
 import pytest
 
 from regionlytics import cli
@@ -46,6 +47,11 @@ def test_files_to_model(spark, work, capsys):
     tri = spark.read.parquet(f"{d}/tri")
     assert tri.select("locus").distinct().count() == n
     run("ingest-bigwig {d}/signal.bedgraph --regions-file {d}/regions --feature-name sig --output {d}/f1 --normalization standardize")
+    rows = [tuple(f(x) for f, x in zip((str, int, int, float), line.split(), strict=True)) for line in (work / "signal.bedgraph").read_text().splitlines()]
+    bigwig_file.write(work / "signal.bw", {c: 20_000 for c in ("chr1", "chr2")}, [(c, 1, 0, 0, [x[1:] for x in rows if x[0] == c]) for c in ("chr1", "chr2")])
+    run("ingest-bigwig {d}/signal.bw --regions-file {d}/regions --feature-name sig --output {d}/f1b --normalization standardize")
+    as_read = lambda name: [round(x["sig"], 4) for x in text.read_features(spark, f"{d}/{name}")[0].orderBy("locus").collect()]
+    assert as_read("f1") == as_read("f1b") and len(set(as_read("f1"))) > 20
     run("ingest-distance {d}/genes.bed --regions-file {d}/regions --feature-name gene --output {d}/f2")
     run("ingest-categorical {d}/genes.bed --regions-file {d}/regions --feature-name kind --output {d}/f3")
     got, types, _ = text.read_features(spark, f"{d}/f2")

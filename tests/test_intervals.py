@@ -34,15 +34,52 @@ def test_depth_times_length_is_total_length(spark):
         assert d == sum(e - s for _, s, e, _ in rows)
 
 
-@pytest.mark.parametrize("size", [1, 7, 1024])
-def test_overlap_join_against_brute_force(spark, size):
+def lengths(r, longest):
+    return r.choice([0, 1, r.randint(0, 40), int(longest ** r.random()), longest])
+
+
+@pytest.mark.parametrize(("size", "longest"), [(1, 40), (7, 40), (1024, 40), (1, 300), (4, 5000), (1024, 60_000)])
+def test_overlap_join_against_brute_force(spark, size, longest):
     r = random.Random(2)
-    a = [(i, f"chr{r.randint(1, 2)}", s := r.randint(0, 300), s + r.randint(0, 40)) for i in range(60)]
-    b = [(i, f"chr{r.randint(1, 2)}", s := r.randint(0, 300), s + r.randint(0, 40)) for i in range(60)]
+    make = lambda n: [(i, f"chr{r.randint(1, 2)}", s := r.randint(0, 6 * longest), s + lengths(r, longest)) for i in range(n)]
+    a, b = make(70), make(60)
     schema = "id int, chrom string, start long, end long"
     got = iv.overlap_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), size)
     want = sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] < y[3] and y[2] < x[3] and x[2] < x[3] and y[2] < y[3])
     assert sorted((r["id"], r["b_id"]) for r in got.collect()) == want
+    none = spark.createDataFrame([(1, "chr1", None, 5), (2, None, 1, 5), (3, "chr1", 5, 5)], schema)
+    assert iv.overlap_join(spark.createDataFrame(a, schema), none, size).count() == iv.overlap_join(none, spark.createDataFrame(b, schema), size).count() == 0
+
+
+@pytest.mark.parametrize("longest", [40, 5000])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_point_join_against_brute_force(spark, how, longest):
+    r = random.Random(3)
+    spans = [(i, f"chr{r.randint(1, 2)}", s := r.randint(0, 6 * longest), s + lengths(r, longest)) for i in range(15)]
+    points = [(i, f"chr{r.randint(1, 3)}", r.randint(0, 7 * longest)) for i in range(150)] + [(150, "chr1", None), (151, None, 3)]
+    p = spark.createDataFrame(points, "k int, chrom string, pos long")
+    for held in (spans, []):
+        hits = [(x[0], y[0]) for x in points for y in held if x[2] is not None and x[1] == y[1] and y[2] <= x[2] < y[3]]
+        hit = {k for k, _ in hits}
+        want = {"inner": hits, "left": hits + [(x[0], None) for x in points if x[0] not in hit], "left_semi": [(k,) for k in hit], "left_anti": [(x[0],) for x in points if x[0] not in hit]}[how]
+        got = iv.point_join(p, spark.createDataFrame(held, "i int, chrom string, start long, end long"), 16, how)
+        assert got.columns == ["k", "chrom", "pos"] + ["i", "start", "end"] * (how in ("inner", "left"))
+        assert sorted((tuple(x[c] for c in ("k", "i") if c in got.columns) for x in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_long_intervals_are_stored_a_few_times(spark, monkeypatch):
+    """Rows after the deal grow with the rows, not with the lengths: a chromosome of 250 Mb was 244,000 rows in bins of one size."""
+    seen = []
+    placed = iv._placed
+    monkeypatch.setattr(iv, "_placed", lambda *x: seen.append(placed(*x)) or seen[-1])
+    whole = spark.createDataFrame([(i, "chr1", i, 250_000_000 + i) for i in range(5)], "id int, chrom string, start long, end long")
+    short = spark.range(20_000).selectExpr("CAST(id AS INT) AS id", "'chr1' AS chrom", "id * 12000 AS start", "id * 12000 + 10 AS end")
+    got = iv.overlap_join(short, whole)
+    assert got.count() == 5 * 20_000
+    assert seen[0].count() == 20_000 and seen[1].count() <= 5 * 2 * iv.PARTS
+    # all short ones look into one bin of their chromosome, but in its parts
+    spread = seen[0].groupBy("_slot").count().agg(F.max("count")).first()[0]
+    assert spread < 2 * 20_000 / iv.PARTS  # one bin or two
 
 
 def test_nearest_before_and_after(spark):
