@@ -20,6 +20,7 @@ from ..functions.special import dirichlet_bound, np_dirichlet_expectation
 from ..operators.corpora import Corpus
 from ..operators.durable import cut
 from ..operators.scaling import FeatureTransform
+from . import split
 
 CONTEXTS, MUTATIONS = 64, 3
 TINY = 1e-30
@@ -164,28 +165,35 @@ def by_sample(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "corpus", "sample")
 
 
-def infer(sample_cells: DataFrame, rated: DataFrame, log_z: dict[str, np.ndarray], state: State, old: DataFrame | None = None, rate: float = 1.0, locus_rate: float = 1.0, tolerance: float = 1e-3, rounds: int = 1000, seed: int = 0) -> DataFrame:
-    """The E-step, a sample per group: rows (corpus, sample, kind, key, value array of K, bound, weight).
+def first_composition(seed: int, sample: object, k: int) -> np.ndarray:
+    """Where a sample starts: Gamma(100, 1/100) draws of its own seed."""
+    return np.random.default_rng([seed, *str(sample).encode()]).gamma(100, 1 / 100, k)
+
+
+def infer(sample_cells: DataFrame, rated: DataFrame, log_z: dict[str, np.ndarray], state: State, old: DataFrame | None = None, rate: float = 1.0, locus_rate: float = 1.0, tolerance: float = 1e-3, rounds: int = 1000, seed: int = 0, hot: DataFrame | None = None) -> DataFrame:
+    """The E-step: rows (corpus, sample, kind, key, value array of K, bound, weight).
 
     kind "gamma" is a sample's composition, with its bound and weight; "signature" sums
     responsibilities by context x 3 + mutation, "locus" by locus. old (corpus, sample, gamma) is
-    blended in by 1 - rate; without it samples start from Gamma(100, 1/100) draws of their own seed.
+    blended in by 1 - rate; without it samples start from first_composition(). A sample is a group,
+    but the ones in hot (split.hot_samples() unless given) lie in chunks and may have several rows a key.
     """
     shared = sample_cells.sparkSession.sparkContext.broadcast((state.rho(), state.delta, log_z, state.alpha))
-    j = gathered(sample_cells, rated)
-    if old is not None:
-        j = j.join(old.select("corpus", "sample", F.col("gamma").alias("old")), ["corpus", "sample"], "left")
-    else:
-        j = j.withColumn("old", F.lit(None).cast("array<double>"))
+    hot = split.hot_samples(sample_cells) if hot is None else hot
+    ordinary = sample_cells if hot.isEmpty() else sample_cells.join(F.broadcast(hot), ["corpus", "sample"], "left_anti")
+    before = old.select("corpus", "sample", F.col("gamma").alias("old")) if old is not None else None
+    j = gathered(ordinary, rated)
+    j = j.join(before, ["corpus", "sample"], "left") if before is not None else j.withColumn("old", F.lit(None).cast("array<double>"))
+    alpha_of = lambda alphas, corpus: alphas[corpus] if corpus in alphas else np.mean(list(alphas.values()), axis=0)
 
     def one(key, part: pd.DataFrame) -> pd.DataFrame:
         rho, delta, z, alphas = shared.value
         corpus, sample = key
-        alpha = alphas[corpus] if corpus in alphas else np.mean(list(alphas.values()), axis=0)
+        alpha = alpha_of(alphas, corpus)
         phi, weight = likelihood(part, rho, delta, z[corpus]), part["weight"].to_numpy(float)
         before = part["old"].iloc[0]
         if before is None:
-            before = np.random.default_rng([seed, *str(sample).encode()]).gamma(100, 1 / 100, len(alpha))
+            before = first_composition(seed, sample, len(alpha))
         gamma = fixed_point(phi, weight / locus_rate, alpha, np.array(before, float), tolerance, rounds)
         gamma = (1 - rate) * np.array(before, float) + rate * gamma
         e = np.exp(np_dirichlet_expectation(gamma))
@@ -200,7 +208,22 @@ def infer(sample_cells: DataFrame, rated: DataFrame, log_z: dict[str, np.ndarray
 
     kind = sample_cells.schema["sample"].dataType.simpleString()
     schema = f"corpus string, sample {kind}, kind string, key long, value array<double>, bound double, weight double"
-    return by_sample(j).groupBy("corpus", "sample").applyInPandas(one, schema)
+    out = by_sample(j).groupBy("corpus", "sample").applyInPandas(one, schema)
+    if ordinary is sample_cells:
+        return out
+
+    def phi_of(corpus: str, part: pd.DataFrame) -> np.ndarray:
+        rho, delta, z, _ = shared.value
+        return likelihood(part, rho, delta, z[corpus])
+
+    packed = split.chunks(gathered(sample_cells.join(F.broadcast(hot), ["corpus", "sample"], "left_semi"), rated), hot, phi_of)
+    keys = packed.select("corpus", "sample").distinct()
+    known = keys.join(before, ["corpus", "sample"], "left") if before is not None else keys.withColumn("old", F.lit(None).cast("array<double>"))
+    start = {(r["corpus"], r["sample"]): first_composition(seed, r["sample"], state.k) if r["old"] is None else np.array(r["old"]) for r in known.collect()}  # a row per hot sample
+    alpha = lambda corpus: alpha_of(state.alpha, corpus)
+    gamma = split.compositions(packed, start, alpha, 1 / locus_rate, tolerance, rounds) if rate else start
+    gamma = {k: (1 - rate) * start[k] + rate * g for k, g in gamma.items()}
+    return out.unionByName(split.statistics(packed, gamma, alpha, 1 / locus_rate)) if gamma else out
 
 
 def summed(stats: DataFrame, kind: str, *keys: str, k: int) -> DataFrame:

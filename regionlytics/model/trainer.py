@@ -16,7 +16,7 @@ from ..operators import corpora as co
 from ..operators.durable import cut
 from ..operators.rates import marginal_signature
 from ..operators.scaling import FeatureTransform
-from . import core
+from . import core, split
 from .boosting import BoostedRate, Tree
 from .linear import LinearRate
 
@@ -169,6 +169,7 @@ def train(corpus: co.Corpus, transform: FeatureTransform, o: Options, evaluated:
     transform = transform if transform.constants or not transform.types else transform.fit(corpus.features)
     loci = cut(core.locus_table(corpus, transform, corpora))
     all_cells = cut(core.cells(corpus.mutations))
+    hot = split.hot_samples(all_cells)
     genome = genome_frequencies(corpus.trinucs)
     state = initial_state(o, corpora, genome, len(transform.names()) + len(corpora), feature_groups(transform))
     model, began = Model(state, transform, genome, o), time.time()
@@ -194,7 +195,7 @@ def train(corpus: co.Corpus, transform: FeatureTransform, o: Options, evaluated:
             rated = core.log_rates(here, state)
             eta = core.context_exposure(rated, state.k)
         log_z = core.log_masses(eta, state.delta)
-        stats = cut(core.infer(sample_cells, rated, log_z, state, gamma, rate, o.locus_subsample or 1.0, o.tolerance, o.rounds, o.seed))
+        stats = cut(core.infer(sample_cells, rated, log_z, state, gamma, rate, o.locus_subsample or 1.0, o.tolerance, o.rounds, o.seed, hot))
         new_gamma = stats.where("kind = 'gamma'").select("corpus", "sample", F.col("value").alias("gamma"))
         # with all samples at hand the new ones are those of stats, which are cut already
         gamma = new_gamma if gamma is None or full else cut(new_gamma.unionByName(gamma.join(new_gamma, ["corpus", "sample"], "left_anti")))

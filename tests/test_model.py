@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regionlytics.functions.special import np_dirichlet_expectation
-from regionlytics.model import core, posterior, simulate, trainer, tuning
+from regionlytics.model import core, posterior, simulate, split, trainer, tuning
 from regionlytics.model.boosting import BoostedRate, Tree
 from regionlytics.model.linear import LinearRate
 from regionlytics.operators.scaling import FeatureTransform
@@ -48,6 +48,35 @@ def test_predict_score_store(spark, model, simulated, tmp_path):
     assert 0 < trainer.mutation_rate_r2(model, c).first()["r2"] < 1
 
 
+@pytest.mark.parametrize("blend", [None, 0.4])
+def test_samples_in_chunks_have_the_same_composition(spark, model, simulated, monkeypatch, blend):
+    """Whole, in one chunk each, in several, and some of them only: the same gammas, bounds and sums."""
+    c = simulated[0]
+    rated, log_z = trainer.rates_for(model, c)
+    cells = core.cells(c.mutations).persist()
+    old = spark.createDataFrame([(x["corpus"], x["sample"], [1.0 + x["sample"], 2.0]) for x in cells.select("corpus", "sample").distinct().collect()], "corpus string, sample long, gamma array<double>") if blend else None
+    sizes = sorted(x["count"] for x in cells.groupBy("sample").count().collect())
+
+    def told(limit, chunk):
+        hot = split.hot_samples(cells, limit, chunk)
+        rows = core.infer(cells, rated, log_z, model.state, old, blend or 1.0, 0.5, 1e-2, 25, 3, hot).collect()
+        gamma = {(x["corpus"], x["sample"]): [*x["value"], x["bound"], x["weight"]] for x in rows if x["kind"] == "gamma"}
+        sums = {}
+        for x in rows:
+            if x["kind"] != "gamma":
+                sums[x["sample"], x["kind"], x["key"]] = sums.get((x["sample"], x["kind"], x["key"]), 0) + np.array(x["value"])
+        assert len(gamma) == sum(x["kind"] == "gamma" for x in rows) == len(sizes)
+        return hot.count(), gamma, sums
+
+    n, gamma, sums = told(1 << 30, 10)
+    assert n == 0
+    for limit, chunk, hot in ((0, sizes[0] // 8, len(sizes)), (sizes[len(sizes) // 2], 20, sum(x > sizes[len(sizes) // 2] for x in sizes))):
+        n, gamma_2, sums_2 = told(limit, chunk)
+        assert n == hot and gamma.keys() == gamma_2.keys() and sums.keys() == sums_2.keys()
+        assert all(np.allclose(gamma[k], gamma_2[k], rtol=1e-7, atol=1e-7) for k in gamma)
+        assert all(np.allclose(sums[k], sums_2[k], rtol=1e-6, atol=1e-8) for k in sums)
+
+
 def test_posterior_names_the_component(model, simulated):
     got = posterior.assign(model, simulated[0], warm_up=20, sweeps=40)
     shares = got.select(*[F.exp(f"logp_{n}").alias(n) for n in model.state.names])
