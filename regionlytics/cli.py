@@ -259,6 +259,7 @@ def run_simulation(spark, a):
         c["signatures"] = {n: {r["label"]: r["p"] for r in rows if r["signature"] == n} for n in wanted or sorted({r["signature"] for r in rows})}
     corpus, truth = simulate.simulate(spark, simulate.SimulationConfig(**c))
     store.save_corpus(corpus, f"{a.prefix}.corpus")
+    truth.pop("states").write.mode("overwrite").parquet(f"{a.prefix}.states")
     kept = json.dumps({k: v.tolist() if hasattr(v, "tolist") else v for k, v in truth.items()})
     spark.createDataFrame([(kept,)], "truth string").coalesce(1).write.mode("overwrite").text(f"{a.prefix}.truth")
 

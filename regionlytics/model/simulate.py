@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import signature_matrix
 from ..operators.corpora import Corpus
+from ..operators.durable import cut
 from . import core
 
 
@@ -30,7 +30,7 @@ class SimulationConfig:
     trinucleotide_priors: np.ndarray | None = None
     signal_means: np.ndarray | None = None
     signal_std: np.ndarray | None = None
-    exposures: np.ndarray | None = None
+    exposures: np.ndarray | DataFrame | None = None
     signatures: dict[str, dict[str, float]] = field(default_factory=dict)
     rate_function: object = None
 
@@ -43,20 +43,51 @@ def synthetic_signatures(k: int, seed: int = 0, sharpness: float = 0.1) -> dict[
     return {f"S{i + 1}": dict(zip(cosmic_order(), rng.dirichlet(np.full(96, sharpness)).tolist(), strict=True)) for i in range(k)}
 
 
-def markov_states(transition: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """n states of a chain that starts in 0."""
-    out, cum = np.zeros(n, int), np.cumsum(transition, axis=1)
-    u = rng.random(n)
-    for i in range(1, n):
-        out[i] = min(int(np.searchsorted(cum[out[i - 1]], u[i])), len(transition) - 1)
+#: Loci that one task simulates at a time, a power of two.
+BLOCK_STATES = 4096
+
+
+def ladder(transition: np.ndarray, size: int) -> list[np.ndarray]:
+    """The transition matrix to the powers 1, 2, 4, ..., size, which is a power of two."""
+    out = [np.asarray(transition, float)]
+    while 1 << (len(out) - 1) < size:
+        out.append(out[-1] @ out[-1])
+    return out
+
+
+def _chosen(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """For each row of p, weights, the index that u, uniform draws, fall on."""
+    cum = np.cumsum(p, axis=-1)
+    return (cum <= u[..., None] * cum[..., -1:]).sum(axis=-1).clip(max=p.shape[-1] - 1)
+
+
+def block_ends(step: np.ndarray, blocks: int, rng: np.random.Generator) -> np.ndarray:
+    """blocks + 1 states: that of the chain, which starts in 0, at each block's begin and at the last one's end. step is the transition over a block."""
+    out, u = np.zeros(blocks + 1, np.int64), rng.random(blocks)
+    for i in range(blocks):
+        out[i + 1] = _chosen(step[out[i]], u[i : i + 1])[0]
     return out
 
 
-def simulate(spark: SparkSession, c: SimulationConfig) -> tuple[Corpus, dict]:
-    """A corpus and the parameters behind it. The driver draws what is per locus, executors draw each sample's mutations.
+def bridge(powers: list[np.ndarray], first: int, last: int, rng: np.random.Generator) -> np.ndarray:
+    """The states of a block that begins in first, given that the next one begins in last: middles between what is known, until all are."""
+    size = 1 << (len(powers) - 1)
+    path = np.zeros(size + 1, np.int64)
+    path[0], path[size] = first, last
+    for level in range(len(powers) - 2, -1, -1):
+        half = 1 << level
+        left, right = path[: -1 : 2 * half], path[2 * half :: 2 * half]
+        path[half :: 2 * half] = _chosen(powers[level][left] * powers[level][:, right].T, rng.random(len(left)))
+    return path[:-1]
+
 
-    A mutation's locus is drawn from a component's masses, its context from the locus' counts: tables
-    of components by loci, and of loci by 64 contexts, go to the executors, none of all three.
+def simulate(spark: SparkSession, c: SimulationConfig, cohort: DataFrame | None = None) -> tuple[Corpus, dict]:
+    """A corpus and the parameters behind it. Loci are simulated in blocks where they lie, mutations by resample()'s draws.
+
+    The driver draws the state at each block's end, by the transition over a block; a block draws the
+    states between, and its loci's signals and context counts, from a seed of its own. cohort
+    (sample, n) says how many mutations each sample has; without it n_cells samples of log-normal
+    sizes are drawn. truth has arrays of the size of components and contexts, and the table ``states``.
     """
     rng = np.random.default_rng(c.seed)
     sigs = c.signatures or synthetic_signatures(3, c.seed)
@@ -69,53 +100,71 @@ def simulate(spark: SparkSession, c: SimulationConfig) -> tuple[Corpus, dict]:
     priors = np.full((s, 64), 10.0) if c.trinucleotide_priors is None else np.asarray(c.trinucleotide_priors, float)
     if priors.shape != (s, 64):
         raise ValueError(f"trinucleotide priors must be {s} x 64, not {priors.shape}")
-    states = markov_states(transition, c.n_loci, rng)
-    signals = np.stack([means[i] * (states == i) + stds[i] * rng.normal(size=c.n_loci) for i in range(s)], axis=1)
-    signals = (signals - signals.mean(axis=0)) / np.maximum(signals.std(axis=0), 1e-12)
-    counts = rng.poisson(np.stack([rng.dirichlet(priors[z]) for z in states]) * 1000).astype(np.uint16)
-    exposure = np.ones(c.n_loci) if c.exposures is None else np.asarray(c.exposures, float)
+    exposures, c = c.exposures, replace(c, exposures=None)  # tasks get c
+    powers = ladder(transition, BLOCK_STATES)
+    size, blocks = BLOCK_STATES, -(-c.n_loci // BLOCK_STATES)
+    shared = spark.sparkContext.broadcast((powers, block_ends(powers[-1], blocks, rng)))
+
+    def loci_of(batches):
+        ladder_, ends = shared.value
+        for pdf in batches:
+            for b in pdf["id"]:
+                r = np.random.default_rng([c.seed, 1, int(b)])
+                states = bridge(ladder_, ends[b], ends[b + 1], r)
+                signals = means * (states[:, None] == np.arange(s)) + stds * r.normal(size=(size, s))
+                share = r.gamma(priors[states])
+                counts = r.poisson(share / share.sum(axis=1, keepdims=True) * 1000)
+                here = slice(0, min(size, c.n_loci - int(b) * size))
+                yield pd.DataFrame({"locus": int(b) * size + np.arange(size)[here], "state": states[here], "signals": list(signals[here]), "n": list(counts[here].astype(float)), "noise": c.mutation_rate_noise * r.normal(size=size)[here]})
+
+    parts = min(max(1, blocks), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    raw = cut(spark.range(0, blocks, 1, parts).mapInPandas(loci_of, "locus long, state int, signals array<double>, n array<double>, noise double"))
+    of = lambda column, i: F.get(column, F.lit(i))
+    told = raw.agg(*[F.avg(of("signals", i)).alias(f"m{i}") for i in range(s)], *[F.stddev_pop(of("signals", i)).alias(f"d{i}") for i in range(s)], *[F.sum(of("n", x)).alias(f"n{x}") for x in range(64)]).first()
+    centre, spread = (np.array([told[f"{x}{i}"] or 0.0 for i in range(s)]) for x in "md")
     omega = np.stack([signature_matrix(x) for x in sigs.values()])
-    delta = omega.sum(axis=2) / np.maximum(counts.sum(axis=0, dtype=np.int64), 1)
-    noise = c.mutation_rate_noise * rng.normal(size=c.n_loci)
-    log_rate = c.rate_function(signals) if c.rate_function else beta @ signals.T + noise
-    mass = np.cumsum(np.exp(log_rate) * exposure * (delta @ counts.T), axis=1)
+    delta = omega.sum(axis=2) / np.maximum([told[f"n{x}"] or 0.0 for x in range(64)], 1)
+    name = F.lit(c.corpus_name).alias("corpus")
+    known = raw.withColumn("signals", F.array(*[(of("signals", i) - F.lit(float(centre[i]))) / F.lit(float(max(spread[i], 1e-12))) for i in range(s)]))
+    if exposures is None:
+        known = known.withColumn("exposure", F.lit(1.0))
+    else:
+        given = exposures if isinstance(exposures, DataFrame) else spark.createDataFrame(pd.DataFrame({"locus": np.arange(c.n_loci), "exposure": np.asarray(exposures, float)}))
+        known = known.join(given.select("locus", F.col("exposure").cast("double")), "locus")
+
+    def rates_of(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["signals"].to_list())
+                log_rate = c.rate_function(x) if c.rate_function else beta @ x.T + pdf["noise"].to_numpy()
+                yield pdf[["locus", "exposure", "n"]].assign(logmu=list(np.ascontiguousarray(np.asarray(log_rate).T)))
+
+    rated = known.select("locus", "exposure", "n", "signals", "noise").mapInPandas(rates_of, "locus long, exposure double, n array<double>, logmu array<double>").select(name, "*")
     prior = np.ones(k) if c.pi_prior is None else np.asarray(c.pi_prior, float)
-    shared = spark.sparkContext.broadcast((mass, counts, delta, omega, prior))
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        *tables, a = shared.value
-        out = []
-        for sample in pdf["sample"]:
-            r = np.random.default_rng([c.seed, int(sample)])
-            pi, n = r.dirichlet(a), max(1, int(r.lognormal(c.log_mean_mutations, c.log_std_mutations)))
-            out.append(_mutations(r, pi, n, *tables).assign(sample=sample))
-        return pd.concat(out)
-
-    cohort = spark.range(c.n_cells).withColumnRenamed("id", "sample")
-    m = cohort.groupBy("sample").applyInPandas(draw, "sample long, component int, locus long, context int, mutation int")
-    name = F.lit(c.corpus_name)
-    m = m.select(name.alias("corpus"), "sample", F.lit("chr1").alias("chrom"), (F.col("locus") * 10_000).alias("pos"), "locus", "context", "mutation", F.lit(0).alias("attribute"), F.lit(1.0).alias("weight"), "component")
-    loci = spark.createDataFrame(pd.DataFrame({"corpus": c.corpus_name, "locus": np.arange(c.n_loci), "exposure": exposure}))
-    ends = pa.array(np.arange(0, counts.size + 1, 64), pa.int32())
-    tri = spark.createDataFrame(pa.table({"locus": np.arange(c.n_loci), "n": pa.ListArray.from_arrays(ends, pa.array(counts.ravel().astype(np.int32)))}))
-    tri = tri.select(name.alias("corpus"), "locus", F.posexplode("n").alias("context", "n")).withColumn("n", F.col("n").cast("double"))
-    feats = spark.createDataFrame(pd.DataFrame({"corpus": c.corpus_name, "locus": np.arange(c.n_loci)} | {f"signal_{i}": signals[:, i] for i in range(s)}))
-    truth = {"omega": omega, "delta": delta, "beta": beta, "states": states, "names": list(sigs)}
-    return Corpus(m, loci, tri, feats), truth
-
-
-def _mutations(rng: np.random.Generator, pi: np.ndarray, n: int, mass: np.ndarray, counts: np.ndarray, delta: np.ndarray, omega: np.ndarray) -> pd.DataFrame:
-    """n draws of component, then locus, context and mutation. mass: running sums over loci by component."""
-    k = rng.choice(len(pi), n, p=pi / pi.sum())
-    locus, context, mutation = np.zeros(n, int), np.zeros(n, int), np.zeros(n, int)
-    for j in np.unique(k):
-        i = np.flatnonzero(k == j)
-        locus[i] = _pick(mass[j], rng.random(len(i)))
-        for some in np.array_split(i, -(-len(i) // 65_536)):
-            for into, p in ((context, lambda x, j=j: counts[locus[x]] * delta[j]), (mutation, lambda x, j=j: omega[j][context[x]])):
-                cum = np.cumsum(p(some), axis=1)
-                into[some] = (cum <= rng.random(len(some))[:, None] * cum[:, -1:]).sum(axis=1).clip(max=cum.shape[1] - 1)
-    return pd.DataFrame({"component": k, "locus": locus, "context": context, "mutation": mutation})
+
+    def people(batches):
+        for pdf in batches:
+            out = []
+            for sample, n in zip(pdf["sample"], pdf["n"], strict=True):
+                r = np.random.default_rng([c.seed, *str(sample).encode()])
+                pi = r.dirichlet(prior)
+                out.append([sample, max(1, int(r.lognormal(c.log_mean_mutations, c.log_std_mutations))) if n < 0 else n, *pi])
+            if out:
+                yield pd.DataFrame(out, columns=["sample", "n", *[f"g{i}" for i in range(k)]])
+
+    cohort = spark.range(c.n_cells).select(F.col("id").alias("sample"), F.lit(-1.0).alias("n")) if cohort is None else cohort.select("sample", F.col("n").cast("double").alias("n"))
+    kind = cohort.schema["sample"].dataType.simpleString()
+    cohort = cohort.mapInPandas(people, f"sample {kind}, n double, " + ", ".join(f"g{i} double" for i in range(k))).select(name, "*")
+    m = drawn(rated, cohort, delta, omega / omega.sum(axis=2, keepdims=True), c.n_loci, c.seed)
+    tri = known.select(name, "locus", F.posexplode("n").alias("context", "n"))
+    feats = known.select(name, "locus", *[of("signals", i).alias(f"signal_{i}") for i in range(s)])
+    truth = {"omega": omega, "delta": delta, "beta": beta, "states": raw.select("locus", "state"), "names": list(sigs)}
+    return Corpus(placed(m), known.select(name, "locus", "exposure"), tri, feats), truth
+
+
+def placed(m: DataFrame) -> DataFrame:
+    """Draws (corpus, sample, component, locus, context, mutation) as mutations, each at its locus' first base."""
+    return m.select("corpus", "sample", F.lit("chr1").alias("chrom"), (F.col("locus") * 10_000).alias("pos"), "locus", "context", "mutation", F.lit(0).alias("attribute"), F.lit(1.0).alias("weight"), "component")
 
 
 #: Loci whose masses one task of resampling holds, and draws that it makes, about.
@@ -134,23 +183,15 @@ def _pick(cum: np.ndarray, u: np.ndarray) -> np.ndarray:
     return np.minimum(i, np.searchsorted(cum, cum[-1]))
 
 
-def resample(model, corpus: Corpus, seed: int = 0, components: list[str] | None = None) -> Corpus:
-    """A corpus as large as corpus, drawn sample by sample from the fitted model with each sample's composition.
+def drawn(rated: DataFrame, cohort: DataFrame, delta: np.ndarray, rho: np.ndarray, n_loci: int, seed: int = 0) -> DataFrame:
+    """(corpus, sample, component, locus, context, mutation): n draws of each row of cohort (corpus, sample, n, g0, g1, ...), g being weights of components.
 
     A mutation's component and block of loci are drawn where its sample is, from masses summed by
-    block; its locus, context and mutation where the block's loci are. So the driver holds
-    K sums per block, and a task one block.
+    block; its locus, context and mutation where the block's loci (rated: corpus, locus, exposure, n,
+    logmu) are. So the driver holds K sums per block, a task one block or TASK_DRAWS draws.
     """
-    from .trainer import predict, rates_for
-
-    spark = corpus.mutations.sparkSession
-    rated, _ = rates_for(model, corpus)
-    names, k = model.state.names, model.state.k
-    keep = np.array([components is None or n in components for n in names])
-    gamma = predict(model, corpus)
-    total = corpus.mutations.groupBy("corpus", "sample").agg(F.sum("weight").alias("_n"))
-    delta, rho = model.state.delta, model.state.rho()
-    blocks = max(1, -(-rated.count() // BLOCK_LOCI))
+    spark, k = rated.sparkSession, len(delta)
+    blocks = max(1, -(-n_loci // BLOCK_LOCI))
     rated = rated.select("corpus", "locus", "exposure", "n", "logmu", F.pmod(F.xxhash64("locus"), F.lit(blocks)).cast("int").alias("block"))
 
     def weigh(batches):
@@ -161,7 +202,7 @@ def resample(model, corpus: Corpus, seed: int = 0, components: list[str] | None
 
     masses = rated.mapInPandas(weigh, "corpus string, block int, " + ", ".join(f"m{i} double" for i in range(k)))
     masses = masses.groupBy("corpus", "block").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(k)]).toPandas()  # a row per block
-    sizes = {r["corpus"]: r["n"] for r in total.groupBy("corpus").agg(F.sum("_n").alias("n")).collect()}
+    sizes = {r["corpus"]: r["n"] for r in cohort.groupBy("corpus").agg(F.sum("n").alias("n")).collect()}  # a row per corpus
     table, split = {}, []
     for c, own in masses.sort_values("block").groupby("corpus"):
         m = own[[f"m{i}" for i in range(k)]].to_numpy()
@@ -172,20 +213,19 @@ def resample(model, corpus: Corpus, seed: int = 0, components: list[str] | None
         split += [(c, int(x), int(t)) for x, t in zip(own["block"], tasks, strict=True) if t > 1]
     shared = spark.sparkContext.broadcast(table)
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in pdf.itertuples(index=False):
-            g = np.array([getattr(r, f"g{i}") for i in range(k)]) * keep
-            ids, cum, tasks = shared.value[r.corpus]
-            rng, n = np.random.default_rng([seed, *str(r.sample).encode()]), int(round(r.n))
-            comp, block = rng.choice(k, n, p=g / g.sum()), np.zeros(n, int)
-            for j in np.unique(comp):
-                i = np.flatnonzero(comp == j)
-                block[i] = _pick(cum[:, j], rng.random(len(i)))
-            u = rng.random((4, n))
-            d = pd.DataFrame({"component": comp, "block": ids[block], "task": (u[0] * tasks[block]).astype(int), "u": u[1], "v": u[2], "w": u[3]})
-            out.append(d.assign(corpus=r.corpus, sample=r.sample))
-        return pd.concat(out)
+    def draw(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                g = np.array([getattr(r, f"g{i}") for i in range(k)])
+                ids, cum, tasks = shared.value[r.corpus]
+                rng, n = np.random.default_rng([seed, *([int(r.part)] if r.part else []), *str(r.sample).encode()]), int(r.draws)
+                comp, block = rng.choice(k, n, p=g / g.sum()), np.zeros(n, int)
+                for j in np.unique(comp):
+                    i = np.flatnonzero(comp == j)
+                    block[i] = _pick(cum[:, j], rng.random(len(i)))
+                u = rng.random((4, n))
+                d = pd.DataFrame({"component": comp, "block": ids[block], "task": (u[0] * tasks[block]).astype(int), "u": u[1], "v": u[2], "w": u[3]})
+                yield d.assign(corpus=r.corpus, sample=r.sample)
 
     def place(draws: pd.DataFrame, loci: pd.DataFrame) -> pd.DataFrame:
         if not len(draws):
@@ -199,19 +239,33 @@ def resample(model, corpus: Corpus, seed: int = 0, components: list[str] | None
             at[i] = _pick(mass[:, j], part["u"].to_numpy())
             for some in np.array_split(i, -(-len(i) // 65_536)):
                 for into, p, x in ((context, lambda s, j=j: n[at[s]] * delta[j], "v"), (mutation, lambda s, j=j: rho[j][context[s]], "w")):
-                    cum = np.cumsum(p(some), axis=1)
-                    into[some] = (cum <= draws[x].to_numpy()[some][:, None] * cum[:, -1:]).sum(axis=1).clip(max=cum.shape[1] - 1)
+                    into[some] = _chosen(p(some), draws[x].to_numpy()[some])
         return draws[["corpus", "sample", "component"]].assign(locus=ids[at], context=context, mutation=mutation)
 
-    kind = corpus.mutations.schema["sample"].dataType.simpleString()
-    cohort = gamma.join(total, ["corpus", "sample"]).select("corpus", "sample", F.col("_n").alias("n"), *[F.col(f"`{n}`").alias(f"g{i}") for i, n in enumerate(names)])
-    drawn = cohort.groupBy("corpus", "sample").applyInPandas(draw, f"corpus string, sample {kind}, component int, block int, task int, u double, v double, w double")
+    # a sample of more draws than a task makes is drawn by several: they don't depend on each other
+    n = F.round("n").cast("long")
+    parts = F.greatest(F.lit(1), F.ceil(n / TASK_DRAWS)).cast("int")
+    dealt = cohort.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("draws", F.floor(n / parts) + (F.col("part") < F.pmod(n, parts)).cast("long"))
+    kind = cohort.schema["sample"].dataType.simpleString()
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "corpus", "sample", "part")
+    by_block = dealt.mapInPandas(draw, f"corpus string, sample {kind}, component int, block int, task int, u double, v double, w double")
     tasks = spark.createDataFrame(split, "corpus string, block int, tasks int")
     held = rated.join(F.broadcast(tasks), ["corpus", "block"], "left").withColumn("task", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
     key = ("corpus", "block", "task")
-    m = drawn.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(place, f"corpus string, sample {kind}, component int, locus long, context int, mutation int")
-    m = m.select("corpus", "sample", F.lit("chr1").alias("chrom"), (F.col("locus") * 10_000).alias("pos"), "locus", "context", "mutation", F.lit(0).alias("attribute"), F.lit(1.0).alias("weight"), "component")
-    return Corpus(m, corpus.loci, corpus.trinucs, corpus.features)
+    return by_block.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(place, f"corpus string, sample {kind}, component int, locus long, context int, mutation int")
+
+
+def resample(model, corpus: Corpus, seed: int = 0, components: list[str] | None = None) -> Corpus:
+    """A corpus as large as corpus, drawn sample by sample from the fitted model with each sample's composition, of the components named."""
+    from .trainer import predict, rates_for
+
+    rated, _ = rates_for(model, corpus)
+    names = model.state.names
+    total = corpus.mutations.groupBy("corpus", "sample").agg(F.sum("weight").alias("n"))
+    weights = [(F.col(f"`{n}`") if components is None or n in components else F.lit(0.0)).alias(f"g{i}") for i, n in enumerate(names)]
+    cohort = predict(model, corpus).join(total, ["corpus", "sample"]).select("corpus", "sample", "n", *weights)
+    m = drawn(rated, cohort, model.state.delta, model.state.rho(), rated.count(), seed)
+    return Corpus(placed(m), corpus.loci, corpus.trinucs, corpus.features)
 
 
 def recovery(model, truth: dict) -> dict[str, float]:

@@ -85,10 +85,15 @@ def poisson_irls(spark, sf):
     return spark.createDataFrame([(f"c{k}", j, float(model.beta[k, j])) for k in range(2) for j in range(3)], "corpus string, feature int, beta double")
 
 
-@query("simulate_corpus")
+@query("simulate_corpus", fx.sql("select l_suppkey as sample, count(*) as n, count(*) as placed, (select count(*) from part)::bigint as loci from lineitem group by l_suppkey"))
 def simulate_corpus(spark, sf):
-    c, _ = simulate.simulate(spark, simulate.SimulationConfig())
-    return c.mutations.groupBy("sample", "component").agg(F.count("*").alias("n"))
+    """As many loci as there are parts, and as many mutations of each sample as it has rows: how many were drawn, and how many of them on a locus."""
+    parts = fx.read(spark, sf, "part").count()
+    cohort = fx.read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("sample")).agg(F.count("*").alias("n"))
+    c, truth = simulate.simulate(spark, simulate.SimulationConfig(n_loci=parts, seed=1), cohort)
+    on_locus = F.col("locus").between(0, parts - 1) & F.col("context").between(0, 63) & F.col("mutation").between(0, 2) & F.col("component").between(0, 2)
+    loci = F.lit(c.loci.join(truth["states"], "locus").count())
+    return c.mutations.groupBy("sample").agg(F.count("*").alias("n"), F.count_if(on_locus).alias("placed")).withColumn("loci", loci.cast("long"))
 
 
 @query("poisson_score", fx.sql(""", m as (select locus, corpus, sum(weight) as y from snvs group by locus, corpus),

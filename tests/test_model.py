@@ -110,20 +110,59 @@ def test_simulation_of_a_whole_genome(spark):
     config = simulate.SimulationConfig(n_cells=3, n_loci=250_000, log_mean_mutations=8.0, log_std_mutations=0.1, signatures=simulate.synthetic_signatures(9, 3, 0.05), seed=5, pi_prior=np.ones(9))
     c, truth = simulate.simulate(spark, config)
     held = [v for v in truth.values() if isinstance(v, np.ndarray)]
-    assert max(v.size for v in held) <= 250_000 and c.trinucs.count() == 64 * 250_000
+    assert max(v.size for v in held) <= 9 * 192 and c.trinucs.count() == 64 * 250_000
     assert c.mutations.agg(F.countDistinct("sample")).first()[0] == 3 and c.mutations.agg(F.countDistinct("locus")).first()[0] > 5_000
+    # half of the time in each state, which changes after one locus in ten, also where blocks meet
+    states = truth["states"].orderBy("locus").toPandas()
+    assert (states["locus"] == np.arange(250_000)).all() and 0.45 < states["state"].mean() < 0.55
+    changes = np.diff(states["state"]) != 0
+    assert changes.mean() == pytest.approx(0.1, abs=0.01)
+    assert changes[simulate.BLOCK_STATES - 1 :: simulate.BLOCK_STATES].mean() < 0.35
+    told = c.features.agg(F.avg("signal_0"), F.stddev_pop("signal_0"), F.avg("signal_1"), F.stddev_pop("signal_1")).first()
+    assert told[:] == pytest.approx((0, 1, 0, 1), abs=1e-9)
     config.n_loci = 500
     got, again = (simulate.simulate(spark, config)[0].mutations.toPandas() for _ in range(2))
     key = list(got.columns)
     assert got.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
 
 
-def test_simulated_draws_follow_masses_and_counts():
+def test_bridges_are_chains_given_their_ends():
+    p = np.array([[0.7, 0.2, 0.1], [0.0, 0.5, 0.5], [0.6, 0.0, 0.4]])
+    powers, rng = simulate.ladder(p, 8), np.random.default_rng(2)
+    ends = simulate.block_ends(powers[-1], 20_000, rng)
+    path = np.concatenate([simulate.bridge(powers, a, b, rng) for a, b in zip(ends, ends[1:], strict=False)])
+    assert (path[::8] == ends[:-1]).all()
+    seen = np.zeros((3, 3))
+    np.add.at(seen, (path[:-1], path[1:]), 1)
+    assert seen[p == 0].sum() == 0 and np.abs(seen / seen.sum(axis=1, keepdims=True) - p).max() < 0.01
+    two = np.zeros((3, 3))  # two steps on, over the joints of blocks too
+    np.add.at(two, (path[:-2], path[2:]), 1)
+    assert np.abs(two / two.sum(axis=1, keepdims=True) - p @ p).max() < 0.01
+
+
+def test_simulation_takes_cohorts_rates_and_exposures(spark):
+    cohort = spark.createDataFrame([("a", 0), ("b", 7), ("c", 3000)], "sample string, n int")
+    exposure = spark.range(300).selectExpr("id AS locus", "IF(id < 100, 0.0, 1.0) AS exposure")
+    config = simulate.SimulationConfig(n_loci=300, exposures=exposure, rate_function=lambda x: np.zeros((3, len(x))), seed=4)
+    for most in (simulate.TASK_DRAWS, 500):
+        simulate.TASK_DRAWS, kept = most, simulate.TASK_DRAWS
+        try:
+            m = simulate.simulate(spark, config, cohort)[0].mutations.toPandas()
+        finally:
+            simulate.TASK_DRAWS = kept
+        assert m.groupby("sample").size().to_dict() == {"b": 7, "c": 3000}
+        assert m["locus"].min() >= 100 and m["locus"].max() < 300
+
+
+def test_simulated_draws_follow_masses_and_counts(spark):
     rng = np.random.default_rng(1)
-    counts, delta, omega = rng.integers(1, 9, (5, 64)).astype(np.uint16), rng.random((2, 64)) + 0.1, rng.random((2, 64, 3)) + 0.1
+    counts, delta, omega = rng.integers(1, 9, (5, 64)).astype(float), rng.random((2, 64)) + 0.1, rng.random((2, 64, 3)) + 0.1
     rate = rng.random((2, 5)) + 0.1
     psi = rate[:, :, None] * counts * delta[:, None, :]
-    got = simulate._mutations(rng, np.array([0.3, 0.7]), 60_000, np.cumsum(psi.sum(axis=2), axis=1), counts, delta, omega)
+    loci = spark.createDataFrame([("c", i, 1.0, counts[i].tolist(), np.log(rate[:, i]).tolist()) for i in range(5)], "corpus string, locus long, exposure double, n array<double>, logmu array<double>")
+    cohort = spark.createDataFrame([("c", 1, 60_000.0, 0.3, 0.7)], "corpus string, sample int, n double, g0 double, g1 double")
+    got = simulate.drawn(loci, cohort, delta, omega / omega.sum(axis=2, keepdims=True), 5).toPandas()
+    assert len(got) == 60_000
     assert (got["component"] == 1).mean() == pytest.approx(0.7, abs=0.02)
     for j in range(2):
         own = got[got["component"] == j]
