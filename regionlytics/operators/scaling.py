@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles, values_at
+
 #: The order of transformed columns, by type; any other type passes through behind them.
 ORDER = ("power", "minmax", "quantile", "standardize", "robust", "categorical")
 QUANTILES = 1000
@@ -62,10 +64,6 @@ class FeatureTransform:
             aggs += [F.min(clean(f)).alias(f"{f}|min"), F.max(clean(f)).alias(f"{f}|max")]
         for f in kinds.get("standardize", []):
             aggs += [F.avg(clean(f)).alias(f"{f}|mean"), F.stddev_pop(clean(f)).alias(f"{f}|std")]
-        for f in kinds.get("robust", []):
-            aggs.append(F.percentile(clean(f), [0.25, 0.5, 0.75]).alias(f"{f}|q"))
-        for f in kinds.get("quantile", []):
-            aggs.append(F.percentile_approx(clean(f), [i / QUANTILES for i in range(QUANTILES + 1)], 100_000).alias(f"{f}|q"))
         for f in kinds.get("categorical", []):
             aggs.append(F.array_sort(F.collect_set(F.col(f).cast("string"))).alias(f"{f}|levels"))
         row = df.agg(*aggs).first().asDict() if aggs else {}
@@ -73,9 +71,10 @@ class FeatureTransform:
             self.constants[f] = (row[f"{f}|min"], row[f"{f}|max"])
         for f in kinds.get("standardize", []):
             self.constants[f] = (row[f"{f}|mean"], row[f"{f}|std"])
-        for t in ("robust", "quantile"):
-            for f in kinds.get(t, []):
-                self.constants[f] = list(row[f"{f}|q"] or [])
+        if robust := kinds.get("robust", []):
+            self.constants |= percentiles(df, robust, [0.25, 0.5, 0.75])
+        if ranked := kinds.get("quantile", []):
+            self.constants |= values_at(df, ranked, QUANTILES)
         for f in kinds.get("categorical", []):
             self.constants[f] = list(row[f"{f}|levels"])
             if self.ordinal and len(self.constants[f]) > MOST_LEVELS:

@@ -85,7 +85,7 @@ def poisson_irls(spark, sf):
     return spark.createDataFrame([(f"c{k}", j, float(model.beta[k, j])) for k in range(2) for j in range(3)], "corpus string, feature int, beta double")
 
 
-@query("simulate_corpus", fx.sql("select l_suppkey as sample, count(*) as n, count(*) as placed, (select count(*) from part)::bigint as loci from lineitem group by l_suppkey"))
+@query("simulate_corpus", "select l_suppkey as sample, count(*) as n, count(*) as placed, (select count(*) from part)::bigint as loci from lineitem group by l_suppkey")
 def simulate_corpus(spark, sf):
     """As many loci as there are parts, and as many mutations of each sample as it has rows: how many were drawn, and how many of them on a locus."""
     parts = fx.read(spark, sf, "part").count()
