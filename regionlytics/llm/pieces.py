@@ -29,6 +29,8 @@ NEVER = np.iinfo(np.int32).max
 REMEMBER = 200_000
 #: From so many characters on a word is long; long words are not remembered.
 LONG = 64
+#: With so many pairs of one shared rank left, they are merged in one pass.
+FEW = 16
 ROWS = 128
 
 
@@ -150,6 +152,43 @@ class PieceModel:
         out |= low(self._pairs(sym[before], piece)) & (part[before] == part[at])
         return out | low(self._pairs(piece, sym[after])) & (part[after] == part[at])
 
+    def _sweep(self, sym: np.ndarray, part: np.ndarray, pair: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The symbols after all merges of one rank, which several pieces share, and the places of those that stay; None if a smaller rank comes up.
+
+        Of pairs of one rank the leftmost merges first, so one pass from the left does: what lies
+        behind it has no pair of that rank, and a merge is followed by that with the symbol before.
+        """
+        known: dict[tuple[int, int], int] = {}
+
+        def made(a: int, b: int) -> int:
+            if (a, b) not in known:
+                p = int(self._pairs(np.array([a]), np.array([b]))[0])
+                known[a, b] = -1 if p < 0 or self.rank[p] > level else p if self.rank[p] == level else -2
+            return known[a, b]
+
+        out, at, new = [], [], False
+        joint = np.r_[False, part[1:] == part[:-1]].tolist()
+        open_ = np.r_[False, pair[:-1] >= 0].tolist()  # there is a pair with the symbol before
+        apart: list[bool] = []  # whether a symbol of out begins a word
+        for i, s in enumerate(sym.tolist()):
+            p = made(out[-1], s) if joint[i] and (new or open_[i]) else -1
+            if p == -1:
+                new = False
+                out.append(s)
+                at.append(i)
+                apart.append(not joint[i])
+                continue
+            while p >= 0:
+                out[-1], new = p, True
+                p = -1 if apart[-1] or len(out) < 2 else made(out[-2], out[-1])
+                if p >= 0:
+                    out.pop()
+                    at.pop()
+                    apart.pop()
+            if p == -2:
+                return None
+        return np.array(out, np.int64), np.array(at)
+
     def _merge_long(self, sym: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of long words, in one array by part, after all merges, and the places where they start.
 
@@ -169,6 +208,14 @@ class PieceModel:
             if not len(live):
                 break
             turn += 1
+            level = rank[live[0]]
+            if len(live) > FEW and self.tie[pair[live]].all() and (rank[live] == level).all() and (swept := self._sweep(sym, part, pair, level)) is not None:
+                sym, keep = swept
+                part, place = part[keep], place[keep]
+                inner = np.flatnonzero(part[1:] == part[:-1])
+                pair = np.full(len(sym), -1, np.int64)
+                pair[inner] = self._pairs(sym[inner], sym[inner + 1])
+                continue
             if turn % 4 == 0:
                 edge = np.zeros(len(sym) + 1, np.int64)
                 np.add.at(edge, np.maximum(live - self.longest, 0), 1)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -440,6 +441,18 @@ def test_long_words_as_the_library(sp, enc, monkeypatch):
         assert time.process_time() - began < 30
 
 
+def test_runs_of_blanks_as_the_library(sp, enc):
+    r = random.Random(8)
+    piece = lambda: r.choice([" " * r.choice([1, 2, 3, 5, 15, 16, 17, 31, 40, 64, 70, 100, 200]), "the", "a", "\n", "é", "漢", " x", "-" * r.randrange(80)])
+    texts = ["".join(piece() for _ in range(r.randrange(1, 30))) for _ in range(500)]
+    texts += [" " * n for n in range(60, 140)]
+    assert [e.tolist() for e in enc.encode(texts)] == sp.encode(texts)
+    began, n = time.time(), 1_000_000
+    for t in (" " * n, "x" + " " * n + "hello", " \n" * (n // 2), ("word" + " " * 700 + "\n") * 1000):
+        assert enc.encode([t])[0].tolist() == sp.encode(t)
+    assert time.time() - began < 60
+
+
 def test_token_tables(spark, sp):
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = [(1, None), (2, ""), (3, "a  b\n c "), (3, "a  b\n c "), (None, "x" * 50_000)]
