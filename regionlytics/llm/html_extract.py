@@ -1,29 +1,32 @@
 """HTML main text: markup rules, and removal of site templates found by counting subtrees per host.
 
 Pages are parsed into elements. A hash of each block element's subtree (tags and text) is counted
-over the pages of its host in Spark; a subtree that recurs beside at least TEMPLATE_PAGES different
-remainders of pages, and TEMPLATE_SHARE of the host's different pages, belongs to the site's template
-and is deleted from every page. Copies of a page, or of an article, have one remainder: they count once.
+over the pages of its host in Spark; a subtree that recurs beside more different remainders of pages
+than chance lets one in CHANCE do, of the host's different pages, belongs to the site's template and
+is deleted from every page. Copies of a page, or of an article, have one remainder: they count once.
 What the markup itself declares not to be the article - navigation, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments - goes by tag, role and class.
+notices, adverts, forms, scripts, styles, comments - goes by tag, role and class; words that may mean
+something else count only where most of the text is links. The main part is what holds most of the rest.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 from .url_filter import host_of
 
-TEMPLATE_PAGES, TEMPLATE_SHARE = 20, 0.5
+#: An article's part may stand on this share of a host's pages; one in CHANCE such parts may be taken for a template.
+SHARED, CHANCE = 0.25, 10_000
 #: The longest blocks that hold this share of a page's text tell it from others.
 MASS = 0.9
 #: Most hashes of templates that are broadcast: 8 MB.
@@ -47,7 +50,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("aside audio button canvas datalist dialog embed footer form head header iframe input map math menu nav noscript object option script select style svg template textarea title video".split())
+DROPPED = frozenset("aside audio canvas datalist embed footer form head header iframe input map menu nav noscript object option script select style svg template textarea title video".split())
 CLASSES = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsbygoogle alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
     "disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion "
@@ -55,9 +58,16 @@ CLASSES = frozenset(
 )
 #: What may stand beside those in a class of several words without changing its meaning.
 BESIDE = frozenset(
-    "area bar block bottom box button buttons center col column container content desktop fixed float form global group header holder icon icons inner item items left "
-    "link links list main mobile module page panel post posts primary region right row secondary section site slot sticky text title top unit wrap wrapper".split()
+    "area bar block body bottom box button buttons center col column container content desktop fixed float form global group header holder icon icons inner item items label left "
+    "link links list main mobile module page panel post posts primary reader readers region right row secondary section site slot sticky text thread title top unit user users wrap wrapper".split()
 )
+#: Of the words above those that count by themselves only where most of the text is links.
+WEAK = frozenset("banner login overlay promo promotion related replies reply respond search share sharing signup skip social subscribe subscription toolbar widget".split())
+#: Elements that hold text rather than parts of a page: of single words only adverts and notices count for them.
+TEXTUAL = frozenset("p pre blockquote table tr td th dl dt dd figure figcaption h1 h2 h3 h4 h5 h6".split())
+NOTED = frozenset("ad ads advert adverts advertisement advertisements advertising adsbygoogle consent cookie cookies gdpr sponsored".split())
+#: What readers wrote, whatever elements it consists of.
+COMMENTS = frozenset("comment comments commentlist disqus respond".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: An article or main element goes only by these.
 READERS = frozenset("ad ads advert advertisement comment comments disqus promo related reply sponsored".split())
@@ -76,6 +86,8 @@ class Page:
         self.items: list[tuple[int, str]] = []  # (element, text); (BREAK, "") where a block starts or ends
         self._parts: list[list[bytes]] = [[]]
         self._stack = [0]
+        self._depths: dict[str, list[int]] = {}  # where in the stack elements of a tag are open
+        self._blocks = [0]  # where in it block elements are open
         self._parse(html)
 
     def _open(self, tag: str, attrs: str) -> None:
@@ -86,10 +98,16 @@ class Page:
         self.wordy.append(False)
         self.last.append(0)
         self._parts.append([])
+        self._depths.setdefault(tag, []).append(len(self._stack))
+        if tag in BLOCK:
+            self._blocks.append(len(self._stack))
         self._stack.append(len(self.tags) - 1)
 
     def _close(self) -> None:
         i = self._stack.pop()
+        self._depths[self.tags[i]].pop()
+        if self._blocks[-1] == len(self._stack):
+            self._blocks.pop()
         self.last[i] = len(self.tags) - 1
         h = xxhash.xxh64(self.tags[i].encode() + b"\1" + b"\2".join(self._parts[i]))
         self._parts[i] = []
@@ -100,15 +118,15 @@ class Page:
         if self.tags[i] in BLOCK:
             self.items.append((BREAK, ""))
 
+    def _deepest(self, names) -> int:
+        """The place in the stack of the innermost open element of these names; 0 if there is none."""
+        return max((d[-1] for n in names if (d := self._depths.get(n))), default=0)
+
     def _end_above(self, names: tuple[str, ...], stop) -> None:
-        for at in range(len(self._stack) - 1, 0, -1):
-            tag = self.tags[self._stack[at]]
-            if tag in names:
-                while len(self._stack) > at:
-                    self._close()
-                return
-            if tag in stop:
-                return
+        at = self._deepest(names)
+        if at > self._deepest(stop):
+            while len(self._stack) > at:
+                self._close()
 
     def _text(self, text: str) -> None:
         if "&" in text:
@@ -151,33 +169,62 @@ class Page:
             self._close()
 
     def _end_tag(self, tag: str) -> None:
-        inline = tag not in BLOCK
-        for at in range(len(self._stack) - 1, 0, -1):
-            own = self.tags[self._stack[at]]
-            if own == tag:
-                while len(self._stack) > at:
-                    self._close()
-                return
-            if inline and own in BLOCK:
-                return
-        if tag in BLOCK:
+        at = self._deepest((tag,))
+        if at and (tag in BLOCK or at > self._blocks[-1]):
+            while len(self._stack) > at:
+                self._close()
+        elif tag in BLOCK:
             self.items.append((BREAK, ""))
 
+    def _masses(self) -> tuple[list[int], list[int]]:
+        """The characters that stand in each element itself, outside of links and inside."""
+        n = len(self.tags)
+        linked, plain, links = [False] * n, [0] * n, [0] * n
+        for i in range(1, n):
+            linked[i] = linked[self.parents[i]] or self.tags[i] in ("a", "button", "label")
+        for i, text in self.items:
+            if i != BREAK:
+                (links if linked[i] else plain)[i] += len(text) - text.count(" ")
+        return plain, links
+
+    def _with_inner(self, own: list[int]) -> list[int]:
+        out = list(own)
+        for i in range(len(out) - 1, 0, -1):
+            out[self.parents[i]] += out[i]
+        return out
+
     def scope(self) -> tuple[list[bool], list[bool]]:
         """For each element: whether it is dropped by the markup's own word, and whether it lies in the main part."""
         n = len(self.tags)
         named = [self._names(a) if a else frozenset() for a in self.attrs]
-        holds = [False] * n  # an article or main element lies within
+        holds, within = [False] * n, [False] * n  # an article or main element lies in it, or around it
         for i in range(n - 1, 0, -1):
             if holds[i] or self.tags[i] in ("article", "main"):
                 holds[self.parents[i]] = True
-        dropped = [False] * n
         for i in range(1, n):
-            dropped[i] = dropped[self.parents[i]] or self._goes(self.tags[i], named[i], holds[i])
-        articles = [i for i in range(1, n) if self.tags[i] == "article" and not dropped[i] and self.wordy[i]]
-        mains = articles or [i for i in range(1, n) if (self.tags[i] == "main" or "role:main" in named[i]) and not dropped[i] and self.wordy[i]]
-        inside = [not mains] + [False] * (n - 1)
-        chosen = set(mains)
+            within[i] = within[self.parents[i]] or self.tags[self.parents[i]] in ("article", "main")
+        plain, links = self._masses()
+        mostly_links = [b > 0 and b >= a for a, b in zip(self._with_inner(plain), self._with_inner(links), strict=True)]
+        for comments in (True, False):
+            dropped = [False] * n
+            for i in range(1, n):
+                dropped[i] = dropped[self.parents[i]] or self._goes(self.tags[i], named[i], holds[i], within[i], mostly_links[i], comments)
+            # where nothing else is left, what looks like comments is the page
+            if any(p + x for p, x, d in zip(plain, links, dropped, strict=True) if not d):
+                break
+        kept = self._with_inner([0 if d else 10 * p + x for p, x, d in zip(plain, links, dropped, strict=True)])
+        chosen: set[int] = set()
+        for part in ("article", "main"):
+            of = [i for i in range(1, n) if (self.tags[i] == part or part == "main" and "role:main" in named[i]) and not dropped[i] and kept[i]]
+            inner = set(of)
+            outermost, covered = 0, [False] * n
+            for i in range(1, n):
+                covered[i] = covered[self.parents[i]] or self.parents[i] in inner
+                outermost += kept[i] if i in inner and not covered[i] else 0
+            if 2 * outermost >= max(1, kept[0]):
+                chosen = inner
+                break
+        inside = [not chosen] + [False] * (n - 1)
         for i in range(1, n):
             inside[i] = inside[self.parents[i]] or i in chosen
         return dropped, inside
@@ -196,16 +243,21 @@ class Page:
         return frozenset(out)
 
     @staticmethod
-    def _goes(tag: str, names: frozenset[str], holds: bool) -> bool:
+    def _goes(tag: str, names: frozenset[str], holds: bool, within: bool, mostly_links: bool, comments: bool) -> bool:
         if tag in ("html", "body"):
             return False
+        if comments and tag not in TEXTUAL and _means(names, COMMENTS):
+            return True
         if tag in ("article", "main"):
             return "#hidden" in names or _means(names, READERS)
         if tag in DROPPED:
             return not (holds and tag in ("form", "header"))
         if holds:
             return False
-        return "#hidden" in names or _means(names, CLASSES) or any(x[5:] in ROLES for x in names if x.startswith("role:"))
+        if "#hidden" in names or tag == "dialog" and not within or any(x[5:] in ROLES for x in names if x.startswith("role:")):
+            return True
+        words = CLASSES if comments else CLASSES - COMMENTS
+        return _means(names, words, NOTED if tag in TEXTUAL else words if mostly_links else words - WEAK)
 
     def blocks(self, dropped: list[bool], inside: list[bool]) -> list[tuple[int, str]]:
         """The kept blocks: the element where each starts, and its text with single spaces."""
@@ -259,9 +311,22 @@ class Page:
         return "\n".join(b for _, b in self.blocks(dropped, inside))
 
 
-def _means(names: frozenset[str], words: frozenset[str]) -> bool:
-    """Whether a class is one of words, or a compound of them with nothing that gives it another meaning."""
-    return any(x in words or " " in x and (parts := x.split()) and words.intersection(parts) and all(p in words or p in BESIDE or p.isdigit() for p in parts) for x in names)
+def _means(names: frozenset[str], words: frozenset[str], single: frozenset[str] | None = None) -> bool:
+    """Whether a class is one of words (or of single, if given), or a compound of words with nothing that gives it another meaning."""
+    alone = words if single is None else single
+    return any(x in alone or " " in x and (parts := x.split()) and words.intersection(parts) and all(p in words or p in BESIDE or p.isdigit() for p in parts) for x in names)
+
+
+def least_pages() -> int:
+    """The pages of the smallest host that can have a template, one on all of them."""
+    return next(n for n in range(1, 1000) if n * math.log(1 / SHARED) >= math.log(CHANCE))
+
+
+def recurs(n: Column, pages: Column) -> Column:
+    """Whether a subtree on n of a host's pages is a template: parts that stand on SHARED of all pages reach n with a chance below 1 / CHANCE, by Chernoff's bound."""
+    share = n / pages
+    rest = F.when(n < pages, (1 - share) * F.log((1 - share) / (1 - SHARED))).otherwise(0.0)
+    return (share > SHARED) & (pages * (share * F.log(share / SHARED) + rest) >= math.log(CHANCE))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -286,10 +351,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     # the host's different pages are counted along, as one more subtree of each page
     own = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.col("page").alias("beside")))
     beside = found.select("host", F.explode(F.concat(own, "subtrees")).alias("x")).select("host", "x.h", "x.beside")
-    counted = cut(beside.distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE_PAGES))
+    counted = cut(beside.distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages()))
     of_host = counted.where("h IS NULL").select("host", F.col("n").alias("pages"))
-    recurring = counted.where("h IS NOT NULL").join(of_host, "host").where(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
-    # at most twice the mean number of blocks of a host's page recur on half of its pages
+    recurring = counted.where("h IS NOT NULL").join(of_host, "host").where(recurs(F.col("n"), F.col("pages")))
+    # what recurs on a share of the pages is at most the mean number of a page's blocks over that share
     templates = cut(recurring.groupBy("host").agg(F.collect_list("h").alias("template")))
     total = templates.agg(F.sum(F.size("template"))).first()[0] or 0
 

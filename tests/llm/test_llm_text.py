@@ -1,5 +1,6 @@
 """URL filter, page extraction, secret scan, quality and tokens against brute force and hand-made cases."""
 
+import math
 import random
 import re
 import time
@@ -148,8 +149,40 @@ def test_any_markup_parses(s):
     assert len(p._stack) == 1
 
 
-def test_deep_markup_parses():
-    assert he.Page("<div>" * 20_000 + "x").text() == "x"
+def test_deep_and_misnested_markup_takes_time_in_proportion():
+    began, n = time.time(), 100_000
+    assert he.Page("<div>" * n + "x").text() == "x"
+    assert he.Page("<b>" * n + "y" + "</i>" * n).text() == "y"
+    assert he.Page("<b>" * n + "<p>z" * n).text() == "\n".join("z" * n)
+    assert he.Page("<ul><li>" * n + "a" + "</p>" * n + "</ul>" * n).text() == "a"
+    assert time.time() - began < 40
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<div class="entry-content"><p>Main story</p></div><ol class="commentlist"><li><article class="comment-body">reader</article></li></ol>', "Main story"),
+        ('<main><p>Main story</p></main><section id="comments"><article>reader one</article><article>reader two and more words than the story</article></section>', "Main story"),
+        ("<article><p>Story</p><div class='user-comments'>u</div><div class=reader-comments>r</div><div class='comment-body'>c</div><div class='advertisement-label'>a</div></article>", "Story"),
+        ("<div><p>A long story that is told here, of many words.</p><p>Its second part.</p></div><article><a href=x>Teaser</a></article>", "A long story that is told here, of many words.\nIts second part.\nTeaser"),
+        ("<article>Let <math><mi>x</mi></math> be. <button>More</button><dialog>said</dialog></article><dialog>Accept all</dialog>", "Let x be. More\nsaid"),
+        ("<div id=social><p>Of social life.</p></div><div class=login><p>How to log in.</p></div><table class=overlay><tr><td>1</table><p class=comment>Remark</p>", "Of social life.\nHow to log in.\n1\nRemark"),
+        ("<div id=social><a href=x>Share this</a> <a href=y>or that</a></div><p>t</p>", "t"), ("<div id=comments><p>All that there is.</p></div>", "All that there is."),
+        ("<dialog>Accept cookies</dialog><p>t</p>", "t"), ("<p class=ad>buy</p><p>t</p>", "t"), ("<div class=share-buttons>x</div><p>t</p>", "t"),
+    ],
+)
+def test_main_part_and_names(html, text):
+    assert he.Page(html).text() == text
+
+
+def test_templates_need_more_pages_than_chance_gives(spark):
+    d = spark.createDataFrame([(n, pages) for pages in (3, 6, 7, 10, 20, 100, 2500, 10**7) for n in range(max(0, int(pages * 0.2)), min(pages, int(pages * 0.2) + 900) + 1)], "n long, pages long")
+    least = {x["pages"]: x["n"] for x in d.where(he.recurs(F.col("n"), F.col("pages"))).groupBy("pages").agg(F.min("n").alias("n")).collect()}
+    assert he.least_pages() == 7 and set(least) == {7, 10, 20, 100, 2500} and least[7] == 7
+    for pages, n in least.items():  # the chance itself is below that of the bound
+        log = lambda i, m=pages: math.lgamma(m + 1) - math.lgamma(i + 1) - math.lgamma(m - i + 1) + i * math.log(0.25) + (m - i) * math.log(0.75)
+        assert sum(math.exp(log(i)) for i in range(n, min(pages, n + 200) + 1)) < 1e-4
+    assert least[20] < 17 and least[100] < 48 and least[2500] < 0.3 * 2500
 
 
 def test_templates_are_removed_per_host(spark):
@@ -173,8 +206,8 @@ def test_copies_are_no_template(spark):
 
 
 def test_templates_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(he, "TEMPLATE_PAGES", 3)
-    monkeypatch.setattr(he, "TEMPLATE_SHARE", 0.3)
+    monkeypatch.setattr(he, "SHARED", 0.05)
+    monkeypatch.setattr(he, "CHANCE", 5)
     r = random.Random(11)
     block = lambda n, k: "".join(f"<p>{r.choice('abcdefgh') * n}</p>" for _ in range(k))
     made = [(i, f"http://h{i % 3}.com/", f"<div>{block(2, 1)}<div>{block(3, 2)}</div></div>{block(5, 1)}") for i in range(120)]
@@ -188,7 +221,8 @@ def test_templates_against_brute_force(spark, monkeypatch):
             pages.setdefault(hosts[i], set()).add(own)
             for h, b in found:
                 beside.setdefault((hosts[i], h), set()).add(b)
-        template = {k for k, v in beside.items() if len(v) >= 3 and len(v) >= 0.3 * len(pages[k[0]]) and len(pages[k[0]]) >= 3}
+        far = lambda q: q * math.log(q / 0.05) + (1 - q) * math.log((1 - q) / 0.95) if q < 1 else math.log(20)
+        template = {k for k, v in beside.items() if len(v) > 0.05 * len(pages[k[0]]) and len(pages[k[0]]) * far(len(v) / len(pages[k[0]])) >= math.log(5)}
         want = {i: he.Page(html or "").text(frozenset(h for host, h in template if host == hosts[i])) for i, _, html in rows}
         assert {x["page_id"]: x["text"] for x in he.extract(d).collect()} == want
         assert rows is given_ or template and any(want[i] != he.Page(html).text() for i, _, html in rows)
