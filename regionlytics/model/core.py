@@ -78,7 +78,12 @@ def cells(mutations: DataFrame) -> DataFrame:
 
 
 def log_rates(loci: DataFrame, state: State) -> DataFrame:
-    """loci with logmu (array of K) under the rate model, cut. Where loci have one, it is that before the rate model's last fit."""
+    """loci with logmu (array of K) under the rate model. Where loci have one, it is that before the rate model's last fit.
+
+    A rate model that is a projection of x (``columns``) is left to Spark; others are evaluated in Python, and their result is cut.
+    """
+    if hasattr(state.rate_model, "columns"):
+        return loci.withColumn("logmu", state.rate_model.columns(F.col("x")))
     shared = loci.sparkSession.sparkContext.broadcast(state.rate_model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

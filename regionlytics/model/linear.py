@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
 #: Largest change of a coefficient in one step.
 LONGEST = 20.0
 
@@ -29,6 +29,14 @@ class LinearRate:
         """The log rate after a fit; logmu, the one before, is of no use here."""
         return self.log_rate(x)
 
+    def columns(self, x: Column) -> Column:
+        """log_rate() as an array Column of K over the array Column x: rates of a linear model are a projection of the loci."""
+        rows = [[float(b) for b in row] for row in self.beta]
+        if self.beta.size <= 256:
+            return F.array(*[reduce(lambda a, b: a + b, (F.get(x, F.lit(j)) * F.lit(b) for j, b in enumerate(row))) for row in rows])
+        beta = F.array(*[F.array(*map(F.lit, row)) for row in rows])
+        return F.transform(beta, lambda b: F.aggregate(F.zip_with(b, x, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v))
+
     def fit(self, targets: DataFrame, rate: float = 1.0, steps: int = 8, tolerance: float = 1e-6, ridge: float = 1e-8) -> LinearRate:
         """Newton's method on targets (x, target array of K, eta array of K), blended in by rate.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequence import base_index
+from .durable import numbered
 from .intervals import BIN, apportion, coverage_count, overlap_join, segments
 from .nearest import nearest_self
 
@@ -92,10 +93,22 @@ def drop_clustered(clustered: DataFrame, below: int = 3) -> DataFrame:
     return clustered.where(F.col("cluster_size") < below)
 
 
-def moving_average(df: DataFrame, value: str, order: list[str], width: int, keys: list[str] | None = None, name: str = "smoothed") -> DataFrame:
-    """value averaged over a centred window of width rows; beyond the ends values count as zero, the divisor is always width."""
-    w = W.partitionBy(*(keys or [])).orderBy(*order).rowsBetween(-(width // 2), (width - 1) // 2)
-    return df.withColumn(name, F.sum(value).over(w) / width)
+def moving_average(df: DataFrame, value: str, order: list[str], width: int, keys: list[str] | None = None, name: str = "smoothed", stretch: int = 1 << 16) -> DataFrame:
+    """value averaged over a centred window of width rows; beyond the ends values count as zero, the divisor is always width.
+
+    Without keys all rows are one sequence: they are numbered and fall into stretches, each of which
+    also gets the width rows around it, so no task sees more than one stretch. order should be total.
+    """
+    back, ahead = width // 2, (width - 1) // 2
+    if keys:
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(-back, ahead)
+        return df.withColumn(name, F.sum(value).over(w) / width)
+    size = max(stretch, width)
+    rows = numbered(df, *order, name="_row")
+    held = F.sequence(F.floor(F.greatest(F.col("_row") - ahead, F.lit(0)) / size), F.floor((F.col("_row") + back) / size))
+    w = W.partitionBy("_stretch").orderBy("_row").rowsBetween(-back, ahead)
+    out = rows.withColumn("_stretch", F.explode(held)).withColumn(name, F.sum(value).over(w) / width)
+    return out.where(F.col("_stretch") == F.floor(F.col("_row") / size)).drop("_row", "_stretch")
 
 
 def annotate(variants: DataFrame, annotations: DataFrame, on: tuple[str, ...] = ("chrom", "pos")) -> DataFrame:

@@ -295,6 +295,11 @@ def moving_average(spark, sf):
     return cl.moving_average(fx.loci(spark, sf), "p_size", ["locus"], 7, ["chrom"]).select("locus", "smoothed")
 
 
+@query("moving_average_all", fx.sql("select locus, sum(p_size) over (order by chrom, locus rows between 3 preceding and 3 following) / 7 as smoothed from loci", "loci"))
+def moving_average_all(spark, sf):
+    return cl.moving_average(fx.loci(spark, sf), "p_size", ["chrom", "locus"], 7, stretch=512).select("locus", "smoothed")
+
+
 @query("annotate_variants", fx.sql(", a as (select chrom, pos, max(weight) as top from snvs where filter = 'PASS' group by 1, 2) select v.sample, v.chrom, v.pos, v.weight, a.top from snvs v left join a on a.chrom = v.chrom and a.pos = v.pos", "snvs"))
 def annotate_variants(spark, sf):
     a = points(spark, sf).groupBy("chrom", "pos").agg(F.max("weight").alias("top"))

@@ -25,11 +25,28 @@ def features() -> FeatureTransform:
 SETTLED = {"eval_every": 3, "bound_tol": 0.5}
 
 
-def fitted(spark, sf, **options) -> tuple[trainer.Model, Corpus]:
+#: The linear model of the last tables, which the queries that apply one share: by session and folder, its parameters.
+_shared: dict[tuple[str, str], trainer.Model] = {}
+
+
+def two_corpora(spark, sf) -> Corpus:
     c = both(spark, sf)
-    c.mutations, c.trinucs = c.mutations.select("corpus", "sample", "chrom", "pos", "locus", "context", "mutation", "weight"), c.trinucs
-    o = trainer.Options(k=3, **SETTLED | options)
-    return trainer.train(c, features(), o), c
+    c.mutations = c.mutations.select("corpus", "sample", "chrom", "pos", "locus", "context", "mutation", "weight")
+    return c
+
+
+def fitted(spark, sf, **options) -> tuple[trainer.Model, Corpus]:
+    c = two_corpora(spark, sf)
+    return trainer.train(c, features(), trainer.Options(k=3, **SETTLED | options)), c
+
+
+def applied(spark, sf) -> tuple[trainer.Model, Corpus]:
+    """The fitted linear model, trained once for the queries of a session that only apply it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _shared:
+        _shared.clear()
+        _shared[key] = fitted(spark, sf)[0]
+    return _shared[key], two_corpora(spark, sf)
 
 
 @query("em_train")
@@ -46,25 +63,25 @@ def em_train_gbt(spark, sf):
 
 @query("predict_gamma")
 def predict_gamma(spark, sf):
-    model, c = fitted(spark, sf)
+    model, c = applied(spark, sf)
     return trainer.predict(model, c)
 
 
 @query("model_r2")
 def model_r2(spark, sf):
-    model, c = fitted(spark, sf)
+    model, c = applied(spark, sf)
     return trainer.mutation_rate_r2(model, c)
 
 
 @query("gibbs_posterior")
 def gibbs_posterior(spark, sf):
-    model, c = fitted(spark, sf)
+    model, c = applied(spark, sf)
     return posterior.assign(model, c)
 
 
 @query("explain_component")
 def explain_component(spark, sf):
-    model, c = fitted(spark, sf)
+    model, c = applied(spark, sf)
     return posterior.explain(model, c, 0)
 
 
@@ -114,5 +131,5 @@ def poisson_score(spark, sf):
 
 @query("resample_corpus", fx.sql("select corpus, sample, round(sum(weight))::bigint as n from snvs group by corpus, sample", "snvs"))
 def resample_corpus(spark, sf):
-    model, c = fitted(spark, sf)
+    model, c = applied(spark, sf)
     return simulate.resample(model, c).mutations.groupBy("corpus", "sample").agg(F.count("*").alias("n"))

@@ -105,6 +105,19 @@ def test_clusters_break_on_gap_and_chromosome(spark):
     assert cl.drop_clustered(cl.clusters(d), below=2).count() == 1
 
 
+@pytest.mark.parametrize(("width", "stretch"), [(1, 4), (2, 4), (7, 3), (7, 16), (40, 8), (300, 10)])
+def test_moving_average_in_stretches(spark, width, stretch):
+    r = random.Random(width)
+    values = [r.randint(0, 50) for _ in range(150)]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v int").repartition(7)
+    for n in (150, 1, 0):
+        got = cl.moving_average(d.where(F.col("i") < n), "v", ["i"], width, stretch=stretch)
+        want = [sum(values[max(0, i - width // 2) : min(n, i + (width - 1) // 2 + 1)]) / width for i in range(n)]
+        assert got.columns == ["i", "v", "smoothed"]
+        assert [x["smoothed"] for x in sorted(got.collect())] == pytest.approx(want)
+    assert "single" not in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_priority_must_hold_all_labels(spark):
     labels = spark.createDataFrame([(0, ["a", "b"]), (1, [])], "locus long, labels array<string>")
     got = {r["locus"]: r["label"] for r in iv.resolve_priority(labels, ["b", "a"]).collect()}
