@@ -138,14 +138,13 @@ def likelihood(part: pd.DataFrame, rho: np.ndarray, delta: np.ndarray, log_z: np
 
 
 def fixed_point(phi: np.ndarray, weight: np.ndarray, alpha: np.ndarray, gamma: np.ndarray, tolerance: float, rounds: int) -> np.ndarray:
-    """gamma of one sample: alpha plus its cells' responsibilities, until the mean change is below tolerance."""
+    """gamma of one sample: alpha plus its cells' responsibilities, until the mean change is below tolerance; at most rounds evaluations."""
+    search = split.Search(gamma)
     for _ in range(rounds):
-        e = np.exp(np_dirichlet_expectation(gamma))
-        new = alpha + e * (phi @ (weight / (phi.T @ e + TINY)))
-        if np.abs(new - gamma).mean() < tolerance:
-            return new
-        gamma = new
-    return gamma
+        e = np.exp(np_dirichlet_expectation(search.at))
+        if search.told(alpha + e * (phi @ (weight / (phi.T @ e + TINY))), tolerance):
+            break
+    return search.at
 
 
 def bound(phi: np.ndarray, weight: np.ndarray, alpha: np.ndarray, gamma: np.ndarray) -> float:

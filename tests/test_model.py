@@ -77,6 +77,20 @@ def test_samples_in_chunks_have_the_same_composition(spark, model, simulated, mo
         assert all(np.allclose(sums[k], sums_2[k], rtol=1e-6, atol=1e-8) for k in sums)
 
 
+def test_search_finds_the_fixed_point_of_plain_steps():
+    rng = np.random.default_rng(0)
+    for k, n, like in ((2, 50, 0.0), (3, 400, 0.9), (6, 300, 0.99), (3, 1, 0.0)):
+        phi = (1 - like) * rng.random((k, n)) + like * rng.random(n)
+        weight, alpha = rng.integers(1, 50, n).astype(float), np.full(k, 0.7)
+        step = lambda g, phi=phi, w=weight, a=alpha: a + np.exp(np_dirichlet_expectation(g)) * (phi @ (w / (phi.T @ np.exp(np_dirichlet_expectation(g)))))
+        got = core.fixed_point(phi, weight, alpha, np.full(k, 1.0), 1e-8, 1000)
+        assert np.abs(step(got) - got).max() < (1e-6 if like < 0.99 else 1e-3)  # within a thousand evaluations
+        plain = np.full(k, 1.0)
+        for _ in range(2000):
+            plain = step(plain)
+        assert core.bound(phi, weight, alpha, got) >= core.bound(phi, weight, alpha, plain) - 1e-3
+
+
 def test_posterior_names_the_component(model, simulated):
     got = posterior.assign(model, simulated[0], warm_up=20, sweeps=40)
     shares = got.select(*[F.exp(f"logp_{n}").alias(n) for n in model.state.names])
