@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +125,13 @@ def dirichlet_multinomial_logprob(alpha: np.ndarray, counts: np.ndarray) -> floa
     return float(np_lgamma(a) - np_lgamma(a + n) + (np_lgamma(alpha + counts) - np_lgamma(alpha)).sum())
 
 
+def dirichlet_multinomial(alpha: list[float], counts: list[Column | str]) -> Column:
+    """dirichlet_multinomial_logprob() as a Column, of one count for each entry of alpha."""
+    total = reduce(lambda a, b: a + b, map(_c, counts))
+    own = [lgamma(_c(c) + float(a)) - lgamma(F.lit(float(a))) for a, c in zip(alpha, counts, strict=True)]
+    return lgamma(F.lit(float(sum(alpha)))) - lgamma(total + float(sum(alpha))) + reduce(lambda a, b: a + b, own)
+
+
 def learning_rate(step: int, tau: float = 16.0, kappa: float = 0.5, full_batch: bool = False) -> float:
     """One for full batches, else (tau + step) ** -kappa."""
     return 1.0 if full_batch else float((tau + step) ** -kappa)

@@ -31,24 +31,42 @@ def gibbs(phi: np.ndarray, weight: np.ndarray, alpha: np.ndarray, rng: np.random
     return tally / sweeps
 
 
-def annealed_importance(phi: np.ndarray, weight: np.ndarray, alpha: np.ndarray, rng: np.random.Generator, steps: int = 100, runs: int = 10) -> float:
-    """Log marginal likelihood of a sample's mutations by annealed importance sampling."""
-    k, n = phi.shape
-    with np.errstate(divide="ignore"):
-        logs = np.maximum(np.log(phi), -700)
-    out = []
-    for _ in range(runs):
-        pi = rng.dirichlet(alpha)
-        z, w = rng.choice(k, n, p=pi), 0.0
-        for t in range(1, steps + 1):
-            w += logs[z, np.arange(n)].sum() / steps
-            counts = np.bincount(z, weights=weight, minlength=k)
-            q = logs * t / steps + np.log(counts + alpha)[:, None]
-            p = np.exp(q - q.max(axis=0))
-            z = (np.cumsum(p, axis=0) > rng.random(n) * p.sum(axis=0)).argmax(axis=0)
-        out.append(w)
-    top = max(out)
-    return float(top + np.log(np.mean(np.exp(np.array(out) - top))))
+def evidence(phi: np.ndarray, weight: np.ndarray, alpha: np.ndarray, rng: np.random.Generator, steps: int = 100, runs: int = 10, warm_up: int = 200) -> tuple[float, float, float]:
+    """(lower, estimate, upper) of a sample's log marginal likelihood, shares and labels integrated out, by annealing both ways.
+
+    Labels have a Dirichlet-multinomial prior; the likelihood phi is turned on in steps. Runs from the
+    prior give weights whose mean log is below the evidence, runs back from the posterior (labels
+    after warm_up sweeps) ones whose mean log is above; the closer both, the better the estimate, the
+    log of the mean weight of the runs from the prior. A step draws shares given the labels, then
+    labels given the shares. A cell of weight w counts as round(w) mutations with a label each.
+    """
+    k = len(phi)
+    logs = np.repeat(np.log(np.maximum(phi, 1e-300)), np.rint(weight).astype(int), axis=1)
+    n = logs.shape[1]
+    heat = (np.arange(steps + 1) / steps) ** 2
+    at = np.arange(n)
+
+    def prior() -> np.ndarray:
+        return rng.choice(k, n, p=rng.dirichlet(alpha))
+
+    def step(z: np.ndarray, t: float) -> np.ndarray:
+        shares = rng.gamma(alpha + np.bincount(z, minlength=k))
+        q = t * logs + np.log(np.maximum(shares, 1e-300))[:, None]
+        p = np.exp(q - q.max(axis=0))
+        return (np.cumsum(p, axis=0) > rng.random(n) * p.sum(axis=0)).argmax(axis=0)
+
+    up, down = np.zeros(runs), np.zeros(runs)
+    for r in range(runs):
+        z = prior()
+        for a, b in zip(heat, heat[1:], strict=False):
+            up[r] += (b - a) * logs[z, at].sum()
+            z = step(z, b)
+        for _ in range(warm_up):
+            z = step(z, 1.0)
+        for a, b in zip(heat[-2::-1], heat[:0:-1], strict=True):
+            z = step(z, b)
+            down[r] += (b - a) * logs[z, at].sum()
+    return float(up.mean()), float(up.max() + np.log(np.mean(np.exp(up - up.max())))), float(down.mean())
 
 
 def assign(model: Model, corpus: Corpus, warm_up: int = 300, sweeps: int = 5000, seed: int = 0) -> DataFrame:
@@ -75,18 +93,23 @@ def assign(model: Model, corpus: Corpus, warm_up: int = 300, sweeps: int = 5000,
 
 
 def marginal_likelihood(model: Model, corpus: Corpus, steps: int = 100, runs: int = 10, seed: int = 0) -> DataFrame:
-    """(corpus, sample, log_likelihood) by annealed importance sampling."""
+    """(corpus, sample, lower, log_likelihood, upper) of each sample's cells, by evidence()."""
     rated, log_z = rates_for(model, corpus)
-    m = core.cells(corpus.mutations)
-    shared = m.sparkSession.sparkContext.broadcast((model.state.rho(), model.state.delta, log_z, model.state.alpha))
+    return evidence_of_cells(core.gathered(core.cells(corpus.mutations), rated), log_z, model.state, steps, runs, seed)
+
+
+def evidence_of_cells(gathered: DataFrame, log_z: dict[str, np.ndarray], state: core.State, steps: int = 100, runs: int = 10, seed: int = 0) -> DataFrame:
+    shared = gathered.sparkSession.sparkContext.broadcast((state.rho(), state.delta, log_z, state.alpha))
 
     def one(key, part: pd.DataFrame) -> pd.DataFrame:
         rho, delta, z, alphas = shared.value
         alpha = alphas.get(key[0], np.mean(list(alphas.values()), axis=0))
-        value = annealed_importance(core.likelihood(part, rho, delta, z[key[0]]), part["weight"].to_numpy(float), alpha, np.random.default_rng([seed, *str(key[1]).encode()]), steps, runs)
-        return pd.DataFrame({"corpus": [key[0]], "sample": [key[1]], "log_likelihood": [value]})
+        part = part.sort_values(["locus", "context", "mutation"])
+        told = evidence(core.likelihood(part, rho, delta, z[key[0]]), part["weight"].to_numpy(float), alpha, np.random.default_rng([seed, *str(key[1]).encode()]), steps, runs)
+        return pd.DataFrame([[*key, *told]], columns=["corpus", "sample", "lower", "log_likelihood", "upper"])
 
-    return core.by_sample(core.gathered(m, rated)).groupBy("corpus", "sample").applyInPandas(one, f"corpus string, sample {m.schema['sample'].dataType.simpleString()}, log_likelihood double")
+    kind = gathered.schema["sample"].dataType.simpleString()
+    return core.by_sample(gathered).groupBy("corpus", "sample").applyInPandas(one, f"corpus string, sample {kind}, lower double, log_likelihood double, upper double")
 
 
 def explain(model: Model, corpus: Corpus, component: str | int, background: int = 500) -> DataFrame:

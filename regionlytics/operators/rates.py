@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.special import digamma, logsumexp, xlogy
+from ..functions.special import digamma, lgamma, logsumexp, xlogy
 
 
 def nucleotide_effect(trinucs: DataFrame, delta: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -134,8 +134,8 @@ def best_matches(truth: DataFrame, found: DataFrame, measure: str = "cosine") ->
     return pairs.groupBy("truth_id").agg((F.max if measure == "cosine" else F.min)(value).alias("best"))
 
 
-def one_step_gamma(mutations: DataFrame, rates: DataFrame, delta: DataFrame, omega: DataFrame, alpha: float = 1.0, rounds: int = 1) -> DataFrame:
-    """(corpus, sample, component, gamma) after the first step from equal shares: alpha plus each mutation's split by likelihood.
+def cell_likelihoods(mutations: DataFrame, rates: DataFrame, delta: DataFrame, omega: DataFrame) -> DataFrame:
+    """(corpus, sample, locus, context, mutation, weight, component, f): each cell's weight and its likelihood under each component.
 
     The likelihood of component k is omega[k, c, m] (of its sum over m) x delta[k, c] x exp(logmu[k, l]).
     """
@@ -143,6 +143,28 @@ def one_step_gamma(mutations: DataFrame, rates: DataFrame, delta: DataFrame, ome
     s = share.join(delta, ["component", "context"]).select("component", "context", "mutation", (F.col("rho") * F.col("delta")).alias("f"))
     m = mutations.groupBy("corpus", "sample", "locus", "context", "mutation").agg(F.sum("weight").alias("weight"))
     j = m.join(F.broadcast(s), ["context", "mutation"]).join(rates, ["locus", "component"])  # 192 rows a component
-    j = j.withColumn("f", F.col("f") * F.exp("logmu"))
+    return j.withColumn("f", F.col("f") * F.exp("logmu"))
+
+
+def one_step_gamma(mutations: DataFrame, rates: DataFrame, delta: DataFrame, omega: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(corpus, sample, component, gamma) after the first step from equal shares: alpha plus each mutation's split by likelihood."""
+    j = cell_likelihoods(mutations, rates, delta, omega)
     total = F.sum("f").over(W.partitionBy("corpus", "sample", "locus", "context", "mutation"))
     return j.withColumn("phi", F.col("f") / total * F.col("weight")).groupBy("corpus", "sample", "component").agg((alpha + F.sum("phi")).alias("gamma"))
+
+
+def evidence_bound(likelihoods: DataFrame, gamma: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(corpus, sample, bound, weight): the lower bound of each sample's log evidence at compositions gamma (corpus, sample, component, gamma).
+
+    A cell adds its weight times the log of the sum over components of exp(E[log share]) x likelihood,
+    which is its bound at the best responsibilities; a sample adds the divergence of its composition
+    from the prior. Aggregates only: perplexity is exp(-sum of bounds / sum of weights).
+    """
+    whole = gamma.groupBy("corpus", "sample").agg(F.sum("gamma").alias("_total"), F.count("*").alias("_k"))
+    g = gamma.join(whole, ["corpus", "sample"]).withColumn("_e", digamma(F.col("gamma")) - digamma(F.col("_total")))
+    prior = g.groupBy("corpus", "sample", "_total", "_k").agg(F.sum(lgamma(F.col("gamma")) - lgamma(F.lit(float(alpha))) + (alpha - F.col("gamma")) * F.col("_e")).alias("_own"))
+    prior = prior.select("corpus", "sample", (lgamma(alpha * F.col("_k")) - lgamma(F.col("_total")) + F.col("_own")).alias("_prior"))
+    cells = likelihoods.join(g.select("corpus", "sample", "component", "_e"), ["corpus", "sample", "component"])
+    cells = cells.groupBy("corpus", "sample", "locus", "context", "mutation").agg(F.log(F.sum(F.exp("_e") * F.col("f"))).alias("_log"), F.first("weight").alias("weight"))
+    told = cells.groupBy("corpus", "sample").agg(F.sum(F.col("weight") * F.col("_log")).alias("_sum"), F.sum("weight").alias("weight"))
+    return told.join(prior, ["corpus", "sample"]).select("corpus", "sample", (F.col("_sum") + F.col("_prior")).alias("bound"), "weight")

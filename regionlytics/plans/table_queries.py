@@ -321,6 +321,40 @@ def estep_single(spark, sf):
     return g.select("corpus", "sample", "component", F.round("gamma", 4).alias("gamma"))
 
 
+#: Likelihoods of cells, compositions after one step, and their digammas.
+BOUND = f""", s as (select component, context, mutation, omega / sum(omega) over (partition by component, context) * delta as f from signatures join deltas using (component, context)),
+m as (select corpus, sample, locus, context, mutation, sum(weight) as w from snvs group by 1, 2, 3, 4, 5),
+j as (select m.*, s.component, s.f * exp(r.logmu) as f from m join s using (context, mutation) join rates r on r.locus = m.locus and r.component = s.component),
+p as (select *, f / sum(f) over (partition by corpus, sample, locus, context, mutation) * w as phi from j),
+g as (select corpus, sample, component, 1 + sum(phi) as x from p group by 1, 2, 3), t as (select corpus, sample, sum(x) as x from g group by 1, 2),
+dg as (select corpus, sample, component, x, {DIGAMMA} as d from g), dt as (select corpus, sample, x as total, {DIGAMMA} as d from t),
+e as (select dg.corpus, dg.sample, component, x, total, dg.d - dt.d as e from dg join dt using (corpus, sample)),
+c as (select j.corpus, j.sample, j.locus, j.context, j.mutation, any_value(w) as w, ln(sum(exp(e.e) * j.f)) as l from j join e using (corpus, sample, component) group by 1, 2, 3, 4, 5),
+k as (select corpus, sample, sum(w * l) as s, sum(w) as w from c group by 1, 2),
+q as (select corpus, sample, lgamma(count(*)) - lgamma(any_value(total)) + sum(lgamma(x) + (1 - x) * e) as s from e group by 1, 2)"""
+
+
+def _bounds(spark, sf):
+    likelihoods = rt.cell_likelihoods(fx.mutations(spark, sf), fx.rates(spark, sf), fx.deltas(spark), fx.signatures(spark))
+    return rt.evidence_bound(likelihoods, rt.one_step_gamma(fx.mutations(spark, sf), fx.rates(spark, sf), fx.deltas(spark), fx.signatures(spark)))
+
+
+@query("evidence_bound", fx.sql(BOUND + " select corpus, sample, round((k.s + q.s) / k.w, 6) as bound from k join q using (corpus, sample)", "snvs", "deltas", "rates"))
+def evidence_bound(spark, sf):
+    return _bounds(spark, sf).select("corpus", "sample", F.round(F.col("bound") / F.col("weight"), 6).alias("bound"))
+
+
+@query("perplexity", fx.sql(BOUND + " select corpus, round(exp(-sum(k.s + q.s) / sum(k.w)), 5) as perplexity from k join q using (corpus, sample) group by corpus", "snvs", "deltas", "rates"))
+def perplexity(spark, sf):
+    return _bounds(spark, sf).groupBy("corpus").agg(F.round(F.exp(-F.sum("bound") / F.sum("weight")), 5).alias("perplexity"))
+
+
+@query("dirichlet_multinomial", fx.sql(", n as (select corpus, sample, count(*) filter (mutation = 0) as a, count(*) filter (mutation = 1) as b, count(*) filter (mutation = 2) as c from snvs group by 1, 2) select corpus, sample, round(lgamma(3.5) - lgamma(3.5 + a + b + c) + lgamma(0.5 + a) - lgamma(0.5) + lgamma(1 + b) - lgamma(1) + lgamma(2 + c) - lgamma(2), 5) as logp from n", "snvs"))
+def dirichlet_multinomial(spark, sf):
+    n = fx.snvs(spark, sf).groupBy("corpus", "sample").agg(*[F.count_if(F.col("mutation") == i).alias(f"n{i}") for i in range(3)])
+    return n.select("corpus", "sample", F.round(sp.dirichlet_multinomial([0.5, 1.0, 2.0], ["n0", "n1", "n2"]), 5).alias("logp"))
+
+
 @query("component_subset", fx.sql(", g as (select corpus, sample, context % 3 as component, 1.0::double + sum(weight) as gamma from snvs where context % 3 < 2 group by 1, 2, 3) select corpus, sample, component, round(gamma / sum(gamma) over (partition by corpus, sample), 6) as gamma from g", "snvs"))
 def component_subset(spark, sf):
     return co.subset_components(shares(spark, sf), [0, 1]).select("corpus", "sample", "component", F.round("gamma", 6).alias("gamma"))

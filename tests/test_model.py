@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from regionlytics.functions.special import np_dirichlet_expectation
+from regionlytics.functions.special import dirichlet_multinomial_logprob, np_dirichlet_expectation
 from regionlytics.model import core, posterior, simulate, split, trainer, tuning
 from regionlytics.model.boosting import BoostedRate, Tree
 from regionlytics.model.linear import LinearRate
@@ -91,6 +91,26 @@ def test_search_finds_the_fixed_point_of_plain_steps():
         assert core.bound(phi, weight, alpha, got) >= core.bound(phi, weight, alpha, plain) - 1e-3
 
 
+def test_evidence_is_bracketed():
+    """Against the sum over all labels of their Dirichlet-multinomial and likelihoods."""
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    for k, weights, sharp in ((2, [1, 1, 1], 1), (3, [2, 1, 3, 1], 1), (2, [4, 3, 2], 2), (3, [1], 2)):
+        phi, alpha = rng.random((k, len(weights))) ** sharp, rng.random(k) + 0.3
+        logs = np.repeat(np.log(phi), weights, axis=1)
+        terms = [dirichlet_multinomial_logprob(alpha, np.bincount(z, minlength=k).astype(float)) + logs[list(z), range(len(z))].sum() for z in product(range(k), repeat=sum(weights))]
+        exact = np.log(np.exp(terms).sum())
+        lower, estimate, upper = posterior.evidence(phi, np.array(weights, float), alpha, rng, steps=200, runs=80, warm_up=30)
+        assert lower - 0.03 < exact < upper + 0.03 and upper - lower < 0.2
+        assert estimate == pytest.approx(exact, abs=0.05)
+
+
+def test_evidence_of_samples(model, simulated):
+    got = posterior.marginal_likelihood(model, simulated[0], steps=15, runs=2).toPandas()
+    assert len(got) == 40 and (got["lower"] <= got["log_likelihood"] + 1e-9).all() and (got["lower"] < got["upper"]).mean() > 0.9
+
+
 def test_posterior_names_the_component(model, simulated):
     got = posterior.assign(model, simulated[0], warm_up=20, sweeps=40)
     shares = got.select(*[F.exp(f"logp_{n}").alias(n) for n in model.state.names])
