@@ -172,11 +172,13 @@ def model_train(spark, a):
 
 
 def model_score(spark, a):
-    print(json.dumps(trainer.score(trainer.load(spark, a.model), store.load_dataset(spark, a.corpuses))))
+    model = trainer.load(spark, a.model)
+    print(json.dumps(trainer.score(model, store.load_dataset(spark, a.corpuses), rated=_known_rates(spark, a.model, model, a.corpuses))))
 
 
 def model_predict(spark, a):
-    _save(trainer.predict(trainer.load(spark, a.model), store.load_dataset(spark, a.corpuses)), a.output)
+    model = trainer.load(spark, a.model)
+    _save(trainer.predict(model, store.load_dataset(spark, a.corpuses), _known_rates(spark, a.model, model, a.corpuses)), a.output)
 
 
 def save_signatures(spark, a):
@@ -201,19 +203,32 @@ def model_explain(spark, a):
     _save(posterior.explain(trainer.load(spark, a.model), store.load_dataset(spark, a.corpuses), a.signature), a.output)
 
 
+def _known_rates(spark, model_path: str, model, corpora: list[str]):
+    """The loci of the corpora with their log rates, those of unchanged corpora from the model's cache; None if it has none of them."""
+    own = trainer.rate_digest(model)
+    found = {p: store.cached(spark, f"{model_path}-cache", own, store.folder_digest(spark, p)) for p in corpora}
+    if all(t is None for t in found.values()):
+        return None
+    return store.stack([t if t is not None else trainer.rates_for(model, store.load_corpus(spark, p))[0] for p, t in found.items()])
+
+
 def cache_sstats(spark, a):
-    model, corpus = trainer.load(spark, a.model), store.load_corpus(spark, a.corpus)
-    store.cached_rates(spark, f"{a.model}-cache", str(model.state.trained_epochs), "_".join(corpus.names()), lambda: trainer.rates_for(model, corpus)[0])
+    """Keeps the corpus' log rates under the model beside the model, for scoring, prediction and annotation; made anew only where either has changed."""
+    model = trainer.load(spark, a.model)
+    make = lambda: trainer.rates_for(model, store.load_corpus(spark, a.corpus))[0]
+    made = store.write_cached(spark, f"{a.model}-cache", trainer.rate_digest(model), store.folder_digest(spark, a.corpus), make)
+    print("cached" if made else "unchanged")
 
 
 def annotate_mutations(spark, a):
     model, corpus = trainer.load(spark, a.model), store.load_corpus(spark, a.corpus)
     meta = {r["key"]: r["value"] for r in corpus.metadata.collect()}
+    rated = _known_rates(spark, a.model, model, [a.corpus])
     segs, seqs, name = _segments(spark, meta["regions_file"]), text.read_fasta(spark, meta["fasta_file"]), corpus.names()[0]
     for path in a.vcf_files:
         v = text.read_vcf(spark, path, a.chr_prefix, a.weight_col)
         m = cl.featurise(v, segs, seqs).select(F.lit(name).alias("corpus"), "*")
-        got = posterior.assign(model, co.Corpus(m, corpus.loci, corpus.trinucs, corpus.features), sweeps=a.iters)
+        got = posterior.assign(model, co.Corpus(m, corpus.loci, corpus.trinucs, corpus.features), sweeps=a.iters, rated=rated)
         text.annotate_vcf(spark, path, got, f"{a.output_prefix}{path.rstrip('/').rsplit('/', 1)[-1]}", a.chr_prefix)
 
 

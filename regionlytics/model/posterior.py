@@ -69,12 +69,12 @@ def evidence(phi: np.ndarray, weight: np.ndarray, alpha: np.ndarray, rng: np.ran
     return float(up.mean()), float(up.max() + np.log(np.mean(np.exp(up - up.max())))), float(down.mean())
 
 
-def assign(model: Model, corpus: Corpus, warm_up: int = 300, sweeps: int = 5000, seed: int = 0) -> DataFrame:
+def assign(model: Model, corpus: Corpus, warm_up: int = 300, sweeps: int = 5000, seed: int = 0, rated: DataFrame | None = None) -> DataFrame:
     """(corpus, sample, chrom, pos, logp_<component>): log shares of labels per mutation; minus infinity for none.
 
     Each sample is a group of its own with a seed from its name, so the result doesn't depend on the partitioning.
     """
-    rated, log_z = rates_for(model, corpus)
+    rated, log_z = rates_for(model, corpus, rated)
     m = corpus.mutations.select("corpus", "sample", "chrom", "pos", "locus", "context", "mutation", "weight")
     shared = m.sparkSession.sparkContext.broadcast((model.state.rho(), model.state.delta, log_z, model.state.alpha))
     names = [f"logp_{n}" for n in model.state.names]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable
@@ -234,27 +235,36 @@ def perplexity(stats: DataFrame) -> float:
     return float(np.exp(-r["b"] / r["w"])) if r["w"] else float("nan")
 
 
-def posterior(model: Model, corpus: co.Corpus, gamma: DataFrame | None = None) -> DataFrame:
+def posterior(model: Model, corpus: co.Corpus, gamma: DataFrame | None = None, rated: DataFrame | None = None) -> DataFrame:
     """infer()'s rows for corpus under a trained model; unknown corpora take the mean prior and the intercept of the first."""
-    rated, log_z = rates_for(model, corpus)
+    rated, log_z = rates_for(model, corpus, rated)
     o = model.options
     return core.infer(core.cells(corpus.mutations), rated, log_z, model.state, gamma, 0.0 if gamma is not None else 1.0, 1.0, o.tolerance, o.rounds, o.seed)
 
 
-def rates_for(model: Model, corpus: co.Corpus) -> tuple[DataFrame, dict[str, np.ndarray]]:
+def rates_for(model: Model, corpus: co.Corpus, rated: DataFrame | None = None) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """The loci of corpus with their log rates under the model, and the log of each component's total mass. rated: those loci, if they are known already."""
+    if rated is not None:
+        return rated, core.log_masses(core.context_exposure(rated, model.state.k), model.state.delta)
     return core.with_log_rates(cut(core.locus_table(corpus, model.transform, model.state.corpora)), model.state)
 
 
-def score(model: Model, corpus: co.Corpus, gamma: DataFrame | None = None) -> dict[str, float]:
+def rate_digest(model: Model) -> str:
+    """A digest of what log rates depend on: rate model, transform and the corpora's order."""
+    d = json.loads(to_json(model))
+    return hashlib.sha256(json.dumps([d["rate"], d["transform"], d["corpora"]], sort_keys=True).encode()).hexdigest()[:24]
+
+
+def score(model: Model, corpus: co.Corpus, gamma: DataFrame | None = None, rated: DataFrame | None = None) -> dict[str, float]:
     """Bound and perplexity of corpus; with gamma (corpus, sample, gamma) compositions are taken, not inferred."""
-    stats = cut(posterior(model, corpus, gamma))
+    stats = cut(posterior(model, corpus, gamma, rated))
     r = stats.where("kind = 'gamma'").agg(F.sum("bound").alias("b")).first()
     return {"bound": float(r["b"] or 0.0), "perplexity": perplexity(stats)}
 
 
-def predict(model: Model, corpus: co.Corpus) -> DataFrame:
+def predict(model: Model, corpus: co.Corpus, rated: DataFrame | None = None) -> DataFrame:
     """(corpus, sample, one column per component): each sample's composition gamma."""
-    g = posterior(model, corpus).where("kind = 'gamma'")
+    g = posterior(model, corpus, rated=rated).where("kind = 'gamma'")
     return g.select("corpus", "sample", *[F.get("value", F.lit(i)).alias(n) for i, n in enumerate(model.state.names)])
 
 

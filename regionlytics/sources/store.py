@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,16 +50,29 @@ def pivoted(df: DataFrame, row: str, column: str, value: str, order: list[str])
     return df.groupBy(row).pivot(column, order).agg(F.first(value))
 
 
-def cached_rates(spark: SparkSession, path: str, model_id: str, corpus_id: str, make) -> DataFrame:
-    """The table that make() gives for a model and a corpus, from the cache at path if it holds that pair."""
-    key = f"{path}/model={model_id}/data={corpus_id}"
+def folder_digest(spark: SparkSession, path: str) -> str:
+    """A digest of which Parquet files a folder holds, of what size and from when: it changes when a table is written anew."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    told = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)")).alias("h")).first()
+    return hashlib.sha256(f"{told['n']}:{told['h']}".encode()).hexdigest()[:24]
+
+
+def cached(spark: SparkSession, path: str, model_digest: str, data_digest: str) -> DataFrame | None:
+    """The table that was written for this model and this state of the data; None if there is none."""
     try:
-        return spark.read.parquet(key)
+        return spark.read.parquet(f"{path}/model={model_digest}/data={data_digest}/table")
     except Exception as x:
         if "PATH_NOT_FOUND" not in str(x) and "UNABLE_TO_INFER_SCHEMA" not in str(x):
             raise
-    make().write.mode("overwrite").parquet(key)
-    return spark.read.parquet(key)
+        return None
+
+
+def write_cached(spark: SparkSession, path: str, model_digest: str, data_digest: str, make) -> bool:
+    """Writes what make() gives for a model and a state of the data, unless it is there; says whether it was made."""
+    if cached(spark, path, model_digest, data_digest) is not None:
+        return False
+    make().write.mode("overwrite").parquet(f"{path}/model={model_digest}/data={data_digest}/table")
+    return True
 
 
 def stack(frames: list[DataFrame]) -> DataFrame:

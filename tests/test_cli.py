@@ -7,7 +7,8 @@ import bigwig_file
 import pytest
 
 from regionlytics import cli
-from regionlytics.sources import text
+from regionlytics.model import core, trainer
+from regionlytics.sources import store, text
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +37,7 @@ def test_commands_are_all_there():
         cli.main(["model-train"])
 
 
-def test_files_to_model(spark, work, capsys):
+def test_files_to_model(spark, work, capsys, monkeypatch):
     d = str(work)
     run = lambda line: cli.main(line.format(d=d).split())
     vcfs = " ".join(f"{d}/s{i}.vcf" for i in range(3))
@@ -74,7 +75,21 @@ def test_files_to_model(spark, work, capsys):
     run("model-list-corpuses {d}/m")
     assert capsys.readouterr().out.strip() == "c"
     run("model-explain {d}/m --signature 0 --corpuses {d}/c --output {d}/shap")
-    run("model-cache-sstats {d}/m --corpus {d}/c")
+    capsys.readouterr()
+    run("model-score {d}/m --corpuses {d}/c")
+    fresh = json.loads(capsys.readouterr().out)
+    for said in ("cached", "unchanged"):
+        run("model-cache-sstats {d}/m --corpus {d}/c")
+        assert capsys.readouterr().out.strip() == said
+    monkeypatch.setattr(core, "locus_table", None)  # what the cache holds isn't made again
+    run("model-score {d}/m --corpuses {d}/c")
+    assert json.loads(capsys.readouterr().out) == pytest.approx(fresh)
+    monkeypatch.undo()
+    # a corpus that was written anew isn't taken from the cache
+    store.save_corpus(store.load_corpus(spark, f"{d}/c"), f"{d}/copy")
+    assert store.folder_digest(spark, f"{d}/copy") != store.folder_digest(spark, f"{d}/c")
+    assert cli._known_rates(spark, f"{d}/m", trainer.load(spark, f"{d}/m"), [f"{d}/copy"]) is None
+    assert cli._known_rates(spark, f"{d}/m", trainer.load(spark, f"{d}/m"), [f"{d}/c"]) is not None
     run("model-annotate-mutations {d}/m --vcf-files {d}/s0.vcf --corpus {d}/c --output-prefix {d}/annotated_ --chr-prefix chr --iters 20")
     assert spark.read.text(f"{d}/annotated_s0.vcf").where("value LIKE '%logp_component_0=%'").count() > 100
     run("study-create --corpuses {d}/c --study-name st --max-components 2 --min-components 2 --storage {d}/studies --num-epochs 1")
