@@ -151,6 +151,6 @@ def percentiles(df: DataFrame, features: list[str], shares: list[float]) -> dict
 
 
 def values_at(df: DataFrame, features: list[str], parts: int) -> dict[str, list[float]]:
-    """The parts + 1 values of each feature that cut its order into parts: the least one, then those that i / parts of the values don't exceed."""
-    places = lambda n: [max(0, -(-i * n // parts) - 1) for i in range(parts + 1)]
+    """The parts + 1 values of each feature that cut its order into parts: the least one, then those of rank i / parts x n, rounded up in double precision."""
+    places = lambda n: [max(0, int(np.ceil(i / parts * n)) - 1) for i in range(parts + 1)]
     return {f: [at[r] for r in places(n)] if n else [] for f, (n, at) in order_statistics(df, features, lambda n: set(places(n))).items()}

@@ -39,7 +39,7 @@ def test_percentiles_and_cuts_against_numpy(spark, monkeypatch, bins, bits, last
     cuts = qt.values_at(df, list(columns), 40)
     for c, v in clean.items():
         v = np.sort(v)
-        assert cuts[c] == ([v[max(0, int(np.ceil(i * len(v) / 40 - 1e-9)) - 1)] for i in range(41)] if len(v) else [])
+        assert cuts[c] == ([v[max(0, int(np.ceil(i / 40 * len(v))) - 1)] for i in range(41)] if len(v) else [])
 
 
 def test_what_comes_back_is_bounded(spark, monkeypatch):

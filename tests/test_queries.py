@@ -60,4 +60,3 @@ def test_model_queries_run_until_settled_with_the_operators_defaults(spark, monk
     for name in ("em_train", "em_train_gbt", "gibbs_posterior"):
         registry.queries()[name](spark, SF)
     assert seen == [trainer.Options(k=3, **mq.SETTLED), trainer.Options(k=3, model_type="gbt", **mq.SETTLED), trainer.Options(k=3, **mq.SETTLED), (2, {})]
-    assert registry.queries()["simulate_corpus"](spark, SF).select("sample").distinct().count() == 50
