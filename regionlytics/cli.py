@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.sequence import cosmic_order
 from .functions.sequence import kmer_counts as _kmer_counts
-from .model import posterior, simulate, trainer, tuning
+from .model import extension, posterior, simulate, trainer, tuning
 from .operators import clusters as cl
 from .operators import corpora as co
 from .operators import intervals as iv
@@ -105,6 +105,14 @@ def ingest_categorical(spark, a):
     text.write_feature(got.withColumnRenamed("label", a.feature_name), {a.feature_name: ("categorical", a.group)}, a.output)
 
 
+def _featurised(name: str) -> extension.ObservationKind:
+    """The kind of observation of that name, if it can be made from variants."""
+    kind = extension.observation(name)
+    if kind.featurise is None:
+        raise ValueError(f"{name} can't be made from variants")
+    return kind
+
+
 def corpus_make(spark, a):
     regions = check_regions(text.read_bed12(spark, a.regions_file))
     segs, name = iv.segments(regions), F.lit(a.corpus_name).alias("corpus")
@@ -123,8 +131,9 @@ def corpus_make(spark, a):
     rate = cl.rate_track(regions, points)
     rated = cl.local_rate(points.select("sample", "chrom", "pos"), rate)
     lone = cl.drop_clustered(cl.clusters(rated)).select("sample", "chrom", "pos").distinct()
-    placed = cl.featurise(points.join(lone, ["sample", "chrom", "pos"], "left_semi"), segs, seqs)
-    meta = spark.createDataFrame([(a.corpus_name, "types", json.dumps(types)), (a.corpus_name, "groups", json.dumps(groups)), (a.corpus_name, "regions_file", a.regions_file), (a.corpus_name, "fasta_file", a.fasta_file)], "corpus string, key string, value string")
+    kind = _featurised(a.type)
+    placed = kind.featurise(points.join(lone, ["sample", "chrom", "pos"], "left_semi"), segs, seqs)
+    meta = spark.createDataFrame([(a.corpus_name, "types", json.dumps(types)), (a.corpus_name, "groups", json.dumps(groups)), (a.corpus_name, "regions_file", a.regions_file), (a.corpus_name, "fasta_file", a.fasta_file), (a.corpus_name, "observation", kind.name)], "corpus string, key string, value string")
     c = co.Corpus(placed.select(name, "*"), exposure.select(name, "*"), spark.read.parquet(a.trinuc_file).select(name, "*"), features.select(name, "*"), meta)
     store.save_corpus(c, a.output)
 
@@ -227,7 +236,7 @@ def annotate_mutations(spark, a):
     segs, seqs, name = _segments(spark, meta["regions_file"]), text.read_fasta(spark, meta["fasta_file"]), corpus.names()[0]
     for path in a.vcf_files:
         v = text.read_vcf(spark, path, a.chr_prefix, a.weight_col)
-        m = cl.featurise(v, segs, seqs).select(F.lit(name).alias("corpus"), "*")
+        m = _featurised(corpus.observation()).featurise(v, segs, seqs).select(F.lit(name).alias("corpus"), "*")
         got = posterior.assign(model, co.Corpus(m, corpus.loci, corpus.trinucs, corpus.features), sweeps=a.iters, rated=rated)
         text.annotate_vcf(spark, path, got, f"{a.output_prefix}{path.rstrip('/').rsplit('/', 1)[-1]}", a.chr_prefix)
 
@@ -302,7 +311,7 @@ COMMANDS = {
     "ingest-bigwig": (ingest_bigwig, "bigwig-file --regions-file --feature-name --output ?--group:all ?--extend:int:0 ?--normalization:power"),
     "ingest-distance": (ingest_distance, "bed-file --regions-file --feature-name --output ?--group:all ?--normalization:power ?--reverse:flag"),
     "ingest-categorical": (ingest_categorical, "bed-file --regions-file --feature-name --output ?--group:all ?--null:None ?--class-priority+ ?--column:int:4"),
-    "corpus-make": (corpus_make, "--corpus-name --vcf-files+ --fasta-file --regions-file --correlates-file --output ?--exposure-files+ ?--trinuc-file ?--weight-col ?--chr-prefix:"),
+    "corpus-make": (corpus_make, "--corpus-name --vcf-files+ --fasta-file --regions-file --correlates-file --output ?--exposure-files+ ?--trinuc-file ?--weight-col ?--chr-prefix: ?--type:sbs"),
     "corpus-split": (corpus_split, "corpus --train-output --test-output ?--train-prop:float:0.7 ?--by-locus:flag ?--seed:int:0"),
     "corpus-empirical-mutation-rate": (empirical_mutrate, "corpus ?--output"),
     "study-create": (study_create, "--corpuses+ --study-name --max-components:int --min-components:int --storage ?--num-epochs:int:500 ?--model-type:linear ?--locus-subsample:float ?--batch-size:int ?--empirical-bayes:flag ?--pi-prior:float:1"),

@@ -1,6 +1,7 @@
 """Tables and per-sample inference of the mixed-membership model.
 
-The parameters fit in one driver array each: omega K x 64 x 3, delta K x 64, alpha K per corpus. What
+The parameters fit in one driver array each: omega K x 64 x 3, delta K x 64 (or what else a kind of
+observation declares), alpha K per corpus. What
 grows with the genome or the cohort stays in tables: a row per locus holds its context counts,
 transformed features and log rates as arrays; a row per cell of a sample (locus, context, mutation)
 holds its summed weight.
@@ -22,7 +23,7 @@ from ..operators.durable import cut
 from ..operators.scaling import FeatureTransform
 from . import split
 
-CONTEXTS, MUTATIONS = 64, 3
+CONTEXTS = 64
 TINY = 1e-30
 
 
@@ -61,11 +62,11 @@ class State:
         return (share / share.sum())[:, None] * self.rho()[k]
 
 
-def locus_table(corpus: Corpus, transform: FeatureTransform, corpora: list[str]) -> DataFrame:
-    """(corpus, locus, exposure, n array of 64, x array of features and corpus indicators)."""
+def locus_table(corpus: Corpus, transform: FeatureTransform, corpora: list[str], contexts: int = CONTEXTS) -> DataFrame:
+    """(corpus, locus, exposure, n array of contexts, x array of features and corpus indicators)."""
     entries = F.map_from_entries(F.collect_list(F.struct("context", F.col("n").cast("double"))))
     n = corpus.trinucs.groupBy("corpus", "locus").agg(entries.alias("_m"))
-    n = n.select("corpus", "locus", F.transform(F.sequence(F.lit(0), F.lit(CONTEXTS - 1)), lambda c: F.coalesce(F.col("_m")[c], F.lit(0.0))).alias("n"))
+    n = n.select("corpus", "locus", F.transform(F.sequence(F.lit(0), F.lit(contexts - 1)), lambda c: F.coalesce(F.col("_m")[c], F.lit(0.0))).alias("n"))
     dummies = [(F.col("corpus") == c).cast("double") for c in corpora]
     columns = transform.columns()
     x = corpus.features.select("corpus", "locus", F.array(*[F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)) for c in columns], *dummies).alias("x"))
@@ -84,24 +85,22 @@ def log_rates(loci: DataFrame, state: State) -> DataFrame:
     """
     if hasattr(state.rate_model, "columns"):
         return loci.withColumn("logmu", state.rate_model.columns(F.col("x")))
-    shared = loci.sparkSession.sparkContext.broadcast(state.rate_model)
+    rate = state.rate_model  # goes with the function: classes of a notebook or a test don't pass a broadcast
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.stack(pdf["x"].to_list())
-            logmu = shared.value.grown(x, np.stack(pdf["logmu"].to_list())) if "logmu" in pdf else shared.value.log_rate(x)
+            logmu = rate.grown(x, np.stack(pdf["logmu"].to_list())) if "logmu" in pdf and hasattr(rate, "grown") else rate.log_rate(x)
             yield pdf.assign(logmu=list(logmu))
 
     kinds = {f.name: f.dataType.simpleString() for f in loci.schema if f.name != "logmu"}
-    rated = cut(loci.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", logmu array<double>"))
-    shared.unpersist()
-    return rated
+    return cut(loci.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", logmu array<double>"))
 
 
-def context_exposure(rated: DataFrame, k: int) -> dict[str, np.ndarray]:
-    """By corpus, K x 64: contexts x exposure x rate summed over its loci. Corpora x K rows come to the driver."""
+def context_exposure(rated: DataFrame, state: State) -> dict[str, np.ndarray]:
+    """By corpus, K x contexts: contexts x exposure x rate summed over its loci. Corpora x K rows come to the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -111,10 +110,10 @@ def context_exposure(rated: DataFrame, k: int) -> dict[str, np.ndarray]:
                 yield pd.DataFrame({"corpus": corpus, "component": np.arange(len(eta)), "eta": list(eta)})
 
     rows = rated.select("corpus", "n", "exposure", "logmu").mapInPandas(run, "corpus string, component int, eta array<double>")
-    rows = rows.groupBy("corpus", "component").agg(F.array(*[F.sum(F.get("eta", F.lit(c))) for c in range(CONTEXTS)]).alias("eta"))
+    rows = rows.groupBy("corpus", "component").agg(F.array(*[F.sum(F.get("eta", F.lit(c))) for c in range(state.delta.shape[1])]).alias("eta"))
     out: dict[str, np.ndarray] = {}
     for r in rows.collect():
-        out.setdefault(r["corpus"], np.zeros((k, CONTEXTS)))[r["component"]] = r["eta"]
+        out.setdefault(r["corpus"], np.zeros(state.delta.shape))[r["component"]] = r["eta"]
     return out
 
 
@@ -126,7 +125,7 @@ def log_masses(eta: dict[str, np.ndarray], delta: np.ndarray) -> dict[str, np.nd
 def with_log_rates(loci: DataFrame, state: State) -> tuple[DataFrame, dict[str, np.ndarray]]:
     """loci with logmu, and the log of each component's total mass by corpus."""
     rated = log_rates(loci, state)
-    return rated, log_masses(context_exposure(rated, state.k), state.delta)
+    return rated, log_masses(context_exposure(rated, state), state.delta)
 
 
 def likelihood(part: pd.DataFrame, rho: np.ndarray, delta: np.ndarray, log_z: np.ndarray) -> np.ndarray:
@@ -178,7 +177,7 @@ def infer(sample_cells: DataFrame, rated: DataFrame, log_z: dict[str, np.ndarray
     """The E-step: rows (corpus, sample, kind, key, value array of K, bound, weight).
 
     kind "gamma" is a sample's composition, with its bound and weight; "signature" sums
-    responsibilities by context x 3 + mutation, "locus" by locus. old (corpus, sample, gamma) is
+    responsibilities by context x mutations + mutation, "locus" by locus. old (corpus, sample, gamma) is
     blended in by 1 - rate; without it samples start from first_composition(). A sample is a group,
     but the ones in hot (split.hot_samples() unless given) lie in chunks and may have several rows a key.
     """
@@ -203,7 +202,7 @@ def infer(sample_cells: DataFrame, rated: DataFrame, log_z: dict[str, np.ndarray
         e = np.exp(np_dirichlet_expectation(gamma))
         r = (e[:, None] * phi / (phi.T @ e + TINY) * (weight / locus_rate)).T
         by = lambda k: pd.DataFrame(r).groupby(np.asarray(k)).sum()
-        sig, loc = by(part["context"] * MUTATIONS + part["mutation"]), by(part["locus"])
+        sig, loc = by(part["context"] * len(rho[0, 0]) + part["mutation"]), by(part["locus"])
         n = 1 + len(sig) + len(loc)
         out = pd.DataFrame({"corpus": corpus, "sample": sample, "kind": ["gamma"] + ["signature"] * len(sig) + ["locus"] * len(loc), "key": [0, *sig.index, *loc.index], "value": [gamma, *sig.to_numpy(), *loc.to_numpy()]})
         out["bound"] = [bound(phi, weight, alpha, gamma), *[0.0] * (n - 1)]
@@ -220,7 +219,7 @@ def infer(sample_cells: DataFrame, rated: DataFrame, log_z: dict[str, np.ndarray
         rho, delta, z, _ = shared.value
         return likelihood(part, rho, delta, z[corpus])
 
-    packed = split.chunks(gathered(sample_cells.join(F.broadcast(hot), ["corpus", "sample"], "left_semi"), rated), hot, phi_of)
+    packed = split.chunks(gathered(sample_cells.join(F.broadcast(hot), ["corpus", "sample"], "left_semi"), rated), hot, phi_of, state.omega.shape[2])
     keys = packed.select("corpus", "sample").distinct()
     known = keys.join(before, ["corpus", "sample"], "left") if before is not None else keys.withColumn("old", F.lit(None).cast("array<double>"))
     start = {(r["corpus"], r["sample"]): first_composition(seed, r["sample"], state.k) if r["old"] is None else np.array(r["old"]) for r in known.collect()}  # a row per hot sample

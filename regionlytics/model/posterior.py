@@ -122,6 +122,8 @@ def explain(model: Model, corpus: Corpus, component: str | int, background: int
     from .core import locus_table
 
     k, state = model.state.component(component), model.state
+    if state.rate_model.kind not in ("linear", "gbt"):
+        raise ValueError(f"there is no exact explanation of rates of kind {state.rate_model.kind}")
     loci = locus_table(corpus, model.transform, state.corpora)
     names = [*model.transform.names(), *[f"corpus={c}" for c in state.corpora]]
     mean = loci.agg(*[F.avg(F.get("x", F.lit(j))).alias(f"m{j}") for j in range(len(names))]).first()

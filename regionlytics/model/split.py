@@ -64,8 +64,8 @@ def hot_samples(cells: DataFrame, limit: int = HOT_CELLS, chunk: int = CHUNK_CEL
     return cut(n.select("corpus", "sample", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")))
 
 
-def chunks(gathered: DataFrame, hot: DataFrame, likelihood: Callable[[str, pd.DataFrame], np.ndarray]) -> DataFrame:
-    """(corpus, sample, chunk, place, kind, weight, phi) of the hot samples' cells, cut: loci, context x 3 + mutation, weights and K x n likelihoods as bytes."""
+def chunks(gathered: DataFrame, hot: DataFrame, likelihood: Callable[[str, pd.DataFrame], np.ndarray], mutations: int = 3) -> DataFrame:
+    """(corpus, sample, chunk, place, kind, weight, phi) of the hot samples' cells, cut: loci, context x mutations + mutation, weights and K x n likelihoods as bytes."""
     dealt = gathered.join(F.broadcast(hot), ["corpus", "sample"])
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("locus", "context", "mutation"), F.col("chunks")).cast("int"))
     n = int(gathered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -74,7 +74,7 @@ def chunks(gathered: DataFrame, hot: DataFrame, likelihood: Callable[[str, pd.Da
     def pack(key, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["locus", "context", "mutation"])
         of = lambda x, t: np.ascontiguousarray(x, t).tobytes()
-        row = {"place": of(part["locus"], np.int64), "kind": of(part["context"] * 3 + part["mutation"], np.int32), "weight": of(part["weight"], float), "phi": of(likelihood(key[0], part), float)}
+        row = {"place": of(part["locus"], np.int64), "kind": of(part["context"] * mutations + part["mutation"], np.int32), "weight": of(part["weight"], float), "phi": of(likelihood(key[0], part), float)}
         return pd.DataFrame({"corpus": [key[0]], "sample": [key[1]], "chunk": [key[2]], **{k: [v] for k, v in row.items()}})
 
     schema = f"corpus string, sample {kind}, chunk int, place binary, kind binary, weight binary, phi binary"

@@ -6,7 +6,7 @@ import hashlib
 import json
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +17,14 @@ from ..operators import corpora as co
 from ..operators.durable import cut
 from ..operators.rates import marginal_signature
 from ..operators.scaling import FeatureTransform
-from . import core, split
-from .boosting import BoostedRate, Tree
-from .linear import LinearRate
+from . import core, extension, split
 
 
 @dataclass
 class Options:
     k: int = 3
     model_type: str = "linear"
+    observation: str | None = None
     epochs: int = 300
     tau: float = 16.0
     kappa: float = 0.5
@@ -103,30 +102,26 @@ def feature_groups(transform: FeatureTransform) -> list[list[int]] | None:
 
 def initial_state(o: Options, corpora: list[str], genome: np.ndarray, width: int, groups: list[list[int]] | None = None) -> core.State:
     """omega and delta from Gamma(100, 1/100) draws; fixed signatures as strong counts for the first components."""
-    from ..functions.sequence import signature_matrix
-
+    kind = extension.observation(o.observation or "sbs")
+    if o.fixed and kind.matrix is None:
+        raise ValueError(f"signatures of {kind.name} can't be fixed")
     rng = np.random.default_rng(o.seed)
     draw = lambda *s: rng.gamma(100, 1 / 100, s)
-    omega, delta = draw(o.k, core.CONTEXTS, core.MUTATIONS), draw(o.k, core.CONTEXTS)
+    omega, delta = draw(o.k, kind.contexts, kind.mutations), draw(o.k, kind.contexts)
     names = [f"component_{k}" for k in range(o.k)]
     for k, (name, sig) in enumerate(o.fixed.items()):
         if k >= o.k:
             raise ValueError("more fixed signatures than components")
-        m = signature_matrix(sig)
+        m = kind.matrix(sig)
         omega[k], delta[k], names[k] = m * 10_000 + 1, m.sum(axis=1) * 10_000 / np.maximum(genome, 1e-12) + 1, name
         delta[k] /= delta[k].mean()
-    if o.model_type == "linear":
-        rate = LinearRate(o.k, width)
-    elif o.model_type == "gbt":
-        rate = BoostedRate(o.k, width, len(corpora), **{"groups": groups} | o.rate_options)
-    else:
-        raise ValueError(f"model_type is linear or gbt, not {o.model_type}")
+    rate = extension.make_rate(o.model_type, o.k, width, corpora, groups, o.rate_options)
     return core.State(omega, delta, {c: np.full(o.k, float(o.pi_prior)) for c in corpora}, names, rate, corpora)
 
 
-def genome_frequencies(trinucs: DataFrame) -> np.ndarray:
-    out = np.zeros(core.CONTEXTS)
-    for r in co.context_share(trinucs).collect():  # 64 rows
+def genome_frequencies(trinucs: DataFrame, contexts: int = core.CONTEXTS) -> np.ndarray:
+    out = np.zeros(contexts)
+    for r in co.context_share(trinucs).collect():  # a row per context
         out[r["context"]] = r["share"]
     return out
 
@@ -148,7 +143,7 @@ def update_delta(state: core.State, eta: dict[str, np.ndarray], signature: dict[
     out = np.zeros_like(state.delta)
     corpora = sorted(eta)
     for k in range(state.k):
-        t = np.stack([signature.get((c, k), np.zeros(core.CONTEXTS)) for c in corpora])
+        t = np.stack([signature.get((c, k), np.zeros(state.delta.shape[1])) for c in corpora])
         e = np.stack([eta[c][k] for c in corpora])
         effect = np.ones(len(corpora))
         for _ in range(rounds if len(corpora) > 1 else 1):
@@ -159,6 +154,13 @@ def update_delta(state: core.State, eta: dict[str, np.ndarray], signature: dict[
     return out
 
 
+def fitted_transform(corpus: co.Corpus, transform: FeatureTransform, o: Options) -> FeatureTransform:
+    """transform fitted to the corpus' features unless it is already, with categories as the rate model takes them."""
+    if transform.constants or not transform.types:
+        return transform
+    return replace(transform, ordinal=transform.ordinal or extension.rate_kind(o.model_type).ordinal, constants={}).fit(corpus.features)
+
+
 def train(corpus: co.Corpus, transform: FeatureTransform, o: Options, evaluated: Callable[[Model], bool] | None = None) -> Model:
     """A fitted model. Tables are cut once per epoch, so lost executors cost one epoch at most.
 
@@ -166,13 +168,14 @@ def train(corpus: co.Corpus, transform: FeatureTransform, o: Options, evaluated:
     loci once: without subsampling the next epoch goes on with those rates. evaluated is called with
     the model at each evaluation and ends the training by returning True.
     """
-    corpora = corpus.names()
-    transform = transform if transform.constants or not transform.types else transform.fit(corpus.features)
-    loci = cut(core.locus_table(corpus, transform, corpora))
+    corpora, kind = corpus.names(), extension.observation(o.observation or corpus.observation())
+    extension.check_observations(kind, corpus.mutations, corpus.trinucs)
+    o, transform = replace(o, observation=kind.name), fitted_transform(corpus, transform, o)
+    loci = cut(core.locus_table(corpus, transform, corpora, kind.contexts))
     all_cells = cut(core.cells(corpus.mutations))
     hot = split.hot_samples(all_cells)
-    genome = genome_frequencies(corpus.trinucs)
-    state = initial_state(o, corpora, genome, len(transform.names()) + len(corpora), feature_groups(transform))
+    genome, width = genome_frequencies(corpus.trinucs, kind.contexts), len(transform.names()) + len(corpora)
+    state = initial_state(o, corpora, genome, width, feature_groups(transform))
     model, began = Model(state, transform, genome, o), time.time()
     gamma: DataFrame | None = None
     scores: list[float] = []
@@ -194,7 +197,7 @@ def train(corpus: co.Corpus, transform: FeatureTransform, o: Options, evaluated:
                 sample_cells = sample_cells.join(F.broadcast(chosen), ["corpus", "sample"], "left_semi")  # batch_size rows
         if rated is None or o.locus_subsample:
             rated = core.log_rates(here, state)
-            eta = core.context_exposure(rated, state.k)
+            eta = core.context_exposure(rated, state)
         log_z = core.log_masses(eta, state.delta)
         stats = cut(core.infer(sample_cells, rated, log_z, state, gamma, rate, o.locus_subsample or 1.0, o.tolerance, o.rounds, o.seed, hot))
         new_gamma = stats.where("kind = 'gamma'").select("corpus", "sample", F.col("value").alias("gamma"))
@@ -202,15 +205,15 @@ def train(corpus: co.Corpus, transform: FeatureTransform, o: Options, evaluated:
         gamma = new_gamma if gamma is None or full else cut(new_gamma.unionByName(gamma.join(new_gamma, ["corpus", "sample"], "left_anti")))
         # M-step: rates, context rates, mutation signatures
         scaled = stats.withColumn("value", F.transform("value", lambda v: v / batch_rate)) if batch_rate < 1 else stats
-        state.rate_model = state.rate_model.fit(cut(rate_targets(rated, scaled, state)), rate)
+        state.rate_model = extension.fit_rate(state.rate_model, cut(rate_targets(rated, scaled, state)), rate, width)
         omega, per_context = np.zeros_like(state.omega), {}
-        for r in core.summed(scaled, "signature", "corpus", "key", k=state.k).collect():  # corpora x 192 rows
-            c, m = divmod(r["key"], core.MUTATIONS)
+        for r in core.summed(scaled, "signature", "corpus", "key", k=state.k).collect():  # a row per corpus, context and mutation
+            c, m = divmod(r["key"], kind.mutations)
             omega[:, c, m] += r["value"]
             for k in range(state.k):
-                per_context.setdefault((r["corpus"], k), np.zeros(core.CONTEXTS))[c] += r["value"][k]
+                per_context.setdefault((r["corpus"], k), np.zeros(kind.contexts))[c] += r["value"][k]
         rated = core.log_rates(rated, state)
-        eta = core.context_exposure(rated, state.k)
+        eta = core.context_exposure(rated, state)
         state.delta = blend(state.delta, update_delta(state, eta, per_context), rate)
         state.omega = blend(state.omega, omega + 1e-9, rate)
         if o.empirical_bayes and epoch >= o.begin_prior_updates:
@@ -245,8 +248,8 @@ def posterior(model: Model, corpus: co.Corpus, gamma: DataFrame | None = None, r
 def rates_for(model: Model, corpus: co.Corpus, rated: DataFrame | None = None) -> tuple[DataFrame, dict[str, np.ndarray]]:
     """The loci of corpus with their log rates under the model, and the log of each component's total mass. rated: those loci, if they are known already."""
     if rated is not None:
-        return rated, core.log_masses(core.context_exposure(rated, model.state.k), model.state.delta)
-    return core.with_log_rates(cut(core.locus_table(corpus, model.transform, model.state.corpora)), model.state)
+        return rated, core.log_masses(core.context_exposure(rated, model.state), model.state.delta)
+    return core.with_log_rates(cut(core.locus_table(corpus, model.transform, model.state.corpora, model.state.delta.shape[1])), model.state)
 
 
 def rate_digest(model: Model) -> str:
@@ -281,21 +284,22 @@ def marginal_model(corpus: co.Corpus, transform: FeatureTransform, o: Options |
     """
     o = o or Options()
     o = Options(**vars(o) | {"k": 1, "model_type": "gbt"})
-    corpora = corpus.names()
-    transform = transform if transform.constants or not transform.types else transform.fit(corpus.features)
-    genome = genome_frequencies(corpus.trinucs)
-    state = initial_state(o, corpora, genome, len(transform.names()) + len(corpora), feature_groups(transform))
+    corpora, kind = corpus.names(), extension.observation(o.observation or corpus.observation())
+    extension.check_observations(kind, corpus.mutations, corpus.trinucs)
+    o, transform = replace(o, observation=kind.name), fitted_transform(corpus, transform, o)
+    genome, width = genome_frequencies(corpus.trinucs, kind.contexts), len(transform.names()) + len(corpora)
+    state = initial_state(o, corpora, genome, width, feature_groups(transform))
     state.omega = np.full_like(state.omega, 1e-9)
-    for r in corpus.mutations.groupBy("context", "mutation").agg(F.sum("weight").alias("w")).collect():  # 192 rows
+    for r in corpus.mutations.groupBy("context", "mutation").agg(F.sum("weight").alias("w")).collect():  # a row per context and mutation
         state.omega[0, r["context"], r["mutation"]] += r["w"]
     state.delta = np.full_like(state.delta, 1e-12)
-    for r in marginal_signature(corpus.mutations, corpus.trinucs).collect():  # 64 rows
+    for r in marginal_signature(corpus.mutations, corpus.trinucs).collect():  # a row per context
         state.delta[0, r["context"]] += r["rate"]
     state.delta /= state.delta.mean()
-    rated = core.log_rates(cut(core.locus_table(corpus, transform, corpora)), state)
+    rated = core.log_rates(cut(core.locus_table(corpus, transform, corpora, kind.contexts)), state)
     sums = corpus.mutations.groupBy("corpus", "locus").agg(F.array(F.sum("weight")).alias("value"))
     stats = sums.select("corpus", F.lit("locus").alias("kind"), F.col("locus").alias("key"), "value")
-    state.rate_model = state.rate_model.fit(cut(rate_targets(rated, stats, state)))
+    state.rate_model = extension.fit_rate(state.rate_model, cut(rate_targets(rated, stats, state)), 1.0, width)
     state.trained_epochs = 1
     return Model(state, transform, genome, o)
 
@@ -305,7 +309,7 @@ def rate_tables(model: Model, corpus: co.Corpus) -> tuple[DataFrame, DataFrame]:
     rated, _ = rates_for(model, corpus)
     rates = rated.select("corpus", "locus", F.posexplode("logmu").alias("component", "logmu"))
     spark = rated.sparkSession
-    delta = spark.createDataFrame([(k, c, float(model.state.delta[k, c])) for k in range(model.state.k) for c in range(core.CONTEXTS)], "component int, context int, delta double")
+    delta = spark.createDataFrame([(k, c, float(model.state.delta[k, c])) for k in range(model.state.k) for c in range(model.state.delta.shape[1])], "component int, context int, delta double")
     return rates, delta
 
 
@@ -326,30 +330,16 @@ def mutation_rate_r2(model: Model, corpus: co.Corpus) -> DataFrame:
 
 
 def signatures(model: Model, spark: SparkSession) -> DataFrame:
-    """(component, label, p): the 96 probabilities of each component over the genome's context frequencies."""
-    from ..functions.sequence import CONTEXTS, alternatives
-
-    flip = str.maketrans("ACGT", "TGCA")
-    rows: dict[tuple[str, str], float] = {}
-    for k, name in enumerate(model.state.names):
-        m = model.state.signature(k, model.genome)
-        for c, context in enumerate(CONTEXTS):
-            for a, alt in enumerate(alternatives(context)):
-                ctx, b = (context, alt) if context[1] in "CT" else (context.translate(flip)[::-1], alt.translate(flip))
-                key = (name, f"{ctx[0]}[{ctx[1]}>{b}]{ctx[2]}")
-                rows[key] = rows.get(key, 0.0) + float(m[c, a])
-    return spark.createDataFrame([(n, label, p) for (n, label), p in rows.items()], "component string, label string, p double")
+    """(component, label, p): the probabilities of each component over the genome's context frequencies, by the labels of what the model observes."""
+    labels = extension.observation(model.options.observation or "sbs").labels
+    rows = [(n, label, p) for k, n in enumerate(model.state.names) for label, p in labels(model.state.signature(k, model.genome)).items()]
+    return spark.createDataFrame(rows, "component string, label string, p double")
 
 
 def to_json(model: Model) -> str:
     """A model as text: parameters only, so that loading runs no code."""
-    s, r = model.state, model.state.rate_model
-    rate = {"kind": r.kind}
-    if r.kind == "linear":
-        rate["beta"] = r.beta.tolist()
-    else:
-        own = ("n_features", "n_corpora", "bins", "depth", "learning_rate", "rounds", "patience", "least", "l2", "groups", "held_out")
-        rate |= {a: getattr(r, a) for a in own} | {"edges": None if r.edges is None else [e.tolist() for e in r.edges], "bias": r.bias.tolist(), "trees": [[(w, vars(t)) for w, t in trees] for trees in r.trees]}
+    s = model.state
+    rate = extension.dump_rate(s.rate_model, len(model.transform.names()) + len(s.corpora))
     t = model.transform
     return json.dumps({
         "omega": s.omega.tolist(), "delta": s.delta.tolist(), "alpha": {c: a.tolist() for c, a in s.alpha.items()}, "names": s.names, "corpora": s.corpora, "epochs": s.trained_epochs, "rate": rate,
@@ -359,19 +349,7 @@ def to_json(model: Model) -> str:
 
 def from_json(text: str) -> Model:
     d = json.loads(text)
-    r = d["rate"]
-    if r["kind"] == "linear":
-        rate = LinearRate(len(r["beta"]), len(r["beta"][0]))
-        rate.beta = np.array(r["beta"])
-    else:
-        rate = BoostedRate(len(r["trees"]), r["n_features"] + r["n_corpora"], r["n_corpora"], r["bins"], r["depth"], r["learning_rate"], r["rounds"], r["patience"], r["least"], r["l2"], r["groups"], r["held_out"])
-        rate.edges = None if r["edges"] is None else [np.array(e) for e in r["edges"]]
-        rate.bias = np.array(r["bias"])
-        for trees, kept in zip(rate.trees, r["trees"], strict=True):
-            for w, t in kept:
-                tree = Tree()
-                vars(tree).update(t)
-                trees.append((w, tree))
+    rate = extension.load_rate(d["rate"])
     state = core.State(np.array(d["omega"]), np.array(d["delta"]), {c: np.array(a) for c, a in d["alpha"].items()}, d["names"], rate, d["corpora"], d["epochs"])
     return Model(state, FeatureTransform(**d["transform"]), np.array(d["genome"]), Options(**d["options"]), d["history"])
 

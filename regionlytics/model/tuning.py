@@ -59,7 +59,7 @@ def search(corpus, transform, study: str, trials: int, k_range: tuple[int, int],
         rng = random.Random(f"{seed}:{t}")
         o = replace(base, k=rng.randint(*k_range), seed=rng.randrange(1 << 30))
         if o.model_type == "gbt":
-            o.rate_options = {"depth": rng.randint(2, 5), "learning_rate": 10 ** rng.uniform(-2, -0.5), "l2": 10 ** rng.uniform(-2, 1)} | base.rate_options
+            o.rate_options = {"depth": rng.randint(2, 5), "learning_rate": 10 ** rng.uniform(-2, -0.5), "l2": 10 ** rng.uniform(-2, 1), "least": float(rng.randint(5, 50))} | base.rate_options
         state, value, r2, scores = "complete", None, (None, None), []
 
         def evaluated(model, scores=scores) -> bool:

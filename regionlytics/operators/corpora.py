@@ -38,6 +38,15 @@ class Corpus:
     def names(self) -> list[str]:
         return sorted(r[0] for r in self.loci.select("corpus").distinct().collect())
 
+    def observation(self) -> str:
+        """The kind of observation that the metadata name, one for all corpora; substitutions if they name none."""
+        if self.metadata is None:
+            return "sbs"
+        kinds = {r["value"] for r in self.metadata.where("key = 'observation'").select("value").distinct().collect()}  # a row per kind
+        if len(kinds) > 1:
+            raise ValueError(f"corpora must be of one kind of observation, not {sorted(kinds)}")
+        return kinds.pop() if kinds else "sbs"
+
     def samples(self) -> DataFrame:
         return self.mutations.select("corpus", "sample").distinct()
 
