@@ -15,6 +15,7 @@ from .operators import clusters as cl
 from .operators import corpora as co
 from .operators import intervals as iv
 from .operators import nearest as nr
+from .operators import views
 from .operators.scaling import FeatureTransform
 from .sources import bigwig, store, text
 from .sources.validate import check_exposures, check_regions
@@ -145,7 +146,9 @@ def corpus_split(spark, a):
 
 
 def empirical_mutrate(spark, a):
-    _save(co.empirical_rate(store.load_corpus(spark, a.corpus).mutations), a.output)
+    """Mutations by locus and context; with a model, by locus and the component that they are laid to."""
+    corpus = store.load_corpus(spark, a.corpus)
+    _save(trainer.component_rates(trainer.load(spark, a.model), corpus) if a.model else co.empirical_rate(corpus.mutations), a.output)
 
 
 def _transform(corpus: co.Corpus) -> FeatureTransform:
@@ -176,8 +179,14 @@ def _options(spark, a, k: int) -> trainer.Options:
 
 
 def model_train(spark, a):
+    """Trains a model; of the type marginal, one component of the corpora's own signature, its rate boosted on the features."""
     corpus = store.load_dataset(spark, a.corpuses)
-    trainer.save(trainer.train(corpus, _transform(corpus), _options(spark, a, a.n_components)), spark, a.output)
+    if a.model_type == "marginal":
+        a.model_type = None
+        model = trainer.marginal_model(corpus, _transform(corpus), _options(spark, a, 1))
+    else:
+        model = trainer.train(corpus, _transform(corpus), _options(spark, a, a.n_components))
+    trainer.save(model, spark, a.output)
 
 
 def model_score(spark, a):
@@ -196,8 +205,17 @@ def save_signatures(spark, a):
 
 
 def plot_summary(spark, a):
-    """The table that a plot of all components shows: component, label, p."""
-    _save(trainer.signatures(trainer.load(spark, a.model), spark), a.output)
+    """The tables that plots of a model show. With corpora a folder: signatures, rate_track, rate_matrix and, given regions, rates_by_segment; else signatures alone."""
+    model = trainer.load(spark, a.model)
+    if not a.corpuses:
+        return _save(trainer.signatures(model, spark), a.output)
+    _save(trainer.signatures(model, spark), f"{a.output}/signatures")
+    corpus = store.load_dataset(spark, a.corpuses)
+    rates, names = trainer.locus_rates(model, corpus, _known_rates(spark, a.model, model, a.corpuses)), model.state.names
+    _save(views.rate_track(rates.withColumn("rate", views.total(names)), "rate", ["corpus", "locus"], a.bins, a.smoothing), f"{a.output}/rate_track")
+    _save(views.rate_matrix(rates, names, ["corpus", "locus"], a.bins), f"{a.output}/rate_matrix")
+    if a.regions_file:
+        _save(views.matrix_by_segment(rates, _segments(spark, a.regions_file)), f"{a.output}/rates_by_segment")
 
 
 def list_corpuses(spark, a):
@@ -313,7 +331,7 @@ COMMANDS = {
     "ingest-categorical": (ingest_categorical, "bed-file --regions-file --feature-name --output ?--group:all ?--null:None ?--class-priority+ ?--column:int:4"),
     "corpus-make": (corpus_make, "--corpus-name --vcf-files+ --fasta-file --regions-file --correlates-file --output ?--exposure-files+ ?--trinuc-file ?--weight-col ?--chr-prefix: ?--type:sbs"),
     "corpus-split": (corpus_split, "corpus --train-output --test-output ?--train-prop:float:0.7 ?--by-locus:flag ?--seed:int:0"),
-    "corpus-empirical-mutation-rate": (empirical_mutrate, "corpus ?--output"),
+    "corpus-empirical-mutation-rate": (empirical_mutrate, "corpus ?--output ?--model"),
     "study-create": (study_create, "--corpuses+ --study-name --max-components:int --min-components:int --storage ?--num-epochs:int:500 ?--model-type:linear ?--locus-subsample:float ?--batch-size:int ?--empirical-bayes:flag ?--pi-prior:float:1"),
     "study-run-trial": (study_run_trial, "study-name --storage ?--iters:int:1 ?--seed:int:0"),
     "study-summarize": (study_summarize, "study-name --storage ?--output"),
@@ -321,7 +339,7 @@ COMMANDS = {
     "model-train": (model_train, "--n-components:int --corpuses+ --output ?--model-type:linear ?--locus-subsample:float ?--batch-size:int ?--begin-prior-updates:int:10 ?--time-limit:int ?--fix-signatures+ ?--signatures-file ?--empirical-bayes:flag ?--tau:int:16 ?--kappa:float:0.5 ?--eval-every:int:10 ?--seed:int:1776 ?--pi-prior:float:1 ?--num-epochs:int:1000 ?--bound-tol:float:0.01"),
     "model-score": (model_score, "model --corpuses+"),
     "model-predict": (model_predict, "model --corpuses+ --output"),
-    "model-plot-summary": (plot_summary, "model --output"),
+    "model-plot-summary": (plot_summary, "model --output ?--corpuses+ ?--regions-file ?--bins:int:1000 ?--smoothing:int:300"),
     "model-save-signatures": (save_signatures, "model ?--output"),
     "model-list-corpuses": (list_corpuses, "model"),
     "model-mutation-rate-r2": (mutation_rate_r2, "model --corpuses+"),

@@ -279,41 +279,3 @@ def recovery(model, truth: dict) -> dict[str, float]:
         b = model.state.rate_model.beta[:, : truth["beta"].shape[1]]
         out["coefficient_l1"] = float(np.abs(truth["beta"][:, None, :] - b[None]).sum(axis=2).min(axis=1).mean())
     return out
-
-
-def leaf_order(vectors: np.ndarray) -> list[int]:
-    """Rows in the order of an average-linkage tree on cosine distance whose neighbours are least apart in sum; for at most some hundreds.
-
-    Of all orders that flip branches of the tree the best is found from the leaves up: a branch keeps
-    the least sum for each pair of its outer leaves.
-    """
-    v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    d = 1 - v @ v.T
-    # a branch: its leaves, the least sum by first and last leaf, and how it is made
-    branches = [([i], np.zeros((1, 1)), None) for i in range(len(v))]
-    while len(branches) > 1:
-        _, i, j = min((d[np.ix_(a[0], b[0])].mean(), i, j) for i, a in enumerate(branches) for j, b in enumerate(branches) if i < j)
-        a, b = branches[i], branches[j]
-        gap = d[np.ix_(a[0], b[0])]
-        to_b = a[1][:, :, None] + gap[None]  # first of a, last of a, first of b
-        step = to_b.min(axis=1)
-        whole = step[:, :, None] + b[1][None]  # first of a, first of b, last of b
-        least = whole.min(axis=1)
-        none = lambda x: np.full((len(x[0]), len(x[0])), np.inf)
-        made = np.block([[none(a), least], [least.T, none(b)]])
-        branches = [x for n, x in enumerate(branches) if n not in (i, j)] + [(a[0] + b[0], made, (a, b, to_b.argmin(axis=1), whole.argmin(axis=1)))]
-
-    def order(branch, first: int, last: int) -> list[int]:
-        leaves, _, made = branch
-        if made is None:
-            return leaves
-        a, b, end, begin = made
-        if first >= len(a[0]):
-            return order(branch, last, first)[::-1]
-        start = begin[first, last - len(a[0])]
-        return order(a, first, end[first, start]) + order(b, start, last - len(a[0]))
-
-    if not branches:
-        return []
-    best = np.unravel_index(branches[0][1].argmin(), branches[0][1].shape)
-    return order(branches[0], *map(int, best))

@@ -313,6 +313,17 @@ def rate_tables(model: Model, corpus: co.Corpus) -> tuple[DataFrame, DataFrame]:
     return rates, delta
 
 
+def locus_rates(model: Model, corpus: co.Corpus, rated: DataFrame | None = None) -> DataFrame:
+    """(corpus, locus, one column per component): the share of each component's mutations that the model puts on a locus. A projection of the rated loci."""
+    rated, log_z = rates_for(model, corpus, rated)
+    z = F.create_map(*[x for c, v in sorted(log_z.items()) for x in (F.lit(c), F.array(*[F.lit(float(y)) for y in v]))])
+    own = lambda k: F.array(*[F.lit(float(d)) for d in model.state.delta[k]])
+    mass = lambda k: F.aggregate(F.zip_with(own(k), F.col("n"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    at = lambda c, k: F.get(c, F.lit(k))
+    out = rated.withColumn("_z", z[F.col("corpus")])
+    return out.select("corpus", "locus", *[(F.col("exposure") * mass(k) * F.exp(at("logmu", k) - at("_z", k))).alias(n) for k, n in enumerate(model.state.names)])
+
+
 def mutation_rate_r2(model: Model, corpus: co.Corpus) -> DataFrame:
     """One row, r2: the pseudo R-squared of the model's marginal rate against context counts."""
     from ..operators import rates as rt

@@ -85,6 +85,34 @@ def explain_component(spark, sf):
     return posterior.explain(model, c, 0)
 
 
+@query("component_rates", fx.sql("select corpus, locus, round(sum(weight), 3) as total, true as shared from snvs group by corpus, locus", "snvs"))
+def component_rates(spark, sf):
+    """Mutations of each locus by the component that they are laid to: that they add up to the locus' own, none below zero."""
+    model, c = applied(spark, sf)
+    names = model.state.names
+    r = trainer.component_rates(model, c)
+    return r.select("corpus", "locus", F.round(sum((F.col(n) for n in names), F.lit(0.0)), 3).alias("total"), (F.least(*names) >= 0).alias("shared"))
+
+
+@query("locus_rates", fx.sql("select c.corpus, k.range::int as component, (select count(*) from part) as loci, 1.0::double as mass from (values ('c0'), ('c1')) c(corpus), range(3) k", "loci"))
+def locus_rates(spark, sf):
+    """The densities over loci that the fitted model gives each component: how many loci they cover, and that each adds up to one."""
+    model, c = applied(spark, sf)
+    r = trainer.locus_rates(model, c)
+    entries = F.posexplode(F.array(*model.state.names)).alias("component", "v")
+    return r.select("corpus", entries).groupBy("corpus", "component").agg(F.count("v").alias("loci"), F.round(F.sum("v"), 6).alias("mass"))
+
+
+@query("marginal_model", fx.sql(""", w as (select context, mutation, sum(weight) as w from snvs group by 1, 2), n as (select context, 2 * sum(n) as n from trinucs group by 1), c as (select context, sum(w) / any_value(n) as r from w join n using (context) group by 1)
+select context, mutation, round(r / (select sum(r) / 64 from c), 6) as context_rate, round(w / sum(w) over (partition by context), 6) as share from w join c using (context)""", "snvs", "trinucs"))
+def marginal_model(spark, sf):
+    """The one signature of the marginal model, whose rate is boosted on size and price: rates of contexts over their mean, and shares of mutations."""
+    model = trainer.marginal_model(two_corpora(spark, sf), features())
+    delta, rho = model.state.delta[0], model.state.rho()[0]
+    rows = [(c, m, round(float(delta[c]), 6), round(float(rho[c, m]), 6)) for c in range(64) for m in range(3) if rho[c, m] > 1e-9]
+    return spark.createDataFrame(rows, "context int, mutation int, context_rate double, share double")
+
+
 def _regression(spark, sf):
     """The loci with design and targets, the fitted regressions and their scales."""
     from ..model import linear

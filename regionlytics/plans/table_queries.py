@@ -8,10 +8,12 @@ from ..functions import sequence as sq
 from ..functions import special as sp
 from ..operators import corpora as co
 from ..operators import durable
+from ..operators import intervals as iv
 from ..operators import rates as rt
 from ..operators import scaling as sc
+from ..operators import views as vw
 from . import fixture as fx
-from .interval_queries import query
+from .interval_queries import BLOCKS, bed12, query
 
 ALPHABET = "['A','C','G','T']"
 BASE = "(case {x} when 'A' then 0 when 'C' then 1 when 'G' then 2 when 'T' then 3 end)"
@@ -259,6 +261,46 @@ def marginal_mixture(spark, sf):
     return mixture(spark, sf).select("locus", "context", F.round("log_rate", 6).alias("log_rate"))
 
 
+MIXED = PSI + ", v as (select l.chrom, l.s, p.locus, sum(psi * (component + 1) / 6) as v from p join loci l using (locus) group by all)"
+
+
+@query("rate_track", fx.sql(MIXED + """, o as (select *, row_number() over (order by chrom, s, locus) - 1 as i, sum(v) over (order by chrom, s, locus rows between 15 preceding and 14 following) / 30 as w from v), t as (select count(*) as n, sum(v) as v, sum(w) as w from o),
+b as (select (i * least(200, n) // n)::int as bin, i, o.v / t.v as raw, o.w / t.w as smooth from o, t)
+select bin, min(i) as "first", max(i) as "last", count(*) as n, round(avg(raw), 10) as raw_mean, round(min(raw), 10) as raw_min, round(max(raw), 10) as raw_max, round(avg(smooth), 10) as smooth_mean, round(min(smooth), 10) as smooth_min, round(max(smooth), 10) as smooth_max from b group by bin""", *MODEL))
+def rate_track(spark, sf):
+    """The mixed rate of all loci by place, in 200 bins and smoothed over 30 loci."""
+    v = mixture(spark, sf).groupBy("locus").agg(F.sum(F.exp("log_rate")).alias("v")).join(fx.loci(spark, sf).select("locus", "chrom", "start"), "locus")
+    t = vw.rate_track(v, "v", ["chrom", "start", "locus"], 200, 30)
+    return t.select("bin", "first", "last", "n", *[F.round(c, 10).alias(c) for c in t.columns[4:]])
+
+
+def component_matrix(spark, sf):
+    """(locus, c0, c1, c2): each component's density over loci."""
+    return rt.psi(*model_tables(spark, sf)).groupBy("locus").agg(*[F.sum(F.when(F.col("component") == k, F.col("psi"))).alias(f"c{k}") for k in range(fx.COMPONENTS)])
+
+
+WIDE = ", w as (select locus, sum(psi) filter (component = 0) as c0, sum(psi) filter (component = 1) as c1, sum(psi) filter (component = 2) as c2 from p group by locus)"
+
+
+@query("rate_matrix", fx.sql(PSI + WIDE + """, m as (select w.*, row_number() over (order by chrom, s, locus) - 1 as i, count(*) over () as n from w join loci using (locus)), u as (unpivot (select i, n, c0, c1, c2 from m) on c0, c1, c2 into name name value v),
+d as (select 1 - sum(c0 * c1) / sqrt(sum(c0 * c0) * sum(c1 * c1)) as d01, 1 - sum(c0 * c2) / sqrt(sum(c0 * c0) * sum(c2 * c2)) as d02, 1 - sum(c1 * c2) / sqrt(sum(c1 * c1) * sum(c2 * c2)) as d12 from w),
+q as (select * from (select [0, 1, 2] as p, d01 + d12 as cost from d union all select [0, 2, 1], d02 + d12 from d union all select [1, 0, 2], d01 + d02 from d) order by cost limit 1),
+s as (select name, i, (i * least(50, n) // n)::int as bin, v / sum(v) over (partition by name) as share from u)
+select name, (list_position(q.p, right(name, 1)::int) - 1)::int as position, bin, min(i) as "first", max(i) as "last", round(avg(share), 10) as share from s, q group by all""", *MODEL))
+def rate_matrix(spark, sf):
+    """The components' densities by place in 50 bins, like ones side by side. The SQL tries all orders of the three."""
+    w = component_matrix(spark, sf).join(fx.loci(spark, sf).select("locus", "chrom", "start"), "locus")
+    m = vw.rate_matrix(w, ["c0", "c1", "c2"], ["chrom", "start", "locus"], 50)
+    return m.withColumn("share", F.round("share", 10))
+
+
+@query("matrix_by_segment", fx.sql(PSI + WIDE + f", {BLOCKS} select chrom, b.s as \"start\", b.e as \"end\", round(c0, 9) as c0, round(c1, 9) as c1, round(c2, 9) as c2 from b join w using (locus)", *MODEL))
+def matrix_by_segment(spark, sf):
+    """The components' densities of each locus at each of its blocks."""
+    m = vw.matrix_by_segment(component_matrix(spark, sf), iv.segments(bed12(spark, sf)))
+    return m.select("chrom", "start", "end", *[F.round(f"c{k}", 9).alias(f"c{k}") for k in range(3)])
+
+
 @query("pseudo_r2", fx.sql(PSI + """, m as (select locus, context, sum(psi * (component + 1) / 6) as r from p group by 1, 2), y as (select locus, context, sum(weight) as y from snvs group by 1, 2),
 c as (select m.locus, m.context, coalesce(y, 0) as y, r, n from m join trinucs using (locus, context) left join y using (locus, context)), t as (select sum(y) as ty, sum(r) as tr, sum(n) as tn from c),
 d as (select sum(case when y > 0 then y * ln(y / ty) else 0 end) as own, sum(case when y > 0 then y * ln(r / tr) else 0 end) as model, sum(case when y > 0 then y * ln(n / tn) else 0 end) as base from c, t) select round(1 - (own - model) / (own - base), 6) as r2 from d""", "snvs", *MODEL))

@@ -77,9 +77,3 @@ def write_cached(spark: SparkSession, path: str, model_digest: str, data_digest:
 
 def stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
-
-
-def matrix_by_segment(matrix: DataFrame, segments: DataFrame) -> DataFrame:
-    """The rows of a matrix keyed by locus, once per segment of the locus and by place: chrom, start, end, the matrix' columns."""
-    columns = [c for c in matrix.columns if c != "locus"]
-    return segments.select("locus", "chrom", "start", "end").join(matrix, "locus").select("chrom", "start", "end", *columns).orderBy("chrom", "start")
