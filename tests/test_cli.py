@@ -72,6 +72,16 @@ def test_files_to_model(spark, work, capsys, monkeypatch):
     assert spark.read.option("header", True).csv(f"{d}/gamma").count() == 3
     run("model-save-signatures {d}/m --output {d}/sig")
     assert len(spark.read.option("header", True).csv(f"{d}/sig").columns) == 97
+    run("model-plot-summary {d}/m --corpuses {d}/c --regions-file {d}/regions --bins 20 --smoothing 5 --output {d}/plots")
+    table = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(f"{d}/{name}")
+    assert table("plots/rate_track").count() == 20 and table("plots/rate_matrix").count() == 40 and table("plots/signatures").count() == 192
+    segments = text.read_bed12(spark, f"{d}/regions").selectExpr("sum(size(block_sizes)) AS n").first()["n"]
+    assert table("plots/rates_by_segment").count() == segments and table("plots/rates_by_segment").columns[:3] == ["chrom", "start", "end"]
+    run("corpus-empirical-mutation-rate {d}/c --model {d}/m --output {d}/by_component")
+    laid = table("by_component").selectExpr("sum(component_0 + component_1) AS n").first()["n"]
+    assert laid == pytest.approx(spark.read.parquet(f"{d}/c/mutations").selectExpr("sum(weight) AS n").first()["n"], rel=1e-6)
+    run("model-train --n-components 1 --corpuses {d}/train --output {d}/marginal --model-type marginal")
+    assert trainer.load(spark, f"{d}/marginal").state.rate_model.kind == "gbt"
     run("model-list-corpuses {d}/m")
     assert capsys.readouterr().out.strip() == "c"
     run("model-explain {d}/m --signature 0 --corpuses {d}/c --output {d}/shap")
