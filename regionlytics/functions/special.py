@@ -132,11 +132,14 @@ def dirichlet_multinomial(alpha: list[float], counts: list[Column | str]) -> Col
     return lgamma(F.lit(float(sum(alpha)))) - lgamma(total + float(sum(alpha))) + reduce(lambda a, b: a + b, own)
 
 
-def learning_rate(step: int, tau: float = 16.0, kappa: float = 0.5, full_batch: bool = False) -> float:
-    """One for full batches, else (tau + step) ** -kappa."""
-    return 1.0 if full_batch else float((tau + step) ** -kappa)
+def learning_rate(step: int | Column, tau: float = 16.0, kappa: float = 0.5, full_batch: bool = False) -> float | Column:
+    """One for full batches, else (tau + step) ** -kappa; of a Column of steps a Column."""
+    if full_batch:
+        return 1.0
+    rate = (tau + step) ** -kappa
+    return rate if isinstance(rate, Column) else float(rate)
 
 
-def blend(old, new, rate: float):
+def blend(old, new, rate: float | Column):
     """(1 - rate) old + rate new, for numbers, arrays and Columns."""
     return (1 - rate) * old + rate * new

@@ -59,9 +59,16 @@ def strand_profile(spark, sf):
     return sq.split_strands(named(spark, sf).select("sample", F.col("ctx").alias("context"), "alt", "weight"))
 
 
-@query("context_index_product", f"select (16 * m.i + 4 * l.i + r.i)::int as context_id, l.b || m.b || r.b as context from (select unnest(range(4)) as i, unnest({ALPHABET}) as b) m, (select unnest(range(4)) as i, unnest({ALPHABET}) as b) l, (select unnest(range(4)) as i, unnest({ALPHABET}) as b) r")
+PRODUCT = f"x as (select (16 * m.i + 4 * l.i + r.i)::int as context_id, l.b || m.b || r.b as context from (select unnest(range(4)) as i, unnest({ALPHABET}) as b) m, (select unnest(range(4)) as i, unnest({ALPHABET}) as b) l, (select unnest(range(4)) as i, unnest({ALPHABET}) as b) r)"
+
+
+@query("context_index_product", fx.sql(f", {PRODUCT}, t as (select context, sum(n)::bigint as n from trinucs group by 1), m as (select context, count(*) as k from snvs group by 1) select context_id, x.context, coalesce(t.n, 0) as occurrences, coalesce(m.k, 0) as mutations from x left join t on t.context = context_id left join m on m.context = context_id", "snvs", "trinucs"))
 def context_index_product(spark, sf):
-    return sq.context_table(spark).select(F.col("context_id").cast("int").alias("context_id"), "context")
+    """All 64 contexts with their occurrences in the loci and their mutations."""
+    t = fx.trinucs(spark, sf).groupBy(F.col("context").alias("context_id")).agg(F.sum("n").cast("long").alias("occurrences"))
+    m = fx.snvs(spark, sf).groupBy(F.col("context").alias("context_id")).agg(F.count("*").alias("mutations"))
+    x = sq.context_table(spark).select(F.col("context_id").cast("int").alias("context_id"), "context")
+    return x.join(t, "context_id", "left").join(m, "context_id", "left").na.fill(0, ["occurrences", "mutations"])
 
 
 @query("context_roundtrip", fx.sql(NAMED + f" select 16 * {base('ctx[2]')} + 4 * {base('ctx[1]')} + {base('ctx[3]')} as context_id, mutation, count(*) as n from f group by 1, 2", "snvs"))
@@ -352,9 +359,14 @@ def dirichlet_bound(spark, sf):
     return shares(spark, sf).groupBy("corpus", "sample").agg(F.round(sp.lgamma(F.lit(3.0)) - sp.lgamma(F.sum("gamma")) + F.sum(sp.lgamma(F.col("gamma"))), 3).alias("bound"))
 
 
-@query("svi_learning_rate", "select range as step, round(pow(16 + range, -0.5), 9) as rate from range(50)")
+@query("svi_learning_rate", fx.sql(", b as (select sample % 50 as step, avg(weight) as own from snvs group by 1), a as (select avg(weight) as whole from snvs) select step, round(pow(16 + step, -0.5), 9) as rate, round((1 - pow(16 + step, -0.5)) * whole + pow(16 + step, -0.5) * own, 6) as blended from b, a", "snvs"))
 def svi_learning_rate(spark, sf):
-    return spark.createDataFrame([(i, round(sp.learning_rate(i), 9)) for i in range(50)], "step long, rate double")
+    """Batches of samples: the rate of each one's step, and the mean weight of all with the batch's own blended in at that rate."""
+    m = fx.snvs(spark, sf)
+    own = m.groupBy((F.col("sample") % 50).alias("step")).agg(F.avg("weight").alias("own"))
+    rate = sp.learning_rate(F.col("step"))
+    both = own.crossJoin(F.broadcast(m.agg(F.avg("weight").alias("whole"))))  # one row
+    return both.select("step", F.round(rate, 9).alias("rate"), F.round(sp.blend(F.col("whole"), F.col("own"), rate), 6).alias("blended"))
 
 
 @query("estep_single", fx.sql(", s as (select component, context, mutation, omega / sum(omega) over (partition by component, context) * delta as f from signatures join deltas using (component, context)), m as (select corpus, sample, locus, context, mutation, sum(weight) as w from snvs group by 1, 2, 3, 4, 5), j as (select m.*, s.component, s.f * exp(r.logmu) as f from m join s using (context, mutation) join rates r on r.locus = m.locus and r.component = s.component), p as (select *, f / sum(f) over (partition by corpus, sample, locus, context, mutation) * w as phi from j) select corpus, sample, component, round(1 + sum(phi), 4) as gamma from p group by 1, 2, 3", "snvs", "deltas", "rates"))
