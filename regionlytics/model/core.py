@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import dirichlet_bound, np_dirichlet_expectation
-from ..operators.corpora import Corpus
+from ..operators.corpora import Corpus, packed
 from ..operators.durable import cut
 from ..operators.scaling import FeatureTransform
 from . import split
@@ -64,9 +64,13 @@ class State:
 
 def locus_table(corpus: Corpus, transform: FeatureTransform, corpora: list[str], contexts: int = CONTEXTS) -> DataFrame:
     """(corpus, locus, exposure, n array of contexts, x array of features and corpus indicators)."""
-    entries = F.map_from_entries(F.collect_list(F.struct("context", F.col("n").cast("double"))))
-    n = corpus.trinucs.groupBy("corpus", "locus").agg(entries.alias("_m"))
-    n = n.select("corpus", "locus", F.transform(F.sequence(F.lit(0), F.lit(contexts - 1)), lambda c: F.coalesce(F.col("_m")[c], F.lit(0.0))).alias("n"))
+    every = F.sequence(F.lit(0), F.lit(contexts - 1))
+    if packed(corpus.trinucs):
+        n = corpus.trinucs.select("corpus", "locus", F.transform(every, lambda c: F.coalesce(F.get("n", c).cast("double"), F.lit(0.0))).alias("n"))
+    else:
+        entries = F.map_from_entries(F.collect_list(F.struct("context", F.col("n").cast("double"))))
+        n = corpus.trinucs.groupBy("corpus", "locus").agg(entries.alias("_m"))
+        n = n.select("corpus", "locus", F.transform(every, lambda c: F.coalesce(F.col("_m")[c], F.lit(0.0))).alias("n"))
     dummies = [(F.col("corpus") == c).cast("double") for c in corpora]
     columns = transform.columns()
     x = corpus.features.select("corpus", "locus", F.array(*[F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)) for c in columns], *dummies).alias("x"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
 from ..operators import clusters as cl
+from ..operators.corpora import unpacked
 from ..sources.validate import require_columns
 from .boosting import BoostedRate, Tree
 from .linear import LinearRate
@@ -128,6 +129,7 @@ def load_rate(told: dict) -> Any:
 def check_observations(kind: ObservationKind, mutations: DataFrame, trinucs: DataFrame) -> None:
     """An error unless context and mutation of all rows are among the kind's, and weights are numbers; one aggregation a table."""
     require_columns(mutations, ["corpus", "sample", "locus", "context", "mutation", "weight"])
+    trinucs = unpacked(trinucs)
     require_columns(trinucs, ["corpus", "locus", "context", "n"])
 
     def outside(df: DataFrame, **sizes: int) -> int:

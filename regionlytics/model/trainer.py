@@ -329,15 +329,12 @@ def mutation_rate_r2(model: Model, corpus: co.Corpus) -> DataFrame:
     from ..operators import rates as rt
 
     rates, delta = rate_tables(model, corpus)
-    trinucs, exposure = corpus.trinucs, corpus.loci.select("corpus", "locus", "exposure")
-    density = rt.psi(rates, trinucs, delta, exposure, keys=("corpus",))
     g = predict(model, corpus)
     w = g.agg(*[F.sum(n).alias(n) for n in model.state.names]).first()
     weights = corpus.mutations.sparkSession.createDataFrame([(k, float(w[n])) for k, n in enumerate(model.state.names)], "component int, w double")
-    mixed = rt.marginal_mixture(density, weights, keys=("corpus",)).withColumn("rate", F.exp("log_rate"))
     y = co.empirical_rate(corpus.mutations).select("corpus", "locus", "context", F.col("weight").alias("y"))
-    cells = mixed.join(trinucs, ["corpus", "locus", "context"]).join(y, ["corpus", "locus", "context"], "left").na.fill(0.0, ["y"])
-    return rt.pseudo_r2(cells, "y", "rate", "n")
+    cells = rt.mixed_rates(rates, corpus.trinucs, delta, corpus.loci.select("corpus", "locus", "exposure"), weights, ("corpus",), y)
+    return rt.pseudo_r2(cells.withColumn("rate", F.exp("log_rate")), "y", "rate", "n")
 
 
 def signatures(model: Model, spark: SparkSession) -> DataFrame:

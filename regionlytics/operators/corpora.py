@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .durable import numbered, small_or_shuffled
 
@@ -17,8 +18,8 @@ class Corpus:
     """The tables of one or several corpora; ``corpus`` names the corpus of a row.
 
     mutations (corpus, sample, chrom, pos, locus, context, mutation, attribute, weight), loci
-    (corpus, locus, exposure), trinucs (corpus, locus, context, n), features (corpus, locus, one
-    column per feature), metadata (corpus, key, value).
+    (corpus, locus, exposure), trinucs (corpus, locus, context, n) or, packed, (corpus, locus, n array
+    by context), features (corpus, locus, one column per feature), metadata (corpus, key, value).
     """
 
     mutations: DataFrame
@@ -51,6 +52,18 @@ class Corpus:
         return self.mutations.select("corpus", "sample").distinct()
 
 
+def packed(trinucs: DataFrame) -> bool:
+    """Whether trinucs hold an array by context for each locus, instead of a row for each context."""
+    return isinstance(trinucs.schema["n"].dataType, ArrayType)
+
+
+def unpacked(trinucs: DataFrame) -> DataFrame:
+    """trinucs with a row for each context; null in an array stands for none."""
+    if not packed(trinucs):
+        return trinucs
+    return trinucs.select(*[c for c in trinucs.columns if c != "n"], F.posexplode("n").alias("context", "n")).where("n IS NOT NULL")
+
+
 def union(corpora: list[Corpus]) -> Corpus:
     """One Corpus of several; names must be unique, features and loci the same."""
     names = [n for c in corpora for n in c.names()]
@@ -128,7 +141,7 @@ def profile(mutations: DataFrame) -> DataFrame:
 
 def context_share(trinucs: DataFrame) -> DataFrame:
     """(context, share) of the genome."""
-    g = trinucs.groupBy("context").agg(F.sum("n").alias("n"))
+    g = unpacked(trinucs).groupBy("context").agg(F.sum("n").alias("n"))
     return g.select("context", (F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0)))).alias("share"))  # 64 rows
 
 

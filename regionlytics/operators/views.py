@@ -45,7 +45,9 @@ def rate_matrix(rates: DataFrame, columns: list[str], order: list[str], bins: in
     rows = numbered(at, *order)
     told = rows.agg(F.count("*").alias("n"), *[F.sum(f"v{i}").alias(f"v{i}") for i in range(len(columns))]).first()
     means = binned(rows, told["n"], bins, [f"v{i}" for i in range(len(columns))])
-    place = {c: p for p, c in enumerate(column_order(rates, columns))}
+    at = dict(zip(columns, (f"v{i}" for i in range(len(columns))), strict=True))
+    back = {v: c for c, v in at.items()}
+    place = {back[v]: p for p, v in enumerate(column_order(rows, list(at.values())))}  # from the rows that are numbered, which are cut
     shares = [F.struct(F.lit(c).alias("name"), F.lit(place[c]).alias("position"), ((F.col(f"v{i}_mean") / F.lit(told[f"v{i}"])) if told[f"v{i}"] else F.lit(0.0)).alias("share")) for i, c in enumerate(columns)]
     return means.select("bin", "first", "last", F.explode(F.array(*shares)).alias("s")).select("s.name", "s.position", "bin", "first", "last", "s.share")
 

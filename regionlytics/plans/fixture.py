@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.corpora import unpacked
+
 COMPONENTS = 3
 SPAN = 400_000
 
@@ -44,8 +46,14 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trinucs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.explode(F.sequence(F.lit(0), F.lit(63)))
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("locus"), c.alias("context")).selectExpr("locus", "context", "1 + (locus * 31 + context * 17) % 23 AS n")
+    return unpacked(packed_trinucs(spark, sf_dir))
+
+
+def packed_trinucs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trinucs with an array of the 64 counts for each locus. Parts are dealt out first: their table is small, what is made of them isn't."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("locus")).repartition(n, "locus")
+    return parts.selectExpr("locus", "transform(sequence(0, 63), c -> 1 + (locus * 31 + c * 17) % 23) AS n")
 
 
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,7 +106,7 @@ def corpus(spark, sf, name):
     loci = fx.loci(spark, sf)
     own = F.lit(name).alias("corpus")
     return co.Corpus(
-        fx.mutations(spark, sf).where(F.col("corpus") == name), loci.select(own, "locus", "exposure"), fx.trinucs(spark, sf).select(own, "locus", "context", "n"),
+        fx.mutations(spark, sf).where(F.col("corpus") == name), loci.select(own, "locus", "exposure"), fx.packed_trinucs(spark, sf).select(own, "locus", "n"),
         loci.select(own, "locus", "p_size", "p_retailprice", "p_type", "p_brand"),
     )
 
@@ -231,7 +231,7 @@ MODEL = ("trinucs", "deltas", "rates")
 
 
 def model_tables(spark, sf):
-    return fx.rates(spark, sf), fx.trinucs(spark, sf), fx.deltas(spark), fx.loci(spark, sf).select("locus", "exposure")
+    return fx.rates(spark, sf), fx.packed_trinucs(spark, sf), fx.deltas(spark), fx.loci(spark, sf).select("locus", "exposure")
 
 
 @query("log_denominator", fx.sql(EFFECT + " select component, round(ln(sum(effect * exp(logmu) * exposure)), 6) as log_z from f join rates using (component, locus) join (select locus, exposure from loci) using (locus) group by component", *MODEL))
@@ -258,14 +258,13 @@ def psi_by_locus(spark, sf):
     return rt.psi(*model_tables(spark, sf), use_context=False).select("component", "locus", F.round("psi", 9).alias("psi"))
 
 
-def mixture(spark, sf):
-    w = spark.createDataFrame([(k, float(k + 1)) for k in range(fx.COMPONENTS)], "component int, w double")
-    return rt.marginal_mixture(rt.psi(*model_tables(spark, sf)), w)
+def mixture_weights(spark):
+    return spark.createDataFrame([(k, float(k + 1)) for k in range(fx.COMPONENTS)], "component int, w double")
 
 
 @query("marginal_mixture", fx.sql(PSI + " select locus, context, round(ln(sum(psi * (component + 1) / 6)), 6) as log_rate from p group by 1, 2", *MODEL))
 def marginal_mixture(spark, sf):
-    return mixture(spark, sf).select("locus", "context", F.round("log_rate", 6).alias("log_rate"))
+    return rt.mixed_rates(*model_tables(spark, sf), mixture_weights(spark)).select("locus", "context", F.round("log_rate", 6).alias("log_rate"))
 
 
 MIXED = PSI + ", v as (select l.chrom, l.s, p.locus, sum(psi * (component + 1) / 6) as v from p join loci l using (locus) group by all)"
@@ -276,14 +275,16 @@ b as (select (i * least(200, n) // n)::int as bin, i, o.v / t.v as raw, o.w / t.
 select bin, min(i) as "first", max(i) as "last", count(*) as n, round(avg(raw), 10) as raw_mean, round(min(raw), 10) as raw_min, round(max(raw), 10) as raw_max, round(avg(smooth), 10) as smooth_mean, round(min(smooth), 10) as smooth_min, round(max(smooth), 10) as smooth_max from b group by bin""", *MODEL))
 def rate_track(spark, sf):
     """The mixed rate of all loci by place, in 200 bins and smoothed over 30 loci."""
-    v = mixture(spark, sf).groupBy("locus").agg(F.sum(F.exp("log_rate")).alias("v")).join(fx.loci(spark, sf).select("locus", "chrom", "start"), "locus")
-    t = vw.rate_track(v, "v", ["chrom", "start", "locus"], 200, 30)
+    w = mixture_weights(spark)
+    w = w.crossJoin(F.broadcast(w.agg(F.sum("w").alias("t")))).select("component", (F.col("w") / F.col("t")).alias("w"))  # a row a component
+    v = rt.psi(*model_tables(spark, sf), use_context=False).join(F.broadcast(w), "component").groupBy("locus").agg(F.sum(F.col("w") * F.col("psi")).alias("v"))
+    t = vw.rate_track(v.join(fx.loci(spark, sf).select("locus", "chrom", "start"), "locus"), "v", ["chrom", "start", "locus"], 200, 30)
     return t.select("bin", "first", "last", "n", *[F.round(c, 10).alias(c) for c in t.columns[4:]])
 
 
 def component_matrix(spark, sf):
     """(locus, c0, c1, c2): each component's density over loci."""
-    return rt.psi(*model_tables(spark, sf)).groupBy("locus").agg(*[F.sum(F.when(F.col("component") == k, F.col("psi"))).alias(f"c{k}") for k in range(fx.COMPONENTS)])
+    return rt.psi(*model_tables(spark, sf), use_context=False).groupBy("locus").agg(*[F.sum(F.when(F.col("component") == k, F.col("psi"))).alias(f"c{k}") for k in range(fx.COMPONENTS)])
 
 
 WIDE = ", w as (select locus, sum(psi) filter (component = 0) as c0, sum(psi) filter (component = 1) as c1, sum(psi) filter (component = 2) as c2 from p group by locus)"
@@ -313,7 +314,7 @@ c as (select m.locus, m.context, coalesce(y, 0) as y, r, n from m join trinucs u
 d as (select sum(case when y > 0 then y * ln(y / ty) else 0 end) as own, sum(case when y > 0 then y * ln(r / tr) else 0 end) as model, sum(case when y > 0 then y * ln(n / tn) else 0 end) as base from c, t) select round(1 - (own - model) / (own - base), 6) as r2 from d""", "snvs", *MODEL))
 def pseudo_r2(spark, sf):
     y = fx.mutations(spark, sf).groupBy("locus", "context").agg(F.sum("weight").alias("y"))
-    cells = mixture(spark, sf).withColumn("rate", F.exp("log_rate")).join(fx.trinucs(spark, sf), ["locus", "context"]).join(y, ["locus", "context"], "left").na.fill(0.0, ["y"])
+    cells = rt.mixed_rates(*model_tables(spark, sf), mixture_weights(spark), counts=y).withColumn("rate", F.exp("log_rate"))
     return rt.pseudo_r2(cells, "y", "rate", "n").select(F.round("r2", 6).alias("r2"))
 
 
@@ -389,8 +390,8 @@ q as (select corpus, sample, lgamma(count(*)) - lgamma(any_value(total)) + sum(l
 
 
 def _bounds(spark, sf):
-    likelihoods = rt.cell_likelihoods(fx.mutations(spark, sf), fx.rates(spark, sf), fx.deltas(spark), fx.signatures(spark))
-    return rt.evidence_bound(likelihoods, rt.one_step_gamma(fx.mutations(spark, sf), fx.rates(spark, sf), fx.deltas(spark), fx.signatures(spark)))
+    tables = fx.mutations(spark, sf), fx.rates(spark, sf), fx.deltas(spark), fx.signatures(spark)
+    return rt.evidence_bound_of(*tables, rt.one_step_gamma(*tables))
 
 
 @query("evidence_bound", fx.sql(BOUND + " select corpus, sample, round((k.s + q.s) / k.w, 6) as bound from k join q using (corpus, sample)", "snvs", "deltas", "rates"))
