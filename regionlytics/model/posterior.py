@@ -21,13 +21,25 @@ def gibbs(phi: np.ndarray, weight: np.ndarray, alpha: np.ndarray, rng: np.random
         logs = np.log(phi)
     z = rng.choice(k, n, p=alpha / alpha.sum())
     tally = np.zeros((k, n))
-    for t in range(1, warm_up + sweeps + 1):
-        counts = np.bincount(z, weights=weight, minlength=k)
-        q = logs * min(1.0, t / max(1, warm_up)) + np.log((counts + alpha) / np.maximum(n - 1 + alpha, 1e-12))[:, None]
+    shares = lambda z: (np.bincount(z, weights=weight, minlength=k) + alpha) / np.maximum(n - 1 + alpha, 1e-12)
+    for t in range(1, warm_up + 1):
+        q = logs * (t / warm_up) + np.log(shares(z))[:, None]
         p = np.exp(q - q.max(axis=0))
         z = (np.cumsum(p, axis=0) > rng.random(n) * p.sum(axis=0)).argmax(axis=0)
-        if t > warm_up:
-            tally[z, np.arange(n)] += 1
+    # with all of the likelihood a sweep takes neither logs nor powers; a label is the number of partial sums that the draw reaches
+    scaled = np.exp(logs - logs.max(axis=0))
+    for _ in range(sweeps):
+        p = scaled * shares(z)[:, None]
+        for i in range(1, k):
+            p[i] += p[i - 1]
+        u, above = rng.random(n) * p[-1], np.ones(n, bool)
+        z = np.zeros(n, np.int64)
+        for i in range(k - 1):
+            reached = u >= p[i]
+            tally[i] += above & ~reached
+            z += reached
+            above = reached
+        tally[-1] += above
     return tally / sweeps
 
 
