@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,10 +65,12 @@ class State:
 
 def locus_table(corpus: Corpus, transform: FeatureTransform, corpora: list[str], contexts: int = CONTEXTS) -> DataFrame:
     """(corpus, locus, exposure, n array of contexts, x array of features and corpus indicators)."""
-    every = F.sequence(F.lit(0), F.lit(contexts - 1))
     if packed(corpus.trinucs):
-        n = corpus.trinucs.select("corpus", "locus", F.transform(every, lambda c: F.coalesce(F.get("n", c).cast("double"), F.lit(0.0))).alias("n"))
+        # n isn't named in the function: what makes it would be put there, and made again for each context
+        told = F.transform("n", lambda v: F.coalesce(v.cast("double"), F.lit(0.0)))
+        n = corpus.trinucs.select("corpus", "locus", F.slice(F.concat(told, F.array_repeat(F.lit(0.0), contexts)), 1, contexts).alias("n"))
     else:
+        every = F.sequence(F.lit(0), F.lit(contexts - 1))
         entries = F.map_from_entries(F.collect_list(F.struct("context", F.col("n").cast("double"))))
         n = corpus.trinucs.groupBy("corpus", "locus").agg(entries.alias("_m"))
         n = n.select("corpus", "locus", F.transform(every, lambda c: F.coalesce(F.col("_m")[c], F.lit(0.0))).alias("n"))
@@ -134,12 +137,23 @@ def with_log_rates(loci: DataFrame, state: State) -> tuple[DataFrame, dict[str,
 
 def likelihood(part: pd.DataFrame, rho: np.ndarray, delta: np.ndarray, log_z: np.ndarray) -> np.ndarray:
     """K x cells: the probability of each cell of one sample under each component; NaN counts as zero."""
-    c, m = part["context"].to_numpy(), part["mutation"].to_numpy()
+    c, m, exposure, n = (part[x].to_numpy() for x in ("context", "mutation", "exposure", "n_context"))
+    return likelihood_of(c, m, exposure, n, np.stack(part["logmu"].to_list()), rho, delta, log_z)
+
+
+def likelihood_of(c: np.ndarray, m: np.ndarray, exposure: np.ndarray, n: np.ndarray, logmu: np.ndarray, rho: np.ndarray, delta: np.ndarray, log_z: np.ndarray) -> np.ndarray:
+    """likelihood() of cells as arrays; logmu is cells x K."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        logs = np.log(rho[:, c, m]) + np.log(delta[:, c]) + np.log(part["exposure"].to_numpy()) + np.log(part["n_context"].to_numpy()) + np.stack(part["logmu"].to_list()).T - log_z[:, None]
+        logs = np.log(rho)[:, c, m] + np.log(delta)[:, c] + np.log(exposure) + np.log(n) + logmu.T - log_z[:, None]
     return np.nan_to_num(np.exp(logs), nan=0.0)
 
 
+def summed_by(keys: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the rows of r summed by them."""
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.stack([np.bincount(at, weights=x, minlength=len(found)) for x in r.T], axis=1)
+
+
 def fixed_point(phi: np.ndarray, weight: np.ndarray, alpha: np.ndarray, gamma: np.ndarray, tolerance: float, rounds: int) -> np.ndarray:
     """gamma of one sample: alpha plus its cells' responsibilities, until the mean change is below tolerance; at most rounds evaluations."""
     search = split.Search(gamma)
@@ -193,29 +207,35 @@ def infer(sample_cells: DataFrame, rated: DataFrame, log_z: dict[str, np.ndarray
     j = j.join(before, ["corpus", "sample"], "left") if before is not None else j.withColumn("old", F.lit(None).cast("array<double>"))
     alpha_of = lambda alphas, corpus: alphas[corpus] if corpus in alphas else np.mean(list(alphas.values()), axis=0)
 
-    def one(key, part: pd.DataFrame) -> pd.DataFrame:
+    kind = sample_cells.schema["sample"].dataType.simpleString()
+    schema = f"corpus string, sample {kind}, kind string, key long, value array<double>, bound double, weight double"
+
+    def one(key, part):  # of tables; Spark refuses hints on one of two arguments
         rho, delta, z, alphas = shared.value
-        corpus, sample = key
+        corpus, sample = (v.as_py() for v in key)
         alpha = alpha_of(alphas, corpus)
-        phi, weight = likelihood(part, rho, delta, z[corpus]), part["weight"].to_numpy(float)
-        before = part["old"].iloc[0]
+        c, m, exposure, n_context, locus = (part[x].to_numpy() for x in ("context", "mutation", "exposure", "n_context", "locus"))
+        logmu = part["logmu"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(alpha))
+        phi, weight = likelihood_of(c, m, exposure, n_context, logmu, rho, delta, z[corpus]), part["weight"].to_numpy().astype(float)
+        before = part["old"][0].as_py()
         if before is None:
             before = first_composition(seed, sample, len(alpha))
         gamma = fixed_point(phi, weight / locus_rate, alpha, np.array(before, float), tolerance, rounds)
         gamma = (1 - rate) * np.array(before, float) + rate * gamma
         e = np.exp(np_dirichlet_expectation(gamma))
         r = (e[:, None] * phi / (phi.T @ e + TINY) * (weight / locus_rate)).T
-        by = lambda k: pd.DataFrame(r).groupby(np.asarray(k)).sum()
-        sig, loc = by(part["context"] * len(rho[0, 0]) + part["mutation"]), by(part["locus"])
-        n = 1 + len(sig) + len(loc)
-        out = pd.DataFrame({"corpus": corpus, "sample": sample, "kind": ["gamma"] + ["signature"] * len(sig) + ["locus"] * len(loc), "key": [0, *sig.index, *loc.index], "value": [gamma, *sig.to_numpy(), *loc.to_numpy()]})
-        out["bound"] = [bound(phi, weight, alpha, gamma), *[0.0] * (n - 1)]
-        out["weight"] = [weight.sum(), *[0.0] * (n - 1)]
-        return out
-
-    kind = sample_cells.schema["sample"].dataType.simpleString()
-    schema = f"corpus string, sample {kind}, kind string, key long, value array<double>, bound double, weight double"
-    out = by_sample(j).groupBy("corpus", "sample").applyInPandas(one, schema)
+        (kinds, sig), (loci, loc) = summed_by(c.astype(np.int64) * len(rho[0, 0]) + m, r), summed_by(locus, r)
+        n = 1 + len(kinds) + len(loci)
+        first = lambda v: np.concatenate([[v], np.zeros(n - 1)])
+        values = np.concatenate([gamma[None, :], sig, loc])
+        names = pa.DictionaryArray.from_arrays(np.repeat(np.arange(3, dtype=np.int8), [1, len(kinds), len(loci)]), ["gamma", "signature", "locus"]).cast(pa.string())
+        columns = {
+            "corpus": pa.repeat(key[0], n), "sample": pa.repeat(key[1], n), "kind": names, "key": np.concatenate([[0], kinds, loci]).astype(np.int64),
+            "value": pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * len(alpha), values.ravel()), "bound": first(bound(phi, weight, alpha, gamma)), "weight": first(weight.sum()),
+        }
+        return pa.table(columns)
+
+    out = by_sample(j).groupBy("corpus", "sample").applyInArrow(one, schema)
     if ordinary is sample_cells:
         return out
 
