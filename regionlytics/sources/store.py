@@ -75,5 +75,11 @@ def write_cached(spark: SparkSession, path: str, model_digest: str, data_digest:
     return True
 
 
+def cached_rates(spark: SparkSession, path: str, model_digest: str, data_digest: str, make) -> DataFrame:
+    """What make() gives for a model and a state of the data, from the cache; written there the first time."""
+    write_cached(spark, path, model_digest, data_digest, make)
+    return cached(spark, path, model_digest, data_digest)
+
+
 def stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
