@@ -18,6 +18,14 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def values_below(grid, x: Column, equal: bool = False) -> Column:
+    """How many of the ascending values in grid are below x, or with equal not above it: a search by halves. NaN is above all, null has none."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(grid).bit_length()))]).cast("array<int>")
+    values = F.array(*[F.lit(float(v)) for v in grid]).cast("array<double>")
+    fits = (lambda v: v <= x) if equal else (lambda v: v < x)
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when(fits(F.get(values, n + s - 1)), n + s).otherwise(n))
+
+
 def digamma(x: Column | str) -> Column:
     """psi(x) for x > 0: the recurrence up to x + SHIFT, then the asymptotic series."""
     x = _c(x)

@@ -52,8 +52,11 @@ class _Search:
             self.wanted = {0: [(r, r) for r in sorted(self.ranks(self.n))]} if self.n else {}
         new: dict[int, list[tuple[int, int]]] = {}
         self.left = 0
+        own: dict[int, list[int]] = {}
+        for b in sorted(counts):
+            own.setdefault(b >> width, []).append(b)
         for place, prefix in enumerate(sorted(self.wanted)):
-            bins = sorted(b for b in counts if b >> width == place)
+            bins = own.get(place, [])
             ends = np.cumsum([counts[b] for b in bins])
             for rank, rest in self.wanted[prefix]:
                 i = int(np.searchsorted(ends, rest, "right"))
@@ -67,11 +70,13 @@ class _Search:
 
     def finish(self, values: dict[int, int]) -> None:
         """values: how often each key below the prefixes occurs."""
+        own: dict[int, list[int]] = {}
+        for k in sorted(values):
+            own.setdefault(k >> (64 - self.bits), []).append(k)
         for prefix, ranks in self.wanted.items():
-            own = sorted(k for k in values if k >> (64 - self.bits) == prefix)
-            ends = np.cumsum([values[k] for k in own])
+            ends = np.cumsum([values[k] for k in own[prefix]])
             for rank, rest in ranks:
-                self.found[rank] = value_of(own[int(np.searchsorted(ends, rest, "right"))])
+                self.found[rank] = value_of(own[prefix][int(np.searchsorted(ends, rest, "right"))])
         self.wanted = {}
 
 

@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.special import values_below
 from .quantiles import percentiles, values_at
 
 #: The order of transformed columns, by type; any other type passes through behind them.
@@ -147,11 +148,16 @@ def quantile_rank(x: Column, grid: list[float]) -> Column:
     """Where x lies among the quantiles in grid, from 0 to 1, interpolated; the middle of a run of equal ones."""
     g = F.array(*[F.lit(float(v)) for v in grid])
     n = len(grid) - 1
-    below = F.size(F.filter(g, lambda v: v < x))
-    upto = F.size(F.filter(g, lambda v: v <= x))
-    lo, hi = F.get(g, below - 1), F.get(g, below)
-    between = (below - 1 + (x - lo) / (hi - lo)) / n
-    return F.when(x <= grid[0], F.lit(0.0)).when(x >= grid[-1], F.lit(1.0)).when(upto > below, (below + upto - 1) / 2 / n).otherwise(between)
+    # the places are looked up once: what an element of an array is made of isn't made again where it is used
+    found = F.array(F.struct(values_below(grid, x).alias("below"), values_below(grid, x, equal=True).alias("upto")))
+
+    def inside(at: Column) -> Column:
+        below, upto = at["below"], at["upto"]
+        lo, hi = F.get(g, below - 1), F.get(g, below)
+        between = (below - 1 + (x - lo) / (hi - lo)) / n
+        return F.when(upto > below, (below + upto - 1) / 2 / n).otherwise(between)
+
+    return F.when(x <= grid[0], F.lit(0.0)).when(x >= grid[-1], F.lit(1.0)).otherwise(F.get(F.transform(found, inside), F.lit(0)))
 
 
 def corpus_dummies(df: DataFrame, corpora: list[str]) -> list[Column]:

@@ -3,9 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from regionlytics.functions.special import values_below
 from regionlytics.model import core, posterior
 from regionlytics.operators.corpora import Corpus, context_share, unpacked
-from regionlytics.operators.scaling import FeatureTransform
+from regionlytics.operators.scaling import FeatureTransform, quantile_rank
 
 
 def test_locus_table_takes_packed_counts(spark):
@@ -45,3 +46,20 @@ def test_gibbs_sweeps_take_no_powers_and_draw_the_same_labels(monkeypatch):
     monkeypatch.setattr(np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))
     got = posterior.gibbs(phi, weight, alpha, np.random.default_rng(2), 20, 60)
     assert np.array_equal(got, want) and len(calls) <= 21
+
+
+def test_quantile_ranks_look_at_few_of_the_quantiles(spark):
+    rng = np.random.default_rng(5)
+    grid = sorted([0.0] * 7 + [3.0] * 5 + rng.normal(0, 4, 989).tolist())
+    x = [None, float("nan"), -0.0, 0.0, 3.0, grid[0], grid[-1], -99.0, 99.0, *rng.normal(0, 4, 300).tolist(), *grid[::50]]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double")
+    rows = d.select("x", values_below(grid, F.col("x")).alias("b"), values_below(grid, F.col("x"), True).alias("u"), quantile_rank(F.col("x"), grid).alias("r")).collect()
+    for v, b, u, r in rows:
+        if v is None:
+            assert (b, u, r) == (0, 0, None)
+        else:
+            assert (b, u) == (np.searchsorted(grid, v), np.searchsorted(grid, v, "right"))
+            want = 1.0 if v != v or v >= grid[-1] else 0.0 if v <= grid[0] else (b + u - 1) / 2 / 1000 if u > b else (b - 1 + (v - grid[b - 1]) / (grid[b] - grid[b - 1])) / 1000
+            assert r == want
+    plan = d.select(quantile_rank(F.col("x"), grid))._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and values_below([], F.col("x")) is not None and d.select(values_below([], F.col("x"))).distinct().count() == 1
