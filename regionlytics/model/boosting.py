@@ -1,5 +1,7 @@
 """Poisson gradient boosting of rates on binned features; histograms are summed where the loci lie.
 
+Loci of the same bins and corpus have the same rate under any trees, so a fit first adds them up: its
+some 100 passes read a row for each such group that occurs, never more rows than there are loci.
 A tree grows level by level: every partition sums gradients and curvatures by node, feature and bin,
 the driver picks the splits. Feature groups are interaction constraints: a path uses features of
 one group only. A share of loci, chosen by hash, is held out to stop early. Targets carry the log rate
@@ -11,12 +13,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.special import values_below
+from ..operators.durable import cut
 from .linear import added
 
+#: Log rates are kept within this of zero.
+FARTHEST = 30
+
 
 class Tree:
     """Arrays of nodes: feature (-1 in a leaf), bin that goes left, children, value."""
@@ -45,6 +52,12 @@ class Tree:
         return np.array(self.value)[self.leaves(b)]
 
 
+def stacked(lists: pa.Array) -> np.ndarray:
+    """A matrix of lists of equal length, without an object for each."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(lists), len(flat) // max(1, len(lists)))
+
+
 class BoostedRate:
     """log rate = sum of trees + a bias per corpus (the last columns of x are corpus indicators)."""
 
@@ -73,18 +86,39 @@ class BoostedRate:
 
     def grown(self, x: np.ndarray, logmu: np.ndarray) -> np.ndarray:
         """The log rate from logmu, the one before the last fit: only trees since then are evaluated."""
-        out = logmu + x[:, self.n_features :] @ (self.bias - self.old_bias).T
-        if self.edges is not None and self.n_features and any(len(t) > n for t, n in zip(self.trees, self.first, strict=True)):
-            b = self.binned(x)
-            for k, trees in enumerate(self.trees):
-                for r, t in trees[self.first[k] :]:
-                    out[:, k] += r * t.predict(b)
+        new = self.edges is not None and self.n_features and any(len(t) > n for t, n in zip(self.trees, self.first, strict=True))
+        return self._grown(self.binned(x) if new else None, x[:, self.n_features :], logmu)
+
+    def _grown(self, b: np.ndarray | None, who: np.ndarray, logmu: np.ndarray) -> np.ndarray:
+        """grown() from bins and corpus indicators."""
+        out = logmu + who @ (self.bias - self.old_bias).T
+        for k, trees in enumerate(self.trees if b is not None else []):
+            for r, t in trees[self.first[k] :]:
+                out[:, k] += r * t.predict(b)
         return out
 
+    def grouped(self, targets: DataFrame) -> DataFrame:
+        """(held, b, who, target, eta, logmu): targets added up by bins and corpus, and the held-out ones apart.
+
+        A group's rate is that of its summed exposure, so what the trees do to it is what they do to its loci;
+        the held-out loss differs by a constant from that of the loci.
+        """
+        k = len(self.trees)
+        held = F.pmod(F.xxhash64("corpus", "locus"), F.lit(1000)) < int(1000 * self.held_out)
+        b = F.array(*[values_below(e, F.get("x", F.lit(j))) for j, e in enumerate(self.edges or [])]).cast("array<int>")
+        at = lambda c, i: F.get(c, F.lit(i))
+        near = lambda c: F.least(F.greatest(c, F.lit(-float(FARTHEST))), F.lit(float(FARTHEST)))
+        sums = lambda f: F.array(*[F.sum(f(i)) for i in range(k)])
+        rows = targets.select(held.alias("held"), b.alias("b"), F.slice("x", self.n_features + 1, self.n_corpora).alias("who"), "target", "eta", "logmu")
+        mass = sums(lambda i: at("eta", i) * F.exp(near(at("logmu", i)))).alias("mass")
+        g = rows.groupBy("held", "b", "who").agg(sums(lambda i: at("target", i)).alias("target"), sums(lambda i: at("eta", i)).alias("eta"), mass)
+        logmu = lambda m, e: F.when(e > 0, F.log(m / e)).otherwise(0.0)
+        return g.select("held", "b", "who", "target", "eta", F.zip_with("mass", "eta", logmu).alias("logmu"))
+
     def fit(self, targets: DataFrame, rate: float = 1.0, **_) -> BoostedRate:
         """More trees on targets (corpus, locus, x, target, eta, logmu), each shrunk by rate; earlier trees stay (warm start).
 
-        targets is read some 100 times, so it should be cut; logmu is this model's own log rate.
+        targets is read once or twice, its groups some 100 times; logmu is this model's own log rate.
         """
         new = BoostedRate(len(self.trees), self.n_features + self.n_corpora, self.n_corpora, self.bins, self.depth, self.learning_rate, self.rounds, self.patience, self.least, self.l2, self.groups, self.held_out)
         new.edges, new.trees, new.bias = self.edges, [list(t) for t in self.trees], self.bias.copy()
@@ -94,8 +128,7 @@ class BoostedRate:
             q = [i / self.bins for i in range(1, self.bins)]
             row = targets.agg(*[F.percentile_approx(F.get("x", F.lit(j)), q, 1000).alias(f"q{j}") for j in range(self.n_features)]).first()
             new.edges = [np.unique(np.array(row[f"q{j}"] or [0.0], float)) for j in range(self.n_features)]
-        held = F.pmod(F.xxhash64("corpus", "locus"), F.lit(1000)) < int(1000 * self.held_out)
-        data = targets.select("x", "target", "eta", "logmu", held.alias("held"))
+        data = cut(new.grouped(targets))
         new.bias, best = new._settle(data)
         stale = np.zeros(len(new.trees), int)
         keep = [len(t) for t in new.trees]
@@ -118,24 +151,24 @@ class BoostedRate:
     def _sums(self, data: DataFrame, f, size: int, where: str = "true") -> np.ndarray:
         shared = data.sparkSession.sparkContext.broadcast(self)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out, model = np.zeros(size), shared.value
-            for pdf in batches:
-                if len(pdf):
-                    x, t, e, before = (np.stack(pdf[c].to_list()) for c in ("x", "target", "eta", "logmu"))
-                    out += f(model, x, t, e, np.clip(model.grown(x, before), -30, 30), pdf["held"].to_numpy(bool)).ravel()
-            yield pd.DataFrame({"s": [out]})
-
-        (s,) = added(data.where(where).mapInPandas(run, "s array<double>"), "s")
+            for rows in batches:
+                if len(rows):
+                    b, who, t, e, before = (stacked(rows.column(c)) for c in ("b", "who", "target", "eta", "logmu"))
+                    lr = np.clip(model._grown(b if model.n_features else None, who, before), -FARTHEST, FARTHEST)
+                    out += f(model, b, who, t, e, lr, rows.column("held").to_numpy(zero_copy_only=False)).ravel()
+            yield pa.RecordBatch.from_pydict({"s": pa.array([out], pa.list_(pa.float64()))})
+
+        (s,) = added(data.where(where).mapInArrow(run, "s array<double>"), "s")
         shared.unpersist()
         return s if len(s) else np.zeros(size)
 
     def _settle(self, data: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Per corpus the log of the weighted targets over the weighted predictions without bias; and the loss of the loci held out under that bias."""
 
-        def f(model, x, t, e, lr, held):
-            who = x[:, model.n_features :]
-            plain = np.clip(lr - who @ model.bias.T, -30, 30)
+        def f(model, b, who, t, e, lr, held):
+            plain = np.clip(lr - who @ model.bias.T, -FARTHEST, FARTHEST)
             mass, out = e * np.exp(plain), []
             for rows in (~held, held):
                 out += [who[rows].T @ t[rows], who[rows].T @ mass[rows], who[rows].T @ (t * plain)[rows]]
@@ -158,8 +191,8 @@ class BoostedRate:
             if not slots:
                 break
 
-            def f(model, x, t, e, lr, held, slots=slots, trees=grown):
-                mu, b = e * np.exp(lr), model.binned(x)
+            def f(model, b, who, t, e, lr, held, slots=slots, trees=grown):
+                mu = e * np.exp(lr)
                 out = np.zeros((len(slots), p, nb, 2))
                 for c in {c for c, _ in slots}:
                     leaf = trees[c].leaves(b)

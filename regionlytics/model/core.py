@@ -23,6 +23,7 @@ from ..operators.corpora import Corpus, packed
 from ..operators.durable import cut
 from ..operators.scaling import FeatureTransform
 from . import split
+from .boosting import stacked
 
 CONTEXTS = 64
 TINY = 1e-30
@@ -94,16 +95,21 @@ def log_rates(loci: DataFrame, state: State) -> DataFrame:
         return loci.withColumn("logmu", state.rate_model.columns(F.col("x")))
     rate = state.rate_model  # goes with the function: classes of a notebook or a test don't pass a broadcast
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["x"].to_list())
-            logmu = rate.grown(x, np.stack(pdf["logmu"].to_list())) if "logmu" in pdf and hasattr(rate, "grown") else rate.log_rate(x)
-            yield pdf.assign(logmu=list(logmu))
-
-    kinds = {f.name: f.dataType.simpleString() for f in loci.schema if f.name != "logmu"}
-    return cut(loci.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", logmu array<double>"))
+    lists = lambda m: pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], np.ascontiguousarray(m, float).ravel())
+    # only these columns go to Python, the counts by context stay
+    if "logmu" in loci.columns and hasattr(rate, "grown"):
+
+        @F.arrow_udf("array<double>")
+        def told(x: pa.Array, logmu: pa.Array) -> pa.Array:
+            return lists(rate.grown(stacked(x), stacked(logmu)))
+
+        return cut(loci.withColumn("logmu", told("x", "logmu")))
+
+    @F.arrow_udf("array<double>")
+    def afresh(x: pa.Array) -> pa.Array:
+        return lists(rate.log_rate(stacked(x)))
+
+    return cut(loci.withColumn("logmu", afresh("x")))
 
 
 def context_exposure(rated: DataFrame, state: State) -> dict[str, np.ndarray]:

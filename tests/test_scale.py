@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from regionlytics.functions.special import values_below
 from regionlytics.model import core, posterior
+from regionlytics.model.boosting import BoostedRate
 from regionlytics.operators.corpora import Corpus, context_share, unpacked
 from regionlytics.operators.scaling import FeatureTransform, quantile_rank
 
@@ -63,3 +64,26 @@ def test_quantile_ranks_look_at_few_of_the_quantiles(spark):
             assert r == want
     plan = d.select(quantile_rank(F.col("x"), grid))._jdf.queryExecution().optimizedPlan().toString()
     assert "filter(" not in plan and values_below([], F.col("x")) is not None and d.select(values_below([], F.col("x"))).distinct().count() == 1
+
+
+def test_boosting_reads_groups_of_loci_and_sums_as_over_loci(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 3000
+    x = np.stack([rng.integers(0, 3, n), rng.integers(0, 4, n), np.arange(n) % 2, 1 - np.arange(n) % 2], axis=1).astype(float)
+    t, e, logmu = rng.integers(0, 5, (n, 2)) * 1.0, rng.random((n, 2)), rng.normal(0, 0.1, (n, 2))
+    rows = [("c", i, *(v.tolist() for v in row)) for i, row in enumerate(zip(x, t, e, logmu, strict=True))]
+    d = spark.createDataFrame(rows, "corpus string, locus long, x array<double>, target array<double>, eta array<double>, logmu array<double>")
+    read, sums = [], BoostedRate._sums
+    monkeypatch.setattr(BoostedRate, "_sums", lambda self, data, *a: read.append(data.count()) or sums(self, data, *a))
+    bare = BoostedRate(2, 4, 2, rounds=0).fit(d)
+    for c in range(2):
+        own = x[:, 2 + c] == 1
+        assert np.allclose(bare.bias[:, c], np.log(t[own & ~held(spark, n)].sum(axis=0) / (e * np.exp(logmu))[own & ~held(spark, n)].sum(axis=0)))
+    model = BoostedRate(2, 4, 2, rounds=2, held_out=0.0).fit(d)
+    assert all(model.trees) or not any(model.trees)
+    assert max(read) <= 3 * 4 * 2 * 2
+
+
+def held(spark, n):
+    rows = spark.range(n).select("id", (F.pmod(F.xxhash64(F.lit("c"), "id"), F.lit(1000)) < 200).alias("h")).collect()
+    return np.array([r["h"] for r in sorted(rows)])
