@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequence import base_index
-from .durable import numbered
-from .intervals import BIN, apportion, coverage_count, overlap_join, segments
-from .nearest import nearest_self
+from .durable import numbered, small_or_shuffled
+from .intervals import BIN, apportion, coverage_count, segments
+from .nearest import STRETCH, nearest_self
 
 REACH = 10_000
 ALPHA = 0.005
@@ -31,6 +31,54 @@ def rate_track(regions: DataFrame, points: DataFrame, size: int = BIN) -> DataFr
     return apportion(segs.join(rates.select("locus", F.col("rate").alias("value")), "locus"), "value").select("chrom", "start", "end", "value")
 
 
+def window_sums(places: DataFrame, track: DataFrame, reach: int, size: int = 4 * BIN, stretch: int = STRETCH) -> DataFrame:
+    """(chrom, pos, _v, _l): values and lengths summed over the track's intervals that the window pos - reach to pos + reach touches, for each distinct place with any.
+
+    They are the intervals that start before the window's end, less those that end at its start or before. So both
+    are running sums over the places and the track in order, and no pair is made. Numbers of intervals, of values and
+    of those that aren't zero, finite or numbers are told apart, so that one interval's value shows in its own windows only.
+    """
+    t = track.where(F.col("end") > F.col("start")).select("chrom", "start", "end", F.col("value").cast("double").alias("value"))
+    # bins in which a window may touch something; there may be none on most of a chromosome
+    near = F.explode(F.sequence(F.floor((F.col("start") - reach) / size), F.floor((F.col("end") + reach) / size)))
+    bins = small_or_shuffled(t.select("chrom", near.alias("_bin")).distinct())
+    p = places.where("chrom IS NOT NULL AND pos IS NOT NULL").withColumn("_bin", F.floor(F.col("pos") / size))
+    p = p.join(bins, ["chrom", "_bin"], "left_semi").select("chrom", "pos").distinct()
+    v, inf = F.col("value"), float("inf")
+    odd = F.isnan(v) | (v == inf) | (v == -inf)
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    kinds = {
+        "_n": F.lit(1).cast("long"), "_l": (F.col("end") - F.col("start")).cast("long"), "_known": v.isNotNull().cast("long"), "_some": flag((v != 0) & ~odd),
+        "_nan": flag(F.isnan(v)), "_up": flag(v == inf), "_down": flag(v == -inf), "_v": F.when(odd | v.isNull(), 0.0).otherwise(v),
+    }
+    none = [F.lit(None).cast("double" if n == "_v" else "long").alias(n) for n in kinds]
+
+    def side(first: bool) -> DataFrame:
+        # at one place intervals that end come before the windows that start there, windows that end before the intervals that start
+        edge, asked = ("start", F.col("pos") + reach) if first else ("end", F.greatest(F.col("pos") - reach, F.lit(0)))
+        rows = t.select("chrom", F.col(edge).cast("long").alias("_p"), F.lit(None).cast("long").alias("_pos"), *[c.alias(n) for n, c in kinds.items()])
+        rows = rows.groupBy("chrom", "_p", "_pos").agg(*[F.sum(n).alias(n) for n in kinds])
+        return rows.unionByName(p.select("chrom", asked.cast("long").alias("_p"), F.col("pos").cast("long").alias("_pos"), *none)).withColumn("_first", F.lit(first))
+
+    d = side(True).unionByName(side(False)).withColumn("_at", F.floor(F.col("_p") / stretch))
+    part = ["_first", "chrom"]
+    back = W.partitionBy(*part).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    whole = d.where("_n IS NOT NULL").groupBy(*part, "_at").agg(*[F.sum(n).alias(n) for n in kinds])  # a row per stretch
+    asked = d.where("_pos IS NOT NULL").select(*part, "_at").distinct().join(whole, [*part, "_at"], "full")
+    carried = asked.select(*part, "_at", *[F.sum(n).over(back).alias(f"{n}0") for n in kinds])
+    asks = F.col("_pos").isNotNull()
+    order = F.when(F.col("_first"), ~asks).otherwise(asks)
+    within = W.partitionBy(*part, "_at").orderBy("_p", order).rowsBetween(W.unboundedPreceding, 0)
+    run = d.select(*part, "_at", "_pos", *[F.sum(n).over(within).alias(n) for n in kinds]).where(asks)
+    signed = lambda c: F.when(F.col("_first"), c).otherwise(-c)
+    zero = lambda n: F.coalesce(F.col(n), F.lit(0))
+    told = run.join(carried, [*part, "_at"]).select("chrom", F.col("_pos").alias("pos"), *[signed(zero(n) + zero(f"{n}0")).alias(n) for n in kinds])
+    s = told.groupBy("chrom", "pos").agg(*[F.sum(n).alias(n) for n in kinds]).where("_n > 0")
+    nan = (F.col("_nan") > 0) | ((F.col("_up") > 0) & (F.col("_down") > 0))
+    value = F.when(F.col("_known") == 0, F.lit(None)).when(nan, float("nan")).when(F.col("_up") > 0, inf).when(F.col("_down") > 0, -inf).when(F.col("_some") == 0, 0.0).otherwise(F.col("_v"))
+    return s.select("chrom", F.col("pos").cast(places.schema["pos"].dataType).alias("pos"), value.alias("_v"), "_l")
+
+
 def local_rate(points: DataFrame, rates: DataFrame, keys: tuple[str, ...] = ("sample",), reach: int = REACH, size: int = 4 * BIN) -> DataFrame:
     """(keys, chrom, pos, rate): the expected number of mutations per base around each distinct point.
 
@@ -38,12 +86,10 @@ def local_rate(points: DataFrame, rates: DataFrame, keys: tuple[str, ...] = ("sa
     intervals that the window pos - reach to pos + reach touches, times the points of the sample
     that have any. Points without are left out.
     """
-    p = points.select(*keys, "chrom", "pos").distinct().withColumns({"start": F.greatest(F.col("pos") - reach, F.lit(0)), "end": F.col("pos") + reach})
-    # Windows overlap a lot: sums over the track's bins come once per distinct place, not per sample.
-    places = p.select("chrom", "pos", "start", "end").distinct()
-    hit = overlap_join(places, rates.select("chrom", "start", "end", "value"), size)
-    sums = hit.groupBy("chrom", "pos").agg(F.sum("b_value").alias("_v"), F.sum(F.col("b_end") - F.col("b_start")).alias("_l"))
-    joined = p.select(*keys, "chrom", "pos").join(sums, ["chrom", "pos"])
+    p = points.select(*keys, "chrom", "pos")
+    # Windows overlap a lot: sums over the track come once per distinct place, not per sample.
+    sums = window_sums(p.select("chrom", "pos"), rates, reach, size)
+    joined = p.join(sums, ["chrom", "pos"]).distinct()
     counted = joined.groupBy(*keys).agg(F.count("*").alias("_m")) if keys else joined.agg(F.count("*").alias("_m"))
     out = joined.join(F.broadcast(counted), list(keys)) if keys else joined.crossJoin(F.broadcast(counted))  # a row per sample
     return out.select(*keys, "chrom", "pos", (F.col("_v") / F.col("_l") * F.col("_m")).alias("rate"))

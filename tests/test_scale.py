@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from regionlytics.functions.special import values_below
 from regionlytics.model import core, posterior
 from regionlytics.model.boosting import BoostedRate
+from regionlytics.operators.clusters import local_rate, window_sums
 from regionlytics.operators.corpora import Corpus, context_share, unpacked
 from regionlytics.operators.scaling import FeatureTransform, quantile_rank
 
@@ -87,3 +88,24 @@ def test_boosting_reads_groups_of_loci_and_sums_as_over_loci(spark, monkeypatch)
 def held(spark, n):
     rows = spark.range(n).select("id", (F.pmod(F.xxhash64(F.lit("c"), "id"), F.lit(1000)) < 200).alias("h")).collect()
     return np.array([r["h"] for r in sorted(rows)])
+
+
+def test_window_sums_make_no_pairs(spark):
+    rng = np.random.default_rng(7)
+    iv, n = [], 400
+    for i in range(n):
+        a = int(rng.integers(0, 6000))
+        iv.append(("chr1" if i % 3 else "chr2", a, a + int(rng.choice([1, 30, 900])), float(rng.integers(0, 4)) / 10))
+    iv += [("chr1", 9000, 9010, 0.0), ("chr1", 9500, 9510, float("nan")), ("chr1", 9800, 9810, float("inf")), ("chr1", 9900, 9905, None), ("chr1", 7000, 7000, 5.0), ("chr1", 100, 9100, 0.3)]
+    pos = sorted({*rng.integers(0, 10_200, 300).tolist(), 0, 8950, 8900, 9000, 9060, 9061, 9550, 9850, 9950, 9954, 9955})
+    t = spark.createDataFrame(iv, "chrom string, start long, end long, value double")
+    places = spark.createDataFrame([(c, p) for p in pos for c in ("chr1", "chr2", "chr3")], "chrom string, pos long")
+    pairs = places.withColumns({"s": F.greatest(F.col("pos") - 50, F.lit(0)), "e": F.col("pos") + 50}).join(t, "chrom").where("end > start AND start < e AND s < end")
+    want = {(r[0], r[1]): r[2:] for r in pairs.groupBy("chrom", "pos").agg(F.sum("value"), F.sum(F.col("end") - F.col("start"))).collect()}
+    sums = window_sums(places.union(places), t, 50, size=64, stretch=512)
+    got = {(r[0], r[1]): r[2:] for r in sums.collect()}
+    assert got.keys() == want.keys() and sums.count() == len(want)
+    for k, (v, length) in want.items():
+        assert got[k][1] == length and (got[k][0] == v if v in (None, 0.0) else repr(got[k][0]) == repr(v) if not np.isfinite(v) else abs(got[k][0] - v) < 1e-9), k
+    plan = local_rate(places.withColumn("sample", F.lit(1)), t, reach=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slot" not in plan
