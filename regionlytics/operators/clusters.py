@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequence import base_index
-from .durable import numbered, small_or_shuffled
+from .durable import dealt, numbered, small_or_shuffled
 from .intervals import BIN, apportion, coverage_count, segments
-from .nearest import STRETCH, nearest_self
+from .nearest import STRETCH
 
 REACH = 10_000
 ALPHA = 0.005
@@ -107,18 +107,23 @@ def mutation_type(ref, alt):
     return F.concat(F.when(pyrimidine, ref).otherwise(flip(ref)), F.lit(">"), F.when(pyrimidine, alt).otherwise(flip(alt)))
 
 
-def clusters(rated: DataFrame, keys: tuple[str, ...] = ("sample",), by_type: bool = False, neighbour_rate: bool = False, alpha: float = ALPHA, most: int = REACH) -> DataFrame:
+def clusters(rated: DataFrame, keys: tuple[str, ...] = ("sample",), by_type: bool = False, neighbour_rate: bool = False, alpha: float = ALPHA, most: int = REACH, rows: int | None = None) -> DataFrame:
     """rated (keys, chrom, pos, rate[, mutation_type]) with critical, distance, cluster, cluster_size, score.
 
     Points of rate zero or less are left out. Along a chromosome a point starts a new cluster if
     it lies further from the one before than that one's critical distance, and than ``most`` at
     the latest. A cluster's id is its chromosome (and type) with a running number; score is
     -log10(nearest distance / critical). With neighbour_rate the nearest point's rate takes the
-    place of the point's own. Samples are spread over tasks, a sample's chromosome is in one.
+    place of the point's own. Samples are spread over tasks, a sample's chromosome is in one. rows: a
+    bound on the rows of rated, which are counted if it isn't known.
     """
-    d = rated.where("rate > 0")
-    near = nearest_self(d, [*keys, "chrom"]).select(*keys, "chrom", "pos", "neighbour", "distance")
-    d = d.join(near, [*keys, "chrom", "pos"])
+    d = dealt(rated.where("rate > 0 AND pos IS NOT NULL"), *keys, "chrom", rows=rows)
+    # the nearest other place: several rows of one place have the same; looked for where the rows lie, without a join
+    others = lambda order: W.partitionBy(*keys, "chrom").orderBy(order).rangeBetween(W.unboundedPreceding, -1)
+    d = d.withColumn("_r", -F.max(-F.col("pos")).over(others(-F.col("pos")))).withColumn("_l", F.max("pos").over(others(F.col("pos"))))
+    up = F.col("_r").isNull() | (F.col("pos") - F.col("_l") <= F.col("_r") - F.col("pos"))
+    d = d.withColumn("neighbour", F.when(F.col("_l").isNotNull() & up, F.col("_l")).otherwise(F.col("_r")))
+    d = d.withColumn("distance", F.abs(F.col("pos") - F.col("neighbour"))).drop("_l", "_r")
     if neighbour_rate:
         other = d.select(*keys, "chrom", F.col("pos").alias("neighbour"), F.col("rate").alias("_r")).distinct()
         d = d.join(other, [*keys, "chrom", "neighbour"], "left").withColumn("rate", F.coalesce("_r", "rate")).drop("_r")
@@ -130,7 +135,7 @@ def clusters(rated: DataFrame, keys: tuple[str, ...] = ("sample",), by_type: boo
     d = d.withColumn("_start", starts).withColumn("_n", F.sum("_start").over(w.rowsBetween(W.unboundedPreceding, 0)))
     name = ["chrom", *(["mutation_type"] if by_type else []), "_n"]
     d = d.withColumn("cluster", F.concat_ws("_", *[F.col(c).cast("string") for c in name]))
-    d = d.withColumn("cluster_size", F.count("*").over(W.partitionBy(*keys, "cluster")))
+    d = d.withColumn("cluster_size", F.count("*").over(W.partitionBy(*part, "_n")))
     return d.withColumn("score", -F.log10(F.col("distance") / F.col("critical"))).drop("_start", "_n")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows that may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows that a task should get at most of what is sorted or joined whole.
+TASK_ROWS = 500_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -27,6 +29,16 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def tasks_for(df: DataFrame, rows: int, limit: int | None = None) -> int:
+    """How many tasks rows fall to, a limit of TASK_ROWS each; no fewer than the session's shuffles have."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // (limit or TASK_ROWS)))
+
+
+def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """df dealt out by keys to as many tasks as its rows ask for, so that a task's memory doesn't grow with the table. rows: a bound on them, counted if not known."""
+    return df.repartition(tasks_for(df, df.count() if rows is None else rows), *keys)
+
+
 def numbered(df: DataFrame, *order: str | Column, name: str = "ordinal", partitions: int | None = None) -> DataFrame:
     """df with its rows numbered from 0 in the order given, which should be total.
 

@@ -253,23 +253,28 @@ c as (select sample, chrom, pos, {name} as cluster from k), z as (select *, coun
 
 
 def rated_points(spark, sf):
-    p = fx.snvs(spark, sf).select("sample", "chrom", "pos").distinct()
+    p = durable.dealt(fx.snvs(spark, sf).select("sample", "chrom", "pos"), "sample", "chrom", "pos").distinct()
     return p.withColumns({"rate": (1 + F.col("pos") % 5) / 100000.0, "mutation_type": F.when(F.col("pos") % 2 == 0, "C>A").otherwise("T>G")})
 
 
+def clustered(spark, sf, **options):
+    """Clusters of the rated points, no more of which there are than mutations."""
+    return cl.clusters(rated_points(spark, sf), rows=fx.snvs(spark, sf).count(), **options)
+
+
 @query("mutation_clusters", fx.sql(CLUSTER.format(part="sample, chrom", name="chrom || '_' || n") + " select sample, chrom, pos, cluster, cluster_size from z", "snvs"))
 def mutation_clusters(spark, sf):
-    return cl.clusters(rated_points(spark, sf)).select("sample", "chrom", "pos", "cluster", "cluster_size")
+    return clustered(spark, sf).select("sample", "chrom", "pos", "cluster", "cluster_size")
 
 
 @query("mutation_clusters_by_type", fx.sql(CLUSTER.format(part="sample, chrom, mutation_type", name="chrom || '_' || mutation_type || '_' || n") + " select sample, chrom, pos, cluster, cluster_size from z", "snvs"))
 def mutation_clusters_by_type(spark, sf):
-    return cl.clusters(rated_points(spark, sf), by_type=True).select("sample", "chrom", "pos", "cluster", "cluster_size")
+    return clustered(spark, sf, by_type=True).select("sample", "chrom", "pos", "cluster", "cluster_size")
 
 
 @query("drop_clustered", fx.sql(CLUSTER.format(part="sample, chrom", name="chrom || '_' || n") + " select sample, chrom, pos from z where cluster_size < 3", "snvs"))
 def drop_clustered(spark, sf):
-    return cl.drop_clustered(cl.clusters(rated_points(spark, sf))).select("sample", "chrom", "pos")
+    return cl.drop_clustered(clustered(spark, sf)).select("sample", "chrom", "pos")
 
 
 @query("unclustered_mutations", fx.sql(RATED + """, scaled as (select sample, chrom, pos, rate / 1000000.0::double as rate from r),
@@ -280,14 +285,14 @@ select sample, chrom, pos, round(rate * 1000000, 6) as rate, cluster_size from z
 def unclustered_mutations(spark, sf):
     """From points and a rate track to the mutations that stay: local rate, clusters under it, small clusters, in one plan."""
     r = rated(spark, sf).withColumn("rate", F.col("rate") / 1e6)
-    return cl.drop_clustered(cl.clusters(r)).select("sample", "chrom", "pos", F.round(F.col("rate") * 1e6, 6).alias("rate"), "cluster_size")
+    return cl.drop_clustered(cl.clusters(r, rows=fx.snvs(spark, sf).count())).select("sample", "chrom", "pos", F.round(F.col("rate") * 1e6, 6).alias("rate"), "cluster_size")
 
 
 @query("cluster_scores", fx.sql(""", d as (select distinct sample, chrom, pos, (1 + pos % 5) / 100000.0::double as rate from snvs),
 n as (select *, pos - lag(pos) over w as a, lead(pos) over w - pos as b from d window w as (partition by sample, chrom order by pos))
 select sample, chrom, pos, round(-log10(least(a, b) / (-ln(0.995::double) / rate)), 6) as score from n where a is not null or b is not null""", "snvs"))
 def cluster_scores(spark, sf):
-    return cl.clusters(rated_points(spark, sf)).where("distance IS NOT NULL").select("sample", "chrom", "pos", F.round("score", 6).alias("score"))
+    return clustered(spark, sf).where("distance IS NOT NULL").select("sample", "chrom", "pos", F.round("score", 6).alias("score"))
 
 
 @query("moving_average", fx.sql("select locus, sum(p_size) over (partition by chrom order by locus rows between 3 preceding and 3 following) / 7 as smoothed from loci", "loci"))
