@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .durable import dealt
 from .intervals import BIN, anti_join, overlap_join
 
 STRETCH = 1 << 20
@@ -68,7 +69,7 @@ def nearest_self(points: DataFrame, keys: list[str], pos: str = "pos", ties: str
     On a tie the neighbour upstream is taken; with ties="all" there is a row for either.
     """
     w = W.partitionBy(*keys).orderBy(pos)
-    p = points.select(*keys, pos).distinct().withColumns({"_l": F.lag(pos).over(w), "_r": F.lead(pos).over(w)})
+    p = dealt(points.select(*keys, pos), *keys).distinct().withColumns({"_l": F.lag(pos).over(w), "_r": F.lead(pos).over(w)})
     left, right = F.col(pos) - F.col("_l"), F.col("_r") - F.col(pos)
     up = F.col("_r").isNull() | (left <= right)
     if ties == "all":
