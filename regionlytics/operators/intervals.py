@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .durable import BROADCAST_ROWS, tasks_for
+
 BIN = 1024
 #: How much longer each level's bins are, the number of levels, and the most parts of a bin.
 FACTOR, LEVELS, PARTS = 4, 16, 16
@@ -122,6 +124,11 @@ def overlap_join(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
     entries = _entries(0, parts_b) + _entries(1, parts_a)
     x = _placed(a, "start", "end", size, entries, 1, None, "_slot")
     y = _placed(b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]), "b_start", "b_end", size, entries, 0, 1, "_b_slot")
+    # an interval looks into two bins at most, or lies in as many in each part; tables that may be broadcast are left to the planner
+    placed_a = sum(2 * n * (parts_a.get(k, 0) + sum(level >= k for level in parts_b)) for k, n in in_a.items())
+    placed_b = sum(2 * n * (parts_b.get(k, 0) + sum(level > k for level in parts_a)) for k, n in in_b.items())
+    if min(placed_a, placed_b) > BROADCAST_ROWS and (n := tasks_for(a, placed_a + placed_b)) > tasks_for(a, 0):
+        x, y = x.repartition(n, "chrom", "_slot"), y.repartition(n, "b_chrom", "_b_slot")
     on = (F.col("chrom") == F.col("b_chrom")) & (F.col("_slot") == F.col("_b_slot")) & (F.col("b_start") < F.col("end")) & (F.col("start") < F.col("b_end"))
     width = F.pow(F.lit(float(FACTOR)), F.floor(F.pmod(F.col("_slot"), F.lit(STEP)) / (2 * PARTS))) * size
     return x.join(y, on & (F.floor(F.col("_slot") / STEP) == F.floor(F.greatest("start", "b_start") / width))).drop("_slot", "_b_slot")

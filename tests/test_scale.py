@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from regionlytics.functions.special import values_below
 from regionlytics.model import core, posterior
 from regionlytics.model.boosting import BoostedRate
-from regionlytics.operators.clusters import local_rate, window_sums
+from regionlytics.operators import durable, intervals
+from regionlytics.operators.clusters import clusters, local_rate, window_sums
 from regionlytics.operators.corpora import Corpus, context_share, unpacked
+from regionlytics.operators.nearest import nearest_self
 from regionlytics.operators.scaling import FeatureTransform, quantile_rank
 
 
@@ -109,3 +111,19 @@ def test_window_sums_make_no_pairs(spark):
         assert got[k][1] == length and (got[k][0] == v if v in (None, 0.0) else repr(got[k][0]) == repr(v) if not np.isfinite(v) else abs(got[k][0] - v) < 1e-9), k
     plan = local_rate(places.withColumn("sample", F.lit(1)), t, reach=50)._jdf.queryExecution().optimizedPlan().toString()
     assert "_slot" not in plan
+
+
+def test_tasks_grow_with_the_rows_of_clusters_neighbours_and_overlaps(spark, monkeypatch):
+    monkeypatch.setattr(durable, "TASK_ROWS", 50)
+    monkeypatch.setattr(intervals, "BROADCAST_ROWS", 100)
+    p = spark.range(1000).selectExpr("id % 40 AS sample", "concat('chr', id % 3) AS chrom", "(id * 7919) % 3000 AS pos", "1e-4 AS rate")
+    d = clusters(p, rows=1000)
+    plan = d.select("sample", "pos", "cluster", "cluster_size")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and ", 20), REPARTITION_BY_NUM" in plan
+    assert "20), REPARTITION_BY_NUM" in nearest_self(p, ["sample", "chrom"])._jdf.queryExecution().executedPlan().toString()
+    near = {(r[0], r[1], r[2]): r[3] for r in nearest_self(p, ["sample", "chrom"]).select("sample", "chrom", "pos", "neighbour").collect()}
+    assert {(r["sample"], r["chrom"], r["pos"]): r["neighbour"] for r in d.collect()} == near and d.count() == 1000
+    a = spark.range(600).selectExpr("id AS i", "'chr1' AS chrom", "id * 50 AS start", "id * 50 + 80 AS end")
+    pairs = intervals.overlap_join(a, a)
+    assert "REPARTITION_BY_NUM" in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 600 + 2 * 599
