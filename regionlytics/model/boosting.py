@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import values_below
 from ..operators.durable import cut
-from .linear import added
+from .linear import added, stacked
 
 #: Log rates are kept within this of zero.
 FARTHEST = 30
@@ -52,12 +52,6 @@ class Tree:
         return np.array(self.value)[self.leaves(b)]
 
 
-def stacked(lists: pa.Array) -> np.ndarray:
-    """A matrix of lists of equal length, without an object for each."""
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(lists), len(flat) // max(1, len(lists)))
-
-
 class BoostedRate:
     """log rate = sum of trees + a bias per corpus (the last columns of x are corpus indicators)."""
 

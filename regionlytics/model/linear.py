@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,8 @@ class LinearRate:
     """log rate = x . beta[k]; beta is K x features, the last columns being corpus indicators."""
 
     kind = "linear"
+    #: A product of few numbers: loci needn't be rated before cells are.
+    by_cell = True
 
     def __init__(self, k: int, width: int):
         self.beta = np.zeros((k, width))
@@ -69,6 +71,17 @@ class LinearRate:
         return new
 
 
+def stacked(lists: pa.Array) -> np.ndarray:
+    """A matrix of lists of equal length, without an object for each."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(lists), len(flat) // max(1, len(lists)))
+
+
+def one_row(**columns: np.ndarray) -> pa.RecordBatch:
+    """A batch of one row of arrays of numbers."""
+    return pa.RecordBatch.from_pydict({c: pa.array([np.asarray(v, float)], pa.list_(pa.float64())) for c, v in columns.items()})
+
+
 def added(rows: DataFrame, *columns: str) -> list[np.ndarray]:
     """The sums over rows (one a task) of columns that are arrays of equal length, entry by entry.
 
@@ -87,15 +100,17 @@ def added(rows: DataFrame, *columns: str) -> list[np.ndarray]:
 def _means(targets: DataFrame, k: int) -> np.ndarray:
     """Mean of target / eta per component over loci with exposure."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            t, e = np.stack(pdf["target"].to_list()), np.stack(pdf["eta"].to_list())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if not len(rows):
+                continue
+            t, e = stacked(rows.column("target")), stacked(rows.column("eta"))
             if ((e <= 0) & (t > 1e-9)).any():
                 raise ValueError("a target where the exposure is zero")
             ok = e > 0
-            yield pd.DataFrame({"s": [np.where(ok, t / np.where(ok, e, 1), 0).sum(axis=0)], "n": [ok.sum(axis=0).astype(float)]})
+            yield one_row(s=np.where(ok, t / np.where(ok, e, 1), 0).sum(axis=0), n=ok.sum(axis=0))
 
-    s, n = added(targets.select("target", "eta").mapInPandas(run, "s array<double>, n array<double>"), "s", "n")
+    s, n = added(targets.select("target", "eta").mapInArrow(run, "s array<double>, n array<double>"), "s", "n")
     return np.maximum(s / np.maximum(n, 1), 1e-12) if len(s) else np.full(k, 1e-12)
 
 
@@ -103,22 +118,22 @@ def _moments(targets: DataFrame, beta: np.ndarray, scale: np.ndarray) -> tuple[n
     """Log-likelihood, gradient and information of every component."""
     shared = targets.sparkSession.sparkContext.broadcast((beta, scale))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, m = shared.value
         k, p = b.shape
         like, grad, hess = np.zeros(k), np.zeros((k, p)), np.zeros((k, p, p))
-        for pdf in batches:
-            if not len(pdf):
+        for rows in batches:
+            if not len(rows):
                 continue
-            x, t, e = (np.stack(pdf[c].to_list()) for c in ("x", "target", "eta"))
+            x, t, e = (stacked(rows.column(c)) for c in ("x", "target", "eta"))
             f = np.clip(x @ b.T, -30, 30)
             mu = e * m * np.exp(f)
             like += (t * f - mu).sum(axis=0)
             grad += (t - mu).T @ x
-            hess += np.einsum("lk,li,lj->kij", mu, x, x, optimize=True)
-        yield pd.DataFrame({"like": [like], "grad": [grad.ravel()], "hess": [hess.ravel()]})
+            hess += np.stack([(x * v[:, None]).T @ x for v in mu.T])
+        yield one_row(like=like, grad=grad.ravel(), hess=hess.ravel())
 
     k, p = beta.shape
-    like, grad, hess = added(targets.select("x", "target", "eta").mapInPandas(run, "like array<double>, grad array<double>, hess array<double>"), "like", "grad", "hess")
+    like, grad, hess = added(targets.select("x", "target", "eta").mapInArrow(run, "like array<double>, grad array<double>, hess array<double>"), "like", "grad", "hess")
     shared.unpersist()
     return like, grad.reshape(k, p), hess.reshape(k, p, p)

@@ -2,7 +2,7 @@
 
 The likelihood of a cell doesn't change while a composition is looked for, so it is computed once and
 kept with the cell's weight as the bytes of a chunk. A round sends each such sample's composition out
-and gets back what its chunks add to it: K numbers a sample. What a composition implies for
+and gets back what its chunks add to it, its slope and the cells' bound: K x K + K + 1 numbers a sample. What a composition implies for
 signatures and loci is emitted by chunk at the end and summed by those who read it.
 """
 
@@ -15,10 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import dirichlet_bound, np_dirichlet_expectation
+from ..functions.special import dirichlet_bound, np_dirichlet_expectation, np_digamma, np_lgamma, np_trigamma
 from ..operators.durable import cut
 
 TINY = 1e-30
+#: The largest part of an entry of a composition that a leap may take away.
+FARTHEST = 0.9
 #: Cells of a sample from which on it is cut up, and cells of a chunk, about.
 HOT_CELLS, CHUNK_CELLS = 2_000_000, 100_000
 
@@ -26,36 +28,99 @@ Key = tuple[str, object]
 
 
 class Search:
-    """A fixed point of positive numbers by squared extrapolation: from two steps the third leaps, and is taken back where it goes astray.
+    """Compositions of samples, a row each, by Newton's method: where alpha and a sample's responsibilities add up to its composition again.
 
-    ``at`` is where the map is to be evaluated next; told() takes its value there. Plain steps, which
-    converge slowly where components are alike, need up to a hundred times as many evaluations.
+    ``at`` is where spread() is to be evaluated next, for the samples that are still ``open``; told() takes what it
+    gives there. Where a leap lowers the evidence bound, the plain step, which never does, is taken in its place.
+    Plain steps alone, which converge slowly where components are alike, need up to a hundred times as many evaluations.
     """
 
-    def __init__(self, start: np.ndarray):
-        self.at, self.stage, self.safe, self.before = np.array(start, float), 0, None, np.inf
-
-    def told(self, value: np.ndarray, tolerance: float) -> bool:
-        """Whether the map moves ``at`` by less than tolerance in the mean."""
-        change = float(np.abs(value - self.at).mean())
-        if change < tolerance:
-            self.at = value
-            return True
-        if self.stage == 0 and self.safe is not None and not change <= 2 * self.before:
-            self.at, self.safe = self.safe, None
-        elif self.stage == 0:
-            self.first, self.at, self.stage, self.before = self.at, value, 1, change
-        else:
-            step, bend = self.at - self.first, value - 2 * self.at + self.first
-            size = float(np.sqrt((bend * bend).sum()))
-            length = max(1.0, float(np.sqrt((step * step).sum())) / size) if size > 0 else 1.0
-            leap = self.first + 2 * length * step + length * length * bend
-            while length > 1 and not (leap > 0).all():
-                length = max(1.0, length / 2)  # at one it is the value
-                leap = self.first + 2 * length * step + length * length * bend
-            self.safe, self.stage = value, 0
-            self.at = leap if (leap > 0).all() and np.isfinite(leap).all() else value
-        return False
+    def __init__(self, start: np.ndarray, alpha: np.ndarray):
+        self.at, self.alpha = np.array(start, float), np.broadcast_to(alpha, np.shape(start))
+        self.open, self.leapt = np.arange(len(self.at)), np.zeros(len(self.at), bool)
+        self.safe, self.best = self.at.copy(), np.full(len(self.at), -np.inf)
+        self.reach = np.full(len(self.at), FARTHEST)  # by how much a leap may shrink an entry
+
+    def told(self, added: np.ndarray, scatter: np.ndarray, log: np.ndarray, tolerance: float) -> None:
+        """Moves the open samples, of which these are the sums; those that a plain step moves by less than tolerance in the mean are done."""
+        i, value = self.open, self.alpha[self.open] + added
+        step = value - self.at[i]
+        done = np.abs(step).mean(axis=1) < tolerance
+        self.at[i[done]] = value[done]
+        bound = log + dirichlet_part(self.alpha[i], self.at[i])
+        astray = ~done & self.leapt[i] & ~(bound >= self.best[i] - 1e-12 * np.abs(self.best[i]))
+        self.reach[i] = np.where(astray, self.reach[i] / 4, np.minimum(FARTHEST, np.where(self.leapt[i], self.reach[i] * 2, self.reach[i])))
+        self.at[i[astray]], self.leapt[i[astray]] = self.safe[i[astray]], False
+        go = np.flatnonzero(~done & ~astray)
+        if len(go):
+            j = i[go]
+            leap, ok = leaps(self.at[j], step[go], scatter[go], self.reach[j])
+            self.best[j], self.safe[j], self.leapt[j] = bound[go], value[go], ok
+            self.at[j] = np.where(ok[:, None], leap, value[go])
+        self.open = i[~done]
+
+
+def leaps(at: np.ndarray, step: np.ndarray, scatter: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where Newton's steps end, turned uphill where the bound isn't concave and shortened to shrink no entry by more than reach; and whether they are of use."""
+    root = np.sqrt(np_trigamma(at))
+    slope = root[:, :, None] * scatter * root[:, None, :]
+    ok = np.isfinite(slope).all(axis=(1, 2))
+    sizes, axes = np.linalg.eigh(np.where(ok[:, None, None], slope, 0.0))
+    turned = (axes * ((step * root)[:, :, None] * axes).sum(axis=1, keepdims=True) / np.maximum(np.abs(1 - sizes), 1e-9)[:, None, :]).sum(axis=2) / root
+    shrink = (-turned / at).max(axis=1)
+    out = at + turned * (reach / np.maximum(shrink, reach))[:, None]
+    return out, ok & (np.isfinite(out) & (out > 0)).all(axis=1)
+
+
+def dirichlet_part(alpha: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+    """dirichlet_bound() of rows with an alpha each, less what alpha alone adds."""
+    both = np.concatenate([gamma, gamma.sum(axis=1, keepdims=True)], axis=1)
+    logs, psi = np_lgamma(both), np_digamma(both)
+    return logs[:, :-1].sum(axis=1) - logs[:, -1] + ((alpha - gamma) * (psi[:, :-1] - psi[:, -1:])).sum(axis=1)
+
+
+def responsibilities(gamma: np.ndarray, phi: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """K x cells shares of the components of each cell, of samples of these numbers of cells, and the cells' masses; phi is K x cells."""
+    r = np.repeat(np.exp(np_dirichlet_expectation(gamma)).T, sizes, axis=1)
+    r *= phi
+    mass = r.sum(axis=0)
+    r /= mass + TINY
+    return r, mass
+
+
+def spread(gamma: np.ndarray, weight: np.ndarray, phi: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a sample's cells add to its composition, K x K by how much the shares of a cell vary together, and their log masses, all by weight.
+
+    The slope of the first is the second times the trigamma function of gamma, by columns.
+    """
+    r, mass = responsibilities(gamma, phi, sizes)
+    ends = np.cumsum(sizes)
+    starts, heavy = ends - sizes, r * weight
+    added = np.add.reduceat(heavy, starts, axis=1).T
+    scatter = -np.stack([heavy[:, a:z] @ r[:, a:z].T for a, z in zip(starts, ends, strict=True)])
+    each = np.arange(len(phi))
+    scatter[:, each, each] += added
+    return added, scatter, log_sums(weight, mass, starts)
+
+
+def log_sums(weight: np.ndarray, mass: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The cells' part of the evidence bound of each sample: logs of masses by weight; cells without mass count none."""
+    return np.add.reduceat(weight * np.log(np.where(mass > 0, mass, 1.0)), starts)
+
+
+def found(phi: np.ndarray, weight: np.ndarray, sizes: np.ndarray, alpha: np.ndarray, start: np.ndarray, tolerance: float, rounds: int) -> np.ndarray:
+    """The compositions of samples whose cells lie side by side, sizes of them each; at most rounds evaluations."""
+    search, ends, known = Search(start, alpha), np.cumsum(sizes), len(sizes)
+    for _ in range(rounds):
+        if not len(search.open):
+            break
+        if len(search.open) < known:
+            cells = np.repeat(np.isin(np.arange(len(sizes)), search.open), sizes)
+            own_phi, own_weight, known = phi[:, cells], weight[cells], len(search.open)
+        elif known == len(ends):
+            own_phi, own_weight = phi, weight
+        search.told(*spread(search.at[search.open], own_weight, own_phi, sizes[search.open]), tolerance)
+    return search.at
 
 
 def hot_samples(cells: DataFrame, limit: int = HOT_CELLS, chunk: int = CHUNK_CELLS) -> DataFrame:
@@ -107,31 +172,28 @@ def _sums(packed: DataFrame, gamma: dict[Key, np.ndarray], of_chunk: Callable[[n
 
 
 def _step(gamma: np.ndarray, weight: np.ndarray, phi: np.ndarray) -> np.ndarray:
-    """What a chunk adds to its sample's composition."""
-    e = np.exp(np_dirichlet_expectation(gamma))
-    return e * (phi @ (weight / (phi.T @ e + TINY)))
+    """spread() of a chunk as one row of numbers."""
+    return np.concatenate([x.ravel() for x in spread(gamma[None, :], weight, phi, np.array([len(weight)]))])
 
 
 def _bound(gamma: np.ndarray, weight: np.ndarray, phi: np.ndarray) -> np.ndarray:
-    """A chunk's terms of the evidence lower bound, and its weight."""
-    log_pi = np_dirichlet_expectation(gamma)
-    r = np.exp(log_pi)[:, None] * phi
-    r = r / (r.sum(axis=0) + TINY)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        terms = np.where(r > 0, r * (log_pi[:, None] + np.log(phi) - np.log(r)), 0.0)
-    return np.array([(terms * weight).sum(), weight.sum()])
+    """A chunk's part of the evidence lower bound, and its weight."""
+    _, mass = responsibilities(gamma[None, :], phi, np.array([len(weight)]))
+    return np.array([log_sums(weight, mass, np.array([0]))[0], weight.sum()])
 
 
 def compositions(packed: DataFrame, start: dict[Key, np.ndarray], alpha: Callable[[str], np.ndarray], scale: float, tolerance: float, rounds: int) -> dict[Key, np.ndarray]:
     """The fixed point of each sample's composition, by rounds over the chunks of those that still move. scale multiplies the weights."""
-    searches, done = {k: Search(g) for k, g in start.items()}, {}
+    keys = list(start)
+    search = Search(np.stack([start[k] for k in keys]), np.stack([alpha(c) for c, _ in keys]))
+    size = search.at.shape[1]
     for _ in range(rounds):
-        if not searches:
+        if not len(search.open):
             break
-        added = _sums(packed, {k: x.at for k, x in searches.items()}, lambda g, w, phi: _step(g, w * scale, phi))
-        ended = {k for k, x in searches.items() if x.told(alpha(k[0]) + added[k], tolerance)}
-        done |= {k: searches.pop(k).at for k in ended}
-    return done | {k: x.at for k, x in searches.items()}
+        sums = _sums(packed, {keys[i]: search.at[i] for i in search.open}, lambda g, w, phi: _step(g, w * scale, phi))
+        told = np.stack([sums[keys[i]] for i in search.open])
+        search.told(told[:, :size], told[:, size:-1].reshape(-1, size, size), told[:, -1], tolerance)
+    return dict(zip(keys, search.at, strict=True))
 
 
 def statistics(packed: DataFrame, gamma: dict[Key, np.ndarray], alpha: Callable[[str], np.ndarray], scale: float) -> DataFrame:

@@ -129,10 +129,8 @@ def genome_frequencies(trinucs: DataFrame, contexts: int = core.CONTEXTS) -> np.
 def rate_targets(rated: DataFrame, stats: DataFrame, state: core.State) -> DataFrame:
     """(corpus, locus, x, target, eta, logmu): responsibilities and exposure x delta . n of each locus, as arrays of K, and its log rates."""
     sums = core.summed(stats, "locus", "corpus", "key", k=state.k).select("corpus", F.col("key").alias("locus"), F.col("value").alias("target"))
-    delta = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in state.delta])
-    dot = F.transform(delta, lambda d: F.col("exposure") * F.aggregate(F.zip_with(d, F.col("n"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-    joined = rated.join(sums, ["corpus", "locus"], "left")
-    return joined.select("corpus", "locus", "x", F.coalesce("target", F.array(*[F.lit(0.0)] * state.k)).alias("target"), dot.alias("eta"), "logmu")
+    own = core.masses(rated, state.delta, "eta").select("corpus", "locus", "x", "eta", "logmu")
+    return own.join(sums, ["corpus", "locus"], "left").select("corpus", "locus", "x", F.coalesce("target", F.array(*[F.lit(0.0)] * state.k)).alias("target"), "eta", "logmu")
 
 
 def update_delta(state: core.State, eta: dict[str, np.ndarray], signature: dict[tuple[str, int], np.ndarray], rounds: int = 50) -> np.ndarray:
@@ -172,14 +170,18 @@ def train(corpus: co.Corpus, transform: FeatureTransform, o: Options, evaluated:
     extension.check_observations(kind, corpus.mutations, corpus.trinucs)
     o, transform = replace(o, observation=kind.name), fitted_transform(corpus, transform, o)
     loci = cut(core.locus_table(corpus, transform, corpora, kind.contexts))
-    all_cells = cut(core.cells(corpus.mutations))
-    hot = split.hot_samples(all_cells)
+    full = o.batch_size is None and o.locus_subsample is None
     genome, width = genome_frequencies(corpus.trinucs, kind.contexts), len(transform.names()) + len(corpora)
     state = initial_state(o, corpora, genome, width, feature_groups(transform))
     model, began = Model(state, transform, genome, o), time.time()
+    if full and core.stays_with_cells(state.rate_model, width):
+        all_cells, hot, packed = core.together(corpus.mutations, loci, kind.mutations)
+        packed = cut(packed)  # nothing is dealt out again in an epoch
+    else:
+        all_cells, packed = cut(core.cells(corpus.mutations)), None
+        hot = split.hot_samples(all_cells)
     gamma: DataFrame | None = None
     scores: list[float] = []
-    full = o.batch_size is None and o.locus_subsample is None
     rated, eta = None, {}
     for epoch in range(o.epochs):
         rate = learning_rate(epoch, o.tau, o.kappa, full)
@@ -199,7 +201,7 @@ def train(corpus: co.Corpus, transform: FeatureTransform, o: Options, evaluated:
             rated = core.log_rates(here, state)
             eta = core.context_exposure(rated, state)
         log_z = core.log_masses(eta, state.delta)
-        stats = cut(core.infer(sample_cells, rated, log_z, state, gamma, rate, o.locus_subsample or 1.0, o.tolerance, o.rounds, o.seed, hot))
+        stats = cut(core.infer(sample_cells, rated, log_z, state, gamma, rate, o.locus_subsample or 1.0, o.tolerance, o.rounds, o.seed, hot, packed))
         new_gamma = stats.where("kind = 'gamma'").select("corpus", "sample", F.col("value").alias("gamma"))
         # with all samples at hand the new ones are those of stats, which are cut already
         gamma = new_gamma if gamma is None or full else cut(new_gamma.unionByName(gamma.join(new_gamma, ["corpus", "sample"], "left_anti")))
@@ -238,11 +240,15 @@ def perplexity(stats: DataFrame) -> float:
     return float(np.exp(-r["b"] / r["w"])) if r["w"] else float("nan")
 
 
-def posterior(model: Model, corpus: co.Corpus, gamma: DataFrame | None = None, rated: DataFrame | None = None) -> DataFrame:
-    """infer()'s rows for corpus under a trained model; unknown corpora take the mean prior and the intercept of the first."""
+def posterior(model: Model, corpus: co.Corpus, gamma: DataFrame | None = None, rated: DataFrame | None = None, kinds: tuple[str, ...] = core.KINDS) -> DataFrame:
+    """infer()'s rows for corpus under a trained model, or those of some kinds; unknown corpora take the mean prior and the intercept of the first."""
     rated, log_z = rates_for(model, corpus, rated)
-    o = model.options
-    return core.infer(core.cells(corpus.mutations), rated, log_z, model.state, gamma, 0.0 if gamma is not None else 1.0, 1.0, o.tolerance, o.rounds, o.seed)
+    o, state = model.options, model.state
+    told = (o.tolerance, o.rounds, o.seed)
+    if gamma is None and "x" in rated.columns and core.stays_with_cells(state.rate_model, len(model.transform.names()) + len(state.corpora)):
+        cells, hot, packed = core.together(corpus.mutations, rated, state.omega.shape[2])
+        return core.infer(cells, rated, log_z, state, None, 1.0, 1.0, *told, hot, packed, kinds)
+    return core.infer(core.cells(corpus.mutations), rated, log_z, state, gamma, 0.0 if gamma is not None else 1.0, 1.0, *told, kinds=kinds)
 
 
 def rates_for(model: Model, corpus: co.Corpus, rated: DataFrame | None = None) -> tuple[DataFrame, dict[str, np.ndarray]]:
@@ -260,20 +266,20 @@ def rate_digest(model: Model) -> str:
 
 def score(model: Model, corpus: co.Corpus, gamma: DataFrame | None = None, rated: DataFrame | None = None) -> dict[str, float]:
     """Bound and perplexity of corpus; with gamma (corpus, sample, gamma) compositions are taken, not inferred."""
-    stats = cut(posterior(model, corpus, gamma, rated))
+    stats = cut(posterior(model, corpus, gamma, rated, ("gamma",)))
     r = stats.where("kind = 'gamma'").agg(F.sum("bound").alias("b")).first()
     return {"bound": float(r["b"] or 0.0), "perplexity": perplexity(stats)}
 
 
 def predict(model: Model, corpus: co.Corpus, rated: DataFrame | None = None) -> DataFrame:
     """(corpus, sample, one column per component): each sample's composition gamma."""
-    g = posterior(model, corpus, rated=rated).where("kind = 'gamma'")
+    g = posterior(model, corpus, rated=rated, kinds=("gamma",)).where("kind = 'gamma'")
     return g.select("corpus", "sample", *[F.get("value", F.lit(i)).alias(n) for i, n in enumerate(model.state.names)])
 
 
 def component_rates(model: Model, corpus: co.Corpus) -> DataFrame:
     """(corpus, locus, one column per component): the mutations of each locus by the components that they are laid to."""
-    sums = core.summed(posterior(model, corpus), "locus", "corpus", "key", k=model.state.k)
+    sums = core.summed(posterior(model, corpus, kinds=("locus",)), "locus", "corpus", "key", k=model.state.k)
     return sums.select("corpus", F.col("key").alias("locus"), *[F.get("value", F.lit(i)).alias(n) for i, n in enumerate(model.state.names)])
 
 

@@ -4,8 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from regionlytics.functions.special import values_below
-from regionlytics.model import core, posterior
+from regionlytics.model import core, posterior, split
 from regionlytics.model.boosting import BoostedRate
+from regionlytics.model.linear import LinearRate
 from regionlytics.operators import durable, intervals
 from regionlytics.operators.clusters import clusters, local_rate, window_sums
 from regionlytics.operators.corpora import Corpus, context_share, unpacked
@@ -127,3 +128,56 @@ def test_tasks_grow_with_the_rows_of_clusters_neighbours_and_overlaps(spark, mon
     pairs = intervals.overlap_join(a, a)
     assert "REPARTITION_BY_NUM" in pairs._jdf.queryExecution().executedPlan().toString()
     assert pairs.count() == 600 + 2 * 599
+
+
+def test_compositions_of_many_samples_take_few_evaluations(monkeypatch):
+    rng = np.random.default_rng(0)
+    sizes, k = rng.integers(1, 300, 40), 3
+    n, calls, spread = sizes.sum(), [], split.spread
+    phi, weight = 0.02 * rng.random((k, n)) + 0.98 * rng.random(n), rng.integers(1, 50, n) * 1.0
+    alpha, start = np.full((40, k), 0.7), rng.gamma(100, 0.01, (40, k))
+    monkeypatch.setattr(split, "spread", lambda *a: calls.append(1) or spread(*a))
+    got = split.found(phi, weight, sizes, alpha, start, 1e-8, 1000)
+    assert len(calls) <= 60
+    ends = np.cumsum(sizes)
+    for i, (a, z) in enumerate(zip(ends - sizes, ends, strict=True)):
+        again = alpha[i] + spread(got[[i]], weight[a:z], phi[:, a:z], sizes[[i]])[0][0]
+        assert np.abs(again - got[i]).max() < 1e-6
+        assert np.allclose(core.fixed_point(phi[:, a:z], weight[a:z], alpha[i], start[i], 1e-8, 1000), got[i], rtol=1e-6)
+
+
+def test_samples_kept_with_their_cells_give_the_sums_of_samples_inferred_alone(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 900
+    sample = np.minimum(rng.integers(0, 12, n), 9)
+    rows = [(f"c{s % 2}", int(s), int(a), int(b), int(c), float(w)) for s, a, b, c, w in zip(sample, rng.integers(0, 20, n), rng.integers(0, 64, n), rng.integers(0, 3, n), rng.integers(1, 9, n), strict=True)]
+    m = spark.createDataFrame(rows, "corpus string, sample long, locus long, context int, mutation int, weight double")
+    loci = [(f"c{i % 2}", i // 2, 1.0 + i / 7, (1.0 + rng.integers(0, 9, 64)).tolist(), rng.normal(size=4).tolist()) for i in range(40)]
+    loci = spark.createDataFrame(loci, "corpus string, locus long, exposure double, n array<double>, x array<double>")
+    rate = LinearRate(2, 4)
+    rate.beta = rng.normal(size=(2, 4))
+    state = core.State(rng.random((2, 64, 3)) + 0.1, rng.random((2, 64)) + 0.1, {"c0": np.ones(2), "c1": np.full(2, 0.5)}, ["a", "b"], rate, ["c0", "c1"])
+    rated, log_z = core.with_log_rates(loci, state)
+
+    def told(rows):
+        gamma = {(r["corpus"], r["sample"]): [*r["value"], r["bound"], r["weight"]] for r in rows if r["kind"] == "gamma"}
+        sums = {}
+        for r in rows:
+            if r["kind"] != "gamma":
+                key = r["corpus"], r["kind"], r["key"]
+                sums[key] = sums.get(key, 0) + np.array(r["value"])
+        return gamma, sums
+
+    want, want_sums = told(core.infer(core.cells(m), rated, log_z, state, tolerance=1e-9).collect())
+    monkeypatch.setattr(core, "SIDE_CELLS", 200)
+    monkeypatch.setattr(core, "SUM_CELLS", 300)
+    for limit in (1 << 30, 100):
+        monkeypatch.setattr(split.hot_samples, "__defaults__", (limit, 40))
+        cells, hot, packed = core.together(m, loci, 3)
+        assert packed.count() == 10 - hot.count() and hot.isEmpty() == (limit > 100)
+        assert "Join" not in packed.select("sample")._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+        gamma, sums = told(core.infer(cells, rated, log_z, state, tolerance=1e-9, hot=hot, packed=packed).collect())
+        assert gamma.keys() == want.keys() and all(np.allclose(gamma[k], want[k], rtol=1e-6) for k in want)
+        assert sums.keys() == want_sums.keys() and all(np.allclose(sums[k], want_sums[k], rtol=1e-5, atol=1e-6) for k in want_sums)
+        only, _ = told(core.infer(cells, rated, log_z, state, tolerance=1e-9, hot=hot, packed=packed, kinds=("gamma",)).collect())
+        assert all(np.allclose(only[k], want[k], rtol=1e-6) for k in want)
