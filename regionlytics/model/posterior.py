@@ -2,45 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import factorial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.corpora import Corpus
+from ..operators.durable import dealt
 from . import core
+from .linear import stacked
 from .trainer import Model, rates_for
 
 
+#: Mutations whose labels are drawn side by side, and draws that are made ahead, about.
+SIDE, AHEAD = 16_000, 200_000
+
+
 def gibbs(phi: np.ndarray, weight: np.ndarray, alpha: np.ndarray, rng: np.random.Generator, warm_up: int = 300, sweeps: int = 5000) -> np.ndarray:
     """K x n shares of labels after an annealed warm-up; a sweep draws all labels given the counts before it."""
-    k, n = phi.shape
-    with np.errstate(divide="ignore"):
-        logs = np.log(phi)
-    z = rng.choice(k, n, p=alpha / alpha.sum())
-    tally = np.zeros((k, n))
-    shares = lambda z: (np.bincount(z, weights=weight, minlength=k) + alpha) / np.maximum(n - 1 + alpha, 1e-12)
-    for t in range(1, warm_up + 1):
-        q = logs * (t / warm_up) + np.log(shares(z))[:, None]
-        p = np.exp(q - q.max(axis=0))
-        z = (np.cumsum(p, axis=0) > rng.random(n) * p.sum(axis=0)).argmax(axis=0)
+    return gibbs_side_by_side([phi], [weight], [alpha], [rng], warm_up, sweeps)[0]
+
+
+def gibbs_side_by_side(phi: list[np.ndarray], weight: list[np.ndarray], alpha: list[np.ndarray], rngs: list[np.random.Generator], warm_up: int = 300, sweeps: int = 5000) -> list[np.ndarray]:
+    """gibbs() of several samples: each draws from its own generator what it draws alone, so labels don't depend on who stands beside.
+
+    Samples are rows as long as the longest; what stands in for missing mutations weighs nothing.
+    """
+    k, sizes = len(phi[0]), np.array([len(w) for w in weight])
+    shape = (len(sizes), sizes.max())
+    logs, w, a = np.zeros((k, *shape)), np.zeros(shape), np.stack(alpha).astype(float)
+    sums = np.zeros((len(sizes), k))
+    for i, (n, rng) in enumerate(zip(sizes, rngs, strict=True)):
+        with np.errstate(divide="ignore"):
+            logs[:, i, :n] = np.log(phi[i])
+        w[i, :n] = weight[i]
+        sums[i] = np.bincount(rng.choice(k, n, p=a[i] / a[i].sum()), weights=weight[i], minlength=k)
+    with np.errstate(invalid="ignore"):
+        logs -= logs.max(axis=0)
+    below, total = np.maximum(sizes[:, None] - 1 + a, 1e-12), w.sum(axis=1)
     # with all of the likelihood a sweep takes neither logs nor powers; a label is the number of partial sums that the draw reaches
-    scaled = np.exp(logs - logs.max(axis=0))
-    for _ in range(sweeps):
-        p = scaled * shares(z)[:, None]
+    scaled, p, reached, scratch = np.exp(logs), np.empty_like(logs), np.zeros(shape, bool), np.empty(shape)
+    tally = np.zeros((k - 1, *shape), np.int32)
+    u = np.zeros((max(1, min(warm_up + sweeps, AHEAD // w.size)), *shape))
+    for t in range(warm_up + sweeps):
+        if t % len(u) == 0:
+            for i, (n, rng) in enumerate(zip(sizes, rngs, strict=True)):
+                m = min(len(u), warm_up + sweeps - t)
+                u[:m, i, :n] = rng.random((m, n))
+        share = ((sums + a) / below).T[:, :, None]
+        if t < warm_up:
+            np.multiply(logs, (t + 1) / warm_up, out=p)
+            np.exp(p, out=p)
+            p *= share
+        else:
+            np.multiply(scaled, share, out=p)
         for i in range(1, k):
             p[i] += p[i - 1]
-        u, above = rng.random(n) * p[-1], np.ones(n, bool)
-        z = np.zeros(n, np.int64)
+        draw, edges = u[t % len(u)], [total]
+        draw *= p[-1]
         for i in range(k - 1):
-            reached = u >= p[i]
-            tally[i] += above & ~reached
-            z += reached
-            above = reached
-        tally[-1] += above
-    return tally / sweeps
+            np.greater_equal(draw, p[i], out=reached)
+            edges.append(np.multiply(w, reached, out=scratch).sum(axis=1))
+            if t >= warm_up:
+                tally[i] += reached
+        sums = -np.diff(np.stack([*edges, np.zeros(len(sizes))]), axis=0).T
+    counts = -np.diff(np.concatenate([np.full((1, *shape), sweeps), tally, np.zeros((1, *shape), int)]), axis=0)
+    return [counts[:, i, :n] / sweeps for i, n in enumerate(sizes)]
 
 
 def evidence(phi: np.ndarray, weight: np.ndarray, alpha: np.ndarray, rng: np.random.Generator, steps: int = 100, runs: int = 10, warm_up: int = 200) -> tuple[float, float, float]:
@@ -88,20 +120,63 @@ def assign(model: Model, corpus: Corpus, warm_up: int = 300, sweeps: int = 5000,
     """
     rated, log_z = rates_for(model, corpus, rated)
     m = corpus.mutations.select("corpus", "sample", "chrom", "pos", "locus", "context", "mutation", "weight")
-    shared = m.sparkSession.sparkContext.broadcast((model.state.rho(), model.state.delta, log_z, model.state.alpha))
-    names = [f"logp_{n}" for n in model.state.names]
+    state = model.state
+    shared = m.sparkSession.sparkContext.broadcast((state.rho(), state.delta, log_z, state.alpha))
+    names = [f"logp_{n}" for n in state.names]
 
-    def one(key, part: pd.DataFrame) -> pd.DataFrame:
+    def some(part: pa.Table) -> pa.RecordBatch:
+        """The rows of whole samples, which lie side by side, with their shares."""
         rho, delta, z, alphas = shared.value
-        alpha = alphas.get(key[0], np.mean(list(alphas.values()), axis=0))
-        part = part.sort_values(["chrom", "pos", "context", "mutation", "weight"])
-        share = gibbs(core.likelihood(part, rho, delta, z[key[0]]), part["weight"].to_numpy(float), alpha, np.random.default_rng([seed, *str(key[1]).encode()]), warm_up, sweeps)
+        mean, k = np.mean(list(alphas.values()), axis=0), len(rho)
+        c, mutation, exposure, n_context, weight = (part[x].to_numpy() for x in ("context", "mutation", "exposure", "n_context", "weight"))
+        logmu, weight = stacked(part["logmu"].combine_chunks()), weight.astype(float)
+        starts = edges(part)
+        keys = [(part["corpus"][int(a)].as_py(), part["sample"][int(a)].as_py()) for a in starts[:-1]]
+        of = lambda i: slice(starts[i], starts[i + 1])
+        phi = lambda i: core.likelihood_of(c[of(i)], mutation[of(i)], exposure[of(i)], n_context[of(i)], logmu[of(i)], rho, delta, z[keys[i][0]])
+        shares, sizes = np.zeros((k, len(part))), np.diff(starts)
+        waiting = list(np.argsort(sizes, kind="stable"))
+        while waiting:
+            # of like lengths, as many as fit beside the longest
+            group = waiting[-max(1, SIDE // sizes[waiting[-1]]) :]
+            del waiting[-len(group) :]
+            rngs = [np.random.default_rng([seed, *str(keys[i][1]).encode()]) for i in group]
+            told = gibbs_side_by_side([phi(i) for i in group], [weight[of(i)] for i in group], [alphas.get(keys[i][0], mean) for i in group], rngs, warm_up, sweeps)
+            for i, share in zip(group, told, strict=True):
+                shares[:, of(i)] = share
         with np.errstate(divide="ignore"):
-            return pd.concat([part[["corpus", "sample", "chrom", "pos"]].reset_index(drop=True), pd.DataFrame(np.log(share).T, columns=names)], axis=1)
+            logs = np.log(shares)
+        kept = {x: part[x].combine_chunks() for x in ("corpus", "sample", "chrom", "pos")}
+        return pa.RecordBatch.from_pydict(kept | dict(zip(names, logs, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, last = [], 0, None
+        for rows in batches:
+            if not len(rows):
+                continue
+            starts, first = edges(pa.Table.from_batches([rows])), tuple(rows.column(x)[0] for x in ("corpus", "sample"))
+            # the last sample may go on in the next batch, and the first one be that of the batch before
+            end = int(starts[-2]) if len(starts) > 2 or last is not None and first != last else None
+            if end is not None and n + end >= 4 * SIDE:
+                yield some(pa.Table.from_batches([*held, rows.slice(0, end)]))
+                held, n, rows = [], 0, rows.slice(end)
+            held.append(rows)
+            n, last = n + len(rows), tuple(rows.column(x)[len(rows) - 1] for x in ("corpus", "sample"))
+        if held:
+            yield some(pa.Table.from_batches(held))
 
     kinds = {c: m.schema[c].dataType.simpleString() for c in ("sample", "chrom", "pos")}
     schema = f"corpus string, sample {kinds['sample']}, chrom {kinds['chrom']}, pos {kinds['pos']}, " + ", ".join(f"`{n}` double" for n in names)
-    return core.by_sample(core.gathered(m, rated)).groupBy("corpus", "sample").applyInPandas(one, schema)
+    dealt_out = dealt(core.gathered(m, rated), "corpus", "sample", rows=m.count())
+    return dealt_out.sortWithinPartitions("corpus", "sample", "chrom", "pos", "context", "mutation", "weight").mapInArrow(run, schema)
+
+
+def edges(part: pa.Table) -> np.ndarray:
+    """Where the samples of rows sorted by sample begin, and the number of rows."""
+    new = np.ones(len(part), bool)
+    same = [pc.fill_null(pc.equal(part[c][1:], part[c][:-1]), False).to_numpy() for c in ("corpus", "sample")]
+    new[1:] = ~(same[0] & same[1])
+    return np.append(np.flatnonzero(new), len(part))
 
 
 def marginal_likelihood(model: Model, corpus: Corpus, steps: int = 100, runs: int = 10, seed: int = 0) -> DataFrame:

@@ -181,3 +181,43 @@ def test_samples_kept_with_their_cells_give_the_sums_of_samples_inferred_alone(s
         assert sums.keys() == want_sums.keys() and all(np.allclose(sums[k], want_sums[k], rtol=1e-5, atol=1e-6) for k in want_sums)
         only, _ = told(core.infer(cells, rated, log_z, state, tolerance=1e-9, hot=hot, packed=packed, kinds=("gamma",)).collect())
         assert all(np.allclose(only[k], want[k], rtol=1e-6) for k in want)
+
+
+def test_gibbs_side_by_side_draws_the_labels_of_each_sample_alone(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = [40, 1, 17, 60]
+    phi, weight = [rng.random((3, n)) for n in sizes], [rng.integers(1, 9, n) * 1.0 for n in sizes]
+    phi[2][:, 0] = 0
+    alpha = [rng.random(3) + 0.2 for _ in sizes]
+    monkeypatch.setattr(posterior, "AHEAD", 700)
+    rngs = lambda: [np.random.default_rng(i) for i in range(4)]
+    got = posterior.gibbs_side_by_side(phi, weight, alpha, rngs(), 15, 40)
+    for i, r in enumerate(rngs()):
+        assert np.array_equal(got[i], posterior.gibbs(phi[i], weight[i], alpha[i], r, 15, 40))
+        assert got[i].shape == (3, sizes[i]) and np.allclose(got[i].sum(axis=0), 1)
+
+
+def test_samples_are_told_apart_across_batches(spark, monkeypatch):
+    """Whatever the batches and who stands beside: the same shares for each mutation."""
+    from regionlytics.functions.special import np_logsumexp
+    from regionlytics.model import trainer
+
+    rng = np.random.default_rng(8)
+    n = 700
+    rows = [(f"c{s % 2}", int(s), "chr1", int(i), int(a), int(b), int(c), 1.0) for i, (s, a, b, c) in enumerate(zip(np.minimum(rng.integers(0, 40, n), 15), rng.integers(0, 20, n), rng.integers(0, 64, n), rng.integers(0, 3, n), strict=True))]
+    m = spark.createDataFrame(rows, "corpus string, sample long, chrom string, pos long, locus long, context int, mutation int, weight double")
+    loci = spark.createDataFrame([(f"c{i % 2}", i // 2, 1.0, (1.0 + rng.integers(0, 9, 64)).tolist(), rng.normal(size=2).tolist()) for i in range(40)], "corpus string, locus long, exposure double, n array<double>, logmu array<double>")
+    state = core.State(rng.random((2, 64, 3)) + 0.1, rng.random((2, 64)) + 0.1, {"c0": np.ones(2), "c1": np.full(2, 0.5)}, ["a", "b"], LinearRate(2, 4), ["c0", "c1"])
+    model = trainer.Model(state, FeatureTransform({}), np.ones(64), trainer.Options(k=2))
+
+    def told():
+        return {(r["sample"], r["pos"]): (r["logp_a"], r["logp_b"]) for r in posterior.assign(model, Corpus(m, None, None, None), 5, 30, rated=loci).collect()}
+
+    want = told()
+    assert len(want) == n and np.allclose(np_logsumexp(np.array(list(want.values())), axis=1), 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)
+    try:
+        monkeypatch.setattr(posterior, "SIDE", 20)
+        assert told() == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
