@@ -6,13 +6,16 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.sequence import signature_matrix
 from ..operators.corpora import Corpus
 from ..operators.durable import cut
 from . import core
+from .linear import stacked
 
 
 @dataclass
@@ -171,36 +174,47 @@ def placed(m: DataFrame) -> DataFrame:
 BLOCK_LOCI, TASK_DRAWS = 4096, 500_000
 
 
-def _masses(part: pd.DataFrame, delta: np.ndarray) -> np.ndarray:
-    """Loci x K: the mass of each locus under each component, all contexts together."""
-    n, lm = np.stack(part["n"].to_list()), np.stack(part["logmu"].to_list())
-    return (n @ delta.T) * np.exp(lm) * part["exposure"].to_numpy()[:, None]
-
-
 def _pick(cum: np.ndarray, u: np.ndarray) -> np.ndarray:
     """For each u in [0, 1) the index of cum, running sums, that it falls on; never one without mass."""
     i = np.searchsorted(cum, u * cum[-1], side="right")
     return np.minimum(i, np.searchsorted(cum, cum[-1]))
 
 
+def _shares(rng: np.random.Generator, n: int, mass: np.ndarray) -> np.ndarray:
+    """How many of n draws fall on each entry of mass; none on one without mass."""
+    out, some = np.zeros(len(mass), np.int64), np.flatnonzero(mass > 0)
+    if len(some):
+        out[some] = rng.multinomial(n, mass[some] / mass[some].sum())
+    else:
+        out[0] = n
+    return out
+
+
+def _ordered(rng: np.random.Generator, n: int) -> np.ndarray:
+    """n uniform draws in ascending order, from the gaps between them."""
+    u = np.cumsum(rng.standard_exponential(n + 1))
+    return u[:-1] / u[-1]
+
+
 def drawn(rated: DataFrame, cohort: DataFrame, delta: np.ndarray, rho: np.ndarray, n_loci: int, seed: int = 0) -> DataFrame:
     """(corpus, sample, component, locus, context, mutation): n draws of each row of cohort (corpus, sample, n, g0, g1, ...), g being weights of components.
 
-    A mutation's component and block of loci are drawn where its sample is, from masses summed by
-    block; its locus, context and mutation where the block's loci (rated: corpus, locus, exposure, n,
-    logmu) are. So the driver holds K sums per block, a task one block or TASK_DRAWS draws.
+    How many mutations fall on each component and block of loci is drawn where the sample is, from masses summed by
+    block; their loci, contexts and mutations where the block's loci (rated: corpus, locus, exposure, n,
+    logmu) are. So the driver holds K sums per block, a task one block or about TASK_DRAWS draws, and what goes
+    between them are counts by sample, component and block.
     """
     spark, k = rated.sparkSession, len(delta)
     blocks = max(1, -(-n_loci // BLOCK_LOCI))
     rated = rated.select("corpus", "locus", "exposure", "n", "logmu", F.pmod(F.xxhash64("locus"), F.lit(blocks)).cast("int").alias("block"))
 
     def weigh(batches):
-        for pdf in batches:
-            if len(pdf):
-                m = pd.DataFrame(_masses(pdf, delta), columns=[f"m{i}" for i in range(k)])
-                yield pd.concat([pdf[["corpus", "block"]].reset_index(drop=True), m], axis=1)
+        for rows in batches:
+            if len(rows):
+                m = (stacked(rows.column("n")) @ delta.T) * np.exp(stacked(rows.column("logmu"))) * rows.column("exposure").to_numpy()[:, None]
+                yield pa.RecordBatch.from_pydict({"corpus": rows.column("corpus"), "block": rows.column("block")} | {f"m{i}": np.ascontiguousarray(v) for i, v in enumerate(m.T)})
 
-    masses = rated.mapInPandas(weigh, "corpus string, block int, " + ", ".join(f"m{i} double" for i in range(k)))
+    masses = rated.mapInArrow(weigh, "corpus string, block int, " + ", ".join(f"m{i} double" for i in range(k)))
     masses = masses.groupBy("corpus", "block").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(k)]).toPandas()  # a row per block
     sizes = {r["corpus"]: r["n"] for r in cohort.groupBy("corpus").agg(F.sum("n").alias("n")).collect()}  # a row per corpus
     table, split = {}, []
@@ -209,50 +223,61 @@ def drawn(rated: DataFrame, cohort: DataFrame, delta: np.ndarray, rho: np.ndarra
         # a block with more draws than a task makes is held by several tasks, so hot loci are spread
         most = (m / np.maximum(m.sum(axis=0), core.TINY)).max(axis=1) * float(sizes.get(c, 0))
         tasks = np.maximum(1, np.ceil(most / TASK_DRAWS)).astype(int)
-        table[c] = (own["block"].to_numpy(), np.cumsum(m, axis=0), tasks)
+        table[c] = (own["block"].to_numpy(), m, tasks)
         split += [(c, int(x), int(t)) for x, t in zip(own["block"], tasks, strict=True) if t > 1]
     shared = spark.sparkContext.broadcast(table)
 
     def draw(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                g = np.array([getattr(r, f"g{i}") for i in range(k)])
-                ids, cum, tasks = shared.value[r.corpus]
-                rng, n = np.random.default_rng([seed, *([int(r.part)] if r.part else []), *str(r.sample).encode()]), int(r.draws)
-                comp, block = rng.choice(k, n, p=g / g.sum()), np.zeros(n, int)
-                for j in np.unique(comp):
-                    i = np.flatnonzero(comp == j)
-                    block[i] = _pick(cum[:, j], rng.random(len(i)))
-                u = rng.random((4, n))
-                d = pd.DataFrame({"component": comp, "block": ids[block], "task": (u[0] * tasks[block]).astype(int), "u": u[1], "v": u[2], "w": u[3]})
-                yield d.assign(corpus=r.corpus, sample=r.sample)
-
-    def place(draws: pd.DataFrame, loci: pd.DataFrame) -> pd.DataFrame:
+        for rows in batches:
+            for i in range(len(rows)):
+                r = {c: rows.column(c)[i].as_py() for c in rows.schema.names if c != "sample"}
+                sample = rows.column("sample")[i]
+                ids, mass, tasks = shared.value[r["corpus"]]
+                rng, out = np.random.default_rng([seed, *([int(r["part"])] if r["part"] else []), *str(sample.as_py()).encode()]), []
+                for j, n in enumerate(_shares(rng, int(r["draws"]), np.array([r[f"g{i}"] for i in range(k)], float))):
+                    times = _shares(rng, n, mass[:, j])
+                    at = np.flatnonzero(times)
+                    out.append((np.full(len(at), j, np.int32), ids[at].astype(np.int32), rng.integers(tasks[at]).astype(np.int32), times[at]))
+                component, block, task, times = (np.concatenate(x) for x in zip(*out, strict=True))
+                same = {"corpus": pa.repeat(rows.column("corpus")[i], len(times)), "sample": pa.repeat(sample, len(times)), "part": pa.repeat(rows.column("part")[i], len(times))}
+                yield pa.RecordBatch.from_pydict(same | {"component": component, "block": block, "task": task, "times": times})
+
+    def place(key, draws, loci):  # of tables; Spark refuses hints on some of the arguments
         if not len(draws):
-            return pd.DataFrame(columns=["corpus", "sample", "component", "locus", "context", "mutation"])
-        loci = loci.sort_values("locus")
-        ids, n, mass = loci["locus"].to_numpy(), np.stack(loci["n"].to_list()), np.cumsum(_masses(loci, delta), axis=0)
-        draws = draws.reset_index(drop=True)
-        at, context, mutation = (np.zeros(len(draws), int) for _ in range(3))
-        for j, part in draws.groupby("component"):
-            i = part.index.to_numpy()
-            at[i] = _pick(mass[:, j], part["u"].to_numpy())
-            for some in np.array_split(i, -(-len(i) // 65_536)):
-                for into, p, x in ((context, lambda s, j=j: n[at[s]] * delta[j], "v"), (mutation, lambda s, j=j: rho[j][context[s]], "w")):
-                    into[some] = _chosen(p(some), draws[x].to_numpy()[some])
-        return draws[["corpus", "sample", "component"]].assign(locus=ids[at], context=context, mutation=mutation)
+            return pa.table({c: pa.array([], t) for c, t in fields.items()})
+        draws = draws.sort_by([(c, "ascending") for c in ("component", "sample", "part")])
+        loci = loci.sort_by("locus")
+        ids, n = loci["locus"].to_numpy(), stacked(loci["n"].combine_chunks())
+        rates = np.exp(stacked(loci["logmu"].combine_chunks())) * loci["exposure"].to_numpy()[:, None]
+        rng = np.random.default_rng([seed, 1, key[1].as_py(), key[2].as_py(), *key[0].as_py().encode()])
+        component, times, out = draws["component"].to_numpy(), draws["times"].to_numpy(), []
+        for j in np.unique(component):
+            own = np.flatnonzero(component == j)
+            # whose a draw is doesn't tell where it falls: places come in order, samples are shuffled
+            who = rng.permutation(np.repeat(own, times[own]))
+            at, context = np.divmod(_pick(np.cumsum(n * delta[j] * rates[:, [j]]), _ordered(rng, len(who))), n.shape[1])
+            cum, u = np.cumsum(rho[j], axis=1), rng.random(len(who))
+            u *= cum[context, -1]
+            mutation = sum(((cum[:, i][context] <= u).astype(np.int32) for i in range(cum.shape[1] - 1)), np.zeros(len(who), np.int32))
+            out.append((who, np.full(len(who), j, np.int32), ids[at].astype(np.int64), context.astype(np.int32), mutation))
+        who, *rest = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"corpus": pa.repeat(key[0], len(who)), "sample": draws["sample"].combine_chunks().take(pa.array(who))} | dict(zip(("component", "locus", "context", "mutation"), rest, strict=True)))
 
     # a sample of more draws than a task makes is drawn by several: they don't depend on each other
     n = F.round("n").cast("long")
     parts = F.greatest(F.lit(1), F.ceil(n / TASK_DRAWS)).cast("int")
     dealt = cohort.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("draws", F.floor(n / parts) + (F.col("part") < F.pmod(n, parts)).cast("long"))
     kind = cohort.schema["sample"].dataType.simpleString()
+    fields = {"corpus": pa.string(), "sample": to_arrow_type(cohort.schema["sample"].dataType), "component": pa.int32(), "locus": pa.int64(), "context": pa.int32(), "mutation": pa.int32()}
     dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "corpus", "sample", "part")
-    by_block = dealt.mapInPandas(draw, f"corpus string, sample {kind}, component int, block int, task int, u double, v double, w double")
+    by_block = dealt.mapInArrow(draw, f"corpus string, sample {kind}, part int, component int, block int, task int, times long")
     tasks = spark.createDataFrame(split, "corpus string, block int, tasks int")
     held = rated.join(F.broadcast(tasks), ["corpus", "block"], "left").withColumn("task", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
     key = ("corpus", "block", "task")
-    return by_block.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(place, f"corpus string, sample {kind}, component int, locus long, context int, mutation int")
+    # dealt out by number, which AQE keeps: counts are few for the draws that they stand for
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(int(t.sum()) for _, _, t in table.values()) // 4)
+    by_block, held = by_block.repartition(parts, *key), held.repartition(parts, *key)
+    return by_block.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(place, f"corpus string, sample {kind}, component int, locus long, context int, mutation int")
 
 
 def resample(model, corpus: Corpus, seed: int = 0, components: list[str] | None = None) -> Corpus:
@@ -263,7 +288,7 @@ def resample(model, corpus: Corpus, seed: int = 0, components: list[str] | None
     names = model.state.names
     total = corpus.mutations.groupBy("corpus", "sample").agg(F.sum("weight").alias("n"))
     weights = [(F.col(f"`{n}`") if components is None or n in components else F.lit(0.0)).alias(f"g{i}") for i, n in enumerate(names)]
-    cohort = predict(model, corpus).join(total, ["corpus", "sample"]).select("corpus", "sample", "n", *weights)
+    cohort = cut(predict(model, corpus, rated).join(total, ["corpus", "sample"]).select("corpus", "sample", "n", *weights))  # a row a sample, read twice
     m = drawn(rated, cohort, model.state.delta, model.state.rho(), rated.count(), seed)
     return Corpus(placed(m), corpus.loci, corpus.trinucs, corpus.features)
 

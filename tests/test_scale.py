@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from regionlytics.functions.special import values_below
-from regionlytics.model import core, posterior, split
+from regionlytics.model import core, posterior, simulate, split
 from regionlytics.model.boosting import BoostedRate
 from regionlytics.model.linear import LinearRate
 from regionlytics.operators import durable, intervals
@@ -221,3 +221,23 @@ def test_samples_are_told_apart_across_batches(spark, monkeypatch):
         assert told() == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_draws_travel_as_counts(spark, monkeypatch):
+    """Between samples and loci goes a row for each component and block that a sample draws from, not one a draw; the draws agree on every run."""
+    rng = np.random.default_rng(2)
+    loci = spark.createDataFrame([("c", i, 1.0, rng.integers(0, 9, 64).astype(float).tolist(), rng.normal(size=2).tolist()) for i in range(30)], "corpus string, locus long, exposure double, n array<double>, logmu array<double>")
+    cohort = spark.createDataFrame([("c", f"s{i}", 5_000.0 + i, 0.3, 0.7 * (i > 0)) for i in range(4)], "corpus string, sample string, n double, g0 double, g1 double")
+    monkeypatch.setattr(simulate, "BLOCK_LOCI", 10)
+    monkeypatch.setattr(simulate, "TASK_DRAWS", 3_000)
+    seen, frame = [], type(loci)
+    through = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda d, f, schema, *a: seen.append(through(d, f, schema, *a)) or seen[-1])
+    delta, rho = rng.random((2, 64)) + 0.1, rng.dirichlet(np.ones(3), (2, 64))
+    told = lambda parts: sorted(map(tuple, simulate.drawn(loci.repartition(parts), cohort.repartition(parts), delta, rho, 30, 5).collect()))
+    got = told(1)
+    by_block = [d for d in seen if "times" in d.columns][0]
+    assert by_block.count() <= 4 * 2 * 2 * 3 and by_block.agg(F.sum("times")).first()[0] == len(got) == 20_006
+    counts = {r[0]: r[1] for r in spark.createDataFrame([(r[1],) for r in got], "s string").groupBy("s").count().collect()}
+    assert counts == {f"s{i}": 5_000 + i for i in range(4)} and all(r[2] == 0 for r in got if r[1] == "s0")
+    assert got == told(3)
