@@ -23,6 +23,8 @@ from .linear import added, stacked
 
 #: Log rates are kept within this of zero.
 FARTHEST = 30
+#: Combinations of bins up to which rows are rated by combination.
+FEW_BINS = 50_000
 
 
 class Tree:
@@ -69,13 +71,24 @@ class BoostedRate:
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1) if self.edges else np.zeros((len(x), 0), int)
 
+    @property
+    def by_cell(self) -> bool:
+        """Whether bins are few enough to rate many rows by what differs among them."""
+        return (self.bins + 1) ** self.n_features <= FEW_BINS
+
     def log_rate(self, x: np.ndarray) -> np.ndarray:
         out = x[:, self.n_features :] @ self.bias.T
         if self.edges is not None and self.n_features:
-            b = self.binned(x)
+            b, at = self.binned(x), None
+            if self.by_cell:
+                # rows of the same bins have the same trees' values
+                _, first, at = np.unique(b @ (self.bins + 1) ** np.arange(self.n_features), return_index=True, return_inverse=True)
+                b = b[first]
+            told = np.zeros((len(b), len(self.trees)))
             for k, trees in enumerate(self.trees):
                 for r, t in trees:
-                    out[:, k] += r * t.predict(b)
+                    told[:, k] += r * t.predict(b)
+            out += told if at is None else told[at]
         return out
 
     def grown(self, x: np.ndarray, logmu: np.ndarray) -> np.ndarray:

@@ -93,14 +93,16 @@ def cells(mutations: DataFrame) -> DataFrame:
 def log_rates(loci: DataFrame, state: State) -> DataFrame:
     """loci with logmu (array of K) under the rate model. Where loci have one, it is that before the rate model's last fit.
 
-    A rate model that is a projection of x (``columns``) is left to Spark; others are evaluated in Python, and their result is cut.
+    A rate model that is a projection of x (``columns``) is left to Spark; others are evaluated in Python, and their result is cut unless
+    they are cheap enough for each cell (``by_cell``).
     """
     if hasattr(state.rate_model, "columns"):
         return loci.withColumn("logmu", state.rate_model.columns(F.col("x")))
     rate = state.rate_model  # goes with the function: classes of a notebook or a test don't pass a broadcast
 
     # only these columns go to Python, the counts by context stay
-    if "logmu" in loci.columns and hasattr(rate, "grown"):
+    cheap = bool(getattr(rate, "by_cell", False))
+    if "logmu" in loci.columns and hasattr(rate, "grown") and not cheap:
 
         @F.arrow_udf("array<double>")
         def told(x: pa.Array, logmu: pa.Array) -> pa.Array:
@@ -112,7 +114,8 @@ def log_rates(loci: DataFrame, state: State) -> DataFrame:
     def afresh(x: pa.Array) -> pa.Array:
         return listed(rate.log_rate(stacked(x)))
 
-    return cut(loci.withColumn("logmu", afresh("x")))
+    told_all = loci.withColumn("logmu", afresh("x"))
+    return told_all if cheap else cut(told_all)
 
 
 def context_exposure(rated: DataFrame, state: State) -> dict[str, np.ndarray]:

@@ -33,7 +33,8 @@ class RateKind:
 
     A rate model has ``kind``, this kind's name; log_rate(x) from n x width to n x K; fit(targets,
     rate), a new model blended in by rate. It may have grown(x, logmu), the log rate from the one
-    before the last fit, and columns(x), log_rate as an array Column, which leaves rates to Spark.
+    before the last fit, and columns(x), log_rate as an array Column, which leaves rates to Spark. by_cell
+    says that log_rate is cheap enough for each cell of a sample, so that cells keep x and meet their loci once.
     """
 
     name: str

@@ -241,3 +241,23 @@ def test_draws_travel_as_counts(spark, monkeypatch):
     counts = {r[0]: r[1] for r in spark.createDataFrame([(r[1],) for r in got], "s string").groupBy("s").count().collect()}
     assert counts == {f"s{i}": 5_000 + i for i in range(4)} and all(r[2] == 0 for r in got if r[1] == "s0")
     assert got == told(3)
+
+
+def test_boosted_rates_of_many_rows_evaluate_trees_on_what_differs(monkeypatch):
+    from regionlytics.model.boosting import Tree
+
+    rng = np.random.default_rng(9)
+    model = BoostedRate(2, 4, 2)
+    model.edges, model.bias = [np.array([1.0, 2.0]), np.array([0.5])], rng.normal(size=(2, 2))
+    for trees in model.trees:
+        for _ in range(3):
+            t = Tree()
+            for node in t.split(0, int(rng.integers(0, 2)), 0):
+                t.value[node] = float(rng.normal())
+            trees.append((0.5, t))
+    x = np.concatenate([rng.integers(0, 4, (5000, 2)) * 0.9, np.eye(2)[rng.integers(0, 2, 5000)]], axis=1)
+    b, sizes, predict = model.binned(x), [], Tree.predict
+    want = x[:, 2:] @ model.bias.T + np.stack([sum(r * predict(t, b) for r, t in trees) for trees in model.trees], axis=1)
+    monkeypatch.setattr(Tree, "predict", lambda t, b: sizes.append(len(b)) or predict(t, b))
+    assert np.allclose(model.log_rate(x), want) and max(sizes) <= 6
+    assert core.stays_with_cells(model, 4) and not core.stays_with_cells(BoostedRate(2, 30, 2), 30)
