@@ -310,9 +310,9 @@ def marginal_model(corpus: co.Corpus, transform: FeatureTransform, o: Options |
     return Model(state, transform, genome, o)
 
 
-def rate_tables(model: Model, corpus: co.Corpus) -> tuple[DataFrame, DataFrame]:
-    """(corpus, component, locus, logmu) and (component, context, delta), for the plans of operators.rates."""
-    rated, _ = rates_for(model, corpus)
+def rate_tables(model: Model, corpus: co.Corpus, rated: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(corpus, component, locus, logmu) and (component, context, delta), for the plans of operators.rates. rated: the loci with their log rates, if they are known already."""
+    rated = rates_for(model, corpus)[0] if rated is None else rated
     rates = rated.select("corpus", "locus", F.posexplode("logmu").alias("component", "logmu"))
     spark = rated.sparkSession
     delta = spark.createDataFrame([(k, c, float(model.state.delta[k, c])) for k in range(model.state.k) for c in range(model.state.delta.shape[1])], "component int, context int, delta double")
@@ -334,8 +334,9 @@ def mutation_rate_r2(model: Model, corpus: co.Corpus) -> DataFrame:
     """One row, r2: the pseudo R-squared of the model's marginal rate against context counts."""
     from ..operators import rates as rt
 
-    rates, delta = rate_tables(model, corpus)
-    g = predict(model, corpus)
+    rated, _ = rates_for(model, corpus)
+    rates, delta = rate_tables(model, corpus, rated)
+    g = predict(model, corpus, rated)
     w = g.agg(*[F.sum(n).alias(n) for n in model.state.names]).first()
     weights = corpus.mutations.sparkSession.createDataFrame([(k, float(w[n])) for k, n in enumerate(model.state.names)], "component int, w double")
     y = co.empirical_rate(corpus.mutations).select("corpus", "locus", "context", F.col("weight").alias("y"))

@@ -419,3 +419,9 @@ def test_tree_shapley_values_against_all_orders():
                     want[j] += (tree.predict(now[None])[0] - was) / (6 * len(background))
         assert np.allclose(got, want)
         assert got.sum() == pytest.approx(tree.predict(x[None])[0] - tree.predict(background).mean())
+
+
+def test_r2_rates_the_loci_once(model, simulated, monkeypatch):
+    seen, table = [], core.locus_table
+    monkeypatch.setattr(core, "locus_table", lambda *a: seen.append(1) or table(*a))
+    assert 0 < trainer.mutation_rate_r2(model, simulated[0]).first()["r2"] < 1 and len(seen) == 1
